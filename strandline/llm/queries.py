@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import html_text, line_dedup, quality, simhash, token_files, wordpiece_counts
+from strandline.llm import decontaminate, html_text, line_dedup, quality, simhash, token_files, wordpiece_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,13 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item found in it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), into="leaks")
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = wordpiece_counts.count_tokens(docs, wordpiece_counts.pieces_of(_tokenizer("word_bpe_49k.json")))
@@ -120,6 +127,7 @@ FROM bits
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_token_files": op2_token_files,
+    "op3_decontamination": op3_decontamination,
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op9_html_text": op9_html_text,
