@@ -238,6 +238,19 @@ _DDL = "array<struct<item_id:bigint,score:double,overlap:double,question_overlap
 _KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("word", pa.int64())]))
 
 
+def _searcher(held):
+    state: list = []
+
+    def run(texts: pa.Array) -> pa.Array:
+        if not state:
+            state.append(build(held.value))
+        names = [f.name for f in _KIND.value_type]
+        return pa.array([[dict(zip(names, x)) for x in search(state[0], t)] if t else [] for t in as_bytes(texts)], _KIND)
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, _DDL).asNondeterministic()
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", into: str = "leaks", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with an array column ``into``: a struct for each leaked item."""
     spark = docs.sparkSession
@@ -248,17 +261,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", ite
     for g in range(groups):
         some = items if groups == 1 else items.where(F.pmod(F.xxhash64("t"), F.lit(groups)) == g)
         held = spark.sparkContext.broadcast([(r["i"], bytes(r["t"])) for r in some.orderBy("i", "t").collect()])
-        state: list = []
-
-        def run(texts: pa.Array, held=held, state=state) -> pa.Array:
-            if not state:
-                state.append(build(held.value))
-            names = [f.name for f in _KIND.value_type]
-            return pa.array([[dict(zip(names, x)) for x in search(state[0], t)] if t else [] for t in as_bytes(texts)], _KIND)
-
-        run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
         parts.append(fresh(out, f"_leaks{g}"))
-        out = out.withColumn(parts[-1], F.arrow_udf(run, _DDL).asNondeterministic()(F.col(text)))
+        out = out.withColumn(parts[-1], _searcher(held)(F.col(text)))
     joined = F.col(parts[0]) if groups == 1 else F.concat(*[F.col(p) for p in parts])
     return out.withColumn(into, joined).drop(*[p for p in parts if p != into])
 
