@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, html_text, line_dedup, quality, simhash, token_files, wordpiece_counts
+from strandline.llm import decontaminate, html_text, line_dedup, quality, sentencepiece_scan, simhash, token_files, wordpiece_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,24 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+def _ids_digest(ids: pa.Array) -> pa.Array:
+    held = ids.to_pylist()
+    return pa.StructArray.from_arrays([pa.array([len(x) // 4 for x in held], pa.int64()), pa.array([zlib.crc32(x) for x in held], pa.int64())], ["n_ids", "ids_crc32"])
+
+
+_ids_digest.__annotations__ = {"ids": pa.Array, "return": pa.Array}
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document: how many ids, their crc32 as u32, and the hash of what they
+    decode to again."""
+    model = _tokenizer("piece_bpe_32k.model")
+    coded = sentencepiece_scan.encode(table(spark, sf_dir, "documents"), model)
+    digest = F.arrow_udf(_ids_digest, "struct<n_ids:bigint,ids_crc32:bigint>")
+    back = sentencepiece_scan.decode(coded.withColumn("d", digest("ids")), model, into="decoded")
+    return back.select("doc_id", "d.*", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = wordpiece_counts.count_tokens(docs, wordpiece_counts.pieces_of(_tokenizer("word_bpe_49k.json")))
@@ -128,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_token_files": op2_token_files,
     "op3_decontamination": op3_decontamination,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op9_html_text": op9_html_text,
