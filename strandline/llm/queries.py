@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, html_text, line_dedup, quality, sentencepiece_scan, simhash, token_files, wordpiece_counts
+from strandline.llm import decontaminate, html_text, langid, line_dedup, quality, sentencepiece_scan, simhash, suffix_tree_lm, token_files, wordpiece_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +21,14 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ _ids_digest.__annotations__ = {"ids": pa.Array, "return": pa.Array}
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document: how many ids, their crc32 as u32, and the hash of what they
     decode to again."""
-    model = _tokenizer("piece_bpe_32k.model")
+    model = tokenizer("piece_bpe_32k.model")
     coded = sentencepiece_scan.encode(table(spark, sf_dir, "documents"), model)
     digest = F.arrow_udf(_ids_digest, "struct<n_ids:bigint,ids_crc32:bigint>")
     back = sentencepiece_scan.decode(coded.withColumn("d", digest("ids")), model, into="decoded")
@@ -58,7 +58,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = wordpiece_counts.count_tokens(docs, wordpiece_counts.pieces_of(_tokenizer("word_bpe_49k.json")))
+    counted = wordpiece_counts.count_tokens(docs, wordpiece_counts.pieces_of(tokenizer("word_bpe_49k.json")))
     return counted.select("doc_id", "tokens.*")
 
 
@@ -90,6 +90,16 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op7_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    learned = langid.learn(docs.where(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), learned, into="found").select("doc_id", "held_out", "found.*")
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_text.extract(pages).select("page_id", "url", "rendered.text", "rendered.n_chars")
@@ -151,6 +161,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
+    "op7_suffix_tree_lm": op7_suffix_tree_lm,
+    "op8_language_id": op8_language_id,
     "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
 }
