@@ -124,7 +124,7 @@ def core_candidates(spark, sf_dir):
     p = D.records(spark, sf_dir).where("value > 90").select("gene", "condition").distinct()
     r = p.groupBy("condition").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(Window.orderBy(F.desc("n"), "condition")))  # a row for each condition
     g = p.join(r, "condition").withColumn("i", F.row_number().over(Window.partitionBy("gene").orderBy("k")))
-    return g.where("k = i").groupBy(F.col("k").alias("taxa")).agg(F.count("*").alias("genes")).withColumn("score", F.col("taxa") * F.col("genes"))
+    return g.where("k = i").groupBy(F.col("k").cast("long").alias("taxa")).agg(F.count("*").alias("genes")).withColumn("score", F.col("taxa") * F.col("genes"))
 
 
 @query(f"WITH n AS (SELECT condition, count(DISTINCT gene) AS n FROM ({D.RECORDS_SQL}) WHERE value > 80 GROUP BY 1) SELECT condition, n FROM n WHERE n >= 0.95 * (SELECT max(n) FROM n)")

@@ -225,7 +225,7 @@ def tree_stats(spark, sf_dir):
     return trees.statistics(nodes, "node", "parent", "len", d).select("n_tips", *[F.round(c, 6).alias(c) for c in ("length", "mean_terminal", "treeness", "diameter")])
 
 
-@query("WITH g AS (SELECT unnest(range(0, 41)) * 5.0 AS x), s AS (SELECT stddev_samp(value) * pow(count(*), -0.2) AS h, count(*) AS n FROM events WHERE event_type = 'click') SELECT g.x, round(sum(exp(-0.5 * pow((g.x - e.value) / h, 2))) / (max(n) * max(h) * sqrt(2 * pi())), 8) AS density FROM g, s, events e WHERE e.event_type = 'click' GROUP BY g.x")
+@query("WITH g AS (SELECT CAST(unnest(range(0, 41)) * 5.0 AS DOUBLE) AS x), s AS (SELECT stddev_samp(value) * pow(count(*), -0.2) AS h, count(*) AS n FROM events WHERE event_type = 'click') SELECT g.x, round(sum(exp(-0.5 * pow((g.x - e.value) / h, 2))) / (max(n) * max(h) * sqrt(2 * pi())), 8) AS density FROM g, s, events e WHERE e.event_type = 'click' GROUP BY g.x")
 def kde_grid(spark, sf_dir):
     """A grid of 41 points, broadcast, over all values."""
     e = D.table(spark, sf_dir, "events").where("event_type = 'click'").select("value")
