@@ -23,7 +23,9 @@ an empty table writes a rank table only.
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +39,7 @@ from strandline.llm.wordpiece_counts import _byte_of_symbol
 
 END_ID = 2
 TOKENS_A_FILE = 4 << 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 _HEAD = "<4sIQQQ"
 _MISSING = np.iinfo(np.int64).min
 
@@ -105,21 +107,33 @@ def read_rank_file(content: bytes) -> np.ndarray:
 # -- tokenizing -----------------------------------------------------------------------
 
 
-#: What the fast way takes: printable characters up to U+024F, for which composing changes
-#: nothing, lower-casing goes by single characters, and no white space is left inside.
-PLAIN = r"[!-~\xa1-\xac\xae-\u012f\u0131-\u024f]+"
+#: What the fast way takes: ASCII white space and printable characters up to U+024F, for
+#: which composing changes nothing and lower-casing goes by single characters.
+PLAIN = r"[\t-\r -~\xa1-\xac\xae-\u012f\u0131-\u024f]*+"
+
+
+#: The pattern of pre-tokens that the tokenizer file has (a fixed value). Without an
+#: apostrophe in the text its first alternatives never match.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _plain_pattern() -> str:
+    """PATTERN without contractions, for characters that PLAIN admits."""
+    of = lambda kind: "".join(chr(c) for c in range(0x21, 0x250) if unicodedata.category(chr(c))[0] == kind)
+    letters, numbers = re.escape(of("L")), re.escape(of("N"))
+    return rf"[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+"
 
 
 class WordCache:
-    """Ids of texts by way of their whitespace-separated words, each encoded once.
+    """Ids of texts by way of their pre-tokens, each encoded once.
 
-    Holds for tokenizers whose pre-tokens never span ASCII white space and that drop it.
-    A plain word is lower-cased and cut by the file's own pattern here, and its parts go to
-    the file's BPE model many at a time, as words of one line: the model ends each of them
-    with a piece that carries the word-end mark, where the line of ids is cut again.
-    Words with anything unusual go through the whole tokenizer one by one."""
+    A plain text is lower-cased and cut by the file's own pattern here, and new pre-tokens
+    go to the file's BPE model many at a time, as words of one line: the model ends each
+    with a piece that carries the word-end mark, where the line of ids is cut again. Of a
+    text with anything unusual each whitespace-separated word goes through the whole
+    tokenizer (pre-tokens never span ASCII white space, which the tokenizer drops)."""
 
-    def __init__(self, tokenizer_file: str, limit: int = CACHED_WORDS):
+    def __init__(self, tokenizer_file: str, kind: str = "<u4", limit: int = CACHED_WORDS):
         import json
 
         import regex
@@ -127,6 +141,7 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.limit, self.ids, self.parts = limit, {}, {}
+        self.kind, self.size = kind, np.dtype(kind).itemsize
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
         mark = spec["model"].get("end_of_word_suffix")
@@ -138,7 +153,9 @@ class WordCache:
             self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             self.last = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
             self.last[[i for w, i in spec["model"]["vocab"].items() if w.endswith(mark)]] = True
-            self.find = regex.compile(steps[0]["pattern"]["Regex"]).findall
+            pattern = steps[0]["pattern"]["Regex"]
+            self.find = regex.compile(pattern).findall
+            self.quick = re.compile(_plain_pattern()).findall if pattern == PATTERN else None
             self.plain = regex.compile(PLAIN).fullmatch
             self.shown = str.maketrans({chr(b): c for c, b in _byte_of_symbol().items()})
 
@@ -150,37 +167,53 @@ class WordCache:
             cuts = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
             if len(cuts) != len(some) + 1:
                 raise ValueError("the model did not end each word with its mark")
-            raw = ids.tobytes()
+            raw = ids.astype(self.kind).tobytes()
+            cuts = [self.size * c for c in cuts]
             for p, a, b in zip(some, cuts, cuts[1:]):
-                self.parts[p] = raw[4 * a : 4 * b]
-
-    def _learn(self, words: list[bytes]) -> None:
-        known, cut, rare = self.ids, [], []
-        for w in words:
-            s = w.decode("utf-8", "replace")
-            if self.fast and self.plain(s) and "<|" not in s:
-                cut.append((w, self.find(s.lower())))
-            else:
-                rare.append((w, s))
-        self._learn_parts(list({p for _, ps in cut for p in ps if p not in self.parts}))
-        parts = self.parts
-        for w, ps in cut:
-            known[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
-        for at in range(0, len(rare), 10_000):
-            some = rare[at : at + 10_000]
-            for (w, _), e in zip(some, self.tokenizer.encode_batch_fast([s for _, s in some], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+                self.parts[p] = raw[a:b]
+
+    def _learn(self, words: set[bytes]) -> None:
+        some = list(words)
+        for at in range(0, len(some), 10_000):
+            part = some[at : at + 10_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+                self.ids[w] = np.array(e.ids, self.kind).tobytes()
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of each text as little-endian u32 bytes."""
+        """The ids of each text as bytes of the kind."""
         if len(self.ids) > self.limit:
             self.ids = {}
         if len(self.parts) > self.limit:
             self.parts = {}
-        words = [ascii_words(t or b"") for t in texts]
-        known = self.ids
-        self._learn(list({w for ws in words for w in ws if w not in known}))
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        cut: list[list] = []
+        plain: list[bool] = []
+        new_parts: set[str] = set()
+        new_words: set[bytes] = set()
+        for t in texts:
+            s = (t or b"").decode("utf-8", "replace")
+            plain.append(self.fast and "<|" not in s and self.plain(s) is not None)
+            if plain[-1]:
+                quick = self.quick and "'" not in s
+                cut.append((self.quick if quick else self.find)(s.lower()))
+                new_parts.update(cut[-1])
+            else:
+                cut.append(ascii_words(t or b""))
+                new_words.update(cut[-1])
+        new_parts.difference_update(self.parts)
+        new_words.difference_update(self.ids)
+        self._learn_parts(list(new_parts))
+        self._learn(new_words)
+        return [b"".join(map((self.parts if p else self.ids).__getitem__, ws)) for p, ws in zip(plain, cut)]
+
+
+def _process_cache(tokenizer_file: str, kind: str) -> WordCache:
+    """The cache of this worker process, kept for its later tasks."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_word_caches", {})
+    if (tokenizer_file, kind) not in held:
+        held[tokenizer_file, kind] = WordCache(tokenizer_file, kind)
+    return held[tokenizer_file, kind]
 
 
 def _chunks(texts: list[bytes | None], size: int = 4 << 20) -> Iterator[list[bytes | None]]:
@@ -207,12 +240,12 @@ def token_rows(docs: DataFrame, tokenizer_file: str, *, id: str = "doc_id", text
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cache = WordCache(tokenizer_file)
-        end = np.array([end_id], "<u4").tobytes()
+        cache = _process_cache(tokenizer_file, kind)
+        end = np.array([end_id], kind).tobytes()
         for batch in it:
             ids, at = batch.column(0), 0
             for texts in _chunks(as_bytes(batch.column(1))):
-                out = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in cache.encode(texts)]
+                out = [x + end for x in cache.encode(texts)]
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.array(out, pa.binary())], schema=schema)
                 at += len(texts)
 
@@ -292,42 +325,41 @@ def read_ranks(spark: SparkSession, folder: str) -> np.ndarray:
     return read_rank_file(bytes(content))
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, at, doc_id, ids): every document of the files; ids as little-endian u32
-    bytes; file and at (tokens before it in its file) give the order."""
+def _documents(content: bytes, id_of_rank: np.ndarray) -> Iterator[tuple[int, np.ndarray, list, list[bytes]]]:
+    """(file number, tokens before, doc_ids, ids as little-endian u32 bytes) of some
+    thousand documents of a file at a time."""
+    number, doc_ids, lengths, ids = read_file(content, id_of_rank)
+    raw, ends = ids.astype("<u4").tobytes(), np.cumsum(lengths)
+    starts = ends - lengths
+    for a in range(0, len(doc_ids), 2000):
+        b = min(a + 2000, len(doc_ids))
+        yield number, starts[a:b], [None if d == _MISSING else d for d in doc_ids[a:b].tolist()], [raw[4 * x : 4 * y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())]
+
+
+def _scan(spark: SparkSession, folder: str, ddl: str, each) -> DataFrame:
+    """(file, at, doc_id, ...): each() makes the further columns of documents' ids."""
     held = spark.sparkContext.broadcast(read_ranks(spark, folder))
-    schema = pa.schema([("file", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for i in range(batch.num_rows):
-                number, doc_ids, lengths, ids = read_file(batch.column(0)[i].as_py(), held.value)
-                ends = np.cumsum(lengths)
-                ids = ids.astype("<u4")
-                for a in range(0, len(doc_ids), 2000):
-                    b = min(a + 2000, len(doc_ids))
-                    at = ends[a:b] - lengths[a:b]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(b - a, number, np.int64)), pa.array(at), pa.array([None if d == _MISSING else d for d in doc_ids[a:b].tolist()], pa.int64()), pa.array([ids[x:y].tobytes() for x, y in zip(at, ends[a:b])], pa.binary())],
-                        schema=schema,
-                    )
+                for number, at, docs, ids in _documents(batch.column(0)[i].as_py(), held.value):
+                    more = each(ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), number, np.int64)), pa.array(at), pa.array(docs, pa.int64()), *more.values()], ["file", "at", "doc_id", *more])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/tokens").select("content")
-    return files.mapInArrow(run, "file long, at long, doc_id long, ids binary")
+    return files.mapInArrow(run, f"file long, at long, doc_id long, {ddl}")
 
 
-def _digest(ids: pa.Array) -> pa.Array:
-    held = ids.to_pylist()
-    return pa.StructArray.from_arrays([pa.array([len(x) // 4 for x in held], pa.int64()), pa.array([zlib.crc32(x) for x in held], pa.int64())], ["n_tokens", "ids_crc32"])
-
-
-_digest.__annotations__ = {"ids": pa.Array, "return": pa.Array}
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, at, doc_id, ids): every document of the files; ids as little-endian u32
+    bytes; file and at (tokens before it in its file) give the order."""
+    return _scan(spark, folder, "ids binary", lambda ids: {"ids": pa.array(ids, pa.binary())})
 
 
 def summary(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
-    digest = F.arrow_udf(_digest, "struct<n_tokens:bigint,ids_crc32:bigint>")
-    docs = stored(read(spark, folder).select("file", "at", "doc_id", digest("ids").alias("d")).select("file", "at", "doc_id", "d.*"))
+    docs = stored(_scan(spark, folder, "n_tokens long, ids_crc32 long", lambda ids: {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64())}))
     # one row for each file of some millions of tokens
     sizes = docs.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
