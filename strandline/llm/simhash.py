@@ -6,8 +6,9 @@
    choice of B - k blocks the fingerprints form one forest of tries, keyed by the chosen
    bits; every trie is joined with itself in one task. B grows with the number of
    fingerprints, which keeps tries small; every B gives the same links.
-3. A trie above ``most`` leaves is re-rooted: its free bits are cut in k + 1 parts, and
-   the trie splits by each part. Again no link is lost, and no task holds a hot key.
+3. A trie above ``most`` leaves is cut below: its nodes SPLIT bits further down form pairs
+   (a node with itself and with each node within k bits), and each pair is a task of its
+   own. Again no link is lost, and no task holds a hot key.
 4. The self-join walks pairs of nodes down from (root, root), adds up differing bits and
    drops a pair once they exceed k. Pairs of leaves that survive are links. A task emits
    a spanning forest of its links, never all pairs of a group.
@@ -35,6 +36,7 @@ from strandline.llm.text import as_bytes, ascii_words, fresh, stored
 
 WIDTH, SEED, BITS, DIFFERENCE = 4, 42, 64, 4
 TRIE_TARGET, TRIE_MOST = 512, 20_000
+SPLIT = 12
 BLOCK_ROWS, FRONTIER = 100_000, 500_000
 
 
@@ -86,17 +88,18 @@ def _pairs_of(sizes_a: np.ndarray, sizes_b: np.ndarray, lo_a: np.ndarray, lo_b:
     return np.repeat(lo_a, n) + k // width, np.repeat(lo_b, n) + k % width
 
 
-def trie_links(fps: np.ndarray, roots: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (i, j) among sorted fingerprints that share a root.
+def trie_links(fps: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (i, j) between the leaves of pairs of tries.
 
-    fps: uint64, sorted within each root's range; roots: bounds of the ranges.
+    fps: uint64, sorted within each trie; pairs: from and to of the first and the second
+    trie's leaves, which are the same for a trie with itself.
     A node is a range of leaves with equal leading bits; the walk takes one bit a step
     over a frontier of node pairs (a, b, bits that differ so far). Pairs with few leaves
     are decided at once. Frontiers above FRONTIER are cut and walked one after another."""
     step = np.uint64(1)
-    lo, hi = roots[:-1].astype(np.int64), roots[1:].astype(np.int64)
-    many = hi - lo > 1
-    stack = [(BITS - 1, lo[many], hi[many], lo[many], hi[many], np.zeros(int(many.sum()), np.int8))]
+    al, ah, bl, bh = (x.astype(np.int64) for x in pairs)
+    some = (ah > al) & (bh > bl) & ((al != bl) | (ah - al > 1))
+    stack = [(BITS - 1, al[some], ah[some], bl[some], bh[some], np.zeros(int(some.sum()), np.int8))]
     ones: dict[int, np.ndarray] = {}
     while stack:
         bit, al, ah, bl, bh, diff = stack.pop()
@@ -164,14 +167,25 @@ def _forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
         label = up
 
 
+#: What a task of the join is: a trie (chosen bits and their value) and two of its nodes.
+_TASK = ["mask", "value", "a", "b"]
+
+
 def _join_block(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     fps = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-    mask, value = pdf["mask"].to_numpy(np.int64), pdf["value"].to_numpy(np.int64)
-    order = np.lexsort((fps, value, mask))
-    fps, mask, value = fps[order], mask[order], value[order]
+    key = [pdf[c].to_numpy(np.int64) for c in _TASK]
+    side = pdf["side"].to_numpy(np.int64)
+    order = np.lexsort((fps, side, *key[::-1]))
+    fps, side, key = fps[order], side[order], [x[order] for x in key]
     rep = pdf["rep"].to_numpy(np.int64)[order]
-    roots = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1]), [True]]))
-    label = _forest(len(fps), trie_links(fps, roots, k))
+    first = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in key], axis=0)])
+    lo = np.flatnonzero(first)
+    hi = np.append(lo[1:], len(fps))
+    # a pair of nodes has the second one's leaves after the first one's
+    crossing = key[2][lo] != key[3][lo]
+    mid = hi - np.add.reduceat(side, lo)
+    pairs = lo, np.where(crossing, mid, hi), np.where(crossing, mid, lo), hi
+    label = _forest(len(fps), trie_links(fps, pairs, k))
     moved = np.flatnonzero(label != np.arange(len(label)))
     return pd.DataFrame({"u": rep[moved], "v": rep[label[moved]]})
 
@@ -187,28 +201,33 @@ def block_masks(k: int, blocks: int, free: int = (1 << BITS) - 1) -> list[int]:
     return [sum(c) for c in combinations(parts, blocks - k)]
 
 
+def _node(mask: int) -> str:
+    """The number of a fingerprint's node: its SPLIT highest bits outside a mask."""
+    bits = [b for b in range(BITS - 1, -1, -1) if not (mask % (1 << BITS)) >> b & 1][:SPLIT]
+    return " + ".join(f"((shiftrightunsigned(fp, {b}) & 1L) * {1 << i}L)" for i, b in enumerate(reversed(bits)))
+
+
 def tries(reps: DataFrame, n: int, k: int, target: int = TRIE_TARGET, most: int = TRIE_MOST) -> DataFrame:
-    """(mask, value, fp, rep): the leaves of every trie to be joined with itself."""
+    """(mask, value, a, b, side, fp, rep): the leaves that each task joins. a = b = -1 for
+    a whole trie with itself; side tells which node of a pair a leaf is in."""
     blocks = k + 1
     while n >> (BITS * (blocks - k) // blocks) > target and blocks < k + 4:
         blocks += 1
     masks = [_signed(m) for m in block_masks(k, blocks)]
-    leaves = lambda df, cond: df.withColumn("mask", cond).withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))).select("mask", "value", "fp", "rep")
-    now = leaves(reps, F.explode(F.array(*map(F.lit, masks))))
-    done = None
-    while True:
-        hot = stored(now.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > most).select("mask", "value"))
-        if hot.isEmpty():
-            return now if done is None else done.unionByName(now)
-        cold = now.join(hot, ["mask", "value"], "left_anti").select("mask", "value", "fp", "rep")
-        done = cold if done is None else done.unionByName(cold)
-        split = {m: [_signed(m % (1 << 64) | x) for x in block_masks(k, k + 1, ~m % (1 << 64)) if x] for m in masks}
-        masks = sorted({x for xs in split.values() for x in xs})
-        arms = None
-        for m, xs in split.items():
-            arm = F.array(*map(F.lit, xs)) if xs else F.array().cast("array<bigint>")
-            arms = F.when(F.col("mask") == m, arm) if arms is None else arms.when(F.col("mask") == m, arm)
-        now = stored(leaves(now.join(hot, ["mask", "value"], "left_semi"), F.explode(arms)))
+    leaves = reps.withColumn("mask", F.explode(F.array(*map(F.lit, masks)))).withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))).select("mask", "value", "fp", "rep")
+    one, none = F.lit(-1).cast("long"), F.lit(0).cast("long")
+    columns = [*_TASK, "side", "fp", "rep"]
+    hot = stored(leaves.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > most).select("mask", "value"))
+    if hot.isEmpty():
+        return leaves.select("mask", "value", one.alias("a"), one.alias("b"), none.alias("side"), "fp", "rep")
+    cold = leaves.join(hot, ["mask", "value"], "left_anti").select("mask", "value", one.alias("a"), one.alias("b"), none.alias("side"), "fp", "rep")
+    node = F.expr("CASE mask " + " ".join(f"WHEN {m}L THEN {_node(m)}" for m in masks) + " END")
+    large = leaves.join(hot, ["mask", "value"], "left_semi").withColumn("node", node)
+    nodes = stored(large.select("mask", "value", "node").distinct())
+    pairs = nodes.withColumnRenamed("node", "a").join(nodes.withColumnRenamed("node", "b"), ["mask", "value"]).where((F.col("a") <= F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= k))
+    first = large.withColumnRenamed("node", "a").join(pairs, ["mask", "value", "a"]).withColumn("side", none)
+    second = large.withColumnRenamed("node", "b").join(pairs.where("a < b"), ["mask", "value", "b"]).withColumn("side", F.lit(1).cast("long"))
+    return cold.unionByName(first.select(*columns)).unionByName(second.select(*columns))
 
 
 def links(reps: DataFrame, k: int = DIFFERENCE, *, target: int = TRIE_TARGET, most: int = TRIE_MOST) -> DataFrame:
@@ -224,7 +243,7 @@ def links(reps: DataFrame, k: int = DIFFERENCE, *, target: int = TRIE_TARGET, mo
             if size >= BLOCK_ROWS:
                 whole = pd.concat(held, ignore_index=True)
                 last = whole.iloc[-1]
-                tail = (whole["mask"] == last["mask"]) & (whole["value"] == last["value"])
+                tail = np.all([whole[c] == last[c] for c in _TASK], axis=0)
                 if tail.all():
                     held, size = [whole], len(whole)
                     continue
@@ -234,7 +253,7 @@ def links(reps: DataFrame, k: int = DIFFERENCE, *, target: int = TRIE_TARGET, mo
             yield _join_block(pd.concat(held, ignore_index=True), k)
 
     leaves = tries(reps, reps.count(), k, target, most)
-    return leaves.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInPandas(run, "u long, v long")
+    return leaves.repartition(*_TASK).sortWithinPartitions(*_TASK).mapInPandas(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: int = DIFFERENCE, width: int = WIDTH, seed: int = SEED, target: int = TRIE_TARGET, most: int = TRIE_MOST) -> DataFrame:
