@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandline.plans import numeric_queries, paired_queries, panel_queries, sequence_queries, vector_queries
+from strandline.plans import numeric_queries, paired_queries, panel_queries, sequence_queries, site_queries, vector_queries
 
-_MODULES = [sequence_queries, vector_queries, paired_queries, panel_queries, numeric_queries]
+_MODULES = [sequence_queries, vector_queries, paired_queries, panel_queries, numeric_queries, site_queries]
 QUERIES = {name: f for m in _MODULES for name, f in m.Q.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
 FLAGSHIP = "within_family_spearman"
