@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ids_digest(ids: pa.Array) -> pa.Array:
-    held = ids.to_pylist()
+    held = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in ids.to_pylist()]
     return pa.StructArray.from_arrays([pa.array([len(x) // 4 for x in held], pa.int64()), pa.array([zlib.crc32(x) for x in held], pa.int64())], ["n_ids", "ids_crc32"])
 
 
@@ -52,8 +53,8 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer("piece_bpe_32k.model")
     coded = sentencepiece_scan.encode(table(spark, sf_dir, "documents"), model)
     digest = F.arrow_udf(_ids_digest, "struct<n_ids:bigint,ids_crc32:bigint>")
-    back = sentencepiece_scan.decode(coded.withColumn("d", digest("ids")), model, into="decoded")
-    return back.select("doc_id", "d.*", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    back = sentencepiece_scan.decode(coded, model).select("doc_id", "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return back.withColumn("d", digest("ids")).select("doc_id", "d.*", "decoded_sha256")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

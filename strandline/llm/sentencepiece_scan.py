@@ -29,6 +29,7 @@ character of no piece becomes its UTF-8 bytes.
 from __future__ import annotations
 
 import math
+import re
 import sys
 import uuid
 from array import array
@@ -37,17 +38,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.text import as_bytes, stored
+from strandline.llm.text import stored
 
 SPACE = "▁"
 CHUNK = 32_768
-CACHED_SEGMENTS = 300_000
+CACHED_SEGMENTS = 200_000
 LOW = -(1 << 61)
 ONE = 1 << 20
+#: Bytes of an id of a vocabulary that fits in u16.
+ID_BYTES = 2
+
+
+def kind_of(n: int) -> str:
+    """The bytes of an id: u16 where n ids fit, else u32, little-endian."""
+    return "<u2" if n <= 1 << 16 else "<u4"
 
 
 class Model:
@@ -78,10 +85,20 @@ class Model:
         #: no piece has a space mark after another character
         self.cuts_at_space = all(SPACE not in p.lstrip(SPACE) for p in self.id)
         self.cuts_at_line = all("\n" not in p or len(p) == 1 for p in self.id)
-        self.wide = n > 1 << 16
+        self.kind = kind_of(n)
         part = rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if self.cuts_at_line else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
-        self.split = regex.compile(part).findall if self.cuts_at_space else (lambda s: [s] if s else [])
-        self.cache: dict[str, tuple[int, bytes]] = {}
+        self.split = re.compile(part).findall if self.cuts_at_space else (lambda s: [s] if s else [])
+        #: characters that stand side by side in some piece; between others a way may be cut
+        self.joined = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        plain = [SPACE if i in self.controls else names[i] for i in range(n)]
+        for b, i in self.bytes.items():
+            plain[i] = chr(b)
+        self.plain = [x.replace(SPACE, " ") for x in plain]
+        #: ids that decode by themselves, whatever stands beside them
+        self.alone = np.ones(n, bool)
+        self.alone[[i for b, i in self.bytes.items() if b > 127] + [self.unknown, *self.controls]] = False
 
     def steps(self, s: str, at: int) -> list[tuple[int, int]]:
         """(end, score) of each piece of s that starts at a place; at least one."""
@@ -143,19 +160,24 @@ class Model:
         return out
 
     def pack(self, ids: list[int]) -> bytes:
-        return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+        return array("H" if self.kind == "<u2" else "I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.kind).tobytes()
 
-    def segment(self, s: str) -> tuple[int, bytes]:
-        """(score, ids as bytes) of a segment that ways enter and leave at its ends."""
+    def segment(self, s: str) -> bytes:
+        """The ids, as bytes, of a segment that ways enter and leave at its ends."""
         got = self.cache.get(s)
         if got is None:
-            got = self._segment(s)
+            got = self.older.pop(s, None)
+            if got is None:
+                joined = self.joined
+                cuts = [k for k in range(1, len(s)) if s[k - 1 : k + 1] not in joined]
+                got = b"".join([self.segment(s[a:b]) for a, b in zip([0, *cuts], [*cuts, len(s)])]) if cuts else self._segment(s)
             if len(self.cache) >= CACHED_SEGMENTS:
-                self.cache.clear()
+                # what comes up again moves on from the older generation
+                self.cache, self.older = {}, self.cache
             self.cache[s] = got
         return got
 
-    def _segment(self, s: str) -> tuple[int, bytes]:
+    def _segment(self, s: str) -> bytes:
         """As forward() and back(), in one pass that notes where each best piece starts."""
         n, look, missing = len(s), self.table.get, self
         best, start, place = [LOW] * (n + 1), [0] * (n + 1), range(n)
@@ -179,19 +201,26 @@ class Model:
             pieces.append(s[at:end])
             end = at
         pieces.reverse()
-        return best[n], self.pack(self.ids_of(pieces))
+        return self.pack(self.ids_of(pieces))
 
     def normal(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian u32 bytes."""
-        cache, segment = self.cache, self.segment
-        return b"".join([(cache.get(p) or segment(p))[1] for p in self.split(self.normal(text))])
-
-    def decode(self, ids: list[int]) -> str:
+        """The ids of a text as bytes of the kind."""
+        segment, out = self.segment, []
+        parts = self.split(self.normal(text))
+        for at in range(0, len(parts), 1000):
+            get = self.cache.get
+            out += [get(p) or segment(p) for p in parts[at : at + 1000]]
+        return b"".join(out)
+
+    def decode(self, ids: np.ndarray) -> str:
+        if self.alone[ids].all():
+            text = "".join(map(self.plain.__getitem__, ids.tolist()))
+            return text[1:] if text.startswith(" ") else text
         out, raw = [], bytearray()
-        for i in ids:
+        for i in ids.tolist():
             if i in self.byte_of:
                 raw.append(self.byte_of[i])
                 continue
@@ -224,24 +253,26 @@ class Model:
 
     def transfer(self, s: str, size: int) -> np.ndarray:
         """The scores from entry e (characters taken by the chunk before) to exit x
-        (characters taken from the chunk after); s shows up to longest - 1 of those."""
+        (characters taken from the chunk after); s shows up to longest - 1 of those.
+
+        Where all ways meet inside the chunk, what they share counts nothing: it adds the
+        same to every entry of the matrix, and no choice depends on it."""
         n = self.longest
         out = np.full((n, n), LOW, np.int64)
-        head, inner, tail, cut = self.parts(s, size)
+        head, _, tail, cut = self.parts(s, size)
         if cut < 0:
             for e in range(min(n, size + 1)):
                 best = self.forward(s, {e: 0}, size)
                 for x in range(min(n, len(s) - size + 1)):
                     out[e, x] = best[size + x]
             return out
-        middle = sum(self.segment(p)[0] for p in inner)
         ends = self.forward(tail, {0: 0}, size - cut)
         for e in range(min(n, len(head) + 1)):
             first = self.forward(head, {e: 0}, len(head))[-1]
             if first > LOW:
                 for x in range(min(n, len(s) - size + 1)):
                     if ends[size - cut + x] > LOW:
-                        out[e, x] = first + middle + ends[size - cut + x]
+                        out[e, x] = first + ends[size - cut + x]
         return out
 
     def traces(self, s: str, size: int, entry: np.ndarray) -> list[tuple[int, int, bytes]]:
@@ -261,7 +292,7 @@ class Model:
         if best[-1] <= LOW:
             return []
         e, pieces = self.back(head, best, len(head), states, len(head))
-        start = self.pack(self.ids_of(pieces)) + b"".join(self.segment(p)[1] for p in inner)
+        start = self.pack(self.ids_of(pieces)) + b"".join([self.segment(p) for p in inner])
         ends = self.forward(tail, {0: 0}, size - cut)
         done = []
         for x in exits:
@@ -315,7 +346,7 @@ def _choose_group(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def encode(docs: DataFrame, model_file: str, *, id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, ids): a row for each row of docs; ids as little-endian u32 bytes."""
+    """(doc_id, ids): a row for each row of docs; ids as bytes (see kind_of)."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("key", pa.string()), ("chunk", pa.int32()), ("size", pa.int32()), ("part", pa.string())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,8 +354,8 @@ def encode(docs: DataFrame, model_file: str, *, id: str = "doc_id", text: str =
         more = model.longest - 1
         for batch in it:
             rows, n = [], 0
-            for doc, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                t = (raw or b"").decode("utf-8", "replace")
+            for i in range(batch.num_rows):
+                doc, t = batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or ""
                 if len(t) < chunk:
                     rows.append((doc, model.encode(t), None, None, None, None))
                 else:
@@ -333,10 +364,10 @@ def encode(docs: DataFrame, model_file: str, *, id: str = "doc_id", text: str =
                     places = list(range(0, len(s), chunk))
                     if len(s) - places[-1] <= model.longest:
                         places.pop()
-                    for i, (a, b) in enumerate(zip(places, [*places[1:], len(s)])):
-                        rows.append((doc, None, key, i, b - a, s[a : b + more]))
+                    for k, (a, b) in enumerate(zip(places, [*places[1:], len(s)])):
+                        rows.append((doc, None, key, k, b - a, s[a : b + more]))
                 n += len(t)
-                if n > 4 << 20:
+                if n > 2 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                     rows, n = [], 0
             if rows:
@@ -375,14 +406,23 @@ def encode(docs: DataFrame, model_file: str, *, id: str = "doc_id", text: str =
     return first.where("key IS NULL").select("doc_id", "ids").unionByName(whole.select("doc_id", "ids"))
 
 
-def decode(encoded: DataFrame, model_file: str, *, ids: str = "ids", into: str = "text") -> DataFrame:
-    """encoded with the texts that its ids stand for."""
-    state: list[Model] = []
+def decode(encoded: DataFrame, model_file: str, *, id: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(doc_id, ids, text): the texts that ids stand for, some hundred rows at a time."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
 
-    def run(column: pa.Array) -> pa.Array:
-        if not state:
-            state.append(Model(model_file))
-        return pa.array([None if x is None else state[0].decode(np.frombuffer(x, "<u4").tolist()) for x in column.to_pylist()], pa.string())
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(model_file)
+        for batch in it:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                texts = [None if x is None else model.decode(np.frombuffer(x, model.kind)) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], schema=schema)
+
+    return encoded.select(F.col(id).cast("long").alias("doc_id"), ids).mapInArrow(run, "doc_id long, ids binary, text string")
+
+
+def ids_of(raw: bytes, model_file: str) -> np.ndarray:
+    """The ids behind encode()'s bytes."""
+    import sentencepiece
 
-    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return encoded.withColumn(into, F.arrow_udf(run, "string").asNondeterministic()(F.col(ids)))
+    return np.frombuffer(raw, kind_of(sentencepiece.SentencePieceProcessor(model_file=model_file).get_piece_size()))
