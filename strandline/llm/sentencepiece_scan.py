@@ -45,7 +45,7 @@ from strandline.llm.text import stored
 
 SPACE = "▁"
 CHUNK = 32_768
-CACHED_SEGMENTS = 200_000
+CACHED_SEGMENTS = 120_000
 LOW = -(1 << 61)
 ONE = 1 << 20
 #: Bytes of an id of a vocabulary that fits in u16.
@@ -394,7 +394,8 @@ def encode(docs: DataFrame, model_file: str, *, id: str = "doc_id", text: str =
         names = ["key", "doc_id", "chunk", "exit", "entered", "ids"]
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for batch in it:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
                 found = model().traces(r["part"], r["size"], np.frombuffer(r["entry"], np.int64))
                 rows = [(r["key"], r["doc_id"], r["chunk"], *x) for x in found]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
