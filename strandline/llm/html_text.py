@@ -27,11 +27,22 @@ from strandline.llm.text import scalar_struct
 # Element names of the HTML standard, by what they mean here.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-UNSEEN = {"head", "title", "script", "style", "template", "noscript", "iframe", "noembed", "noframes", "object", "audio", "video", "canvas", "svg", "math", "datalist", "select", "map", "rp"}
+UNSEEN = {"head", "title", "script", "style", "template", "noscript", "iframe", "noembed", "noframes", "object", "audio", "video", "canvas", "datalist", "select", "map", "rp"}
 MARGIN = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "dl", "ul", "ol", "table", "fieldset", "menu", "dir"}
 PLAIN = {"html", "body", "div", "article", "section", "nav", "aside", "header", "footer", "main", "address", "form", "li", "dt", "dd", "figcaption", "details", "summary", "dialog", "legend", "center", "hgroup", "search", "caption", "tr", "thead", "tbody", "tfoot", "optgroup", "option"}
 BLOCK = MARGIN | PLAIN
 CELLS = {"td", "th"}
+#: What a head can hold; any other start tag or text ends it.
+HEAD = {"base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
+#: Elements that hold rows or cells only. Other content moves in front of the table.
+TABLE = {"table", "thead", "tbody", "tfoot", "tr"}
+#: How far a start tag inside a table takes it back.
+_GROUPS = {"table", "thead", "tbody", "tfoot"}
+TABLE_PARTS = dict.fromkeys(("thead", "tbody", "tfoot", "caption", "colgroup"), {"table"}) | {"tr": _GROUPS} | dict.fromkeys(CELLS, TABLE)
+#: Drawings and formulas: what leads back to HTML inside them, what ends them, what they don't show.
+INTEGRATION = {"foreignobject", "desc", "title", "mi", "mo", "mn", "ms", "mtext"}
+BREAKOUT = {"b", "big", "blockquote", "body", "br", "center", "code", "dd", "div", "dl", "dt", "em", "embed", "h1", "h2", "h3", "h4", "h5", "h6", "head", "hr", "i", "img", "li", "listing", "menu", "meta", "nobr", "ol", "p", "pre", "ruby", "s", "small", "span", "strong", "strike", "sub", "sup", "table", "tt", "u", "ul", "var"}
+UNDRAWN = {"defs", "symbol", "desc", "metadata", "clippath", "mask", "marker", "pattern", "annotation", "annotation-xml"}
 #: A start tag ends these open elements, looking no further out than the bounds.
 _CELL = (CELLS, {"tr", "table"})
 IMPLIED = {
@@ -39,9 +50,6 @@ IMPLIED = {
     "dt": ({"dt", "dd"}, {"dl", "table"}),
     "dd": ({"dt", "dd"}, {"dl", "table"}),
     "tr": ({"tr"}, {"table"}),
-    "thead": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
-    "tbody": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "td": _CELL,
     "th": _CELL,
     "option": ({"option"}, {"select", "datalist"}),
@@ -60,6 +68,8 @@ TOKEN = re.compile(
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
+#: The end of a tag that closes itself; a slash in a bare value is part of it.
+CLOSED = re.compile(r"(?<!=)(?:^|[\s\"']|(?:^|\s)[^\s=\"']+)/\Z")
 
 
 #: Elements nested deeper than this become siblings, as in browsers; no text is lost.
@@ -67,10 +77,11 @@ MOST_DEPTH = 512
 
 
 class Node:
-    __slots__ = ("name", "attrs", "kids", "hidden")
+    __slots__ = ("name", "attrs", "kids", "hidden", "foreign", "drawn")
 
-    def __init__(self, name: str, attrs: dict[str, str], hidden: bool):
-        self.name, self.attrs, self.kids, self.hidden = name, attrs, [], hidden
+    def __init__(self, name: str, attrs: dict[str, str], hidden: bool, foreign: bool = False, drawn: bool = False):
+        """foreign: in a drawing or formula; drawn: in a drawing, outside its texts."""
+        self.name, self.attrs, self.kids, self.hidden, self.foreign, self.drawn = name, attrs, [], hidden, foreign, drawn
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -82,7 +93,7 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 def _hidden(name: str, attrs: dict[str, str], parent: Node) -> bool:
-    if name in UNSEEN or "hidden" in attrs:
+    if name in UNSEEN or "hidden" in attrs or (parent.foreign and name in UNDRAWN):
         return True
     if name == "dialog" and "open" not in attrs:
         return True
@@ -97,9 +108,28 @@ def build(markup: str) -> Node:
     stack = [root]
     at, n = 0, len(markup)
 
-    def text(part: str) -> None:
-        if part:
-            stack[-1].kids.append(html.unescape(part) if "&" in part else part)
+    def table_at() -> int:
+        """The place of the innermost open table, 0 for none."""
+        return next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == "table"), 0)
+
+    def put(kid: str | Node, at: int) -> None:
+        """Into the open element, or in front of the table at a place of the stack."""
+        kids = stack[at - 1].kids if at else stack[-1].kids
+        if at and kids and kids[-1] is stack[at]:
+            kids.insert(len(kids) - 1, kid)
+        else:
+            kids.append(kid)
+
+    def text(part: str, plain: bool = False) -> None:
+        if not part or stack[-1].drawn:
+            return
+        fostered = 0
+        if stack[-1].name in ("head", "colgroup") or stack[-1].name in TABLE:
+            if SPACES.fullmatch(part) is None:
+                if stack[-1].name == "head" or (stack[-1].name == "colgroup" and table_at()):
+                    stack.pop()
+                fostered = table_at() if stack[-1].name in TABLE else 0
+        put(part if plain or "&" not in part else html.unescape(part), fostered)
 
     def close(names: set[str], bounds: set[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -118,13 +148,17 @@ def build(markup: str) -> Node:
         at = m.end()
         name = m["name"]
         if name is None:
+            if stack[-1].foreign and m[0].startswith("<![CDATA["):
+                text(m[0][9:].removesuffix("]]>"), plain=True)
             continue
         name = name.lower()
         if m["end"]:
             if name == "p" and not any(x.name == "p" for x in stack):
                 stack[-1].kids.append(Node("p", {}, stack[-1].hidden))
             elif name == "br":
-                stack[-1].kids.append(Node("br", {}, False))
+                if stack[-1].name == "head":
+                    stack.pop()
+                put(Node("br", {}, False), table_at() if stack[-1].name in TABLE else 0)
             elif name in CELLS or name in ("tr", "thead", "tbody", "tfoot", "caption"):
                 close({name}, {"table"})
             elif name == "table":
@@ -139,19 +173,42 @@ def build(markup: str) -> Node:
             if len(stack) > 1 and stack[1].name == "body":
                 continue
         attrs = _attributes(m["attrs"]) if m["attrs"].strip("/ \n\t") else {}
+        if stack[-1].name == "head" and name not in HEAD:
+            stack.pop()
+        if name in BREAKOUT:
+            while stack[-1].foreign:
+                stack.pop()
+        if stack[-1].name == "colgroup" and name not in ("col", "template") and table_at():
+            stack.pop()
         if name in ENDS_P:
             close({"p"}, SCOPE)
-        if name in IMPLIED:
+        table = table_at() if name in TABLE_PARTS or stack[-1].name in TABLE else 0
+        if table and name in TABLE_PARTS:
+            while stack[-1].name not in TABLE_PARTS[name]:
+                stack.pop()
+        elif name in IMPLIED:
             close(*IMPLIED[name])
+        fostered = 0
+        if table and stack[-1].name in TABLE and name not in TABLE_PARTS:
+            if name == "table":
+                del stack[table:]
+            elif name == "form":
+                stack[-1].kids.append(Node("form", attrs, stack[-1].hidden))
+                continue
+            elif name not in ("col", "script", "style", "template"):
+                fostered = table
         if name in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].name in ("h1", "h2", "h3", "h4", "h5", "h6"):
             stack.pop()
         if name in CELLS and stack[-1].name in ("table", "thead", "tbody", "tfoot"):
             row = Node("tr", {}, stack[-1].hidden)
             stack[-1].kids.append(row)
             stack.append(row)
-        node = Node(name, attrs, stack[-1].hidden or _hidden(name, attrs, stack[-1]))
-        stack[-1].kids.append(node)
-        if name in VOID:
+        parent = stack[fostered - 1] if fostered else stack[-1]
+        foreign = name in ("svg", "math") or (parent.foreign and name not in INTEGRATION)
+        drawn = name == "svg" or (parent.drawn and name not in ("text", "foreignobject"))
+        node = Node(name, attrs, parent.hidden or _hidden(name, attrs, parent), foreign, drawn)
+        put(node, fostered)
+        if name in VOID or ((foreign or parent.foreign) and CLOSED.search(m["attrs"])):
             continue
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(markup, at)
@@ -373,7 +430,7 @@ def render(root: Node) -> list[str]:
                 canvas.block(margin)
 
             steps += [("call", quote, None, None), ("kids", node, inner, pre)]
-        elif name in CELLS:  # outside a table
+        elif name in CELLS or (name == "text" and node.foreign):  # outside a table
             steps += [("call", lambda c=canvas: c.write(" "), None, None), ("kids", node, canvas, pre)]
         elif name in BLOCK:
             margin = name in MARGIN

@@ -170,5 +170,26 @@ def test_html_keeps_all_words(spark):
         assert got == [w for w in words if w != "-"]
 
 
+def test_html_optional_tags_lose_nothing():
+    assert H.to_text("<head><title>t</title><p>text") == "text"
+    assert H.to_text("<html><head><meta charset=x>plain") == "plain"
+    for start in ("<colgroup><col>", "<caption></caption>", "<colgroup>", "<form>", "<tbody><form>"):
+        assert H.to_text(f"<table>{start}<tr><td>x<td>y</table>") == "x  y", start
+    assert H.to_text("<table><colgroup><col><td>x</table>") == "x"
+    assert H.to_text("<table><caption>c<tr><td>x</table>") == "c\nx"
+    assert H.to_text("<table><tr><form><td>x</td></form><td>y</table>z") == "x  y\n\nz"
+    assert H.to_text("<table><tr><td>a<tbody><tr><td>b</table>") == "a\nb"
+    assert H.to_text("a<table>stray<tr>more<td>x</td><div>div</div><td>y</table>b").split() == ["astraymore", "div", "x", "y", "b"]
+    assert H.to_text("<table><table><tr><td>x</table>y").split() == ["x", "y"]
+
+
+def test_html_drawings_and_formulas():
+    assert H.to_text("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> b") == "a x=1 b"
+    svg = "<svg viewBox='0 0 1 1'><title>no</title><defs><text>no</text></defs> no <path d='M0'/><text>one</text><text>two<tspan>!</tspan></text><foreignObject><p>in</p></foreignObject></svg>"
+    assert H.to_text(f"<p>a {svg} b").split() == ["a", "one", "two!", "in", "b"]
+    assert H.to_text("<svg/>after") == "after" and H.to_text("<svg><path><p>out") == "out"
+    assert H.to_text("<svg><text><![CDATA[a<b]]></text></svg>") == "a<b"
+
+
 def test_digest_of_lines():
     assert N.sha256_hex([b"a", None])[0] == [hashlib.sha256(b"a").hexdigest(), hashlib.sha256(b"").hexdigest()]
