@@ -5,7 +5,8 @@ item's score is its BM25 score over the passage's distinct words divided by the
 of the item's own words, so one threshold serves all items and every item above it is
 retrieved (no top-k). Retrieved pairs are verified: the item's words that lie in shared
 runs of five words must cover enough of the whole item and of both its halves, question
-and answer.
+and answer. A half under five words counts as one run of its own length, near the place
+where the other half is.
 
 Items are grouped by length class; a class cuts documents into passages twice as long as
 an item may spread, with half of a passage shared with the next, so that any leaked item
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from strandline.llm.text import as_bytes, fresh
 
 SHINGLE, OVERLAP, HALF_OVERLAP = 5, 0.8, 0.6
+#: Words that may lie between a short half of an item and the other half's runs.
+REACH = 10
 THRESHOLD, K1, B = 0.5, 1.2, 0.75
 BLOCK = 4
 BROADCAST_BYTES = 64 << 20
@@ -182,10 +185,28 @@ class Index:
         for i in range(len(own) - width + 1):
             if tuple(own[i : i + width]) in there:
                 covered[i : i + width] = [True] * width
+        if len(own) >= SHINGLE:
+            for part, rest in ((slice(q, None), own[:q]), (slice(0, q), own[q:])):
+                if 0 < len(own[part]) < SHINGLE and not all(covered[part]) and self._beside(own[part], rest, near):
+                    covered[part] = [True] * len(own[part])
+                    if len(rest) < SHINGLE:
+                        covered = [True] * len(own)
         share = lambda part: sum(part) / len(part) if part else 1.0
         return share(covered), share(covered[:q]), share(covered[q:])
 
 
+    def _beside(self, part: list[bytes], rest: list[bytes], near: list[bytes]) -> bool:
+        """Whether part occurs in near within REACH words of rest's runs, not inside them."""
+        width = min(SHINGLE, len(rest))
+        runs = {tuple(rest[i : i + width]) for i in range(len(rest) - width + 1)}
+        taken = [False] * len(near)
+        for i in range(len(near) - width + 1):
+            if tuple(near[i : i + width]) in runs:
+                taken[i : i + width] = [True] * width
+        n = len(part)
+        return any(near[i : i + n] == part and not any(taken[i : i + n]) and any(taken[max(0, i - REACH) : i + n + REACH]) for i in range(len(near) - n + 1))
+
+
 class Benchmark:
     """The indexes of all length classes and one table of all their words."""
 

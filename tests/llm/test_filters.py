@@ -126,6 +126,22 @@ def test_leaks_of_odd_rows(spark, odd, make):
     assert D.keep_unleaked(odd, none).count() == len(ODD) and D.keep_unleaked(odd, bench).columns == odd.columns
 
 
+def test_leaks_with_words_between_halves(spark, make):
+    bench = spark.createDataFrame([(1, "Which city on the river Seine became the capital of France under Clovis? Paris"), (2, "Who wrote it? The quiet author of seven long books about the sea and its birds"), (3, "Is Rome or Oslo the city where the old council met in winter? Oslo"), (4, "Who won the cup? Ajax did")], "item_id long, text string")
+    q = "which city on the river Seine became the capital of France under Clovis?"
+    texts = {
+        1: f"Question: {q} Answer: Paris. And so on.",
+        2: f"Question: {q} Answer: Lyon. " + "other words come here " * 6 + "Paris",
+        3: "Q: who wrote it? A: the quiet author of seven long books about the sea and its birds",
+        4: "Is Rome or Oslo the city where the old council met in winter? Answer: no one knows",
+        5: "Is Rome or Oslo the city where the old council met in winter? Answer: Oslo",
+        6: "Q: Who won the cup? A: Ajax did",
+        7: "Who won the cup? Nobody here did",
+    }
+    got = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in D.find_leaks(make(list(texts.items())), bench).collect()}
+    assert got == {1: [1], 2: [], 3: [2], 4: [], 5: [3], 6: [4], 7: []}
+
+
 def test_languages(spark, odd, make):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", L.held_out(__import__("pyspark").sql.functions.col("doc_id")))
     learned = L.learn(docs.where("NOT held"))
