@@ -117,25 +117,27 @@ def quadratic_fit(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = Non
 def one_component_removed(x: np.ndarray) -> np.ndarray:
     """Leave-one-out cosine with the others' sum after their first component is taken out."""
     out = np.empty(len(x))
+    tall, gram, total = len(x) > 2 * x.shape[1], x.T @ x, x.sum(axis=0)
     for i in range(len(x)):
-        rest = np.delete(x, i, axis=0)
-        first = np.linalg.svd(rest, full_matrices=False)[2][0]
+        if tall:  # the first component is the top eigenvector of the others' second moments
+            first, others = np.linalg.eigh(gram - np.outer(x[i], x[i]))[1][:, -1], total - x[i]
+        else:
+            rest = np.delete(x, i, axis=0)
+            first, others = np.linalg.svd(rest, full_matrices=False)[2][0], rest.sum(axis=0)
         clean = lambda v: v - (v @ first) * first
-        a, b = clean(x[i]), clean(rest.sum(axis=0))
+        a, b = clean(x[i]), clean(others)
         scale = np.linalg.norm(a) * np.linalg.norm(b)
         out[i] = a @ b / scale if scale > 0 else np.nan
     return out
 
 
 def split_half(x: np.ndarray, rng: np.random.Generator, draws: int = 1000) -> float:
-    """Mean cosine of the sums of random halves, by the Gram matrix only."""
-    g = x @ x.T
-    n, out = len(x), np.empty(draws)
+    """Mean cosine of the sums of random halves."""
+    n, total, out = len(x), x.sum(axis=0), np.empty(draws)
     for d in range(draws):
-        a = np.zeros(n)
-        a[rng.permutation(n)[: n // 2]] = 1
-        b = 1 - a
-        out[d] = a @ g @ b / np.sqrt((a @ g @ a) * (b @ g @ b))
+        a = x[rng.permutation(n)[: n // 2]].sum(axis=0)
+        b = total - a
+        out[d] = a @ b / np.sqrt((a @ a) * (b @ b))
     return float(out.mean())
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from strandline.functions import tails
-from strandline.operators import align, paired, resample, rewrites, transport
+from strandline.operators import align, paired, panel, resample, rewrites, transport
 from strandline.plans import derived as D
 
 Q, SQL = {}, {}
@@ -18,37 +18,38 @@ def query(f):
     return f
 
 
-def _cap(spark, sf_dir, n: int = 40):
-    """The first members of each family: panels cap families before transport."""
-    from pyspark.sql import Window
-
-    e = D.embedded(spark, sf_dir)
-    return e.withColumn("r", F.row_number().over(Window.partitionBy("family").orderBy("key"))).where(F.col("r") <= n).drop("r")
+def _members(spark, sf_dir, cap: int = 400):
+    """All members of each family; above ``cap``, where the reference caps its manifest
+    too, its seeded even allocation. Embeddings have one group a family."""
+    e = D.embedded(spark, sf_dir).withColumn("grp", F.lit(0))
+    sizes = e.groupBy("family", "grp").agg(F.count("*").alias("size"))
+    quotas = panel.even_allocation(sizes, ["family"], "grp", "size", cap).drop("size")
+    return panel.stratified_sample(e, quotas, ["family", "grp"], "key").drop("grp", "quota")
 
 
 @query
 def w2_exact(spark, sf_dir):
     """J10, J15."""
-    return transport.group_pairs(_cap(spark, sf_dir), "family", "v")
+    return transport.group_pairs(_members(spark, sf_dir), "family", "v")
 
 
 @query
 def w2_entropic(spark, sf_dir):
     """J11."""
-    return transport.group_pairs(_cap(spark, sf_dir), "family", "v", "entropic", reg=0.01)
+    return transport.group_pairs(_members(spark, sf_dir), "family", "v", "entropic", reg=0.01)
 
 
 @query
 def fgw(spark, sf_dir):
     """J12."""
-    return transport.group_pairs(_cap(spark, sf_dir, 12), "family", "v", "fused", alpha=0.5)
+    return transport.group_pairs(_members(spark, sf_dir), "family", "v", "fused", alpha=0.5)
 
 
 @query
 def cluster_avg_linkage(spark, sf_dir):
     """J31 with three clusters a family."""
     fn = lambda x, keys, rng: pd.DataFrame({"key": keys, "cluster": transport.average_linkage(x, min(3, len(x))).astype("int32")})
-    return resample.grouped_vectors(_cap(spark, sf_dir), "family", "key", "v", fn, "key long, cluster int")
+    return resample.grouped_vectors(D.embedded(spark, sf_dir), "family", "key", "v", fn, "key long, cluster int")
 
 
 @query
@@ -60,7 +61,7 @@ def geodesic(spark, sf_dir):
         i, j = np.triu_indices(len(x), 1)
         return pd.DataFrame({"k": k, "a": keys[i], "b": keys[j], "d": w[i, j]})
 
-    return resample.grouped_vectors(_cap(spark, sf_dir), "family", "key", "v", fn, "k int, a long, b long, d double")
+    return resample.grouped_vectors(_members(spark, sf_dir), "family", "key", "v", fn, "k int, a long, b long, d double")
 
 
 @query
@@ -71,19 +72,19 @@ def mantel(spark, sf_dir):
         rho, p = resample.mantel(transport.angular(x, x), np.abs(x[:, :1] - x[:, :1].T), rng, 199)
         return pd.DataFrame({"rho": [rho], "p": [p]})
 
-    return resample.grouped_vectors(_cap(spark, sf_dir), "family", "key", "v", fn, "rho double, p double")
+    return resample.grouped_vectors(_members(spark, sf_dir), "family", "key", "v", fn, "rho double, p double")
 
 
 @query
 def split_half(spark, sf_dir):
     """J24."""
-    return resample.grouped_vectors(_cap(spark, sf_dir), "family", "key", "v", lambda x, keys, rng: pd.DataFrame({"cosine": [resample.split_half(x, rng, 200)]}), "cosine double")
+    return resample.grouped_vectors(D.embedded(spark, sf_dir), "family", "key", "v", lambda x, keys, rng: pd.DataFrame({"cosine": [resample.split_half(x, rng)]}), "cosine double")
 
 
 @query
 def loo_pc1(spark, sf_dir):
     """J28."""
-    return resample.grouped_vectors(_cap(spark, sf_dir, 25), "family", "key", "v", lambda x, keys, rng: pd.DataFrame({"key": keys, "cosine": resample.one_component_removed(x)}), "key long, cosine double")
+    return resample.grouped_vectors(D.embedded(spark, sf_dir), "family", "key", "v", lambda x, keys, rng: pd.DataFrame({"key": keys, "cosine": resample.one_component_removed(x)}), "key long, cosine double")
 
 
 @query

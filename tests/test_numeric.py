@@ -115,3 +115,35 @@ def test_resampling():
     z = np.linspace(-1, 1, 50)
     b1, p1, b2, p2 = resample.quadratic_fit(z, 3 * z + RNG.normal(0, 0.1, 50))
     assert p1 < 1e-6 < p2
+
+
+def test_queries_take_whole_families(spark, monkeypatch):
+    from strandline.operators import transport
+    from strandline.plans import derived, numeric_queries as N
+
+    sf_dir, seen = "/root/testdata/sf0.001", []
+    rows = derived.embedded(spark, sf_dir).count()
+    monkeypatch.setattr(transport, "group_pairs", lambda df, *a, **k: seen.append(df.count()))
+    monkeypatch.setattr(resample, "grouped_vectors", lambda df, *a: seen.append(df.count()))
+    names = ("w2_exact", "w2_entropic", "fgw", "cluster_avg_linkage", "geodesic", "mantel", "split_half", "loo_pc1")
+    for name in names:
+        N.Q[name](spark, sf_dir)
+    assert dict(zip(names, seen)) == dict.fromkeys(names, rows)
+    # above the cap: an even share of each family, not its first keys
+    capped = {r["family"]: r["keys"] for r in N._members(spark, sf_dir, 10).groupBy("family").agg({"key": "collect_list"}).toDF("family", "keys").collect()}
+    assert len(capped) == 10 and {len(k) for k in capped.values()} == {10}
+    first = sorted(r["key"] for r in derived.embedded(spark, sf_dir).where("family = 0").collect())[:10]
+    assert sorted(capped[0]) != first
+
+
+def test_one_component_and_halves_of_tall_arrays():
+    x = RNG.normal(size=(40, 6)) + 1
+    for i, got in enumerate(resample.one_component_removed(x)):
+        rest = np.delete(x, i, axis=0)
+        first = np.linalg.svd(rest)[2][0]
+        a, b = (v - (v @ first) * first for v in (x[i], rest.sum(axis=0)))
+        assert got == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b), abs=1e-9)
+    rng, order = np.random.default_rng(5), np.random.default_rng(5)
+    halves = [order.permutation(40) for _ in range(30)]
+    cosines = [(x[h[:20]].sum(0) @ x[h[20:]].sum(0)) / np.linalg.norm(x[h[:20]].sum(0)) / np.linalg.norm(x[h[20:]].sum(0)) for h in halves]
+    assert resample.split_half(x, rng, 30) == pytest.approx(np.mean(cosines), abs=1e-12)
