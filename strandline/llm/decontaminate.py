@@ -17,6 +17,7 @@ rest run block-max WAND.
 
 Items are held by every task only while their text is under ``broadcast_bytes``
 (measured); a larger benchmark is dealt to several indexes, each run over all documents.
+Item count, document frequencies and average length are those of all items in any case.
 
 Defined cases: null or empty items match nothing; null or empty texts contain nothing;
 items with equal texts are all reported; repeated rows are each reported; an item
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.text import as_bytes, fresh
+from strandline.llm.text import as_bytes, fresh, stored
 
 SHINGLE, OVERLAP, HALF_OVERLAP = 5, 0.8, 0.6
 #: Words that may lie between a short half of an item and the other half's runs.
@@ -224,16 +225,20 @@ class Benchmark:
             self.terms.append(own)
 
 
-def build(items: list[tuple[int, bytes]]) -> Benchmark:
-    """An index for each length class (powers of two) of items."""
+def build(items: list[tuple[int, bytes]], figures: tuple[int, dict[bytes, int], float] | None = None) -> Benchmark:
+    """An index for each length class (powers of two) of items.
+
+    figures: item count, document frequencies and average length of a benchmark of which
+    items are a part; those of items themselves if absent."""
     parsed = [(i, words_of(t), split_item(t)) for i, t in items if t]
     parsed = [x for x in parsed if x[1]]
-    df = Counter(w for _, words, _ in parsed for w in set(words))
-    average = sum(len(w) for _, w, _ in parsed) / max(1, len(parsed))
+    if figures is None:
+        figures = len(parsed), Counter(w for _, words, _ in parsed for w in set(words)), sum(len(w) for _, w, _ in parsed) / max(1, len(parsed))
+    n_all, df, average = figures
     classes = defaultdict(list)
     for x in parsed:
         classes[max(4, (len(x[1]) - 1).bit_length())].append(x)
-    return Benchmark([Index(x, len(parsed), df, average) for _, x in sorted(classes.items())])
+    return Benchmark([Index(x, n_all, df, average) for _, x in sorted(classes.items())])
 
 
 def search(benchmark: Benchmark, text: bytes) -> list[tuple[int, float, float, float, float, int]]:
@@ -264,7 +269,7 @@ def _searcher(held):
 
     def run(texts: pa.Array) -> pa.Array:
         if not state:
-            state.append(build(held.value))
+            state.append(build(*held.value))
         names = [f.name for f in _KIND.value_type]
         return pa.array([[dict(zip(names, x)) for x in search(state[0], t)] if t else [] for t in as_bytes(texts)], _KIND)
 
@@ -272,6 +277,13 @@ def _searcher(held):
     return F.arrow_udf(run, _DDL).asNondeterministic()
 
 
+def _words(texts: pa.Array) -> pa.Array:
+    return pa.array([words_of(t) for t in as_bytes(texts)], pa.list_(pa.binary()))
+
+
+_words.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", into: str = "leaks", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with an array column ``into``: a struct for each leaked item."""
     spark = docs.sparkSession
@@ -279,9 +291,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", ite
     size = items.agg(F.sum(F.length("t"))).first()[0] or 0
     groups = max(1, -(-size // broadcast_bytes))
     out, parts = docs, []
+    if groups > 1:
+        group = F.pmod(F.xxhash64("t"), F.lit(groups)).alias("g")
+        worded = stored(items.select(group, F.arrow_udf(_words, "array<binary>")("t").alias("w")).where(F.size("w") > 0))
+        n_all, average = worded.agg(F.count("*"), F.avg(F.size("w"))).first()
+        each = worded.select("g", F.explode(F.array_distinct("w")).alias("w"))
+        counts = stored(each.groupBy("w").agg(F.count("*").alias("n")))
     for g in range(groups):
-        some = items if groups == 1 else items.where(F.pmod(F.xxhash64("t"), F.lit(groups)) == g)
-        held = spark.sparkContext.broadcast([(r["i"], bytes(r["t"])) for r in some.orderBy("i", "t").collect()])
+        some, figures = items, None
+        if groups > 1:
+            some = items.where(group == g)
+            own = counts.join(each.where(F.col("g") == g).select("w").distinct(), "w", "left_semi")
+            figures = n_all, {bytes(r["w"]): r["n"] for r in own.collect()}, average
+        held = spark.sparkContext.broadcast(([(r["i"], bytes(r["t"])) for r in some.orderBy("i", "t").collect()], figures))
         parts.append(fresh(out, f"_leaks{g}"))
         out = out.withColumn(parts[-1], _searcher(held)(F.col(text)))
     joined = F.col(parts[0]) if groups == 1 else F.concat(*[F.col(p) for p in parts])

@@ -126,6 +126,13 @@ def test_leaks_of_odd_rows(spark, odd, make):
     assert D.keep_unleaked(odd, none).count() == len(ODD) and D.keep_unleaked(odd, bench).columns == odd.columns
 
 
+def test_scores_do_not_depend_on_groups(spark, make):
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    docs = make([(r["item_id"], " ".join(r["text"].split()[1:]) + " and some more") for r in bench.collect()])
+    found = [sorted((r["doc_id"], x["item_id"], round(x["score"], 9)) for r in D.find_leaks(docs, bench, broadcast_bytes=size).collect() for x in r["leaks"]) for size in (D.BROADCAST_BYTES, 600)]
+    assert found[0] and found[0] == found[1]
+
+
 def test_leaks_with_words_between_halves(spark, make):
     bench = spark.createDataFrame([(1, "Which city on the river Seine became the capital of France under Clovis? Paris"), (2, "Who wrote it? The quiet author of seven long books about the sea and its birds"), (3, "Is Rome or Oslo the city where the old council met in winter? Oslo"), (4, "Who won the cup? Ajax did")], "item_id long, text string")
     q = "which city on the river Seine became the capital of France under Clovis?"
