@@ -1,18 +1,20 @@
 """Line dedup by a sharded minimal perfect hash.
 
 1. Every document emits the 128-bit hash of each of its distinct eligible line keys.
-   A map-side combined aggregate counts documents and finds the largest doc_id.
-2. The hashes that reach ``min_docs`` are dealt to shards by their bits. In each shard a
-   minimal perfect hash (cascaded bit vectors with rank) maps every key to a slot of
-   three compact arrays: 64-bit fingerprint, document count, last document.
-3. Documents probe the arrays. While the arrays together stay under
-   ``broadcast_bytes`` (measured, not guessed) each task holds them all and the texts
-   never move. Beyond that, hashes travel to the shard they belong to, in streams
-   salted by document, and only the decisions travel back.
-
-Both ways give the same rows. Defined cases: a null or empty text is one empty line;
-a row without doc_id can be no keeper, so it is neither counted nor changed; repeated
-rows count one document each and share the fate of their doc_id.
+2. All distinct line hashes are dealt to shards by their bits. In each shard a minimal
+   perfect hash (cascaded bit vectors with rank) maps every hash to a slot of three
+   compact arrays: 64-bit fingerprint, document count, last document.
+3. Documents probe the arrays: a line goes if the fingerprint agrees, the count reaches
+   ``min_docs`` and the last document is another one. Probes travel to their shard, never
+   to other lines; a shard that many probes meet is opened in as many streams as its
+   measured load asks for, so a line of a third of all documents is no hot key. Only
+   decisions travel back, and they join the texts by doc_id.
+
+Defined cases: a null or empty text is one empty line; very long texts are probed whole;
+a row without doc_id can be no keeper, so it is neither counted nor changed; repeated rows
+of a doc_id are one document and share its fate; of equal lines inside a document all go or
+all stay; an empty table gives an empty one; a column of docs named like ``into``
+(case aside) is replaced, other extra columns come along whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.text import as_bytes, batches_of, fresh, stored
+from strandline.llm.text import as_bytes, discard, fresh, stored
 
 MIN_CODE_POINTS, MIN_DOCS = 20, 3
-BROADCAST_BYTES = 64 << 20
-KEYS_A_SHARD = 1 << 16
-SALTS = 8
+KEYS_A_SHARD = 1 << 18
+#: Probes of a shard that one stream answers; beyond, the shard is opened in several.
+PROBES_A_STREAM = 1 << 21
 _SPACE = b" \t\n\x0b\x0c\r"
 _GAMMA = 2.0
 
@@ -66,53 +68,62 @@ def _mix(h: np.ndarray, level: int) -> np.ndarray:
 
 class PerfectHash:
     """Maps each of n distinct 64-bit keys to its own slot of [0, n); any other key to
-    some slot or to -1. A level's bit vector marks places that one key alone takes."""
+    some slot or to -1. A level's bit vector marks places that one key alone takes; a
+    slot is the number of marks before it (a count for each word of 64 bits)."""
 
-    def __init__(self, sizes: list[int], bits: list[np.ndarray]):
-        self.sizes, self.bits = sizes, bits
+    def __init__(self, sizes: list[int], words: list[np.ndarray]):
+        self.sizes, self.words = sizes, words
         self.ranks, at = [], 0
-        for b in bits:
-            self.ranks.append(at + np.cumsum(b, dtype=np.int64) - b)
-            at += int(b.sum())
+        for w in words:
+            n = np.bitwise_count(w).astype(np.int64)
+            self.ranks.append((at + np.cumsum(n) - n).astype(np.int64))
+            at += int(n.sum())
         self.n = at
 
+    @staticmethod
+    def _packed(marks: np.ndarray) -> np.ndarray:
+        raw = np.packbits(marks, bitorder="little").tobytes()
+        return np.frombuffer(raw + bytes(-len(raw) % 8), "<u8")
+
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
-        sizes, bits, left, level = [], [], keys, 0
+        sizes, words, left, level = [], [], keys, 0
         while len(left):
             m = max(8, int(len(left) * _GAMMA))
             at = (_mix(left, level) % np.uint64(m)).astype(np.int64)
             alone = np.bincount(at, minlength=m) == 1
             sizes.append(m)
-            bits.append(alone.astype(np.uint8))
+            words.append(cls._packed(alone))
             left, level = left[~alone[at]], level + 1
             if level > 64:
                 raise ValueError("keys of a minimal perfect hash must be distinct")
-        return cls(sizes, bits)
+        return cls(sizes, words)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(len(keys), -1, np.int64)
-        todo = np.arange(len(keys))
-        for level, (m, b) in enumerate(zip(self.sizes, self.bits)):
+        todo, one = np.arange(len(keys)), np.uint64(1)
+        for level, (m, words) in enumerate(zip(self.sizes, self.words)):
             if not len(todo):
                 break
-            at = (_mix(keys[todo], level) % np.uint64(m)).astype(np.int64)
-            hit = b[at] == 1
-            out[todo[hit]] = self.ranks[level][at[hit]]
+            at = _mix(keys[todo], level) % np.uint64(m)
+            word, bit = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+            hit = (words[word] >> bit & one) == one
+            before = np.bitwise_count(words[word[hit]] & ((one << bit[hit]) - one))
+            out[todo[hit]] = self.ranks[level][word[hit]] + before
             todo = todo[~hit]
         return out
 
     def dump(self) -> tuple[list[int], bytes]:
-        return self.sizes, b"".join(np.packbits(b).tobytes() for b in self.bits)
+        return self.sizes, b"".join(w.tobytes() for w in self.words)
 
     @classmethod
     def load(cls, sizes: list[int], packed: bytes) -> PerfectHash:
-        bits, at = [], 0
+        words, at = [], 0
         for m in sizes:
-            n = (m + 7) // 8
-            bits.append(np.unpackbits(np.frombuffer(packed, np.uint8, n, at), count=m))
+            n = (m + 63) // 64
+            words.append(np.frombuffer(packed, "<u8", n, 8 * at))
             at += n
-        return cls(list(sizes), bits)
+        return cls(list(sizes), words)
 
 
 class Shard:
@@ -124,13 +135,13 @@ class Shard:
         self.counts = np.frombuffer(counts, np.uint32)
         self.lasts = np.frombuffer(lasts, np.int64)
 
-    def lost(self, key: np.ndarray, mark: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    def lost(self, key: np.ndarray, mark: np.ndarray, doc: np.ndarray, min_docs: int) -> np.ndarray:
         slot = self.hash.slots(key)
         safe = np.where(slot < 0, 0, slot)
-        return (slot >= 0) & (self.marks[safe] == mark) & (self.lasts[safe] != doc)
+        return (slot >= 0) & (self.marks[safe] == mark) & (self.counts[safe] >= min_docs) & (self.lasts[safe] != doc)
 
 
-_SHARD_DDL = "shard int, sizes array<int>, bits binary, marks binary, counts binary, lasts binary"
+_SHARD_DDL = "shard int, load long, sizes array<int>, bits binary, marks binary, counts binary, lasts binary"
 
 
 def _build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -141,7 +152,7 @@ def _build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     marks, counts, lasts = np.empty(len(slot), np.uint64), np.empty(len(slot), np.uint32), np.empty(len(slot), np.int64)
     marks[slot], counts[slot], lasts[slot] = mark, np.minimum(pdf["n"], 0xFFFFFFFF), pdf["last"]
     sizes, bits = phf.dump()
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "sizes": [sizes], "bits": [bits], "marks": [marks.tobytes()], "counts": [counts.tobytes()], "lasts": [lasts.tobytes()]})
+    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "load": [int(pdf["n"].sum())], "sizes": [sizes], "bits": [bits], "marks": [marks.tobytes()], "counts": [counts.tobytes()], "lasts": [lasts.tobytes()]})
 
 
 # -- steps ----------------------------------------------------------------------------
@@ -170,27 +181,15 @@ def line_hashes(docs: DataFrame, least: int, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, h1 long, h2 long")
 
 
-def index_of(hashes: DataFrame, min_docs: int, keys_a_shard: int = KEYS_A_SHARD) -> tuple[DataFrame, int]:
-    """The sharded index, a row of arrays for each shard, and the number of shards."""
-    often = stored(hashes.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs))
-    shards = -(-often.count() // keys_a_shard) or 1
-    dealt = often.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)).cast("int"))
+def index_of(hashes: DataFrame, keys_a_shard: int = KEYS_A_SHARD) -> tuple[DataFrame, int]:
+    """The sharded index over all distinct hashes, a row of arrays for each shard, and the
+    number of shards. A document counts once for a line, however many rows it has."""
+    lines = stored(hashes.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("last")))
+    shards = -(-lines.count() // keys_a_shard) or 1
+    dealt = lines.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)).cast("int"))
     return stored(dealt.groupBy("shard").applyInPandas(_build_shard, _SHARD_DDL)), shards
 
 
-def _lost_of(shards: dict[int, Shard], n_shards: int, digests: list[bytes], docs: np.ndarray) -> np.ndarray:
-    both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-    shard = both[:, 0] % n_shards  # numpy's % is never negative, as pmod
-    key, mark = both[:, 0].copy().view(np.uint64), both[:, 1].copy().view(np.uint64)
-    key = key ^ _mix(mark, 77)
-    lost = np.zeros(len(both), bool)
-    for s in np.unique(shard):
-        if int(s) in shards:
-            at = np.flatnonzero(shard == s)
-            lost[at] = shards[int(s)].lost(key[at], mark[at], docs[at])
-    return lost
-
-
 def _kept(text: bytes | None, lost: set[bytes], least: int) -> tuple[int, int, bytes]:
     """(lines, lines dropped, the other lines joined)."""
     lines = (text or b"").split(b"\n")
@@ -203,43 +202,19 @@ def _kept(text: bytes | None, lost: set[bytes], least: int) -> tuple[int, int, b
 _RESULT = "struct<n_lines:bigint,n_dropped:bigint,kept:string>"
 
 
-def _with_broadcast(docs: DataFrame, index: DataFrame, n_shards: int, least: int, id: str, text: str, at: str) -> DataFrame:
-    rows = index.collect()  # bounded by the caller's check
-    held = docs.sparkSession.sparkContext.broadcast({r.shard: (list(r.sizes), bytes(r.bits), bytes(r.marks), bytes(r.counts), bytes(r.lasts)) for r in rows})
-    opened: dict[int, Shard] = {}
-    kind = pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())])
-
-    def run(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        if not opened:
-            opened.update({s: Shard(*parts) for s, parts in held.value.items()})
-        doc_ids, docs_ = ids.to_pylist(), as_bytes(texts)
-        digests, owner = [], []
-        for i, (doc, t) in enumerate(zip(doc_ids, docs_)):
-            if doc is not None and t:
-                keys = _keys_of(t, least)
-                digests += keys
-                owner += [i] * len(keys)
-        lost: dict[int, set[bytes]] = {}
-        if digests and opened:
-            own = np.array(owner)
-            of = np.array([doc_ids[i] if doc_ids[i] is not None else 0 for i in range(len(doc_ids))], np.int64)[own]
-            for j in np.flatnonzero(_lost_of(opened, n_shards, digests, of)):
-                lost.setdefault(owner[j], set()).add(digests[j])
-        out = [_kept(t, lost.get(i, ()), least) for i, t in enumerate(docs_)]
-        n, dropped, kept = zip(*out) if out else ((), (), ())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], fields=list(kind))
-
-    run.__annotations__ = {"ids": pa.Array, "texts": pa.Array, "return": pa.Array}
-    return docs.withColumn(at, F.arrow_udf(run, _RESULT).asNondeterministic()(F.col(id).cast("long"), F.col(text)))
-
+def lost_lines(hashes: DataFrame, index: DataFrame, n_shards: int, min_docs: int, probes_a_stream: int = PROBES_A_STREAM) -> DataFrame:
+    """(doc, digest): the hashes that a document must lose, by probing the shards.
 
-def _with_shards(docs: DataFrame, hashes: DataFrame, index: DataFrame, n_shards: int, least: int, id: str, text: str, at: str) -> DataFrame:
+    Rows of a stream: first the arrays of its shard, then the hashes that probe them."""
     fields = ["sizes", "bits", "marks", "counts", "lasts"]
     none = [F.lit(None).cast(index.schema[f].dataType).alias(f) for f in fields]
-    salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    arrays = salted.select("shard", "salt", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), *fields)
-    probes = hashes.select(F.pmod("h1", F.lit(n_shards)).cast("int").alias("shard"), F.pmod(F.hash("doc"), F.lit(SALTS)).alias("salt"), F.lit(1).alias("kind"), "doc", "h1", "h2", *none)
-    dealt = arrays.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    streams = index.select("shard", F.ceil(F.col("load") / probes_a_stream).cast("int").alias("streams"))
+    null = F.lit(None).cast("long")
+    arrays = index.join(streams, "shard").withColumn("stream", F.explode(F.sequence(F.lit(0), F.col("streams") - 1)))
+    arrays = arrays.select("shard", "stream", F.lit(0).alias("kind"), null.alias("doc"), null.alias("h1"), null.alias("h2"), *fields)
+    probes = hashes.withColumn("shard", F.pmod("h1", F.lit(n_shards)).cast("int")).join(streams, "shard")
+    probes = probes.select("shard", F.pmod(F.hash("doc"), F.col("streams")).alias("stream"), F.lit(1).alias("kind"), "doc", "h1", "h2", *none)
+    dealt = arrays.unionByName(probes).repartition("shard", "stream").sortWithinPartitions("shard", "stream", "kind")
     schema = pa.schema([("doc", pa.int64()), ("digest", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,32 +232,32 @@ def _with_shards(docs: DataFrame, hashes: DataFrame, index: DataFrame, n_shards:
                 elif shard == int(shards[a]):
                     h1, h2 = (part.column(c).to_numpy() for c in ("h1", "h2"))
                     mark, doc = h2.view(np.uint64), part.column("doc").to_numpy()
-                    hit = np.flatnonzero(now.lost(h1.view(np.uint64) ^ _mix(mark, 77), mark, doc))
+                    hit = np.flatnonzero(now.lost(h1.view(np.uint64) ^ _mix(mark, 77), mark, doc, min_docs))
                     if len(hit):
                         both = np.stack([h1[hit], h2[hit]], 1).astype("<i8")
                         yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array([x.tobytes() for x in both], pa.binary())], schema=schema)
 
+    return dealt.mapInArrow(run, "doc long, digest binary")
+
+
+def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_code_points: int = MIN_CODE_POINTS, keys_a_shard: int = KEYS_A_SHARD, probes_a_stream: int = PROBES_A_STREAM, into: str = "line_dedup") -> DataFrame:
+    """docs with a struct column ``into``: n_lines, n_dropped, kept (the text left)."""
+    hashes = stored(line_hashes(docs, min_code_points, id, text))
+    index, n_shards = index_of(hashes, keys_a_shard)
     lost_at, id_at = fresh(docs, "_lost"), fresh(docs, "_lost_doc")
-    lost = dealt.mapInArrow(run, "doc long, digest binary").groupBy(F.col("doc").alias(id_at)).agg(F.collect_set("digest").alias(lost_at))
+    lost = stored(lost_lines(hashes, index, n_shards, min_docs, probes_a_stream).groupBy(F.col("doc").alias(id_at)).agg(F.collect_set("digest").alias(lost_at)))
+    discard(hashes)
+    discard(index)
 
     def drop(texts: pa.Array, gone: pa.Array) -> pa.Array:
-        out = [_kept(t, set(g or ()), least) for t, g in zip(as_bytes(texts), gone.to_pylist())]
+        out = [_kept(t, set(g or ()), min_code_points) for t, g in zip(as_bytes(texts), gone.to_pylist())]
         n, dropped, kept = zip(*out) if out else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["n_lines", "n_dropped", "kept"])
 
     drop.__annotations__ = {"texts": pa.Array, "gone": pa.Array, "return": pa.Array}
+    # what documents lose is small beside them: Spark broadcasts it while it is, by measured size
     joined = docs.join(lost, docs[id].cast("long") == lost[id_at], "left")
-    return joined.withColumn(at, F.arrow_udf(drop, _RESULT).asNondeterministic()(F.col(text), F.col(lost_at))).drop(lost_at, id_at)
-
-
-def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_code_points: int = MIN_CODE_POINTS, broadcast_bytes: int = BROADCAST_BYTES, keys_a_shard: int = KEYS_A_SHARD, into: str = "line_dedup") -> DataFrame:
-    """docs with a struct column ``into``: n_lines, n_dropped, kept (the text left)."""
-    hashes = line_hashes(docs, min_code_points, id, text)
-    index, n_shards = index_of(hashes, min_docs, keys_a_shard)
-    size = index.agg(F.sum(F.length("bits") + F.length("marks") + F.length("counts") + F.length("lasts"))).first()[0] or 0
-    if size <= broadcast_bytes:
-        return _with_broadcast(docs, index, n_shards, min_code_points, id, text, into)
-    return _with_shards(docs, hashes, index, n_shards, min_code_points, id, text, into)
+    return joined.withColumn(into, F.arrow_udf(drop, _RESULT).asNondeterministic()(F.col(text), F.col(lost_at))).drop(lost_at, id_at)
 
 
 def keep_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:

@@ -12,11 +12,12 @@ from .conftest import ODD
 def naive_lines(rows):
     """(n_lines, n_dropped, kept) of each row."""
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
-    docs, last = Counter(), {}
+    docs, last, seen = Counter(), {}, set()
     for i, t in rows:
         if i is not None:
             for k in {key(x) for x in (t or "").split("\n")}:
-                docs[k] += 1
+                docs[k] += (k, i) not in seen
+                seen.add((k, i))
                 last[k] = max(last.get(k, i), i)
     out = []
     for i, t in rows:
@@ -30,18 +31,30 @@ def test_lines(make, sample):
     rows = [(i, t) for i, t in sample] + [(9000 + i, t.upper()) for i, t in sample[:20]] + [(9500 + i, "  " + t) for i, t in sample[:20]] + [(1_000_000 + k, t) for k, (_, t) in enumerate(ODD)]
     want = naive_lines(rows)
     assert sum(x[2] for x in want) > 20
-    for options in ({}, {"broadcast_bytes": 0, "keys_a_shard": 5}):
+    for options in ({}, {"keys_a_shard": 5, "probes_a_stream": 7}):
         got = N.dedup_lines(make(rows), into="r", **options).select("doc_id", "r.n_lines", "r.n_dropped", "r.kept").collect()
         assert sorted(map(tuple, got), key=repr) == want
 
 
 def test_lines_of_odd_rows(make, odd):
-    for options in ({}, {"broadcast_bytes": 0}):
-        got = N.dedup_lines(odd, into="r", **options).select("doc_id", "r.*").collect()
-        assert sorted(map(tuple, got), key=repr) == naive_lines(ODD)
-        assert N.dedup_lines(make([]), into="r", **options).collect() == []
+    got = N.dedup_lines(odd, into="r").select("doc_id", "r.*").collect()
+    assert sorted(map(tuple, got), key=repr) == naive_lines(ODD)
+    assert N.dedup_lines(make([]), into="r").collect() == []
     kept = N.keep_lines(odd)
     assert kept.columns == odd.columns and kept.count() == len(ODD)
+    replaced = N.dedup_lines(odd, into="Score")
+    assert [c.lower() for c in replaced.columns].count("score") == 1 and replaced.count() == len(ODD)
+
+
+def test_rows_of_one_document_count_once(make):
+    line = "the very same line of words here"
+    rows = [(1, line), (1, line), (1, line), (2, line), (3, "other"), (3, None)]
+    got = N.dedup_lines(make(rows), into="r").select("doc_id", "r.*").collect()
+    assert sorted(map(tuple, got), key=repr) == naive_lines(rows) and not any(r["n_dropped"] for r in got)
+    rows += [(9, line), (9, line)]
+    got = N.dedup_lines(make(rows), into="r").select("doc_id", "r.*").collect()
+    assert sorted(map(tuple, got), key=repr) == naive_lines(rows)
+    assert {r["doc_id"] for r in got if r["n_dropped"]} == {1, 2}
 
 
 def test_perfect_hash():
