@@ -16,18 +16,24 @@ sums of block maxima: most passages have no block that could reach the threshold
 rest run block-max WAND.
 
 Items are held by every task only while their text is under ``broadcast_bytes``
-(measured); a larger benchmark is dealt to several indexes, each run over all documents.
-Item count, document frequencies and average length are those of all items in any case.
+(measured); a larger benchmark is dealt to several indexes, each a job of its own over all
+documents that keeps the leaks it finds. Item count, document frequencies and average
+length are those of all items in any case.
 
 Defined cases: null or empty items match nothing; null or empty texts contain nothing;
-items with equal texts are all reported; repeated rows are each reported; an item
-shorter than five words must occur as it is.
+very long texts are searched whole, passage by passage; items with equal texts or ids are
+all reported, in order of id and place; an item that occurs several times in a document is
+reported once, where it overlaps most; repeated rows are each reported; an item shorter
+than five words must occur as it is; an empty benchmark finds nothing and an empty table
+gives an empty one; a column of docs named like ``into`` (case aside) is replaced, other
+extra columns come along whatever their names.
 """
 
 from __future__ import annotations
 
 import bisect
 import math
+from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -42,7 +48,10 @@ SHINGLE, OVERLAP, HALF_OVERLAP = 5, 0.8, 0.6
 REACH = 10
 THRESHOLD, K1, B = 0.5, 1.2, 0.75
 BLOCK = 4
-BROADCAST_BYTES = 64 << 20
+#: Item texts that one index holds: about 40 times as much in a worker's memory.
+BROADCAST_BYTES = 4 << 20
+#: Words whose postings are summed together.
+GATHERED = 20_000
 #: Share of the threshold that words too common to tell items apart may add up to.
 COMMON = 0.2
 
@@ -82,32 +91,41 @@ class Index:
             for w, x in impact.items():
                 lists[w].append((i, x / own))
         self.term = {w: t for t, w in enumerate(lists)}
-        self.posting_items = [[i for i, _ in p] for p in lists.values()]
-        self.posting_scores = [[x for _, x in p] for p in lists.values()]
-        peak = np.zeros((len(lists), self.n_blocks), np.float32)
-        for t, (ids, scores) in enumerate(zip(self.posting_items, self.posting_scores)):
-            np.maximum.at(peak[t], np.array(ids) // BLOCK, np.array(scores, np.float32))
-        self.peak = peak
+        self.posting_items = [array("i", [i for i, _ in p]) for p in lists.values()]
+        self.posting_scores = [array("d", [x for _, x in p]) for p in lists.values()]
         self.most = [max(s) for s in self.posting_scores]
+        # block maxima of each word, for the blocks that it is in only
+        self.blocks, self.peaks = [], []
+        for ids, scores in zip(self.posting_items, self.posting_scores):
+            own, place = np.unique(np.array(ids) // BLOCK, return_inverse=True)
+            top = np.zeros(len(own))
+            np.maximum.at(top, place, np.array(scores))
+            self.blocks.append(own.astype(np.int32))
+            self.peaks.append(top)
+        self.ends = np.cumsum([len(x) for x in self.blocks])
+        self.flat_blocks, self.flat_peaks = np.concatenate(self.blocks), np.concatenate(self.peaks)
         # the words that matter least, as many as stay under COMMON together in every block
-        order = np.argsort(-(peak > 0).sum(axis=1), kind="stable")
-        added = np.cumsum(peak[order], axis=0).max(axis=1)
-        common = order[: int(np.searchsorted(added, COMMON * THRESHOLD))]
-        self.floor = peak[common].sum(axis=0) if len(common) else np.zeros(self.n_blocks, np.float32)
-        self.telling = np.ones(len(lists), bool)
-        self.telling[common] = False
+        self.floor, self.telling = np.zeros(self.n_blocks), np.ones(len(lists), bool)
+        for t in sorted(range(len(lists)), key=lambda t: -len(self.blocks[t])):
+            after = self.floor[self.blocks[t]] + self.peaks[t]
+            if after.max() > COMMON * THRESHOLD:
+                break
+            self.floor[self.blocks[t]] = after
+            self.telling[t] = False
 
     def candidates(self, terms: np.ndarray) -> np.ndarray:
         """Starts of the passages that some block could lift over the threshold.
 
         terms: of each word of a document, -1 for words of no item. A passage's bound in
-        a block is the floor plus the block maxima of its telling words."""
+        a block is the floor plus the block maxima of its telling words, each once. The
+        floor alone reaches no threshold, so blocks without a telling word need no sum.
+        Some thousand words are summed at a time, whatever the length of the document."""
         at = np.flatnonzero(terms >= 0)
         at = at[self.telling[terms[at]]]
         step = self.stride
-        starts = np.arange(0, max(1, len(terms) - step), step)
+        n = len(np.arange(0, max(1, len(terms) - step), step))
         if not len(at):
-            return starts[:0]
+            return np.zeros(0, np.int64)
         # where the same word stood before, so that a passage counts each word once
         own = terms[at]
         order = np.argsort(own, kind="stable")
@@ -115,18 +133,36 @@ class Index:
         same = own[order[1:]] == own[order[:-1]]
         before[order[1:][same]] = at[order[:-1][same]]
         half = at // step
-        rows = self.peak[own]
-        bounds = np.searchsorted(half, np.arange(len(starts) + 2))
-        first = self._sums(rows * (before < half * step)[:, None], bounds)
-        second = self._sums(rows * (before < (half - 1) * step)[:, None], bounds)
-        bound = (first[:-1] + second[1:] + self.floor).max(axis=1)
-        return starts[bound >= THRESHOLD - 1e-3]
-
-    def _sums(self, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """The sums of rows[bounds[i] : bounds[i + 1]]."""
-        added = np.zeros((len(rows) + 1, self.n_blocks), np.float32)
-        np.cumsum(rows, axis=0, out=added[1:])
-        return added[bounds[1:]] - added[bounds[:-1]]
+        # a word counts for the passage that starts with its half and for the one before
+        first, second = np.flatnonzero(before < half * step), np.flatnonzero(before < (half - 1) * step)
+        passage = np.concatenate([half[first], half[second] - 1])
+        word = np.concatenate([own[first], own[second]])
+        fine = (passage >= 0) & (passage < n)
+        order = np.argsort(passage[fine], kind="stable")
+        passage, word = passage[fine][order], word[fine][order]
+        found, lo = [], 0
+        while lo < len(passage):
+            # whole passages, as many as GATHERED words make
+            hi = len(passage) if lo + GATHERED >= len(passage) else max(int(np.searchsorted(passage, passage[lo + GATHERED])), int(np.searchsorted(passage, passage[lo], "right")))
+            found.append(self._above(passage[lo:hi], word[lo:hi]))
+            lo = hi
+        return np.concatenate(found) * step if found else np.zeros(0, np.int64)
+
+    def _above(self, passage: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The passages whose bound reaches the threshold in some block."""
+        last = self.ends[word]
+        size = last - np.where(word > 0, self.ends[word - 1], 0)
+        start = np.repeat(last - size - (np.cumsum(size) - size), size)
+        flat = start + np.arange(int(size.sum()))
+        key = np.repeat(passage, size) * self.n_blocks + self.flat_blocks[flat]
+        cell, place = np.unique(key, return_inverse=True)
+        bound = np.bincount(place, weights=self.flat_peaks[flat], minlength=len(cell)) + self.floor[cell % self.n_blocks]
+        return np.unique(cell[bound >= THRESHOLD - 1e-9] // self.n_blocks)
+
+    def _peak(self, t: int, block: int) -> float:
+        """The greatest score of a word in a block; 0 where it is not in it."""
+        at = int(np.searchsorted(self.blocks[t], block))
+        return float(self.peaks[t][at]) if at < len(self.blocks[t]) and self.blocks[t][at] == block else 0.0
 
     def retrieve(self, terms: set[int]) -> dict[int, float]:
         """Every item that scores THRESHOLD or more over the terms: block-max WAND."""
@@ -146,7 +182,7 @@ class Index:
             while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
                 pivot += 1
             block = item // BLOCK
-            if sum(float(self.peak[t, block]) for _, _, t in lists[: pivot + 1]) < THRESHOLD - 1e-3:
+            if sum(self._peak(t, block) for _, _, t in lists[: pivot + 1]) < THRESHOLD - 1e-9:
                 after = (block + 1) * BLOCK
                 if pivot + 1 < len(lists):
                     after = min(after, lists[pivot + 1][0])
@@ -290,24 +326,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", ite
     items = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).cast("binary").alias("t")).where("t IS NOT NULL")
     size = items.agg(F.sum(F.length("t"))).first()[0] or 0
     groups = max(1, -(-size // broadcast_bytes))
-    out, parts = docs, []
-    if groups > 1:
-        group = F.pmod(F.xxhash64("t"), F.lit(groups)).alias("g")
-        worded = stored(items.select(group, F.arrow_udf(_words, "array<binary>")("t").alias("w")).where(F.size("w") > 0))
-        n_all, average = worded.agg(F.count("*"), F.avg(F.size("w"))).first()
-        each = worded.select("g", F.explode(F.array_distinct("w")).alias("w"))
-        counts = stored(each.groupBy("w").agg(F.count("*").alias("n")))
+    collected = lambda some: [(r["i"], bytes(r["t"])) for r in some.orderBy("i", "t").collect()]
+    if groups == 1:
+        return docs.withColumn(into, _searcher(spark.sparkContext.broadcast((collected(items), None)))(F.col(text)))
+    group = F.pmod(F.xxhash64("t"), F.lit(groups)).alias("g")
+    worded = stored(items.select(group, F.arrow_udf(_words, "array<binary>")("t").alias("w")).where(F.size("w") > 0))
+    n_all, average = worded.agg(F.count("*"), F.avg(F.size("w"))).first()
+    each = worded.select("g", F.explode(F.array_distinct("w")).alias("w"))
+    counts = stored(each.groupBy("w").agg(F.count("*").alias("n")))
+    row, found_at = fresh(docs, "_row"), fresh(docs, "_leaks")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = None
     for g in range(groups):
-        some, figures = items, None
-        if groups > 1:
-            some = items.where(group == g)
-            own = counts.join(each.where(F.col("g") == g).select("w").distinct(), "w", "left_semi")
-            figures = n_all, {bytes(r["w"]): r["n"] for r in own.collect()}, average
-        held = spark.sparkContext.broadcast(([(r["i"], bytes(r["t"])) for r in some.orderBy("i", "t").collect()], figures))
-        parts.append(fresh(out, f"_leaks{g}"))
-        out = out.withColumn(parts[-1], _searcher(held)(F.col(text)))
-    joined = F.col(parts[0]) if groups == 1 else F.concat(*[F.col(p) for p in parts])
-    return out.withColumn(into, joined).drop(*[p for p in parts if p != into])
+        own = counts.join(each.where(F.col("g") == g).select("w").distinct(), "w", "left_semi")
+        figures = n_all, {bytes(r["w"]): r["n"] for r in own.collect()}, average
+        held = spark.sparkContext.broadcast((collected(items.where(group == g)), figures))
+        part = stored(rows.select(row, _searcher(held)(F.col(text)).alias(found_at)).where(F.size(found_at) > 0))
+        held.destroy()
+        found = part if found is None else found.unionByName(part)
+    # leaks are few beside documents; a row has some of each group
+    found = found.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list(found_at))).alias(found_at))
+    out = rows.join(found, row, "left").withColumn(into, F.coalesce(found_at, F.array().cast(_DDL)))
+    return out.drop(row, found_at)
 
 
 def keep_unleaked(docs: DataFrame, benchmark: DataFrame, *, text: str = "text") -> DataFrame:
