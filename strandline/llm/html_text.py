@@ -10,8 +10,10 @@ and footers too.
 
 Defined cases: null markup gives null; empty markup gives an empty text; broken markup
 never raises (unknown end tags are passed over, open elements end with their parent);
-elements nested beyond 512 become siblings; repeated rows are rendered alike; other columns
-come along untouched.
+very long pages are rendered whole; elements nested beyond 512 become siblings, and lists
+and quotations nested beyond 24 are indented no further; repeated rows are rendered alike;
+an empty table gives an empty one; a column named like ``into`` (case aside) is replaced,
+other columns come along untouched.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from strandline.llm.text import scalar_struct
 # Element names of the HTML standard, by what they mean here.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-UNSEEN = {"head", "title", "script", "style", "template", "noscript", "iframe", "noembed", "noframes", "object", "audio", "video", "canvas", "datalist", "select", "map", "rp"}
+UNSEEN = {"head", "title", "script", "style", "template", "noscript", "iframe", "noembed", "noframes", "object", "audio", "video", "canvas", "datalist", "map", "rp"}
 MARGIN = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "dl", "ul", "ol", "table", "fieldset", "menu", "dir"}
 PLAIN = {"html", "body", "div", "article", "section", "nav", "aside", "header", "footer", "main", "address", "form", "li", "dt", "dd", "figcaption", "details", "summary", "dialog", "legend", "center", "hgroup", "search", "caption", "tr", "thead", "tbody", "tfoot", "optgroup", "option"}
 BLOCK = MARGIN | PLAIN
@@ -66,7 +68,9 @@ TOKEN = re.compile(
     re.S,
 )
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+#: Unlike display, visibility can be taken back further in.
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible|initial)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 #: The end of a tag that closes itself; a slash in a bare value is part of it.
 CLOSED = re.compile(r"(?<!=)(?:^|[\s\"']|(?:^|\s)[^\s=\"']+)/\Z")
@@ -77,11 +81,12 @@ MOST_DEPTH = 512
 
 
 class Node:
-    __slots__ = ("name", "attrs", "kids", "hidden", "foreign", "drawn")
+    __slots__ = ("name", "attrs", "kids", "hidden", "foreign", "drawn", "veiled")
 
-    def __init__(self, name: str, attrs: dict[str, str], hidden: bool, foreign: bool = False, drawn: bool = False):
-        """foreign: in a drawing or formula; drawn: in a drawing, outside its texts."""
-        self.name, self.attrs, self.kids, self.hidden, self.foreign, self.drawn = name, attrs, [], hidden, foreign, drawn
+    def __init__(self, name: str, attrs: dict[str, str], hidden: bool, foreign: bool = False, drawn: bool = False, veiled: bool = False):
+        """foreign: in a drawing or formula; drawn: in a drawing, outside its texts;
+        veiled: its own texts don't show, elements inside may."""
+        self.name, self.attrs, self.kids, self.hidden, self.foreign, self.drawn, self.veiled = name, attrs, [], hidden, foreign, drawn, veiled
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -102,6 +107,11 @@ def _hidden(name: str, attrs: dict[str, str], parent: Node) -> bool:
     return "style" in attrs and bool(HIDING.search(attrs["style"]))
 
 
+def _veiled(attrs: dict[str, str], parent: Node) -> bool:
+    said = VISIBILITY.findall(attrs["style"]) if "style" in attrs else []
+    return said[-1].lower() in ("hidden", "collapse") if said else parent.veiled
+
+
 def build(markup: str) -> Node:
     """The tree of a page. Text nodes are strings among a node's kids."""
     root = Node("html", {}, False)
@@ -200,13 +210,13 @@ def build(markup: str) -> Node:
         if name in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].name in ("h1", "h2", "h3", "h4", "h5", "h6"):
             stack.pop()
         if name in CELLS and stack[-1].name in ("table", "thead", "tbody", "tfoot"):
-            row = Node("tr", {}, stack[-1].hidden)
+            row = Node("tr", {}, stack[-1].hidden, veiled=stack[-1].veiled)
             stack[-1].kids.append(row)
             stack.append(row)
         parent = stack[fostered - 1] if fostered else stack[-1]
         foreign = name in ("svg", "math") or (parent.foreign and name not in INTEGRATION)
         drawn = name == "svg" or (parent.drawn and name not in ("text", "foreignobject"))
-        node = Node(name, attrs, parent.hidden or _hidden(name, attrs, parent), foreign, drawn)
+        node = Node(name, attrs, parent.hidden or _hidden(name, attrs, parent), foreign, drawn, _veiled(attrs, parent))
         put(node, fostered)
         if name in VOID or ((foreign or parent.foreign) and CLOSED.search(m["attrs"])):
             continue
@@ -227,7 +237,9 @@ def build(markup: str) -> Node:
 class Canvas:
     """Lines of text under construction: inline text joins the open line, blocks end it."""
 
-    def __init__(self) -> None:
+    def __init__(self, depth: int = 0) -> None:
+        """depth: of lists and quotations around."""
+        self.depth = depth
         self.lines: list[str] = []
         self.line: list[str] = []
         self.gap = 0
@@ -341,6 +353,25 @@ def _grid(cells: list[list[tuple[list[str], int, int]]]) -> list[str]:
 
 #: Columns and rows that one cell may take, as browsers bound them.
 MOST_SPAN = 1000
+#: Lists and quotations further in are indented no further, or lines would grow with depth.
+MOST_INDENT = 24
+
+
+def _shown_options(select: Node) -> list[Node]:
+    """The options that a select shows: all of a list box, else the chosen one."""
+    options, todo = [], list(reversed(select.kids))
+    while todo:
+        kid = todo.pop()
+        if isinstance(kid, str) or kid.hidden:
+            continue
+        if kid.name == "option":
+            options.append(kid)
+        else:
+            todo.extend(reversed(kid.kids))
+    if "multiple" in select.attrs or _number(select.attrs.get("size"), 1) > 1:
+        return options
+    chosen = [x for x in options if "selected" in x.attrs][-1:]
+    return chosen or [x for x in options if "disabled" not in x.attrs][:1]
 
 
 def render(root: Node) -> list[str]:
@@ -354,7 +385,7 @@ def render(root: Node) -> list[str]:
             node()
             continue
         if kind == "kids":
-            steps.extend(("node", kid, canvas, pre) for kid in reversed(node.kids))
+            steps.extend(("node", kid, canvas, pre) for kid in reversed(node.kids) if not (node.veiled and isinstance(kid, str)))
             continue
         if isinstance(node, str):
             if pre:
@@ -373,10 +404,15 @@ def render(root: Node) -> list[str]:
             canvas.block(False)
         elif name == "q":
             steps += [("call", lambda c=canvas: c.line.append("”"), None, None), ("kids", node, canvas, pre), ("call", lambda c=canvas: c.write("“"), None, None)]
+        elif name == "select":
+            shown = _shown_options(node)
+            for option in reversed(shown):
+                steps += [("call", lambda c=canvas, b=len(shown) > 1: c.block(False) if b else c.write(" "), None, None), ("kids", option, canvas, pre)]
+            canvas.write(" ")
         elif name == "table":
             canvas.block(True)
             captions, rows = _rows(node)
-            grid = [[(c, Canvas()) for c in row] for row in rows]
+            grid = [[(c, Canvas(canvas.depth)) for c in row] for row in rows]
 
             def lay(canvas=canvas, grid=grid):
                 cells = [[(k.done(), min(MOST_SPAN, max(1, _number(c.attrs.get("colspan"), 1))), min(MOST_SPAN, max(1, _number(c.attrs.get("rowspan"), 1)))) for c, k in row] for row in grid]
@@ -409,7 +445,10 @@ def render(root: Node) -> list[str]:
                 if not mark:
                     steps.append(("node", kid, canvas, pre))
                     continue
-                inner = Canvas()
+                if canvas.depth >= MOST_INDENT:
+                    steps += [("call", lambda c=canvas: c.block(False), None, None), ("kids", kid, canvas, pre), ("call", lambda c=canvas, m=mark: (c.block(False), c.write(m)), None, None)]
+                    continue
+                inner = Canvas(canvas.depth + 1)
 
                 def item(canvas=canvas, inner=inner, mark=mark):
                     lines = [x for i, x in enumerate(inner.done()) if x or i]
@@ -419,8 +458,8 @@ def render(root: Node) -> list[str]:
                         canvas.end(keep=True)
 
                 steps += [("call", item, None, None), ("kids", kid, inner, pre)]
-        elif name in ("blockquote", "dd"):
-            inner = Canvas()
+        elif name in ("blockquote", "dd") and canvas.depth < MOST_INDENT:
+            inner = Canvas(canvas.depth + 1)
 
             def quote(canvas=canvas, inner=inner, margin=name == "blockquote"):
                 canvas.block(margin)
@@ -437,9 +476,10 @@ def render(root: Node) -> list[str]:
             canvas.block(margin)
             steps += [("call", lambda c=canvas, m=margin: c.block(m), None, None), ("kids", node, canvas, pre or name == "pre")]
         elif name == "textarea":
-            canvas.verbatim("".join(x for x in node.kids if isinstance(x, str)))
+            if not node.veiled:
+                canvas.verbatim("".join(x for x in node.kids if isinstance(x, str)))
         elif name == "input":
-            if node.attrs.get("type", "").lower() in ("submit", "button", "reset"):
+            if node.attrs.get("type", "").lower() in ("submit", "button", "reset") and not node.veiled:
                 canvas.write(node.attrs.get("value", ""))
         else:
             steps.append(("kids", node, canvas, pre))

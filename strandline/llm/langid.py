@@ -16,8 +16,10 @@ Codewords: all splits of the languages in two for up to 7 of them; beyond that a
 pseudo-random code of 15 bits per doubling of languages, whose columns differ.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every
-text if nothing was learned; with one language known it is always the answer; repeated
-rows are each answered; extra columns are not read.
+text if nothing was learned; with one language known it is always the answer; of languages
+of equal loss the first by name is the answer, flagged as ambiguous; very long texts count
+whole, part by part; repeated rows are each answered; an empty table gives an empty one; a
+column named like ``into`` (case aside) is replaced, other extra columns are not read.
 """
 
 from __future__ import annotations

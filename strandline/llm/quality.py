@@ -5,8 +5,10 @@ bit for each rule that fails. A policy is a named, versioned mask of rules: appl
 or changing it is a bitwise AND over stored bits, and ablations ("what if this rule
 were off") come from counts by bit pattern, without reading a text again.
 
-Defined cases: a null text counts as empty; an empty text fails ``few_words``; extra
-columns come along untouched; repeated rows each get their own ledger row.
+Defined cases: a null text counts as empty; an empty text fails ``few_words``; very long
+texts are measured whole; rules are strict inequalities, so a text at a bound passes; extra
+columns come along untouched; repeated rows each get their own ledger row; an empty table
+gives an empty ledger.
 """
 
 from __future__ import annotations

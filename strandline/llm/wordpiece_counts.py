@@ -5,8 +5,11 @@ the vocabulary's bytes gets, for each node, a failure link (where matching goes
 the node's pieces are taken off) and the number of pieces taken off on the way. Counting
 a word follows one arc or link a step and adds those numbers; pieces are never built.
 
-Defined cases: a null or empty text has no words and no tokens; a word that no sequence
-of pieces covers counts as one unknown token; repeated rows each get their counts.
+Defined cases: a null or empty text has no words and no tokens; very long texts are counted
+whole; a word that no sequence of pieces covers counts as one unknown token; there are no
+ties, the longest piece is one; repeated rows each get their counts; an empty table gives an
+empty one; a column named like ``into`` (case aside) is replaced, other extra columns come
+along whatever their names.
 """
 
 from __future__ import annotations

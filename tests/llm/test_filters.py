@@ -117,6 +117,39 @@ def test_wand_retrieves_all(spark):
             assert set(index.retrieve(terms)) == {i for i, x in score.items() if x >= D.THRESHOLD - 1e-9}
 
 
+def test_no_passage_above_the_threshold_is_passed_over(monkeypatch):
+    """candidates() and retrieve() against the scores of every item in every passage."""
+    rng = random.Random(4)
+    vocab = [f"w{i}".encode() for i in range(400)]
+    weight = [1 / (k + 1) ** 0.7 for k in range(400)]
+    items = [(i, b" ".join(rng.choices(vocab, weight, k=rng.randint(4, 90)))) for i in range(300)]
+    bench = D.build(items)
+    hits = 0
+    for gathered in (D.GATHERED, 50):
+        monkeypatch.setattr(D, "GATHERED", gathered)
+        for _ in range(25):
+            words = rng.choices(vocab, weight, k=rng.randint(0, 1500))
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randint(0, len(words))
+                words[at:at] = rng.choice(items)[1].split()[: rng.randint(3, 90)]
+            for index in bench.indexes:
+                terms = np.array([index.term.get(w, -1) for w in words], np.int32)
+                got = set()
+                for start in index.candidates(terms).tolist():
+                    part = terms[start : start + 2 * index.stride]
+                    got |= {(start, i) for i in index.retrieve(set(part[part >= 0].tolist()))}
+                want = set()
+                for start in range(0, max(1, len(words) - index.stride), index.stride):
+                    score = Counter()
+                    for t in set(terms[start : start + 2 * index.stride].tolist()) - {-1}:
+                        for i, x in zip(index.posting_items[t], index.posting_scores[t]):
+                            score[i] += x
+                    want |= {(start, i) for i, x in score.items() if x >= D.THRESHOLD - 1e-9}
+                assert got == want
+                hits += len(want)
+    assert hits > 100
+
+
 def test_leaks(spark, make, sample):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     items = {r["item_id"]: r["text"] for r in bench.collect()}
@@ -137,6 +170,9 @@ def test_leaks_of_odd_rows(spark, odd, make):
     assert D.find_leaks(make([]), bench).count() == 0
     none = spark.createDataFrame([], bench.schema)
     assert D.keep_unleaked(odd, none).count() == len(ODD) and D.keep_unleaked(odd, bench).columns == odd.columns
+    for size in (D.BROADCAST_BYTES, 8):
+        replaced = D.find_leaks(odd, bench, into="SCORE", broadcast_bytes=size)
+        assert sorted(c.lower() for c in replaced.columns) == sorted(odd.columns) and replaced.where("size(score) = 2").count() == 4
 
 
 def test_scores_do_not_depend_on_groups(spark, make):
@@ -177,6 +213,73 @@ def test_languages(spark, odd, make):
         assert len({tuple(r) for r in code}) == n
 
 
+def naive_languages(train, texts):
+    """(language, share, ambiguous) of each text, by dictionaries and plain loops."""
+    import math
+
+    def grams(t):
+        low = b" " + t.lower().encode() + b" "
+        for o in L.ORDERS:
+            for i in range(len(low) - o + 1):
+                code = int.from_bytes(low[i : i + o], "big") % 2**32
+                yield o, (code * 0x9E3779B1) % 2**32 >> (32 - L.BUCKET_BITS)
+
+    langs = sorted({x for _, x in train})
+    count = {x: Counter() for x in langs}
+    for t, x in train:
+        count[x].update(grams(t))
+    n = 1 << L.BUCKET_BITS
+    total = {(x, o): sum(c for (k, _), c in count[x].items() if k == o) + L.PRIOR * n for x in langs for o in L.ORDERS}
+    p = lambda x, g: (count[x][g] + L.PRIOR) / total[x, g[0]]
+    splits = range(1, 1 << (len(langs) - 1))
+    sides = [([x for i, x in enumerate(langs) if s >> i & 1], [x for i, x in enumerate(langs) if not s >> i & 1]) for s in splits]
+
+    def weight(b, g):
+        yes, no = (sum(p(x, g) for x in side) / len(side) for side in sides[b])
+        return yes, no, math.log(yes / no)
+
+    apart = []
+    for b in range(len(sides)):
+        w = [weight(b, (o, k)) for o in L.ORDERS for k in range(n)]
+        apart.append(sum((y - z) * v for y, z, v in w) / len(L.ORDERS))
+    apart = [a / sum(apart) for a in apart]
+    out = []
+    for t in texts:
+        gs = list(grams(t))
+        margin = [L.SHARPNESS * sum(weight(b, g)[2] for g in gs) / max(1, len(gs)) for b in range(len(sides))]
+        loss = [len(sides) * sum(apart[b] * math.log1p(math.exp(-(1 if x in sides[b][0] else -1) * margin[b])) for b in range(len(sides))) for x in langs]
+        e = [math.exp(min(loss) - v) for v in loss]
+        share = [v / sum(e) for v in e]
+        best = loss.index(min(loss))
+        out.append((langs[best], share[best], share[best] - sorted(share)[-2] < L.AMBIGUOUS))
+    return out
+
+
+def test_languages_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(L, "BUCKET_BITS", 8)
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang IS NOT NULL AND text rlike '[a-z]'").select("doc_id", "text", "lang").orderBy("doc_id").limit(60).collect()
+    rows = [(r[0], r[1][:400], r[2]) for r in rows]
+    train, texts = [(t, x) for i, t, x in rows if i % 3], [t for i, t, _ in rows if not i % 3] + ["a", "É b", "mixed the und der les"]
+    df = spark.createDataFrame(train, "text string, lang string")
+    langs, table = L.learn(df)
+    coder = L.Coder(langs, table)
+    for got, want in zip([coder.decide(t.encode()) for t in texts], naive_languages(train, texts)):
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-4 and (got[2] == want[2] or abs(got[1] - L.AMBIGUOUS) < 1e-3)
+
+
+def test_languages_of_odd_tables(spark, odd, make):
+    learned = L.learn(odd)
+    assert L.identify(make([]), learned).collect() == []
+    replaced = L.identify(odd, learned, into="Lang")
+    assert sorted(c.lower() for c in replaced.columns) == sorted(odd.columns)
+    got = {r["doc_id"]: r["Lang"] for r in replaced.collect()}
+    assert got[4]["lang_pred"] == "en" and got[9]["score"] == 1.0 and got[1]["lang_pred"] == "und"
+    # languages of equal counts tie: the first by name is the answer, and it is ambiguous
+    two = spark.createDataFrame([("same text", "b"), ("same text", "a")], "text string, lang string")
+    tied = L.identify(two, L.learn(two)).first()["language"]
+    assert (tied["lang_pred"], tied["ambiguous"]) == ("a", True) and abs(tied["score"] - 0.5) < 1e-9
+
+
 def test_html_layout():
     page = """<!DOCTYPE html><title>x</title><h1>Head  &amp; more</h1><p>one<p>two <b>bold</b>er<br>next
 <ul><li>a<li>b<ol start=3><li>x<li>y</ol><li>c</ul><div style="display: none">no</div><div>d1<div>d2</div></div>
@@ -227,5 +330,77 @@ def test_html_drawings_and_formulas():
     assert H.to_text("<svg><text><![CDATA[a<b]]></text></svg>") == "a<b"
 
 
+def test_html_visibility_and_selects():
+    assert H.to_text("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>") == "yes"
+    assert H.to_text("<div style='display:none'>no<b style='visibility: visible'>no</b></div>") == ""
+    assert H.to_text("a<select><option>one<option selected>two<option>three</select>b") == "a two b"
+    assert H.to_text("a<select><option disabled>one<option>two</select>b") == "a two b"
+    assert H.to_text("<select multiple><optgroup label=x><option>one<option>two</optgroup><option hidden>no</select>").split() == ["one", "two"]
+    assert H.to_text("a<select></select>b") == "a b"
+
+
+def test_html_deep_lists_stay_small():
+    page = "".join(f"<ul><li>x{i}" for i in range(2000))
+    out = H.to_text(page)
+    assert [w for w in out.split() if w != "-"] == [f"x{i}" for i in range(2000)] and len(out) < 40 * len(page)
+    quotes = H.to_text("<blockquote>q " * 1500 + "end")
+    assert quotes.split() == ["q"] * 1500 + ["end"] and len(quotes) < 200_000
+
+
+def _random_page(rng, depth=0):
+    """(markup, the words it shows) of a well-formed random page."""
+    out, words = [], []
+    for _ in range(rng.randint(1, 4)):
+        word = f"w{rng.randrange(10**6)}"
+        kind = rng.choice(["text", "div", "p", "ul", "table", "hide", "veil", "select", "bold", "pre", "quote", "script"]) if depth < 5 else "text"
+        if kind == "text":
+            out.append(f" {word} ")
+            words.append(word)
+        elif kind in ("div", "quote", "bold"):
+            name = {"div": "div", "quote": "blockquote", "bold": "b"}[kind]
+            inner, shown = _random_page(rng, depth + 1) if kind != "bold" else (word, [word])
+            out.append(f" <{name}>{inner}</{name}> ")
+            words += shown
+        elif kind in ("p", "pre"):
+            out.append(f"<{kind}>{word} <i>x</i></{kind}>")
+            words += [word, "x"]
+        elif kind == "ul":
+            out.append("<ul>")
+            for _ in range(rng.randint(1, 3)):
+                inner, shown = _random_page(rng, depth + 1)
+                out.append(f"<li>{inner}" + rng.choice(["</li>", ""]))
+                words += shown
+            out.append("</ul>")
+        elif kind == "table":
+            rows = [[f"c{rng.randrange(10**6)}" for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(1, 3))]
+            out.append("<table>" + rng.choice(["", "<tbody>"]) + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in rows) + "</table>")
+            words += [c for r in rows for c in r]
+        elif kind == "hide":
+            out.append(f"<div hidden>{_random_page(rng, depth + 1)[0]}</div>")
+        elif kind == "veil":
+            out.append(f'<div style="visibility:hidden">no <b style="visibility:visible">{word}</b> no</div>')
+            words.append(word)
+        elif kind == "select":
+            out.append(f"<select><option>no</option><option selected>{word}</option></select>")
+            words.append(word)
+        else:
+            out.append("<script>no()</script><style>no</style><!-- no -->")
+    return "".join(out), words
+
+
+def test_html_shows_what_random_pages_show():
+    rng = random.Random(5)
+    for _ in range(300):
+        page, words = _random_page(rng)
+        assert [w for w in H.to_text(page).split() if w != "-"] == words, page
+
+
+def test_html_table_of_pages(spark):
+    long = spark.createDataFrame([(1, "<p>word " * 60_000, 5)], "page_id long, html string, Rendered int")
+    got = H.extract(long)
+    assert [c.lower() for c in got.columns] == ["page_id", "html", "rendered"] and got.first()["rendered"]["text"].split() == ["word"] * 60_000
+    assert H.extract(long.limit(0)).collect() == []
+
+
 def test_digest_of_lines():
     assert N.sha256_hex([b"a", None])[0] == [hashlib.sha256(b"a").hexdigest(), hashlib.sha256(b"").hexdigest()]
