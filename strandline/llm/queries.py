@@ -39,20 +39,22 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
-def _ids_digest(ids: pa.Array) -> pa.Array:
-    held = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in ids.to_pylist()]
-    return pa.StructArray.from_arrays([pa.array([len(x) // 4 for x in held], pa.int64()), pa.array([zlib.crc32(x) for x in held], pa.int64())], ["n_ids", "ids_crc32"])
+def _ids_digest(kind: str):
+    def run(ids: pa.Array) -> pa.Array:
+        held = [np.frombuffer(x, kind).astype("<u4").tobytes() for x in ids.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([len(x) // 4 for x in held], pa.int64()), pa.array([zlib.crc32(x) for x in held], pa.int64())], ["n_ids", "ids_crc32"])
 
-
-_ids_digest.__annotations__ = {"ids": pa.Array, "return": pa.Array}
+    run.__annotations__ = {"ids": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "struct<n_ids:bigint,ids_crc32:bigint>")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document: how many ids, their crc32 as u32, and the hash of what they
-    decode to again."""
+    decode to again. The segmentation is the best-scoring one (unigram), under the Zipf
+    prior where the file, as this BPE one, has merge order instead of scores."""
     model = tokenizer("piece_bpe_32k.model")
     coded = sentencepiece_scan.encode(table(spark, sf_dir, "documents"), model)
-    digest = F.arrow_udf(_ids_digest, "struct<n_ids:bigint,ids_crc32:bigint>")
+    digest = _ids_digest(sentencepiece_scan.ids_kind(model))
     back = sentencepiece_scan.decode(coded, model).select("doc_id", "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
     return back.withColumn("d", digest("ids")).select("doc_id", "d.*", "decoded_sha256")
 

@@ -21,7 +21,8 @@ chunks, which Spark deals out:
 Inside a chunk no piece spans certain places (before a space mark, around a line feed),
 so segments between them are decoded alone, and each distinct segment once.
 
-Defined cases: null and empty texts have no ids; a text with the space mark U+2581 itself
+Defined cases: null and empty texts have no ids; an empty table gives an empty one; extra
+columns are not read; a text with the space mark U+2581 itself
 decodes to a space there (as with the library); repeated rows are each encoded; a
 character of no piece becomes its UTF-8 bytes.
 """
@@ -48,8 +49,6 @@ CHUNK = 32_768
 CACHED_SEGMENTS = 120_000
 LOW = -(1 << 61)
 ONE = 1 << 20
-#: Bytes of an id of a vocabulary that fits in u16.
-ID_BYTES = 2
 
 
 def kind_of(n: int) -> str:
@@ -422,8 +421,13 @@ def decode(encoded: DataFrame, model_file: str, *, id: str = "doc_id", ids: str
     return encoded.select(F.col(id).cast("long").alias("doc_id"), ids).mapInArrow(run, "doc_id long, ids binary, text string")
 
 
-def ids_of(raw: bytes, model_file: str) -> np.ndarray:
-    """The ids behind encode()'s bytes."""
+def ids_kind(model_file: str) -> str:
+    """The kind of the ids behind encode()'s bytes."""
     import sentencepiece
 
-    return np.frombuffer(raw, kind_of(sentencepiece.SentencePieceProcessor(model_file=model_file).get_piece_size()))
+    return kind_of(sentencepiece.SentencePieceProcessor(model_file=model_file).get_piece_size())
+
+
+def ids_of(raw: bytes, model_file: str) -> np.ndarray:
+    """The ids behind encode()'s bytes."""
+    return np.frombuffer(raw, ids_kind(model_file))

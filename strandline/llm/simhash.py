@@ -14,9 +14,10 @@
    a spanning forest of its links, never all pairs of a group.
 5. Connected components over the forests; the least doc_id names a component.
 
-Defined cases: null and empty texts have fingerprint zero and link like any other;
-repeated rows and equal texts share a component; a row without doc_id gets a
-fingerprint but no component and links nothing; extra columns are not read.
+Defined cases: null and empty texts have fingerprint zero and link like any other; very
+long texts count whole; a bit set in exactly half of the hashes is 0; repeated rows and
+equal texts share a component; a row without doc_id gets a fingerprint but no component and
+links nothing; an empty table gives an empty one; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.components import components
-from strandline.llm.text import as_bytes, ascii_words, fresh, stored
+from strandline.llm.text import as_bytes, ascii_words, stored
 
 WIDTH, SEED, BITS, DIFFERENCE = 4, 42, 64, 4
 TRIE_TARGET, TRIE_MOST = 512, 20_000
@@ -88,22 +89,25 @@ def _pairs_of(sizes_a: np.ndarray, sizes_b: np.ndarray, lo_a: np.ndarray, lo_b:
     return np.repeat(lo_a, n) + k // width, np.repeat(lo_b, n) + k % width
 
 
-def trie_links(fps: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_links(fps: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], k: int, frontier: int = FRONTIER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links (i, j) between the leaves of pairs of tries.
 
-    fps: uint64, sorted within each trie; pairs: from and to of the first and the second
+    fps: uint64, or rows of several with the highest bits first, sorted within each trie;
+    pairs: from and to of the first and the second
     trie's leaves, which are the same for a trie with itself.
     A node is a range of leaves with equal leading bits; the walk takes one bit a step
     over a frontier of node pairs (a, b, bits that differ so far). Pairs with few leaves
-    are decided at once. Frontiers above FRONTIER are cut and walked one after another."""
+    are decided at once. Frontiers above ``frontier`` are cut and walked one after another."""
     step = np.uint64(1)
+    fps = fps.reshape(len(fps), -1)
+    top = 64 * fps.shape[1] - 1
     al, ah, bl, bh = (x.astype(np.int64) for x in pairs)
     some = (ah > al) & (bh > bl) & ((al != bl) | (ah - al > 1))
-    stack = [(BITS - 1, al[some], ah[some], bl[some], bh[some], np.zeros(int(some.sum()), np.int8))]
+    stack = [(top, al[some], ah[some], bl[some], bh[some], np.zeros(int(some.sum()), np.int16))]
     ones: dict[int, np.ndarray] = {}
     while stack:
         bit, al, ah, bl, bh, diff = stack.pop()
-        if len(al) > FRONTIER:
+        if len(al) > frontier:
             half = len(al) // 2
             stack += [(bit, *(x[half:] for x in (al, ah, bl, bh, diff))), (bit, *(x[:half] for x in (al, ah, bl, bh, diff)))]
             continue
@@ -113,17 +117,17 @@ def trie_links(fps: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray,
                 small[:] = True
             if small.any():
                 i, j = _pairs_of((ah - al)[small], (bh - bl)[small], al[small], bl[small])
-                near = (i < j) & (np.bitwise_count(fps[i] ^ fps[j]) <= k)
+                near = (i < j) & (np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64) <= k)
                 if near.any():
                     yield i[near], j[near]
                 al, ah, bl, bh, diff = (x[~small] for x in (al, ah, bl, bh, diff))
             if not len(al):
                 break
-            if len(al) > FRONTIER:
+            if len(al) > frontier:
                 stack.append((bit, al, ah, bl, bh, diff))
                 break
             if bit not in ones:
-                ones[bit] = np.concatenate([[0], np.cumsum((fps >> np.uint64(bit)) & step, dtype=np.int64)])
+                ones[bit] = np.concatenate([[0], np.cumsum((fps[:, (top - bit) // 64] >> np.uint64(bit % 64)) & step, dtype=np.int64)])
             c = ones[bit]
             am, bm = ah - (c[ah] - c[al]), bh - (c[bh] - c[bl])
             own = al == bl  # a node with itself: the pair (1, 0) mirrors (0, 1)
@@ -263,15 +267,3 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     comp = components(links(reps, k, target=target, most=most))
     named = reps.join(comp, reps["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def keep_one_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without near duplicates: of each component the row of its least doc_id stays
-    (one of them, should that doc_id be repeated); rows without doc_id stay."""
-    gone = near_duplicates(docs, id=id, text=text).where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias(fresh(docs, "_gone"))).distinct()
-    left = docs.join(gone, docs[id].cast("long") == gone[gone.columns[0]], "left_anti")
-    at = fresh(docs, "_nth")
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy(id).orderBy(F.xxhash64(text)))
-    return left.withColumn(at, nth).where((F.col(at) == 1) | F.col(id).isNull()).drop(at)

@@ -37,22 +37,22 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+_LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which every executor can reach.
 
-    Where the setting is absent (tests on one machine) a temporary folder is used
-    and removed when the driver ends.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    Where the setting is absent, a session on one machine (tests) uses a temporary folder
+    that is removed when the driver ends; on a cluster that is an error."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
-        existing = spark.sparkContext.getCheckpointDir()
-        if existing:
-            root = existing
-        else:
-            local = tempfile.mkdtemp(prefix="strandline-")
-            atexit.register(shutil.rmtree, local, True)
-            spark.sparkContext.setCheckpointDir(f"file://{local}")
-            root = spark.sparkContext.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="strandline-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], True)
+        root = f"file://{_LOCAL[0]}"
     return f"{root.rstrip('/')}/strandline-{uuid.uuid4().hex}"
 
 

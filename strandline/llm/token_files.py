@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+import types
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -207,10 +209,9 @@ class WordCache:
 
 
 def _process_cache(tokenizer_file: str, kind: str) -> WordCache:
-    """The cache of this worker process, kept for its later tasks."""
-    import tokenizers
-
-    held = tokenizers.__dict__.setdefault("_word_caches", {})
+    """The cache of this worker process, kept for its later tasks. Functions travel by
+    value, so what outlives a task is in a module of our own made in the worker."""
+    held = sys.modules.setdefault("strandline_worker_state", types.ModuleType("strandline_worker_state")).__dict__.setdefault("caches", {})
     if (tokenizer_file, kind) not in held:
         held[tokenizer_file, kind] = WordCache(tokenizer_file, kind)
     return held[tokenizer_file, kind]

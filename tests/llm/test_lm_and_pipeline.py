@@ -10,7 +10,7 @@ from strandline.llm import suffix_tree_lm as M, text as X
 
 from .conftest import ODD
 from .test_filters import naive_lines
-from .test_neardup import classes, naive
+from .test_neardup import similar_classes
 from .test_tokens import PIECES
 
 
@@ -109,7 +109,7 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in kept[0]} == {r["doc_id"] for r in before if not bits[r["doc_id"]]}
     want = {i: t for i, _, _, t in naive_lines([(r["doc_id"], r["text"]) for r in kept[0]])}
     assert {r["doc_id"]: r["text"] for r in kept[1]} == want and all(r["n_chars"] == len(r["text"]) for r in kept[1])
-    label = classes([naive(r["text"]) for r in kept[1]], [r["doc_id"] for r in kept[1]])
+    label = similar_classes([(r["doc_id"], r["text"]) for r in kept[1]])
     assert {r["doc_id"] for r in kept[2]} == set(label)
     items = [r["text"].lower().split() for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     holds = lambda t: any(" ".join(b) in " ".join(t.lower().split()) for b in items)

@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from strandline.llm import simhash as S
+from strandline.llm import similar as G, simhash as S
 from strandline.llm.components import components
 
 from .conftest import ODD
@@ -62,11 +62,81 @@ def test_odd_rows(odd, make):
     assert by[1] == [(0, 1)] and by[2] == by[3] == [(0, 1)]
     assert by[5][0] == by[5][1] and by[6][0][1] == 5
     assert all(c is None for _, c in by[None])
-    kept = [r["doc_id"] for r in S.keep_one_each(odd).collect()]
-    assert kept.count(5) == 1 and 6 not in kept and kept.count(None) == 2 and 2 not in kept
     assert S.near_duplicates(make([])).collect() == []
 
 
+def shingles(text, width=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def similar_classes(rows, least=0.8):
+    """The least doc_id reachable over pairs of a Jaccard similarity, comparing all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    near = [[j for j, b in enumerate(sets) if a == b or len(a & b) >= least * len(a | b)] for a in sets]
+    label = [i for i, _ in rows]
+    while True:
+        new = [min(label[j] for j in n) for n in near]
+        if new == label:
+            return label
+        label = new
+
+
+def edited(text, n, seed):
+    rng = np.random.default_rng(seed)
+    w = text.split(" ")
+    for k in rng.integers(0, len(w), n):
+        w[k] = f"edit{seed}x{k}"
+    return " ".join(w)
+
+
+def test_groups_of_similar_texts(make, sample):
+    base = [(i, t) for i, t in sample if 60 < len(t.split()) < 600][:60]
+    rows = list(sample)
+    for n, (i, t) in enumerate(base):
+        words = len(t.split())
+        rows += [(10_000 + 100 * n + c, edited(t, max(1, words * (1 + c % 3) // 100), 7 * n + c)) for c in range(4)]
+    want = similar_classes(rows)
+    for most in (4096, 6):
+        got = {r["doc_id"]: r["component_id"] for r in G.groups(make(rows), most=most).collect()}
+        wrong = [i for (i, _), c in zip(rows, want) if got[i] != c]
+        assert len(wrong) <= 0.005 * len(rows), (most, len(wrong))
+    assert sum(i != c for (i, _), c in zip(rows, want)) > 150
+
+
+def test_a_family_of_near_copies(make, sample):
+    """Hundreds of near copies and texts that share one long passage with each other only."""
+    text = next(t for _, t in sample if 150 < len(t.split()) < 400)
+    passage = " ".join(f"common{i}" for i in range(40))
+    rows = [(i, edited(text, 1, i)) for i in range(150)] + [(1000 + i, f"{passage} " + " ".join(f"own{i}w{k}" for k in range(60))) for i in range(100)]
+    want = similar_classes(rows)
+    assert want[:150] == [0] * 150 and len(set(want)) == 101
+    for most in (4096, 20):
+        got = {r["doc_id"]: r["component_id"] for r in G.groups(make(rows), most=most).collect()}
+        assert [got[i] for i, _ in rows] == want, most
+
+
+def test_similar_odd_rows(odd, make):
+    kept = G.keep_one_each(odd)
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert kept.columns == odd.columns
+    assert ids.count(5) == 1 and 6 not in ids and ids.count(None) == 2 and 2 not in ids and {1, 4, 7, 8, 9} <= set(ids)
+    assert G.keep_one_each(make([])).collect() == []
+
+
+def test_spanning_links_are_the_closest():
+    rng = np.random.default_rng(3)
+    i, j = np.triu_indices(30, 1)
+    d = rng.integers(1, 200, len(i))
+    picked = G.spanning(30, i, j, d)
+    label, total = list(range(30)), 0
+    for e in np.argsort(d, kind="stable"):
+        a, b = label[i[e]], label[j[e]]
+        if a != b:
+            label, total = [a if x == b else x for x in label], total + d[e]
+    assert len(picked) == 29 and d[picked].sum() == total
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
