@@ -255,8 +255,8 @@ def dedup_lines(docs: DataFrame, *, id: str = "doc_id", text: str = "text", min_
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["n_lines", "n_dropped", "kept"])
 
     drop.__annotations__ = {"texts": pa.Array, "gone": pa.Array, "return": pa.Array}
-    # what documents lose is small beside them: Spark broadcasts it while it is, by measured size
-    joined = docs.join(lost, docs[id].cast("long") == lost[id_at], "left")
+    # both sides grow with the documents: one plan at every size
+    joined = docs.join(lost.hint("merge"), docs[id].cast("long") == lost[id_at], "left")
     return joined.withColumn(into, F.arrow_udf(drop, _RESULT).asNondeterministic()(F.col(text), F.col(lost_at))).drop(lost_at, id_at)
 
 

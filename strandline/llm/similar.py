@@ -283,7 +283,7 @@ def checked_links(links: DataFrame, docs: DataFrame, owners: DataFrame, similari
     to take; only texts of linked nodes are read for their sets."""
     nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     wanted = owners.join(nodes, "node", "left_semi").select(F.col("doc_id").alias("_owner")).distinct()
-    rows = docs.select(F.col(id).cast("long").alias("_owner"), F.col(text).alias("_text")).join(wanted, "_owner", "left_semi")
+    rows = docs.select(F.col(id).cast("long").alias("_owner"), F.col(text).alias("_text")).join(wanted.hint("merge"), "_owner", "left_semi")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -293,7 +293,7 @@ def checked_links(links: DataFrame, docs: DataFrame, owners: DataFrame, similari
 
     sets = stored(rows.select("_text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"]))
     x, y = sets.toDF("u", "x"), sets.toDF("v", "y")
-    return links.join(x, "u").join(y, "v").where(F.arrow_udf(_shared, "double").asNondeterministic()("x", "y") >= similarity).select("u", "v")
+    return links.join(x.hint("merge"), "u").join(y.hint("merge"), "v").where(F.arrow_udf(_shared, "double").asNondeterministic()("x", "y") >= similarity).select("u", "v")
 
 
 def groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, most: int = MOST) -> DataFrame:
@@ -316,7 +316,7 @@ def keep_one_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text", wi
     repeated); rows without doc_id stay. A doc_id of several texts goes if one of them does."""
     found = stored(groups(docs, id=id, text=text, width=width, similarity=similarity))
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(fresh(docs, "_gone"))).distinct()
-    left = docs.join(gone, docs[id].cast("long") == gone[gone.columns[0]], "left_anti")
+    left = docs.join(gone.hint("merge"), docs[id].cast("long") == gone[gone.columns[0]], "left_anti")
     if found.count() == found.select("doc_id").distinct().count():
         return left
     at = fresh(docs, "_nth")
