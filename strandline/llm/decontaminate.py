@@ -35,6 +35,7 @@ import bisect
 import math
 from array import array
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,53 +101,58 @@ class Index:
             own, place = np.unique(np.array(ids) // BLOCK, return_inverse=True)
             top = np.zeros(len(own))
             np.maximum.at(top, place, np.array(scores))
-            self.blocks.append(own.astype(np.int32))
-            self.peaks.append(top)
+            self.blocks.append(array("i", own.tolist()))
+            self.peaks.append(array("d", top.tolist()))
         self.ends = np.cumsum([len(x) for x in self.blocks])
-        self.flat_blocks, self.flat_peaks = np.concatenate(self.blocks), np.concatenate(self.peaks)
+        self.flat_blocks, self.flat_peaks = (np.concatenate([np.asarray(x) for x in y]) for y in (self.blocks, self.peaks))
         # the words that matter least, as many as stay under COMMON together in every block
         self.floor, self.telling = np.zeros(self.n_blocks), np.ones(len(lists), bool)
         for t in sorted(range(len(lists)), key=lambda t: -len(self.blocks[t])):
-            after = self.floor[self.blocks[t]] + self.peaks[t]
+            own = np.asarray(self.blocks[t])
+            after = self.floor[own] + np.asarray(self.peaks[t])
             if after.max() > COMMON * THRESHOLD:
                 break
-            self.floor[self.blocks[t]] = after
+            self.floor[own] = after
             self.telling[t] = False
 
-    def candidates(self, terms: np.ndarray) -> np.ndarray:
-        """Starts of the passages that some block could lift over the threshold.
+    def candidates(self, terms: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(document, start) of the passages that some block could lift over the threshold.
 
-        terms: of each word of a document, -1 for words of no item. A passage's bound in
-        a block is the floor plus the block maxima of its telling words, each once. The
-        floor alone reaches no threshold, so blocks without a telling word need no sum.
-        Some thousand words are summed at a time, whatever the length of the document."""
+        terms: of each word of some documents, -1 for words of no item; bounds: where each
+        document starts, and the end. A passage's bound in a block is the floor plus the
+        block maxima of its telling words, each once. The floor alone reaches no threshold,
+        so blocks without a telling word need no sum. Some thousand words are summed at a
+        time, however long a document is."""
+        step = self.stride
         at = np.flatnonzero(terms >= 0)
         at = at[self.telling[terms[at]]]
-        step = self.stride
-        n = len(np.arange(0, max(1, len(terms) - step), step))
         if not len(at):
-            return np.zeros(0, np.int64)
+            return
         # where the same word stood before, so that a passage counts each word once
         own = terms[at]
         order = np.argsort(own, kind="stable")
         before = np.full(len(at), -1, np.int64)
         same = own[order[1:]] == own[order[:-1]]
         before[order[1:][same]] = at[order[:-1][same]]
-        half = at // step
+        doc = np.searchsorted(bounds, at, "right") - 1
+        half = (at - bounds[doc]) // step
+        begin = bounds[doc] + half * step
+        passages = np.maximum(1, -(-(np.diff(bounds) - step) // step))
+        base = np.cumsum(passages) - passages
         # a word counts for the passage that starts with its half and for the one before
-        first, second = np.flatnonzero(before < half * step), np.flatnonzero(before < (half - 1) * step)
-        passage = np.concatenate([half[first], half[second] - 1])
-        word = np.concatenate([own[first], own[second]])
-        fine = (passage >= 0) & (passage < n)
-        order = np.argsort(passage[fine], kind="stable")
-        passage, word = passage[fine][order], word[fine][order]
-        found, lo = [], 0
+        first = np.flatnonzero((before < begin) & (half < passages[doc]))
+        second = np.flatnonzero((before < begin - step) & (half > 0))
+        passage = np.concatenate([(base[doc] + half)[first], (base[doc] + half - 1)[second]])
+        order = np.argsort(passage, kind="stable")
+        passage, word = passage[order], np.concatenate([own[first], own[second]])[order]
+        lo = 0
         while lo < len(passage):
             # whole passages, as many as GATHERED words make
             hi = len(passage) if lo + GATHERED >= len(passage) else max(int(np.searchsorted(passage, passage[lo + GATHERED])), int(np.searchsorted(passage, passage[lo], "right")))
-            found.append(self._above(passage[lo:hi], word[lo:hi]))
+            found = self._above(passage[lo:hi], word[lo:hi])
+            for x, d in zip(found.tolist(), (np.searchsorted(base, found, "right") - 1).tolist()):
+                yield d, (x - int(base[d])) * step
             lo = hi
-        return np.concatenate(found) * step if found else np.zeros(0, np.int64)
 
     def _above(self, passage: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The passages whose bound reaches the threshold in some block."""
@@ -161,8 +167,9 @@ class Index:
 
     def _peak(self, t: int, block: int) -> float:
         """The greatest score of a word in a block; 0 where it is not in it."""
-        at = int(np.searchsorted(self.blocks[t], block))
-        return float(self.peaks[t][at]) if at < len(self.blocks[t]) and self.blocks[t][at] == block else 0.0
+        own = self.blocks[t]
+        at = bisect.bisect_left(own, block)
+        return self.peaks[t][at] if at < len(own) and own[at] == block else 0.0
 
     def retrieve(self, terms: set[int]) -> dict[int, float]:
         """Every item that scores THRESHOLD or more over the terms: block-max WAND."""
@@ -277,23 +284,38 @@ def build(items: list[tuple[int, bytes]], figures: tuple[int, dict[bytes, int],
     return Benchmark([Index(x, n_all, df, average) for _, x in sorted(classes.items())])
 
 
-def search(benchmark: Benchmark, text: bytes) -> list[tuple[int, float, float, float, float, int]]:
-    """(item id, score, overlap, question overlap, answer overlap, word) of leaked items."""
-    words = words_of(text)
-    best: dict[int, tuple] = {}
+def search(benchmark: Benchmark, texts: list[bytes]) -> list[list[tuple[int, float, float, float, float, int]]]:
+    """Of each text the (item id, score, overlap, question overlap, answer overlap, word) of
+    leaked items."""
     get = benchmark.word.get
-    known = np.array([get(w, -1) for w in words], np.int32)
+    docs = [words_of(t) for t in texts]
+    known = np.array([get(w, -1) for words in docs for w in words], np.int32)
+    bounds = np.concatenate([[0], np.cumsum([len(w) for w in docs])]).astype(np.int64)
+    best: list[dict[tuple[int, int], tuple]] = [{} for _ in docs]
     for nth, (index, own) in enumerate(zip(benchmark.indexes, benchmark.terms)):
         terms = own[known]
-        for start in index.candidates(terms).tolist():
-            part = terms[start : start + 2 * index.stride]
+        for d, start in index.candidates(terms, bounds):
+            part = terms[bounds[d] + start : min(bounds[d] + start + 2 * index.stride, bounds[d + 1])]
             for item, score in index.retrieve(set(part[part >= 0].tolist())).items():
-                whole, question, answer = index.verify(item, words, start)
+                whole, question, answer = index.verify(item, docs[d], start)
                 if whole >= OVERLAP and question >= HALF_OVERLAP and answer >= HALF_OVERLAP:
                     key = (nth, item)
-                    if key not in best or (whole, score) > (best[key][2], best[key][1]):
-                        best[key] = (index.items[item][0], score, whole, question, answer, start)
-    return sorted(best.values(), key=lambda x: (x[0], x[5]))
+                    if key not in best[d] or (whole, score) > (best[d][key][2], best[d][key][1]):
+                        best[d][key] = (index.items[item][0], score, whole, question, answer, start)
+    return [sorted(x.values(), key=lambda x: (x[0], x[5])) for x in best]
+
+
+def _some(texts: list[bytes | None], most: int = 1 << 19) -> Iterator[list[bytes]]:
+    """The texts, nulls as empty ones, about so many bytes at a time."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t or b"")
+        size += len(t or b"")
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 _DDL = "array<struct<item_id:bigint,score:double,overlap:double,question_overlap:double,answer_overlap:double,word:bigint>>"
@@ -307,7 +329,7 @@ def _searcher(held):
         if not state:
             state.append(build(*held.value))
         names = [f.name for f in _KIND.value_type]
-        return pa.array([[dict(zip(names, x)) for x in search(state[0], t)] if t else [] for t in as_bytes(texts)], _KIND)
+        return pa.array([[dict(zip(names, x)) for x in found] for part in _some(as_bytes(texts)) for found in search(state[0], part)], _KIND)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, _DDL).asNondeterministic()

@@ -127,24 +127,26 @@ def test_no_passage_above_the_threshold_is_passed_over(monkeypatch):
     hits = 0
     for gathered in (D.GATHERED, 50):
         monkeypatch.setattr(D, "GATHERED", gathered)
-        for _ in range(25):
-            words = rng.choices(vocab, weight, k=rng.randint(0, 1500))
-            for _ in range(rng.randint(0, 4)):
-                at = rng.randint(0, len(words))
-                words[at:at] = rng.choice(items)[1].split()[: rng.randint(3, 90)]
+        for _ in range(8):
+            docs = [rng.choices(vocab, weight, k=rng.choice([0, 3, 40, rng.randint(0, 1500)])) for _ in range(4)]
+            for words in docs:
+                for _ in range(rng.randint(0, 4)):
+                    at = rng.randint(0, len(words))
+                    words[at:at] = rng.choice(items)[1].split()[: rng.randint(3, 90)]
+            bounds = np.cumsum([0, *map(len, docs)])
             for index in bench.indexes:
-                terms = np.array([index.term.get(w, -1) for w in words], np.int32)
-                got = set()
-                for start in index.candidates(terms).tolist():
-                    part = terms[start : start + 2 * index.stride]
-                    got |= {(start, i) for i in index.retrieve(set(part[part >= 0].tolist()))}
-                want = set()
-                for start in range(0, max(1, len(words) - index.stride), index.stride):
-                    score = Counter()
-                    for t in set(terms[start : start + 2 * index.stride].tolist()) - {-1}:
-                        for i, x in zip(index.posting_items[t], index.posting_scores[t]):
-                            score[i] += x
-                    want |= {(start, i) for i, x in score.items() if x >= D.THRESHOLD - 1e-9}
+                terms = np.array([index.term.get(w, -1) for words in docs for w in words], np.int32)
+                got, want = set(), set()
+                for d, start in index.candidates(terms, bounds):
+                    part = terms[bounds[d] : bounds[d + 1]][start : start + 2 * index.stride]
+                    got |= {(d, start, i) for i in index.retrieve(set(part[part >= 0].tolist()))}
+                for d, words in enumerate(docs):
+                    for start in range(0, max(1, len(words) - index.stride), index.stride):
+                        score = Counter()
+                        for t in set(terms[bounds[d] : bounds[d + 1]][start : start + 2 * index.stride].tolist()) - {-1}:
+                            for i, x in zip(index.posting_items[t], index.posting_scores[t]):
+                                score[i] += x
+                        want |= {(d, start, i) for i, x in score.items() if x >= D.THRESHOLD - 1e-9}
                 assert got == want
                 hits += len(want)
     assert hits > 100
