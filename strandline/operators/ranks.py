@@ -27,7 +27,7 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, least: int = 6) -> Da
     w = Window.partitionBy(*by)
     ranked = mid_rank(mid_rank(fine, by, "x", "rx"), by, "y", "ry")
     live = ranked.withColumn("n_", F.count("*").over(w)).withColumn("vx", F.max("x").over(w) > F.min("x").over(w)).withColumn("vy", F.max("y").over(w) > F.min("y").over(w))
-    rho = live.where((F.col("n_") >= least) & F.col("vx") & F.col("vy")).groupBy(*by).agg(F.corr("rx", "ry").alias("rho"))
+    rho = live.where((F.col("n_") >= least) & F.col("vx") & F.col("vy")).groupBy(*by).agg((F.corr("rx", "ry") + F.lit(0.0)).alias("rho"))  # no negative zero
     return sizes.join(rho, by, "left")
 
 

@@ -89,9 +89,8 @@ def loo_pc1(spark, sf_dir):
 
 @query
 def rewrites_all(spark, sf_dir):
-    """F1-F10 over all loci."""
-    loci = D.loci(spark, sf_dir).select("key", "cds")
-    return loci.select("key", "cds", *[rewrites.rewrite(n, "key", "cds").alias(n) for n in rewrites.NAMES])
+    """F1-F10 over all loci, two draws each, with the codon usage of the family."""
+    return rewrites.rewrites(D.loci(spark, sf_dir), "key", "family", "cds")
 
 
 @query

@@ -105,25 +105,23 @@ def pair_identity(spark, sf_dir):
     return p.select("key", E(S.hamming("a", "b")).cast("long").alias("hamming"), *[F.round(E(x), 9).alias(n) for n, x in (("pos_identity", S.positional_identity("a", "b")), ("edit_identity", S.edit_identity("a", "b")), ("chance_identity", S.chance_identity("a", "b")), ("aa_identity", S.positional_identity("pa", "pb")))])
 
 
-_KMERS = f"""WITH s AS (SELECT key, substr(cds, i, 4) AS kmer FROM (SELECT key, cds, unnest(range(1, length(cds) - 2)) AS i FROM ({D.LOCI_SQL}) WHERE key <= 300)),
- c AS (SELECT key, kmer, count(*) AS n FROM s WHERE regexp_full_match(kmer, '[ACGT]{{4}}') GROUP BY 1, 2),
- f AS (SELECT key, kmer, n, n / CAST(sum(n) OVER (PARTITION BY key) AS DOUBLE) AS freq FROM c)"""
+_KMERS = f"""WITH s AS (SELECT key, family, substr(cds, i, 4) AS kmer FROM (SELECT key, family, cds, unnest(range(1, length(cds) - 2)) AS i FROM ({D.LOCI_SQL}))),
+ c AS (SELECT key, family, kmer, count(*) AS n FROM s WHERE regexp_full_match(kmer, '[ACGT]{{4}}') GROUP BY 1, 2, 3),
+ f AS (SELECT key, family, kmer, n, n / CAST(sum(n) OVER (PARTITION BY key) AS DOUBLE) AS freq FROM c)"""
 
 
-@query(_KMERS.replace("WHERE key <= 300", "") + " SELECT key, kmer, round(freq, 9) AS freq FROM f")
+@query(_KMERS + " SELECT key, kmer, round(freq, 9) AS freq FROM f")
 def kmer_freq(spark, sf_dir):
     """Relative frequencies of k-mers without gaps or N."""
     return kmers.frequencies(D.loci(spark, sf_dir), "key", "cds", 4).select("key", "kmer", F.round("freq", 9).alias("freq"))
 
 
-@query(_KMERS.replace("WHERE key <= 300", "WHERE family IN (SELECT min(p_brand) FROM part)") + """, n AS (SELECT key, sqrt(sum(freq * freq)) AS norm FROM f GROUP BY key)
- SELECT x.key AS a, y.key AS b, round(1 - least(1, greatest(-1, coalesce(d.dot, 0) / (x.norm * y.norm))), 7) AS distance
- FROM n x JOIN n y ON x.key < y.key LEFT JOIN (SELECT p.key AS a, q.key AS b, sum(p.freq * q.freq) AS dot FROM f p JOIN f q ON p.kmer = q.kmer AND p.key < q.key GROUP BY 1, 2) d ON d.a = x.key AND d.b = y.key""")
+@query(_KMERS + """, n AS (SELECT family, key, sqrt(sum(freq * freq)) AS norm FROM f GROUP BY 1, 2)
+ SELECT x.family, x.key AS a, y.key AS b, round(1 - least(1, greatest(-1, coalesce(d.dot, 0) / (x.norm * y.norm))), 7) AS distance
+ FROM n x JOIN n y ON x.family = y.family AND x.key < y.key LEFT JOIN (SELECT p.key AS a, q.key AS b, sum(p.freq * q.freq) AS dot FROM f p JOIN f q ON p.family = q.family AND p.kmer = q.kmer AND p.key < q.key GROUP BY 1, 2) d ON d.a = x.key AND d.b = y.key""")
 def kmer_distance(spark, sf_dir):
-    """Cosine distances within one family."""
-    x = D.loci(spark, sf_dir)
-    first = x.agg(F.min("family").alias("family"))
-    return kmers.distances(kmers.frequencies(x.join(first, "family", "left_semi").withColumn("one", F.lit(1)), "key", "cds", 4, group="one"), "key", "one").select("a", "b", F.round("distance", 7).alias("distance"))
+    """Cosine distances within each family."""
+    return kmers.distances(kmers.frequencies(D.loci(spark, sf_dir), "key", "cds", 4, group="family"), "key", "family").select("family", "a", "b", F.round("distance", 7).alias("distance"))
 
 
 _CODON = f"WITH c AS (SELECT key, family, unnest({_codons('cds')}) AS codon FROM ({D.LOCI_SQL})), s AS (SELECT *, {_amino('codon')} AS aa FROM c)"

@@ -22,36 +22,35 @@ def query(sql: str | None = None):
     return add
 
 
-_V = f"""WITH q AS ({D.PAIRS_SQL}), x AS (SELECT key % 40 AS k, unnest(range(0, length(b))) AS i, b FROM q), v AS (SELECT k, CAST(i AS INT) AS i, substr(b, i + 1, 1) AS base, count(*) AS n FROM x WHERE substr(b, i + 1, 1) IN ('A', 'C', 'G', 'T') GROUP BY 1, 2, 3),
- s AS (SELECT key AS k, CAST(i AS INT) AS i, substr(a, i + 1, 1) AS h, substr(b, i + 1, 1) AS p FROM (SELECT key, a, b, unnest(range(0, least(length(a), length(b)))) AS i FROM q WHERE key < 40) WHERE substr(a, i + 1, 1) <> substr(b, i + 1, 1))"""
+#: Every key is a target; its voters are the other keys of its group of ten.
+_V = f"""WITH q AS ({D.PAIRS_SQL}), g AS (SELECT key, key // 10 AS grp, a, b FROM q),
+ x AS (SELECT grp, b, unnest(range(0, length(b))) AS i FROM g), v AS (SELECT grp, CAST(i AS INT) AS i, substr(b, i + 1, 1) AS base, count(*) AS n FROM x WHERE substr(b, i + 1, 1) IN ('A', 'C', 'G', 'T') GROUP BY 1, 2, 3),
+ s AS (SELECT key, CAST(i AS INT) AS i, substr(a, i + 1, 1) AS h, substr(b, i + 1, 1) AS p FROM (SELECT key, a, b, unnest(range(0, least(length(a), length(b)))) AS i FROM q) WHERE substr(a, i + 1, 1) <> substr(b, i + 1, 1))"""
 
 
-def _votes(spark, sf_dir, others: bool):
-    p = D.pairs(spark, sf_dir)
-    p = p.where("key >= 40 AND key < 120") if others else p
-    return S.votes(p.select((F.col("key") % 40).alias("k"), "b"), "k", "b")
+def _grouped(spark, sf_dir):
+    return D.pairs(spark, sf_dir).withColumn("grp", F.expr("key DIV 10"))
 
 
-def _sites(spark, sf_dir):
-    return S.differing(D.pairs(spark, sf_dir).where("key < 40").withColumnRenamed("key", "k"), "k", "a", "b")
-
-
-@query(_V + " SELECT k, i, CASE WHEN count(*) = 1 THEN min(base) ELSE '-' END AS base FROM v JOIN (SELECT k, i, max(n) AS n FROM v GROUP BY 1, 2) USING (k, i, n) GROUP BY 1, 2")
+@query(_V + " SELECT grp, i, CASE WHEN count(*) = 1 THEN min(base) ELSE '-' END AS base FROM v JOIN (SELECT grp, i, max(n) AS n FROM v GROUP BY 1, 2) USING (grp, i, n) GROUP BY 1, 2")
 def consensus(spark, sf_dir):
-    """The unique mode of votes, '-' on ties."""
-    return S.consensus(_votes(spark, sf_dir, False), "k")
+    """The unique mode of a group's votes, '-' on ties."""
+    return S.consensus(S.votes(_grouped(spark, sf_dir), "grp", "b"), "grp")
 
 
-@query(_V.replace("unnest(range(0, length(b))) AS i, b FROM q)", "unnest(range(0, length(b))) AS i, b FROM q WHERE key >= 40 AND key < 120)") + " SELECT k, i, h, p FROM s WHERE k IN (SELECT k FROM v) AND NOT EXISTS (SELECT 1 FROM v WHERE v.k = s.k AND v.i = s.i AND v.base = s.p)")
+@query(_V + ", o AS (SELECT DISTINCT x.key, y.key AS voter, y.b FROM g x JOIN g y ON x.grp = y.grp AND x.key <> y.key) SELECT key, i, h, p FROM s WHERE key IN (SELECT key FROM o) AND NOT EXISTS (SELECT 1 FROM o WHERE o.key = s.key AND substr(o.b, s.i + 1, 1) = s.p)")
 def private_sites(spark, sf_dir):
-    """Sites whose base no voter shares."""
-    return S.private(_sites(spark, sf_dir), _votes(spark, sf_dir, True), "k").select("k", "i", "h", "p")
+    """Sites whose base no other key of the group shows."""
+    g = _grouped(spark, sf_dir)
+    x, y = g.select("key", "grp").alias("x"), g.select("key", "grp", "b").alias("y")
+    voters = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.key") != F.col("y.key"))).select(F.col("x.key").alias("key"), F.col("y.b").alias("b"))
+    return S.private(S.differing(g, "key", "a", "b"), S.votes(voters, "key", "b"), "key").select("key", "i", "h", "p")
 
 
-@query(_V + " SELECT k, i, h, p FROM s")
+@query(_V + " SELECT key, i, h, p FROM s")
 def diagnostic_sites(spark, sf_dir):
     """E22-E24 without gaps."""
-    return _sites(spark, sf_dir)
+    return S.differing(D.pairs(spark, sf_dir), "key", "a", "b")
 
 
 @query(_M + " SELECT gene % 8 AS layer, count(*) AS n, round(avg(delta), 7) AS mean, round(avg(delta) - stddev_samp(delta), 7) AS low, round(avg(delta) + stddev_samp(delta), 7) AS high FROM d GROUP BY 1")
