@@ -134,3 +134,28 @@ def synonymous_sites(codon: str) -> str:
             changed = f"overlay({codon} PLACING '{base}' FROM {place})"
             parts.append(f"CASE WHEN substr({codon}, {place}, 1) <> '{base}' AND {amino(changed)} = {amino(codon)} THEN 1 ELSE 0 END")
     return "((" + " + ".join(parts) + ") / 3.0D)"
+
+
+def window_bounds(length: str, window: int, most: int) -> str:
+    """Windows over a length as an array of (i, start, stop): contiguous ones of about the
+    window's size, or ``most`` evenly spaced ones where more would be needed."""
+    n = f"CAST(ceil({length} / {window}.0D) AS INT)"
+    half, gaps = window // 2, max(1, most - 1)
+    even = lambda x: f"CAST(bround({x}, 0) AS INT)"  # noqa: E731  (half to even)
+    centre = f"CAST({half} + i * ({length} - {2 * half}) / {gaps}.0D AS INT)"
+    near = f"transform(sequence(0, {n} - 1), i -> struct(i, {even(f'i * {length} / CAST({n} AS DOUBLE)')} AS start, {even(f'(i + 1) * {length} / CAST({n} AS DOUBLE)')} AS stop))"
+    far = f"transform(sequence(0, {most - 1}), i -> struct(i, {centre} - {half} AS start, {centre} + {half} AS stop))"
+    return f"CASE WHEN {length} <= {window} THEN array(struct(0 AS i, 0 AS start, CAST({length} AS INT) AS stop)) WHEN {n} <= {most} THEN {near} ELSE {far} END"
+
+
+def replaced(s: str, places: str, new: str) -> str:
+    """s with the letters of ``new`` at places (from 0); an error where their numbers differ."""
+    at = f"map_from_arrays({places}, split({new}, ''))"
+    ok = f"size({places}) = length({new})"
+    done = f"array_join(transform(sequence(0, length({s}) - 1), i -> coalesce(try_element_at({at}, i), substr({s}, i + 1, 1))), '')"
+    return f"CASE WHEN {ok} THEN {done} ELSE raise_error('as many places as letters are needed') END"
+
+
+def p_label(p: str) -> str:
+    """A p value as text: null as n/a, small ones as a bound."""
+    return f"CASE WHEN {p} IS NULL THEN 'n/a' WHEN {p} < 0.001 THEN 'p < 0.001' ELSE concat('p = ', format_string('%.3f', {p})) END"

@@ -149,3 +149,35 @@ def filled(df: DataFrame, by: str, order: str, x: str) -> DataFrame:
     forward = F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     back = F.first(x, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     return df.withColumn(x + "_filled", F.coalesce(forward, back))
+
+
+def extreme_rows(df: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
+    """The first k rows of each group in a total order."""
+    return df.withColumn("r_", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r_") <= k).drop("r_")
+
+
+def first_seen(df: DataFrame, x: str, place: str) -> DataFrame:
+    """(x, first_place): distinct values by where they first stand."""
+    return df.groupBy(x).agg(F.min(place).alias("first_place"))
+
+
+def adaptive_count(n: str, target: int = 400, low: int = 5, high: int = 16) -> Column:
+    """How many samples a record of n sites needs for the target."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.ceil(target / F.col(n)))).cast("int")
+
+
+def extended_window(sites: DataFrame, key: str, place: str, start: int, step: int, least: int, most: int) -> DataFrame:
+    """(key, window, n): the smallest of start, start + step, ... up to most that holds
+    ``least`` sites, or most. The window follows from the place of the least-th site."""
+    nth = F.element_at(F.array_sort(F.collect_list(place)), least)
+    g = sites.groupBy(key).agg(F.count("*").alias("all_"), F.when(F.count("*") >= least, nth).alias("at_"))
+    need = F.greatest(F.lit(start), F.lit(start) + F.ceil((F.col("at_") + 1 - start) / step) * step)
+    w = g.withColumn("window", F.least(F.lit(most), F.coalesce(need, F.lit(most))).cast("int"))
+    inside = sites.join(w.select(key, "window"), key).where(F.col(place) < F.col("window")).groupBy(key).agg(F.count("*").alias("n"))
+    return w.select(key, "window").join(inside, key, "left").select(key, "window", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def offsets(sizes: DataFrame, order: str, size: str, by: list[str] = ()) -> DataFrame:
+    """sizes with ``offset``: what comes before, in order, within each group."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)))

@@ -72,3 +72,76 @@ def largest_difference(a: DataFrame, b: DataFrame, keys: list[str], x: str) -> D
     """(n, max_abs): over keys that both have."""
     j = a.select(*keys, F.col(x).alias("xa")).join(b.select(*keys, F.col(x).alias("xb")), keys)
     return j.agg(F.count("*").alias("n"), F.max(F.abs(F.col("xa") - F.col("xb"))).alias("max_abs"))
+
+
+# -- filters and lookups that fail loudly --------------------------------------------------
+
+
+def allowed(df: DataFrame, column: str, allow: list[str], deny: list[str] = ()) -> DataFrame:
+    """Rows whose value is allowed; denied values go, and a value of neither list is an error
+    that names it (at most ten)."""
+    unknown = df.where(~F.col(column).isin(*allow, *deny)).select(column).distinct().limit(10).collect()
+    if unknown:
+        raise ValueError(f"{column} has values that no list names: {sorted(str(r[0]) for r in unknown)}")
+    return df.where(F.col(column).isin(*allow))
+
+
+def first_column(df: DataFrame, prefixes: list[str], name: str) -> str:
+    """The name of the first column <prefix><name> that df has."""
+    for p in prefixes:
+        if p + name in df.columns:
+            return p + name
+    raise ValueError(f"no column for {name} under {prefixes}")
+
+
+def metrics_present(df: DataFrame, metrics: list[str], excluded: list[str] = ()) -> list[str]:
+    """The metrics, in their order, that df has with a value in some row."""
+    there = [m for m in metrics if m in df.columns and m not in excluded]
+    n = df.agg(*[F.count(F.nanvl(F.col(m).cast("double"), F.lit(None))).alias(m) for m in there]).first() if there else {}
+    return [m for m in there if n[m]]
+
+
+def lookup(df: DataFrame, by: str, records: DataFrame, key: str, expected: str, found: str) -> DataFrame:
+    """df with the record of its key and ``reason``: no_match, id_mismatch (expected and
+    found differ), missing_record (the record holds nothing), null if all is well."""
+    r = records.withColumn("hit_", F.lit(True))
+    j = df.join(r, df[by] == r[key], "left")
+    reason = F.when(F.col("hit_").isNull(), "no_match").when(F.col(found).isNull(), "missing_record").when(F.col(expected) != F.col(found), "id_mismatch")
+    return j.withColumn("reason", reason).drop("hit_")
+
+
+def same_order(a: DataFrame, b: DataFrame, place: str, key: str) -> DataFrame:
+    """(place, a, b): the places where two listings do not name the same key."""
+    x, y = a.select(F.col(place).alias("place"), F.col(key).alias("a")), b.select(F.col(place).alias("place"), F.col(key).alias("b"))
+    return x.join(y, "place", "full").where(~F.col("a").eqNullSafe(F.col("b")))
+
+
+def disagreements(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, only_in): keys that only one of two derivations has; empty if they agree."""
+    x, y = a.select(*keys).distinct(), b.select(*keys).distinct()
+    return x.join(y, keys, "left_anti").withColumn("only_in", F.lit("a")).unionByName(y.join(x, keys, "left_anti").withColumn("only_in", F.lit("b")))
+
+
+def must_agree(a: DataFrame, b: DataFrame, keys: list[str], what: str) -> None:
+    """An error that names some keys where two derivations differ."""
+    rows = disagreements(a, b, keys).limit(5).collect()
+    if rows:
+        raise ValueError(f"{what}: derivations differ at {[tuple(r) for r in rows]}")
+
+
+def broken_references(members: DataFrame, key: str, registry: DataFrame, name: str) -> DataFrame:
+    """(name, problem): members of no registered name, and registered names without any."""
+    m, r = members.select(F.col(key).alias("name")).distinct(), registry.select(F.col(name).alias("name")).distinct()
+    return m.join(r, "name", "left_anti").withColumn("problem", F.lit("unregistered")).unionByName(r.join(m, "name", "left_anti").withColumn("problem", F.lit("empty")))
+
+
+def in_every(df: DataFrame, key: str, group: str) -> DataFrame:
+    """(key): keys that every group has."""
+    n = df.agg(F.count_distinct(group).alias("groups_"))
+    return df.groupBy(key).agg(F.count_distinct(group).alias("n_")).join(n, F.col("n_") == F.col("groups_")).select(key)
+
+
+def in_curated_order(df: DataFrame, label: str, curated: list[str], least: int) -> DataFrame:
+    """(label, place, n): labels of enough rows in a curated order; one outside it is an error."""
+    n = allowed(df, label, curated).groupBy(label).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return n.withColumn("place", F.array_position(F.array(*map(F.lit, curated)), F.col(label)).cast("int") - 1)
