@@ -1,3 +1,135 @@
-"""Queries."""
+"""Queries of alignments. On sequences with isolated differences the best alignment has no
+gaps, so plain SQL over places says what they must give."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strandline.operators import align as A, sites as S
+from strandline.plans import derived as D
+from strandline.plans.sequence_queries import _amino, _protein
 
 Q, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_trim = lambda s: f"regexp_replace({_protein(s, 'coalesce(' + _amino('c') + chr(44) + chr(39) + 'X' + chr(39) + ')')}, '[*]$', '')"
+_PAIR = f"WITH c AS (SELECT key, family, a, b, {_trim('a')} AS pa, {_trim('b')} AS pb FROM ({D.CLOSE_SQL}))"
+_SITES = _PAIR + """, p AS (SELECT key, a, b, pa, pb, unnest(range(0, 3 * length(pa))) AS i FROM c),
+ s AS (SELECT key, CAST(i AS INT) AS h_idx, CAST(i AS INT) AS t_idx, substr(a, i + 1, 1) AS h_base, substr(b, i + 1, 1) AS t_base, substr(pa, i // 3 + 1, 1) <> substr(pb, i // 3 + 1, 1) AS aa_change FROM p WHERE substr(a, i + 1, 1) IN ('A','C','G','T') AND substr(b, i + 1, 1) IN ('A','C','G','T'))"""
+
+
+def _aligned(spark, sf_dir):
+    return A.codon_blocks(D.close_pairs(spark, sf_dir), "key", "a", "b")
+
+
+@query(_PAIR + " SELECT key, pa, pb, CAST(1 AS INT) AS n_blocks, CAST(0 AS INT) AS hs, CAST(length(pa) AS INT) AS he, CAST(0 AS INT) AS ts, CAST(length(pb) AS INT) AS te FROM c")
+def codon_blocks(spark, sf_dir):
+    """Blocks of the codon-aware alignment."""
+    b = _aligned(spark, sf_dir)
+    return b.select("key", "pa", "pb", F.size("blocks").alias("n_blocks"), *[F.col("blocks")[0][x].alias(x) for x in ("hs", "he", "ts", "te")])
+
+
+@query(_SITES + " SELECT key, h_idx, h_base, t_base, aa_change FROM s WHERE h_base <> t_base")
+def codon_diagnostic_sites(spark, sf_dir):
+    """Differing places of aligned codons."""
+    return A.codon_sites(_aligned(spark, sf_dir), "key").where("differs").select("key", "h_idx", "h_base", "t_base", "aa_change")
+
+
+@query(_SITES + " SELECT key, count(*) FILTER (h_base = t_base) AS n_conserved, count(*) FILTER (h_base <> t_base) AS n_differing FROM s GROUP BY 1")
+def conserved_sites(spark, sf_dir):
+    """How many places are conserved."""
+    return A.codon_sites(_aligned(spark, sf_dir), "key").groupBy("key").agg(F.count_if(~F.col("differs")).alias("n_conserved"), F.count_if("differs").alias("n_differing"))
+
+
+@query(_SITES + " SELECT key, t_idx - 30 AS i, t_base AS base FROM s WHERE h_base <> t_base AND t_idx >= 30")
+def continuation_sites(spark, sf_dir):
+    """Differing places behind a prefix of 30 bases."""
+    return A.continuation_sites(A.codon_sites(_aligned(spark, sf_dir), "key"), "key", 30)
+
+
+@query(_PAIR + ", p AS (SELECT key, pa, unnest(range(30, 3 * length(pa))) AS i FROM c) SELECT key, CAST(i AS INT) AS h_idx, CAST(i AS INT) AS t_idx FROM p")
+def context_places(spark, sf_dir):
+    """Places with 30 bases of the same block before them."""
+    return A.context_places(_aligned(spark, sf_dir), "key", 30)
+
+
+_SAME = "len(list_filter(range(1, length(pa) + 1), lambda i: substr(pa, i, 1) = substr(pb, i, 1)))"
+
+
+@query(_PAIR + f" SELECT key, CAST(1 AS INT) AS n_blocks, CAST(length(pa) AS INT) AS matched, 0.0::DOUBLE AS indel_frac, round({_SAME} / CAST(greatest(length(pa), 1) AS DOUBLE), 6) AS aa_identity FROM c")
+def block_facts(spark, sf_dir):
+    """E35."""
+    return A.block_facts(_aligned(spark, sf_dir)).select("key", "n_blocks", "matched", "indel_frac", "aa_identity")
+
+
+@query(_PAIR + " SELECT key, CASE WHEN length(pa) < 12 THEN 'indel_in_prefix' WHEN instr(substr(pa, 1, 12), '*') > 0 THEN 'stop_in_prefix_a' WHEN instr(substr(pb, 1, 12), '*') > 0 THEN 'stop_in_prefix_b' END AS reason FROM c")
+def prefix_gate(spark, sf_dir):
+    """Whether the first twelve codons can be a common prefix."""
+    return A.prefix_gate(_aligned(spark, sf_dir), 12).select("key", "reason")
+
+
+@query(_PAIR + ", w AS (SELECT key, length(pa) >= 12 AND instr(substr(pa, 1, 12), '*') = 0 AND instr(substr(pb, 1, 12), '*') = 0 AS ok FROM c) SELECT key, CASE WHEN ok THEN CAST(0 AS INT) END AS start_h, CASE WHEN ok THEN CAST(0 AS INT) END AS start_t, CASE WHEN NOT ok THEN 'window_starts_too_late' END AS reason FROM w")
+def window_gate(spark, sf_dir):
+    """The first block that can hold the prefix."""
+    return A.window_gate(_aligned(spark, sf_dir), 12, 20).select("key", "start_h", "start_t", "reason")
+
+
+_NT = f"WITH c AS (SELECT key, family, a, b FROM ({D.CLOSE_SQL})), p AS (SELECT key, a, b, unnest(range(0, length(a))) AS i FROM c), s AS (SELECT key, CAST(i AS INT) AS i, substr(a, i + 1, 1) AS h, substr(b, i + 1, 1) AS t FROM p)"
+
+
+@query(_NT + " SELECT key, CAST(count(*) FILTER (h = t) AS DOUBLE) AS score, round(count(*) FILTER (h = t) / CAST(count(*) AS DOUBLE), 9) AS identity, CAST(0 AS INT) AS gap_places, coalesce(string_agg(CASE WHEN h <> t AND t IN ('A','C','G','T') THEN CAST(i AS VARCHAR) END, ',' ORDER BY i), '') AS sites FROM s GROUP BY 1")
+def align_sites(spark, sf_dir):
+    """One alignment a pair: score, identity and the places that differ."""
+    x = A.sites(D.close_pairs(spark, sf_dir), "key", "a", "b")
+    return x.select("key", "score", F.round("identity", 9).alias("identity"), "gap_places", F.array_join(F.col("sites").cast("array<string>"), ",").alias("sites"))
+
+
+@query(_NT + " SELECT key, string_agg(CASE WHEN t IN ('A','C','G','T') THEN CAST(instr('ACGT', t) - 1 AS VARCHAR) ELSE '-1' END, ',' ORDER BY i) AS calls FROM s GROUP BY 1")
+def called_bases(spark, sf_dir):
+    """The base called at each place of the target."""
+    return A.called_bases(D.close_pairs(spark, sf_dir), "key", "a", "b").select("key", F.array_join(F.col("calls").cast("array<string>"), ",").alias("calls"))
+
+
+_MADE = _NT + f", f AS (SELECT key, {_protein('b', 'coalesce(' + _amino('c') + chr(44) + chr(39) + 'X' + chr(39) + ')')} AS qb, {_protein('a', 'coalesce(' + _amino('c') + chr(44) + chr(39) + 'X' + chr(39) + ')')} AS qa, length(a) AS n FROM c)"
+
+
+@query(_MADE + """, m AS (SELECT key, count(*) FILTER (h = t) AS matches, count(*) AS n FROM s GROUP BY 1)
+ SELECT f.key, CAST(f.n AS INT) AS columns, CAST(matches AS INT) AS matches, CAST(0 AS INT) AS indel_bp, round(100 * matches / CAST(m.n AS DOUBLE), 6) AS nt_identity,
+ round(100 * len(list_filter(range(1, length(qa) + 1), lambda i: substr(qa, i, 1) = substr(qb, i, 1))) / CAST(length(qa) AS DOUBLE), 6) AS aa_identity,
+ CAST(length(qb) - length(replace(qb, '*', '')) AS INT) AS n_stops, instr(substr(qb, 1, length(qb) - 1), '*') > 0 AS premature_stop FROM f JOIN m USING (key)""")
+def generation_scores(spark, sf_dir):
+    """A made sequence against its target."""
+    x = A.generation_scores(D.close_pairs(spark, sf_dir), "key", "b", "a")
+    return x.select("key", "columns", "matches", "indel_bp", F.round("nt_identity", 6).alias("nt_identity"), F.round("aa_identity", 6).alias("aa_identity"), "n_stops", "premature_stop")
+
+
+_VOTE = ", g AS (SELECT key, key // 10 AS grp FROM c), o AS (SELECT DISTINCT x.key, s.i, s.t FROM g x JOIN g y ON x.grp = y.grp AND x.key <> y.key JOIN s ON s.key = y.key)"
+
+
+@query(_NT + _VOTE + """, d AS (SELECT key, i, h AS base, (key, i, h) IN (SELECT (key, i, t) FROM o) AS shared FROM s WHERE h <> t AND h IN ('A','C','G','T')),
+ made AS (SELECT key, i, CASE WHEN i % 2 = 0 THEN h ELSE t END AS m FROM s)
+ SELECT c.key, count(d.i) AS n_diagnostic, round(100 * avg((m = base)::INT), 6) AS pct_diagnostic, count(d.i) FILTER (NOT shared) AS n_private, round(100 * avg((m = base)::INT) FILTER (NOT shared), 6) AS pct_private FROM c LEFT JOIN d ON d.key = c.key LEFT JOIN made ON made.key = d.key AND made.i = d.i GROUP BY 1""")
+def two_site_sets(spark, sf_dir):
+    """Recovery of two sets of sites from one alignment: all differing places, and those
+    whose target base no other key of the group shows."""
+    p = D.close_pairs(spark, sf_dir)
+    made = p.withColumn("m", F.expr("array_join(transform(sequence(0, length(a) - 1), i -> substr(CASE WHEN i % 2 = 0 THEN a ELSE b END, i + 1, 1)), '')"))
+    diagnostic = S.differing(p, "key", "b", "a").where("p IN ('A', 'C', 'G', 'T')")  # the target's base is p
+    g = p.withColumn("grp", F.expr("key DIV 10"))
+    x, y = g.select("key", "grp").alias("x"), g.select("key", "grp", "b").alias("y")
+    votes = S.votes(x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.key") != F.col("y.key"))).select(F.col("x.key").alias("key"), F.col("y.b").alias("b")), "key", "b")
+    private = diagnostic.join(votes.select("key", "i", F.col("base").alias("p")), ["key", "i", "p"], "left_anti")
+    calls = A.called_bases(made, "key", "a", "m")
+    named = lambda d: d.select("key", "i", F.col("p").alias("base"))
+    out = A.site_hits(calls, named(diagnostic), "key", "diagnostic").join(A.site_hits(calls, named(private), "key", "private"), "key")
+    return out.select("key", "n_diagnostic", F.round("pct_diagnostic", 6).alias("pct_diagnostic"), "n_private", F.round("pct_private", 6).alias("pct_private"))

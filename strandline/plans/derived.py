@@ -33,10 +33,19 @@ SELECT key, family, cds AS a,
   SELECT key, family, cds, {{pick}} AS array_join_chars FROM ({LOCI}) l WHERE key % 7 <> 0 AND key % 11 <> 0) q
 """
 
+#: A copy that differs at isolated places only (no two within twelve): any alignment that
+#: opens gaps scores less than the one without.
+CLOSE = f"""
+SELECT key, family, cds AS a, {{close}} AS b FROM ({LOCI}) l WHERE key % 7 <> 0 AND key % 11 <> 0
+"""
+_SPARK_CLOSE = "array_join(transform(sequence(1, length(cds)), i -> CASE WHEN i % 13 = 5 AND ascii(substr(md5(CAST(key AS STRING) || 'c' || CAST(i AS STRING)), 1, 1)) < 54 THEN translate(substr(cds, i, 1), 'ACGT', 'CGTA') ELSE substr(cds, i, 1) END), '')"
+_DUCK_CLOSE = "array_to_string(list_transform(range(1, length(cds) + 1), lambda i: CASE WHEN i % 13 = 5 AND ascii(substr(md5(CAST(key AS VARCHAR) || 'c' || CAST(i AS VARCHAR)), 1, 1)) < 54 THEN translate(substr(cds, i, 1), 'ACGT', 'CGTA') ELSE substr(cds, i, 1) END), '')"
+
 _SPARK_PICK = "array_join(transform(sequence(4, length(cds)), i -> CASE WHEN ascii(substr(md5(CAST(key AS STRING) || 'm' || CAST(i AS STRING)), 1, 1)) < 52 THEN substr('ACGT', 1 + CAST(i % 4 AS INT), 1) ELSE substr(cds, i, 1) END), '')"
 _DUCK_PICK = "array_to_string(list_transform(range(4, length(cds) + 1), lambda i: CASE WHEN ascii(substr(md5(CAST(key AS VARCHAR) || 'm' || CAST(i AS VARCHAR)), 1, 1)) < 52 THEN substr('ACGT', CAST(1 + i % 4 AS INT), 1) ELSE substr(cds, i, 1) END), '')"
 
 LOCI_SQL = LOCI.format(text="VARCHAR")
+CLOSE_SQL = CLOSE.format(text="VARCHAR", close=_DUCK_CLOSE)
 PAIRS_SQL = PAIRS.format(text="VARCHAR", pick=_DUCK_PICK)
 
 
@@ -51,6 +60,12 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(text, part=table(spark, sf_dir, "part"))
 
 
+def close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, family, a, b): sequences and copies with isolated differences."""
+    text = CLOSE.format(text="STRING", close=_SPARK_CLOSE).replace("FROM part)", "FROM {part})")
+    return spark.sql(text, part=table(spark, sf_dir, "part"))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(gene, condition, sample, value): steering records from events."""
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("gene"), F.col("event_type").alias("condition"), F.col("event_id").alias("sample"), "value")
