@@ -13,15 +13,40 @@ from pyspark.sql import types as T
 
 def fasta(spark: SparkSession, path: str, *, field: int | None = 0, upper: bool = False, separator: str = "|") -> DataFrame:
     """(key, header, seq): key is a field of the header (field 0 where it is short; the
-    whole header for None). Of records of one key the last in the file stands."""
-    raw = spark.read.option("lineSep", ">").text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
-    lines = raw.where(F.trim("value") != "").withColumn("l", F.split(F.regexp_replace("value", "\r", ""), "\n"))
-    header = F.trim(F.element_at("l", 1))
+    whole header for None). A record starts at a ">" that begins a line. Of records of one
+    key the last in the file stands."""
+    rows = fasta_records(spark, path, upper=upper)
+    parts = F.split("header", "\\" + separator)
+    key = F.col("header") if field is None else F.coalesce(F.try_element_at(parts, F.lit(field + 1)), F.element_at(parts, 1))
+    return rows.select(F.trim(key).alias("key"), "header", "seq", "at").groupBy("key").agg(F.max_by(F.struct("header", "seq"), "at").alias("r")).select("key", "r.header", "r.seq")
+
+
+def fasta_records(spark: SparkSession, path: str, *, upper: bool = False) -> DataFrame:
+    """(header, seq, file, at): every record, also those of one header; at orders them."""
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
+    lines = raw.where(F.trim("value") != "").withColumn("l", F.split(F.regexp_replace(F.regexp_replace("value", "\r", ""), "^\\s*>", ""), "\n"))
     seq = F.regexp_replace(F.array_join(F.slice("l", 2, F.size("l")), ""), r"\s", "")
-    parts = F.split(header, "\\" + separator)
-    key = header if field is None else F.coalesce(F.try_element_at(parts, F.lit(field + 1)), F.element_at(parts, 1))
-    rows = lines.select(F.trim(key).alias("key"), header.alias("header"), (F.upper(seq) if upper else seq).alias("seq"), F.struct("file", "block", "pos").alias("at"))
-    return rows.groupBy("key").agg(F.max_by(F.struct("header", "seq"), "at").alias("r")).select("key", "r.header", "r.seq")
+    return lines.select(F.trim(F.element_at("l", 1)).alias("header"), (F.upper(seq) if upper else seq).alias("seq"), "file", F.struct("file", "block", "pos").alias("at"))
+
+
+def family_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(gene, species, gene_id, cds, group): records of headers gene|species|gene_id; shorter
+    headers go. group is the file's name without its ending."""
+    r = fasta_records(spark, path, upper=True).withColumn("f", F.split("header", r"\|")).where(F.size("f") >= 3)
+    last = F.max_by(F.struct(F.col("f")[2].alias("gene_id"), F.col("seq").alias("cds")), "at")
+    group = F.regexp_extract("file", r"([^/]+?)(\.[^/.]*)?$", 1)
+    return r.groupBy(F.trim(F.col("f")[0]).alias("gene"), F.trim(F.col("f")[1]).alias("species"), group.alias("group")).agg(last.alias("r")).select("gene", "species", "r.gene_id", "r.cds", "group")
+
+
+def locus_key(group: str = "group", species: str = "species"):
+    """The key of a locus: <group>__<species>."""
+    return F.concat_ws("__", group, species)
+
+
+def transcript_sequences(records: DataFrame, wanted: DataFrame, transcript: str = "transcript_id") -> DataFrame:
+    """(transcript, seq): sequences of wanted transcripts; versions after a dot don't count."""
+    plain = records.select(F.regexp_replace(F.split("header", r"[\s|]")[0], r"\.\d+$", "").alias(transcript), "seq")
+    return plain.join(wanted.select(F.regexp_replace(transcript, r"\.\d+$", "").alias(transcript)).distinct(), transcript, "left_semi")
 
 
 def longest_per_gene(records: DataFrame, pattern: str = r"gene:([^\s.]+)", stop: bool = False) -> DataFrame:
@@ -102,3 +127,61 @@ def first_that_has(frames: list[DataFrame], keys: list[str]) -> DataFrame:
 def windows(df: DataFrame, seq: str, offset: str, prompt: int, length: str) -> DataFrame:
     """df with window: ``length`` bases from ``prompt`` after an offset."""
     return df.withColumn("window", F.substring(F.col(seq), F.col(offset) + prompt + 1, F.col(length)))
+
+
+def gene_ids(annotation: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(gene_name, gene_id) of gene rows; names: the names to keep."""
+    g = annotation.where(F.col("feature") == "gene").select("gene_name", "gene_id").where("gene_name IS NOT NULL").distinct()
+    return g if names is None else g.join(names.select("gene_name").distinct(), "gene_name", "left_semi")
+
+
+def canonical_transcripts(annotation: DataFrame) -> DataFrame:
+    """(gene_id, transcript_id) of transcripts marked as canonical."""
+    return annotation.where((F.col("feature") == "transcript") & F.col("canonical")).select("gene_id", "transcript_id").distinct()
+
+
+def genome_slices(loci: DataFrame, genome: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", strand: str = "strand") -> DataFrame:
+    """loci with ``span``: their chromosome's bases from start to end (from 1, both
+    included), the reverse complement on the minus strand; null without such a chromosome.
+
+    A chromosome is one row; it goes to its loci by a join, so it is read once a task."""
+    from strandline.functions.sequences import reverse_complement
+
+    j = loci.join(genome.select(chrom, F.col("seq").alias("g_")), chrom, "left")
+    cut = F.substring(F.col("g_"), F.col(start), F.col(end) - F.col(start) + 1)
+    return j.withColumn("s_", cut).withColumn("span", F.when(F.col(strand) == "-", F.expr(reverse_complement("s_"))).otherwise(F.col("s_"))).drop("g_", "s_")
+
+
+def by_layer_folder(spark: SparkSession, path: str, pattern: str = r"/layer_?(\d+)/") -> DataFrame:
+    """CSV tables of a folder for each layer, layer read off the path; other folders go."""
+    df = spark.read.csv(path, header=True, inferSchema=True, recursiveFileLookup=True)
+    layer = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+    return df.withColumn("layer", F.nullif(layer, F.lit("")).cast("int")).where("layer IS NOT NULL")
+
+
+def with_status(records: DataFrame, required: str) -> DataFrame:
+    """records with ``status``: unreadable, missing (no value of the required field) or ok."""
+    broken = F.col("_corrupt_record").isNotNull()
+    return records.withColumn("status", F.when(broken, "unreadable").when(F.col(required).isNull(), "missing").otherwise("ok"))
+
+
+def present_in_order(stack: DataFrame, manifest: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows of a stack whose key the manifest lists, with the manifest's order."""
+    return stack.join(manifest.select(key, order), key)
+
+
+def resolved(tables: list[DataFrame], aliases: dict[str, list[str]], keys: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """(table, which column stands for each metric): the first table that has each metric
+    under one of its names, in order; tables are joined on the keys."""
+    out, evidence = None, {}
+    for metric, names in aliases.items():
+        for number, t in enumerate(tables):
+            own = [n for n in names if n in t.columns]
+            if own:
+                part = t.select(*keys, F.col(own[0]).alias(metric))
+                out = part if out is None else out.join(part, keys, "full")
+                evidence[metric] = f"table {number}: {own[0]}"
+                break
+        else:
+            raise ValueError(f"no table has {metric} under {names}")
+    return out, evidence

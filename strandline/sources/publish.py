@@ -22,8 +22,8 @@ class PublishError(Exception):
 
 def publish(spark: SparkSession, builders: dict[str, tuple[Spec, Callable[[], DataFrame]]], folder: str) -> dict[str, str]:
     """Builds, stores and validates every table in a staging folder; only if all are right
-    does each take its place. Readers follow ``current``, which is replaced last, so a
-    failure at any point leaves what was published before."""
+    are they named in ``published``, by a row that readers look for: the one of the greatest
+    number. A failure at any point leaves what was published before."""
     run = uuid.uuid4().hex
     problems, paths = [], {}
     for name, (spec, build) in builders.items():
@@ -40,14 +40,22 @@ def publish(spark: SparkSession, builders: dict[str, tuple[Spec, Callable[[], Da
         raise PublishError("; ".join(problems))
     pointer = spark.createDataFrame([(n, p) for n, p in paths.items()], "name string, path string").coalesce(1)
     pointer.write.mode("overwrite").json(f"{folder}/runs/{run}/manifest")
-    spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("append").json(f"{folder}/published")
+    spark.createDataFrame([(run, _last(spark, folder)[0] + 1)], "run string, number long").coalesce(1).write.mode("append").json(f"{folder}/published")
     return paths
 
 
+def _last(spark: SparkSession, folder: str) -> tuple[int, str | None]:
+    """(number, run) of the last publication; (0, None) before the first."""
+    fs, target = _fs(spark, f"{folder}/published")
+    if not fs.exists(target):
+        return 0, None
+    row = spark.read.schema("run string, number long").json(f"{folder}/published").agg(F.max(F.struct("number", "run")).alias("r")).first()["r"]
+    return row["number"], row["run"]
+
+
 def published(spark: SparkSession, folder: str) -> dict[str, str]:
     """Tables of the last publication and their paths."""
-    runs = spark.read.json(f"{folder}/published").select("run", F.col("_metadata.file_modification_time").alias("t"))
-    run = runs.orderBy(F.desc("t")).first()["run"]
+    run = _last(spark, folder)[1]
     return {r["name"]: r["path"] for r in spark.read.json(f"{folder}/runs/{run}/manifest").collect()}
 
 
@@ -78,3 +86,43 @@ def reusable(cache: DataFrame, contract: dict[str, object]) -> tuple[DataFrame |
     seen = cache.agg(*[F.collect_set(F.col(c).cast("string")).alias(c) for c in contract]).first()
     wrong = [f"{c}: {sorted(seen[c])} is not {v}" for c, v in contract.items() if set(seen[c]) != {str(v)}]
     return (None, wrong) if wrong else (cache, [])
+
+
+def upgraded(cache: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """A cache of an older contract with the columns it lacks, at their old values."""
+    return cache.withColumns({c: F.lit(v) for c, v in defaults.items() if c not in cache.columns})
+
+
+def write_matrix(distances: DataFrame, folder: str, facts: dict[str, object]) -> None:
+    """A labelled square matrix as CSV (zero diagonal, both triangles of pairs a < b) and
+    its facts as JSON beside it. Labels are few: each is a column."""
+    both = distances.select("a", "b", "d").unionByName(distances.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    names = [r[0] for r in both.select("a").distinct().orderBy("a").collect()]
+    diagonal = distances.sparkSession.createDataFrame([(n, n, 0.0) for n in names], both.schema)
+    both.unionByName(diagonal).groupBy("a").pivot("b", names).agg(F.first("d")).withColumnRenamed("a", "label").coalesce(1).write.csv(f"{folder}/matrix", header=True)
+    spark = distances.sparkSession
+    spark.createDataFrame([(k, str(v)) for k, v in facts.items()], "fact string, value string").coalesce(1).write.json(f"{folder}/facts")
+
+
+def markdown(df: DataFrame, columns: list[str], order: list[str]) -> str:
+    """A small table as a markdown table, rows in order."""
+    rows = df.select(*columns).orderBy(*order).collect()
+    line = lambda cells: "| " + " | ".join(cells) + " |"
+    return "\n".join([line(columns), line(["---"] * len(columns)), *(line(["" if x is None else str(x) for x in r]) for r in rows)])
+
+
+def between_markers(text: str, begin: str, end: str, new: str) -> str:
+    """text with what stands between two marker lines replaced; an error without them."""
+    head, found, rest = text.partition(begin)
+    old, closed, tail = rest.partition(end)
+    if not found or not closed:
+        raise ValueError(f"markers {begin!r} and {end!r} are needed")
+    return f"{head}{begin}\n{new}\n{end}{tail}"
+
+
+def invariant_copies(df: DataFrame, name: str, layer: str, keys: list[str], value: str) -> DataFrame:
+    """(name, md5, n_layers, invariant): a checksum of each baseline's rows, the same in
+    every layer if it may be copied over."""
+    row = F.concat_ws("|", *keys, F.format_string("%.6f", F.col(value)))
+    each = df.groupBy(name, layer).agg(F.md5(F.array_join(F.array_sort(F.collect_list(row)), "\n")).alias("md5"))
+    return each.groupBy(name).agg(F.min("md5").alias("md5"), F.count("*").alias("n_layers"), (F.count_distinct("md5") == 1).alias("invariant"))
