@@ -227,6 +227,11 @@ def sites(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return _in_batches(df, [key], [a, b], run, "score double, identity double, gap_places int, gap_runs int, sites array<int>")
 
 
+def masks(df: DataFrame, key: str, span: str, cds: str) -> DataFrame:
+    """(key, places): the places of a spliced sequence in its span; null where one is missing."""
+    return _in_batches(df, [key], [span, cds], lambda rows: [(coding_places(x, y),) for x, y in rows], "places array<int>")
+
+
 def called_bases(df: DataFrame, key: str, target: str, other: str) -> DataFrame:
     """(key, calls): for each place of the target the base that the aligned other shows."""
     score = nucleotide_scores()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import sequences as S
+from strandline.operators.ordering import numbered, quantiles
 
 
 def qc_flags(df: DataFrame, seq: str, short: int = 100, n_share: float = 0.05, n_run: int = 5) -> DataFrame:
@@ -73,8 +74,8 @@ def overlap_counts(genes: DataFrame, chrom: str, key: str, start: str, end: str,
 
 def quantile_strata(df: DataFrame, x: str, n: int, into: str = "stratum") -> DataFrame:
     """df with the right-closed quantile bin (0 to n - 1) of x by linear quantiles."""
-    edges = df.agg(F.percentile(x, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("e_"))
-    return df.crossJoin(F.broadcast(edges)).withColumn(into, F.size(F.filter("e_", lambda e: e < F.col(x)))).drop("e_")
+    edges = quantiles(df, x, [i / n for i in range(1, n)]).agg(F.array_sort(F.collect_list("value")).alias("e_"))
+    return df.crossJoin(F.broadcast(edges)).withColumn(into, F.size(F.filter("e_", lambda e: e < F.col(x)))).drop("e_")  # one row of n - 1 edges
 
 
 def nearest_to_median(df: DataFrame, by: str, x: str, key: str) -> DataFrame:
@@ -130,17 +131,14 @@ def cap_by_groups(sizes: DataFrame, by: list[str], group: str, size: str, cap: i
 def interleaved(df: DataFrame, stratum: str, order: str) -> DataFrame:
     """df with turn (place in its stratum) and seat: rows go round the strata."""
     x = df.withColumn("turn", F.row_number().over(Window.partitionBy(stratum).orderBy(order)))
-    # strata are few: a seat is the rows of earlier turns plus earlier strata of this turn
-    n = x.groupBy("turn").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    seat = F.row_number().over(Window.partitionBy("turn").orderBy(stratum))
-    return x.withColumn("s_", seat).join(n.select("turn", "before"), "turn").withColumn("seat", F.col("before") + F.col("s_")).drop("before", "s_")
+    return numbered(x, ["turn", stratum], "seat").withColumn("seat", F.col("seat") + 1)
 
 
 def thinned(df: DataFrame, order: str, most: int) -> DataFrame:
     """Every step-th row in order, with the least step that leaves at most ``most``."""
     n = df.count()
     step = max(1, -(-n // most))
-    return df.withColumn("i_", F.row_number().over(Window.orderBy(order)) - 1).where(F.col("i_") % step == 0).drop("i_")
+    return numbered(df, [order], "i_").where(F.col("i_") % step == 0).drop("i_")
 
 
 def filled(df: DataFrame, by: str, order: str, x: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.ordering import value_counts
+
 
 def mid_rank(df: DataFrame, by: list[str], x: str, into: str) -> DataFrame:
     """Average ranks within groups: ties share the mean of their places."""
@@ -47,9 +49,13 @@ def mann_whitney(df: DataFrame, by: list[str], group: str, first, x: str) -> Dat
 def kruskal(df: DataFrame, group: str, x: str, least: int = 3) -> DataFrame:
     """(k, n, h): the tie-corrected Kruskal-Wallis statistic of groups with enough rows."""
     big = df.groupBy(group).agg(F.count("*").alias("c")).where(F.col("c") >= least).select(group)
-    kept = df.join(big, group, "left_semi").withColumn("all_", F.lit(1))
-    sums = rank_sums(kept, ["all_"], group, x)
-    ties = kept.groupBy(x).agg(F.count("*").cast("double").alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    kept = df.select(group, x).join(big, group, "left_semi")
+    # ranks over the whole table, by range partitions
+    v = value_counts(kept, x).withColumn("r_", F.col("before") + (F.col("n") + 1) / 2.0)
+    cells = kept.groupBy(group, x).agg(F.count("*").alias("c")).join(v.select(x, "r_"), x)
+    sums = cells.groupBy(group).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("r_")).alias("rank_sum"))
+    t = F.col("n").cast("double")
+    ties = v.agg(F.sum(t * t * t - t).alias("ties"))
     a = sums.agg(F.count("*").alias("k"), F.sum("n").cast("double").alias("n"), F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("s")).crossJoin(ties)
     h = F.lit(12.0) / (F.col("n") * (F.col("n") + 1)) * F.col("s") - 3 * (F.col("n") + 1)
     return a.select("k", F.col("n").cast("long").alias("n"), F.try_divide(h, 1 - F.col("ties") / (F.col("n") * F.col("n") * F.col("n") - F.col("n"))).alias("h"))

@@ -13,6 +13,16 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def upsert_with_backup(old: DataFrame, new: DataFrame, key: str, old_source: str, new_source: str) -> tuple[DataFrame, DataFrame]:
+    """(upserted rows with ``source`` and ``replaced``, the rows that were replaced)."""
+    keys = new.select(key).distinct()
+    kept = old.join(keys, key, "left_anti").withColumn("source", F.lit(old_source)).withColumn("replaced", F.lit(False))
+    known = old.select(key).distinct().withColumn("known_", F.lit(True))
+    fresh = new.join(known, key, "left").withColumn("source", F.lit(new_source)).withColumn("replaced", F.coalesce("known_", F.lit(False))).drop("known_")
+    backup = old.join(keys, key, "left_semi").withColumn("source", F.lit("backup")).withColumn("replaced", F.lit(False))
+    return kept.unionByName(fresh, allowMissingColumns=True), backup
+
+
 def remaining(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Cells still to do."""
     return wanted.join(done.select(*keys).distinct(), keys, "left_anti")

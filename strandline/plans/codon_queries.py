@@ -133,3 +133,28 @@ def two_site_sets(spark, sf_dir):
     named = lambda d: d.select("key", "i", F.col("p").alias("base"))
     out = A.site_hits(calls, named(diagnostic), "key", "diagnostic").join(A.site_hits(calls, named(private), "key", "private"), "key")
     return out.select("key", "n_diagnostic", F.round("pct_diagnostic", 6).alias("pct_diagnostic"), "n_private", F.round("pct_private", 6).alias("pct_private"))
+
+
+@query(f"WITH l AS (SELECT key, cds FROM ({D.LOCI_SQL}) WHERE key % 7 <> 0 AND key % 11 <> 0) SELECT key, CAST(3 AS INT) AS first, CAST(3 + length(cds) + 20 - 1 AS INT) AS last, CAST(length(cds) AS INT) AS n, CASE WHEN key % 13 = 0 THEN 'MISMATCH' ELSE 'ok' END AS status FROM l")
+def coding_masks(spark, sf_dir):
+    """Places of a spliced sequence in its span, with their status."""
+    x = D.loci(spark, sf_dir).where("key % 7 <> 0 AND key % 11 <> 0")
+    span = F.expr("concat('NNN', substr(cds, 1, 48), repeat('N', 20), substr(cds, 49), 'NN')")
+    x = x.select("key", "cds", span.alias("span"), F.when(F.col("key") % 13 == 0, 1).otherwise(F.length("cds")).alias("expected"), F.length(span).alias("span_length"))
+    found = A.masks(x, "key", "span", "cds").join(x.select("key", "expected", "span_length"), "key")
+    return found.select("key", F.col("places")[0].alias("first"), F.element_at("places", -1).alias("last"), F.size("places").alias("n"), S.place_status("span_length", "places", "expected").alias("status"))
+
+
+@query(f"""WITH p AS (SELECT key, unnest(range(1, length(a) + 1)) AS i, a, b FROM ({D.CLOSE_SQL})), s AS (SELECT key, substr(a, i, 1) AS h, substr(b, i, 1) AS y, substr(CASE WHEN i % 3 = 0 THEN a ELSE b END, i, 1) AS p, i % 3 = 1 AS votes FROM p),
+ c AS (SELECT *, CASE WHEN y IN ('G','C') AND h NOT IN ('G','C') THEN 'up' WHEN h IN ('G','C') AND y NOT IN ('G','C') THEN 'down' ELSE 'neutral' END AS cls FROM s)
+ SELECT key, count(*) FILTER (h <> y) AS n_sites, count(*) FILTER (h <> y AND votes) AS n_consensus, round((count(*) FILTER (h <> y AND p = y)) / nullif(CAST(count(*) FILTER (h <> y) AS DOUBLE), 0), 6) AS a_all, round((count(*) FILTER (h <> y AND votes AND p = y)) / nullif(CAST(count(*) FILTER (h <> y AND votes) AS DOUBLE), 0), 6) AS a_consensus,
+ round((count(*) FILTER (h <> y AND cls = 'up' AND p = y)) / nullif(CAST(count(*) FILTER (h <> y AND cls = 'up') AS DOUBLE), 0), 6) AS rate_up, round((count(*) FILTER (h <> y AND cls = 'down' AND p = y)) / nullif(CAST(count(*) FILTER (h <> y AND cls = 'down') AS DOUBLE), 0), 6) AS rate_down FROM c GROUP BY 1""")
+def site_rates(spark, sf_dir):
+    """Rates on differing sites, on those with a consensus, and by GC class."""
+    from strandline.functions import sequences as Seq
+
+    x = D.close_pairs(spark, sf_dir).select("key", F.explode(F.expr("transform(sequence(1, length(a)), i -> struct(substr(a, i, 1) AS h, substr(b, i, 1) AS y, substr(CASE WHEN i % 3 = 0 THEN a ELSE b END, i, 1) AS p, i % 3 = 1 AS votes))")).alias("s")).select("key", "s.*")
+    x = x.withColumn("cls", F.expr(Seq.gc_class("h", "y"))).withColumn("hit", F.col("p") == F.col("y"))
+    n = lambda c: F.count_if(F.expr(f"h <> y AND {c}"))
+    rate = lambda c: F.round(F.try_divide(n(f"{c} AND hit"), n(c)), 6)
+    return x.groupBy("key").agg(n("true").alias("n_sites"), n("votes").alias("n_consensus"), rate("true").alias("a_all"), rate("votes").alias("a_consensus"), rate("cls = 'up'").alias("rate_up"), rate("cls = 'down'").alias("rate_down"))

@@ -387,3 +387,42 @@ def structural_controls(spark, sf_dir):
     s = S.differing(D.pairs(spark, sf_dir), "key", "a", "b")
     score = lambda who, base: s.agg(F.lit(who).alias("window"), (100 * F.avg((F.col(base) == F.col("p")).cast("double"))).alias("score"), F.count("*").alias("n"))
     return score("source", "h").unionByName(score("target", "p"))
+
+
+@query("WITH t AS (SELECT c_mktsegment AS predictor, o_orderpriority AS outcome, avg(o_totalprice) / 4e6 AS p FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2), n AS (SELECT predictor LIKE 'B%' AS grid, 0.05 * 20 / count(*) AS threshold FROM t GROUP BY 1) SELECT predictor, outcome, p < threshold AS significant FROM t JOIN n ON n.grid = (predictor LIKE 'B%')")
+def significance_mask(spark, sf_dir):
+    """A mask by each grid's own Bonferroni threshold; predictors of no grid are kept."""
+    o, c = D.table(spark, sf_dir, "orders"), D.table(spark, sf_dir, "customer")
+    t = o.join(c, o["o_custkey"] == c["c_custkey"]).groupBy(F.col("c_mktsegment").alias("predictor"), F.col("o_orderpriority").alias("outcome")).agg((F.avg("o_totalprice") / 4e6).alias("p")).withColumn("grid", F.col("predictor").startswith("B"))
+    n = t.groupBy("grid").agg((F.lit(0.05) * 20 / F.count("*")).alias("threshold"))
+    return t.join(n, "grid", "left").select("predictor", "outcome", (F.col("p") < F.col("threshold")).alias("significant"))
+
+
+@query("WITH o AS (SELECT event_type AS condition, user_id AS gene, round(avg(value), 5) AS x FROM events GROUP BY 1, 2) SELECT condition, gene, CASE WHEN condition = 'click' THEN 'run 2' ELSE 'run 1' END AS source, condition = 'click' AS replaced FROM o UNION ALL SELECT condition, gene, 'backup', false FROM o WHERE condition = 'click'")
+def upsert_with_lineage(spark, sf_dir):
+    """An upsert that says where rows come from and keeps those it replaces."""
+    old = _events(spark, sf_dir).groupBy(F.col("event_type").alias("condition"), F.col("user_id").alias("gene")).agg(F.round(F.avg("value"), 5).alias("x"))
+    merged, backup = T.upsert_with_backup(old, old.where("condition = 'click'"), "condition", "run 1", "run 2")
+    return merged.unionByName(backup).select("condition", "gene", "source", "replaced")
+
+
+@query("SELECT 'orders' AS name, 'second' AS place UNION ALL SELECT 'nation', 'first'")
+def table_lookup(spark, sf_dir):
+    """A10: a table by name in two folders; a name in neither is an error that says where it
+    was looked for."""
+    from strandline.sources import files
+    from strandline.plans.source_queries import _folder
+
+    n, o = D.table(spark, sf_dir, "nation"), D.table(spark, sf_dir, "orders")
+    a, b = _folder(n), _folder(n)
+    n.write.parquet(f"{a}/nation")
+    for name, t in (("nation", o), ("orders", o)):
+        t.write.parquet(f"{b}/{name}")
+    try:
+        files.tidy_table(spark, "missing", [a, b])
+        raise AssertionError("a missing table was found")
+    except FileNotFoundError:
+        pass
+    width = {len(n.columns) if "n_name" in n.columns else 0: "first"}
+    rows = [(name, width.get(len(files.tidy_table(spark, name, [a, b]).columns), "second")) for name in ("orders", "nation")]
+    return spark.createDataFrame(rows, "name string, place string")

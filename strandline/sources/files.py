@@ -185,3 +185,27 @@ def resolved(tables: list[DataFrame], aliases: dict[str, list[str]], keys: list[
         else:
             raise ValueError(f"no table has {metric} under {names}")
     return out, evidence
+
+
+def tidy_table(spark: SparkSession, name: str, folders: list[str]) -> DataFrame:
+    """The Parquet table of a name in the first folder that has it."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return spark.read.parquet(f"{folder}/{name}")
+    raise FileNotFoundError(f"no table {name} in {', '.join(folders)}: build it first")
+
+
+def required(spark: SparkSession, path: str, how: str) -> str:
+    """path, if it exists; else an error that tells how to get it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        raise FileNotFoundError(f"{path} is missing: {how}")
+    return path
+
+
+def missing_tools(tools: dict[str, str]) -> dict[str, str]:
+    """The programs of a registry (program: what it is needed for) that this machine lacks."""
+    import shutil
+
+    return {name: need for name, need in tools.items() if shutil.which(name) is None}
