@@ -234,27 +234,34 @@ def tries(reps: DataFrame, n: int, k: int, target: int = TRIE_TARGET, most: int
     return cold.unionByName(first.select(*columns)).unionByName(second.select(*columns))
 
 
+def whole_tasks(it: Iterator[pd.DataFrame], task: list[str], block_rows: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by task, regathered so that no task is cut; each row is moved once."""
+    done: list[pd.DataFrame] = []
+    current: list[pd.DataFrame] = []
+    for pdf in it:
+        if not len(pdf):
+            continue
+        first = int(np.flatnonzero(np.all([pdf[c].to_numpy() == pdf[c].iloc[-1] for c in task], axis=0))[0])
+        if first or not current or any(current[-1][c].iloc[-1] != pdf[c].iloc[0] for c in task):
+            done += [*current, pdf.iloc[:first]]
+            current = [pdf.iloc[first:]]
+        else:
+            current.append(pdf)
+        if sum(map(len, done)) >= block_rows:
+            yield pd.concat(done, ignore_index=True)
+            done = []
+    if done or current:
+        yield pd.concat([*done, *current], ignore_index=True)
+
+
 def links(reps: DataFrame, k: int = DIFFERENCE, *, target: int = TRIE_TARGET, most: int = TRIE_MOST) -> DataFrame:
     """(u, v): edges that connect exactly the reps linked by fingerprints within k bits.
 
     reps: (fp, rep) with distinct fp."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for pdf in it:
-            held.append(pdf)
-            size += len(pdf)
-            if size >= BLOCK_ROWS:
-                whole = pd.concat(held, ignore_index=True)
-                last = whole.iloc[-1]
-                tail = np.all([whole[c] == last[c] for c in _TASK], axis=0)
-                if tail.all():
-                    held, size = [whole], len(whole)
-                    continue
-                yield _join_block(whole[~tail], k)
-                held, size = [whole[tail]], int(tail.sum())
-        if size:
-            yield _join_block(pd.concat(held, ignore_index=True), k)
+        for rows in whole_tasks(it, _TASK, BLOCK_ROWS):
+            yield _join_block(rows, k)
 
     leaves = tries(reps, reps.count(), k, target, most)
     return leaves.repartition(*_TASK).sortWithinPartitions(*_TASK).mapInPandas(run, "u long, v long")

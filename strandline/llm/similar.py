@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.components import components
-from strandline.llm.simhash import shingle_hashes, trie_links
+from strandline.llm.simhash import shingle_hashes, trie_links, whole_tasks
 from strandline.llm.text import as_bytes, ascii_words, discard, fresh, stored
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -242,20 +242,8 @@ def candidate_links(leaves: DataFrame, similarity: float = SIMILARITY, *, most:
     k, sure = budget(similarity, 3), budget((1 + similarity) / 2, 0)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for pdf in it:
-            held.append(pdf)
-            size += len(pdf)
-            if size >= BLOCK_ROWS:
-                rows = pd.concat(held, ignore_index=True)
-                last = rows.iloc[-1]
-                tail = np.all([rows[c] == last[c] for c in _TASK], axis=0)
-                held, size = [rows], len(rows)
-                if not tail.all():
-                    yield _join_block(rows[~tail], k, sure)
-                    held, size = [rows[tail]], int(tail.sum())
-        if size:
-            yield _join_block(pd.concat(held, ignore_index=True), k, sure)
+        for rows in whole_tasks(it, _TASK, BLOCK_ROWS):
+            yield _join_block(rows, k, sure)
 
     dealt, led = _tasks(leaves, most, sure)
     links = dealt.repartition(*_TASK).sortWithinPartitions(*_TASK).mapInPandas(run, "u long, v long")

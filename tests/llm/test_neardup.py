@@ -141,3 +141,16 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 160))
+
+
+def test_tasks_are_regathered_whole():
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    rows = pd.DataFrame({"task": np.sort(rng.integers(0, 40, 500)), "x": np.arange(500)})
+    for size in (1, 7, 60, 500):
+        parts = [rows.iloc[i : i + size] for i in range(0, 500, size)]
+        for block in (1, 50, 10_000):
+            got = list(S.whole_tasks(iter([*parts, rows.iloc[:0]]), ["task"], block))
+            assert [x for g in got for x in g["x"]] == list(range(500))
+            assert sum(g["task"].nunique() for g in got) == rows["task"].nunique()
