@@ -1,35 +1,41 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-A text is the sequence of its lower-cased words and an end. Words that make up a share
-``FREQUENT`` or more of the training tokens (at most 1 / FREQUENT words) are symbols of
-their own; all others are one symbol. The tree predicts symbols from contexts of up to
-two symbols before; within the common symbol a word has its share of training counts,
-with Witten-Bell mass for the event "a word never seen" - the same events as those of the
-add-one unigram base, so both scores compare.
+A text is the sequence of its lower-cased words and an end. Every word of the training
+texts is a symbol; words never seen share one event, as in the add-one unigram base, which
+is the tree's root, so both scores compare. A context is one to ``DEPTH`` words before a
+token, inside its text.
 
 1. Documents are packed in batches: distinct 64-bit word hashes in ascending order, and
    the texts as numbers into them. Everything after this reads the batches, not texts.
-2. Hashes go to shards by their leading bits and come back with training counts.
-3. Tasks count pairs of symbols, and runs of three whose first two are frequent enough; a
-   shuffle adds up. A context stays in the tree if its next-symbol distribution diverges
-   from that of its suffix: count x KL divergence, less what chance alone would give,
-   must reach a share ``GAIN`` of all tokens (in nats).
-4. Distributions of contexts that stay are smoothed towards their suffix's (Witten-Bell).
+2. Batches send their distinct words and runs of words, as sorted hashes with training
+   counts, to shards by leading bits; a shard adds up and answers each batch in its order.
+   A run is sent if its words less the first, and less the last, may have been seen twice:
+   what occurs once neither is a state nor moves one.
+3. A context stays in the tree if its next-word distribution diverges from its suffix's:
+   the summed log ratio of both over its occurrences (count x divergence, each occurrence
+   left out of its own estimate, so that chance gains nothing) reaches ``GAIN`` nats. The
+   sums travel to shards as the counts do.
+4. A kept context's distribution gives each next word its count less one; the mass so taken
+   goes to its suffix's distribution.
 5. Each token is scored in its longest suffix state.
 
-Thresholds are shares of the corpus, so they act alike at every size, and bound the model
-(1 / FREQUENT symbols, at most ln(symbols) / GAIN contexts of a length).
+Nothing of the model is held by the driver or broadcast, and no key gathers more than one
+row a batch and shard, however frequent. Thresholds are absolute, so contexts grow with the
+corpus. Hashes of runs have ``SPARE_BITS`` bits more than the number of training tokens
+needs: one run in 2 ** SPARE_BITS meets another by chance.
 
-Defined cases: a null text is empty and consists of the end alone; a missing doc_id is
-never held out; repeated rows count and score once each; extra columns are not read; with
-no training text every score is 0.
+Defined cases: a null text is empty and consists of the end alone; a very long text
+goes whole into one batch; a missing doc_id is never held out; repeated rows count and score once
+each; there are no ties to break; an empty table gives no rows; extra columns, whatever
+their names, are not read; with no training text every score is 0.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,10 +46,14 @@ from pyspark.sql import functions as F
 
 from strandline.llm.text import as_bytes, ascii_words, stored
 
-FREQUENT, CANDIDATE, GAIN = 1e-4, 1e-4, 2e-5
-BATCH_BYTES, SHARD_BYTES = 12 << 20, 24 << 20
-SYMBOL_BITS = 20
+DEPTH, GAIN = 3, 3.0
+BATCH_BYTES, SHARD_KEYS = 16 << 20, 2_000_000
+SPARE_BITS = 20
 END_WORD = b"\n"  # no word
+#: Fixed point of sums that travel: order of addition cannot change them.
+NATS, SHARE = 1 << 10, 1 << 16
+#: Level numbers of context sums, beside 0 for words and k for runs behind k words.
+CONTEXT = 100
 
 
 def held_out(id: Column, parts: int = 7, left: int = 2) -> Column:
@@ -51,21 +61,44 @@ def held_out(id: Column, parts: int = 7, left: int = 2) -> Column:
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % parts == left, F.lit(False))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Integers byte by byte of equal weight, compressed: high zero bytes cost nothing."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
+    return len(values).to_bytes(5, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def unpacked(raw: bytes, kind: str) -> np.ndarray:
+    n, width = int.from_bytes(raw[:5], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(raw[5:], n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending hashes as packed differences."""
+    return packed(np.diff(keys.astype("<u8"), prepend=np.zeros(1, "<u8")))
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw, "<u8"), dtype=np.uint64)
+
+
 # -- batches --------------------------------------------------------------------------
 
-_BATCH = [("batch", pa.string()), ("docs", pa.binary()), ("missing", pa.binary()), ("held", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary()), ("hashes", pa.binary()), ("trained", pa.binary()), ("n_trained", pa.int64())]
-_BATCH_DDL = "batch string, docs binary, missing binary, held binary, lengths binary, words binary, hashes binary, trained binary, n_trained long"
+_BATCH = [("batch", pa.string()), ("docs", pa.binary()), ("missing", pa.binary()), ("held", pa.binary()), ("lengths", pa.binary()), ("words", pa.binary()), ("hashes", pa.binary()), ("n_tokens", pa.int64()), ("n_trained", pa.int64())]
+_BATCH_DDL = "batch string, docs binary, missing binary, held binary, lengths binary, words binary, hashes binary, n_tokens long, n_trained long"
 
 
-def _packed(docs: list, held: list[bool], lengths: list[int], numbers: list[np.ndarray], vocab: dict[bytes, int]) -> tuple:
+def _row_of(docs: list, held: list[bool], lengths: list[int], numbers: list[np.ndarray], vocab: dict[bytes, int]) -> tuple:
     digest = xxhash.xxh64_intdigest
     # two words of one hash become one, as they do in the shards
     unique, place = np.unique(np.array([digest(w) for w in vocab], np.uint64), return_inverse=True)
     words = place[np.concatenate(numbers)]
-    trains = np.repeat(~np.array(held, bool), lengths)
-    trained = np.bincount(words[trains], minlength=len(unique)).astype("<u4")
     ids = np.array([0 if d is None else d for d in docs], "<i8")
-    return (uuid.uuid4().hex, ids.tobytes(), np.array([d is None for d in docs], np.uint8).tobytes(), np.array(held, np.uint8).tobytes(), np.array(lengths, "<u4").tobytes(), words.astype("<u4").tobytes(), unique.astype("<u8").tobytes(), trained.tobytes(), int(trained.sum()))
+    out = np.array(held, np.uint8)
+    trained = int(np.array(lengths)[out == 0].sum())
+    return (uuid.uuid4().hex, packed(ids), packed(np.array([d is None for d in docs], np.uint8)), packed(out), packed(np.array(lengths, "<u4")), packed(words.astype("<u4")), packed_keys(unique), len(words), trained)
 
 
 def batches_of(docs: DataFrame) -> DataFrame:
@@ -76,7 +109,7 @@ def batches_of(docs: DataFrame) -> DataFrame:
         ids, held, lengths, numbers, vocab, size = [], [], [], [], {}, 0
 
         def flush() -> pa.RecordBatch:
-            row = _packed(ids, held, lengths, numbers, vocab)
+            row = _row_of(ids, held, lengths, numbers, vocab)
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, (_, k) in zip(row, _BATCH)], schema=schema)
 
         for batch in it:
@@ -85,7 +118,7 @@ def batches_of(docs: DataFrame) -> DataFrame:
                 words.append(END_WORD)
                 for w in set(words).difference(vocab):
                     vocab[w] = len(vocab)
-                numbers.append(np.fromiter(map(vocab.__getitem__, words), np.int64, len(words)))
+                numbers.append(np.fromiter(map(vocab.__getitem__, words), np.uint32, len(words)))
                 ids.append(doc)
                 held.append(out)
                 lengths.append(len(words))
@@ -99,181 +132,190 @@ def batches_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, _BATCH_DDL)
 
 
-# -- counts of words ------------------------------------------------------------------
-
-
-def _slices(batches: DataFrame, bits: int) -> DataFrame:
-    """(shard, batch, hashes, trained): each batch's sorted hashes cut by leading bits."""
+class Runs:
+    """A batch's tokens, and the runs of words that end in each of them.
+
+    ``runs[k]`` hashes a token with the k words before it."""
+
+    def __init__(self, row: dict, depth: int, shift: int):
+        self.hashes = unpacked_keys(row["hashes"])
+        self.words = unpacked(row["words"], "<u4").astype(np.intp)
+        self.lengths = unpacked(row["lengths"], "<u4").astype(np.int64)
+        self.held = unpacked(row["held"], "u1")
+        self.trains = np.repeat(self.held == 0, self.lengths)
+        starts = np.cumsum(self.lengths) - self.lengths
+        self.starts, self.shift, self.depth = starts, np.uint64(shift), depth
+        self.place = np.arange(len(self.words)) - np.repeat(starts, self.lengths)
+        self.runs = [self.hashes[self.words]]
+        for _ in range(depth):
+            x = _moved(self.runs[-1]) * np.uint64(0x9E3779B97F4A7C15) ^ self.runs[0]
+            x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+            self.runs.append(x ^ x >> np.uint64(29))
+
+    def asked(self, level: int, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ascending distinct keys, tokens, the key of each of them) of a level's request."""
+        at = np.flatnonzero(where)
+        x = self.runs[level][at] if level < CONTEXT else self.runs[level - CONTEXT - 1][at - 1]
+        keys, inverse = np.unique(x >> self.shift, return_inverse=True)
+        return keys, at, inverse
+
+    def answered(self, level: int, where: np.ndarray, answer: np.ndarray) -> np.ndarray:
+        """The answer for each token, 0 where nothing was asked."""
+        out = np.zeros(len(self.words), np.int64)
+        _, at, inverse = self.asked(level, where)
+        out[at] = answer[inverse]
+        return out
+
+    def candidates(self, pairs: np.ndarray) -> list[np.ndarray]:
+        """Tokens whose runs behind 0, 1, 2, ... words are sent; pairs: counts behind one word,
+        0 if under two."""
+        out = [np.ones(len(self.words), bool), self.place >= 1]
+        often = pairs >= 2
+        for k in range(2, self.depth + 1):
+            often = often & _moved(often)
+            out.append(often & (self.place >= k))
+        return out
+
+    def counted(self, answers: defaultdict[int, np.ndarray]) -> list[np.ndarray]:
+        """Training counts of each token's runs; behind a word or more, 0 if under two."""
+        c = [answers[0][self.words], self.answered(1, self.place >= 1, answers[1])]
+        sent = self.candidates(c[1])
+        for k in range(2, self.depth + 1):
+            c.append(self.answered(k, sent[k], answers[k]))
+        return c
+
+    def states(self, c: list[np.ndarray]) -> list[np.ndarray]:
+        """Training counts of the contexts before each token, 0 if under two."""
+        out = []
+        for k in range(1, self.depth + 1):
+            n = _moved(c[k - 1])
+            out.append(np.where((self.place >= k) & (n >= 2), n, 0))
+        return out
+
+
+def _moved(x: np.ndarray) -> np.ndarray:
+    """Each token's predecessor's value; 0 for the first."""
+    return np.concatenate([np.zeros(1, x.dtype), x[:-1]])
+
+
+# -- requests and answers -------------------------------------------------------------
+
+_SLICE = pa.schema([("level", pa.int32()), ("shard", pa.int32()), ("batch", pa.string()), ("keys", pa.binary()), ("values", pa.list_(pa.binary()))])
+_SLICE_DDL = "level int, shard int, batch string, keys binary, values array<binary>"
+_ANSWER_DDL = "level int, shard int, batch string, kinds long, answer binary"
+
+
+def _cut(level: int, batch: str, keys: np.ndarray, values: list[np.ndarray], bits: int, width: int) -> pa.RecordBatch:
+    """A request's rows, one for each shard that it meets."""
+    edges = np.append(np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(width - bits)), len(keys))
+    parts = [(i, int(a), int(b)) for i, (a, b) in enumerate(zip([0, *edges[:-1]], edges)) if b > a]
+    columns = [
+        pa.array([level] * len(parts), pa.int32()),
+        pa.array([i for i, _, _ in parts], pa.int32()),
+        pa.array([batch] * len(parts), pa.string()),
+        pa.array([packed_keys(keys[a:b]) for _, a, b in parts], pa.binary()),
+        pa.array([[packed(v[a:b]) for v in values] for _, a, b in parts], pa.list_(pa.binary())),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=_SLICE)
+
+
+def _answers(pdf: pd.DataFrame, gain: float) -> pd.DataFrame:
+    """A shard's sums, in each request's order."""
+    level = int(pdf["level"].iloc[0])
+    parts = [unpacked_keys(x) for x in pdf["keys"]]
+    found, inverse = np.unique(np.concatenate(parts), return_inverse=True)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for name, raw, raw_n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                h, n = np.frombuffer(raw, "<u8"), np.frombuffer(raw_n, "<u4")
-                cuts = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                full = [i for i in range(len(cuts) - 1) if cuts[i + 1] > cuts[i]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), pa.array([name] * len(full), pa.string()), pa.array([h[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary()), pa.array([n[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())],
-                    ["shard", "batch", "hashes", "trained"],
-                )
+    def column(i: int) -> np.ndarray:
+        return np.concatenate([unpacked(v[i], "<i8") for v in pdf["values"]])
+
+    total = np.bincount(inverse, weights=column(0), minlength=len(found)).astype(np.int64)
+    kinds = int((total > 0).sum())
+    if level >= CONTEXT:
+        share = np.bincount(inverse, weights=column(1), minlength=len(found)) / SHARE
+        sizes, n = column(2), np.ones(len(found))
+        n[inverse[sizes > 0]] = sizes[sizes > 0]
+        total = np.where((share > 0) & (total / NATS - n * np.log(n) >= gain), n - np.rint(share), 0).astype(np.int64)
+    elif level:
+        total[total < 2] = 0
+    back = total[inverse].astype("<i8")
+    ends = np.cumsum([len(x) for x in parts])
+    return pd.DataFrame({"level": level, "shard": pdf["shard"], "batch": pdf["batch"], "kinds": np.where(np.arange(len(parts)) == 0, kinds, 0), "answer": [packed(back[a:b]) for a, b in zip([0, *ends[:-1]], ends)]})
 
-    return batches.select("batch", "hashes", "trained").mapInArrow(run, "shard int, batch string, hashes binary, trained binary")
 
+def summed(requests: DataFrame, gain: float) -> DataFrame:
+    """(level, shard, batch, kinds, answer) of the requests that batches cut into slices."""
+    return stored(requests.groupBy("level", "shard").applyInPandas(lambda pdf: _answers(pdf, gain), _ANSWER_DDL))
 
-def _count_shard(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    parts = [np.frombuffer(x, "<u8") for x in pdf["hashes"]]
-    n = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["trained"]])
-    found, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-    c = np.bincount(inverse, weights=n).astype(np.int64)
-    ends = np.cumsum([len(x) for x in parts])
-    back = c[inverse].astype("<u8" if len(c) and c.max() >= 1 << 32 else "<u4")
-    top = (c >= least) & (c > 0)
-    first = np.arange(len(parts)) == 0
-    heavy = [(found[top].astype("<u8").tobytes(), c[top].astype("<i8").tobytes())] + [(b"", b"")] * (len(parts) - 1)
-    return pd.DataFrame({"shard": pdf["shard"], "batch": pdf["batch"], "width": back.dtype.itemsize, "counts": [back[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)], "kinds": np.where(first, int((c > 0).sum()), 0), "heavy": [x for x, _ in heavy], "heavy_n": [x for _, x in heavy]})
 
+def with_answers(batches: DataFrame, *answers: DataFrame) -> DataFrame:
+    """Each batch with all answers to it."""
+    every = answers[0]
+    for more in answers[1:]:
+        every = every.unionByName(more)
+    lists = every.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("level", "shard", "answer"))).alias("answers"))
+    return batches.join(lists, "batch")
 
-_COUNTED = "shard int, batch string, width int, counts binary, kinds long, heavy binary, heavy_n binary"
 
+def _by_level(row: dict) -> defaultdict[int, np.ndarray]:
+    """Each level's answer; an empty one where nothing was asked."""
+    parts: dict[int, list[np.ndarray]] = {}
+    for x in row["answers"]:
+        parts.setdefault(x["level"], []).append(unpacked(x["answer"], "<i8"))
+    return defaultdict(lambda: np.zeros(0, np.int64), {k: np.concatenate(v) for k, v in parts.items()})
 
-# -- the tree -------------------------------------------------------------------------
 
+def _rows(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time."""
+    for batch in it:
+        for i in range(batch.num_rows):
+            yield {n: batch.column(n)[i].as_py() for n in batch.schema.names}
 
-class Alphabet:
-    """Symbols: frequent words by ascending hash, then one for all others and the start."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, kinds: int):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
-        self.other, self.start = len(hashes), len(hashes) + 1
-        self.n_other, self.kinds_other = tokens - int(counts.sum()), kinds - len(hashes)
-        root = np.concatenate([self.counts, [self.n_other]]).astype(float) + 1
-        self.root = root / root.sum()
+def requests(batches: DataFrame, of: Callable[[Runs, dict], Iterator[tuple[int, np.ndarray, list[np.ndarray]]]], depth: int, bits: int, width: int) -> DataFrame:
+    """Slices of what ``of`` asks for each batch: (level, keys, values)."""
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(hashes), self.other, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, self.other)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(it):
+            runs = Runs(row, depth, 64 - width)
+            for level, keys, values in of(runs, row):
+                if len(keys):
+                    yield _cut(level, row["batch"], keys, [v.astype("<i8") for v in values], bits, width if level else 64)
 
+    return batches.mapInArrow(run, _SLICE_DDL)
 
-def _sequence(row: dict, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, one before, two before, lengths) of a batch's tokens."""
-    s = alphabet.of(np.frombuffer(row["hashes"], "<u8"))[np.frombuffer(row["words"], "<u4")]
-    lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-    starts = np.cumsum(lengths) - lengths
-    one = np.concatenate([[alphabet.start], s[:-1]])
-    one[starts] = alphabet.start
-    two = np.concatenate([[alphabet.start], one[:-1]])
-    two[starts] = alphabet.start
-    return s, one, two, lengths
 
+def _ask_first(runs: Runs, row: dict) -> Iterator[tuple]:
+    """Words, and words behind one."""
+    yield 0, runs.hashes, [np.bincount(runs.words, weights=runs.trains, minlength=len(runs.hashes))]
+    keys, at, inverse = runs.asked(1, runs.place >= 1)
+    yield 1, keys, [np.bincount(inverse, weights=runs.trains[at], minlength=len(keys))]
 
-def _code(*symbols: np.ndarray) -> np.ndarray:
-    out = symbols[0].astype(np.int64)
-    for x in symbols[1:]:
-        out = out << SYMBOL_BITS | x
-    return out
 
+def _ask_longer(runs: Runs, row: dict) -> Iterator[tuple]:
+    pairs = runs.answered(1, runs.place >= 1, _by_level(row)[1])
+    for k, where in enumerate(runs.candidates(pairs)):
+        if k >= 2:
+            keys, at, inverse = runs.asked(k, where)
+            yield k, keys, [np.bincount(inverse, weights=runs.trains[at], minlength=len(keys))]
 
-def run_counts(batches: DataFrame, alphabet, contexts=None) -> DataFrame:
-    """(ctx, next, n) in training texts: contexts of one symbol, or the given ones of two.
 
-    alphabet, contexts: broadcasts."""
-    schema = pa.schema([("ctx", pa.int64()), ("next", pa.int64()), ("n", pa.int64())])
+def _ask_contexts(tokens: int, kinds: int) -> Callable[[Runs, dict], Iterator[tuple]]:
+    def of(runs: Runs, row: dict) -> Iterator[tuple]:
+        c = runs.counted(_by_level(row))
+        suffix = (c[0] + 1) / (tokens + kinds + 1)
+        for k, n in enumerate(runs.states(c), 1):
+            keys, at, inverse = runs.asked(CONTEXT + k, n > 0)
+            more, q = np.maximum(c[k][at] - 1, 0), suffix[at]
+            twice = (more > 0) & runs.trains[at]
+            gains = np.where(twice, np.rint(np.log((more + q) / q) * NATS), 0)
+            shares = np.where(twice, np.rint(more / (more + 1) * SHARE), 0)
+            sums = [np.bincount(inverse, weights=x, minlength=len(keys)) for x in (gains, shares)]
+            sizes = np.zeros(len(keys), np.int64)
+            sizes[inverse[twice]] = n[at][twice]
+            yield CONTEXT + k, keys, [*sums, sizes]
+            suffix[at] = (more + q) / n[at]
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in it:
-            for row in batch.to_pylist():
-                s, one, two, lengths = _sequence(row, alphabet.value)
-                keep = np.repeat(np.frombuffer(row["held"], np.uint8) == 0, lengths)
-                code = _code(one, s)
-                if contexts is not None:
-                    wanted = contexts.value
-                    ctx = _code(two, one)
-                    at = np.minimum(np.searchsorted(wanted, ctx), len(wanted) - 1)
-                    keep &= wanted[at] == ctx
-                    code = _code(two, one, s)
-                c, n = np.unique(code[keep], return_counts=True)
-                codes, inverse = np.unique(np.concatenate([codes, c]), return_inverse=True)
-                counts = np.bincount(inverse, weights=np.concatenate([counts, n]), minlength=len(codes)).astype(np.int64)
-        for a in range(0, len(codes), 500_000):
-            part = codes[a : a + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part >> SYMBOL_BITS), pa.array(part & ((1 << SYMBOL_BITS) - 1)), pa.array(counts[a : a + 500_000])], schema=schema)
-
-    columns = batches.select("hashes", "words", "lengths", "held")
-    return columns.mapInArrow(run, "ctx long, next long, n long").groupBy("ctx", "next").agg(F.sum("n").alias("n"))
-
-
-def diverging(runs: DataFrame, suffix: DataFrame, least: float) -> DataFrame:
-    """(ctx): contexts of runs whose distribution diverges from that in suffix.
-
-    suffix: (up, next, q): the distribution of each context's suffix ``up``."""
-    total = runs.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    up = F.col("ctx").bitwiseAND(F.lit((1 << SYMBOL_BITS) - 1)) if "up" in suffix.columns else None
-    known = runs.join(total, "ctx")
-    both = known.withColumn("up", up).join(suffix, ["up", "next"]) if up is not None else known.join(suffix, "next")
-    gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q")))
-    # by chance alone a distribution over so many symbols gains about half a nat for each
-    return both.groupBy("ctx").agg(gain.alias("gain"), F.first("kinds").alias("kinds")).where(F.col("gain") - F.col("kinds") >= F.lit(float(least))).select("ctx")
-
-
-class Tree:
-    """Smoothed probabilities of contexts that stayed; codes ascend."""
-
-    def __init__(self, alphabet: Alphabet, ones: pd.DataFrame, twos: pd.DataFrame):
-        self.alphabet = alphabet
-        self.levels = [self._level(ones), self._level(twos)]
-
-    @staticmethod
-    def _level(rows: pd.DataFrame) -> tuple:
-        ctx, nxt, n = (rows[c].to_numpy(np.int64) for c in ("ctx", "next", "n"))
-        known, inverse = np.unique(ctx, return_inverse=True)
-        total, kinds = np.bincount(inverse, weights=n, minlength=len(known)), np.bincount(inverse, minlength=len(known))
-        code = inverse.astype(np.int64) << SYMBOL_BITS | nxt
-        order = np.argsort(code)
-        return known, total, kinds, code[order], n[order].astype(float)
-
-    def log10(self, s: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol in its longest suffix state."""
-        p = self.alphabet.root[s]
-        for ctx, (known, total, kinds, code, n) in ((one, self.levels[0]), (_code(two, one), self.levels[1])):
-            if not len(known):
-                continue
-            at = np.minimum(np.searchsorted(known, ctx), len(known) - 1)
-            own = np.flatnonzero(known[at] == ctx)
-            if not len(own):
-                continue
-            state = at[own]
-            want = state.astype(np.int64) << SYMBOL_BITS | s[own]
-            place = np.minimum(np.searchsorted(code, want), len(code) - 1)
-            seen = np.where(code[place] == want, n[place], 0.0)
-            p[own] = (seen + kinds[state] * p[own]) / (total[state] + kinds[state])
-        return np.log10(p)
-
-
-def learn(batches: DataFrame, alphabet: Alphabet, tokens: int, candidate: float = CANDIDATE, gain: float = GAIN) -> Tree:
-    spark = batches.sparkSession
-    held = spark.sparkContext.broadcast(alphabet)
-    none = pd.DataFrame({"ctx": [], "next": [], "n": []}, dtype=np.int64)
-    if not tokens:
-        return Tree(alphabet, none, none)
-    root = spark.createDataFrame(pd.DataFrame({"next": np.arange(len(alphabet.root)), "q": alphabet.root}), "next long, q double")
-    pairs = stored(run_counts(batches, held))
-    ones = stored(diverging(pairs, root, gain * tokens))
-    # contexts of two symbols: pairs frequent enough, at most 1 / candidate of them
-    often = pairs.where(F.col("n") >= candidate * tokens).select((F.shiftleft("ctx", SYMBOL_BITS).bitwiseOR(F.col("next"))).alias("c")).toPandas()["c"]
-    wanted = np.sort(often.to_numpy(np.int64))
-    pair_total = pairs.groupBy("ctx").agg(F.sum("n").alias("t"))
-    q = pairs.join(pair_total, "ctx").select(F.col("ctx").alias("up"), "next", (F.col("n") / F.col("t")).alias("q"))
-    twos = none
-    if len(wanted):
-        triples = stored(run_counts(batches, held, spark.sparkContext.broadcast(wanted)))
-        deep = stored(diverging(triples, q, gain * tokens))
-        twos = triples.join(deep, "ctx", "left_semi").toPandas()
-        # the tree holds each context's suffix too
-        ones = ones.unionByName(deep.select(F.col("ctx").bitwiseAND(F.lit((1 << SYMBOL_BITS) - 1)).alias("ctx"))).distinct()
-    return Tree(alphabet, pairs.join(ones, "ctx", "left_semi").toPandas(), twos)
+    return of
 
 
 # -- scoring --------------------------------------------------------------------------
@@ -281,53 +323,49 @@ def learn(batches: DataFrame, alphabet: Alphabet, tokens: int, candidate: float
 _RESULT = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
 
-def score(docs: DataFrame, *, id: str = "doc_id", text: str = "text", held: Column | None = None, frequent: float = FREQUENT, candidate: float = CANDIDATE, gain: float = GAIN) -> DataFrame:
+def _scored(batches: DataFrame, depth: int, width: int, tokens: int, kinds: int) -> DataFrame:
+    schema = pa.schema(_RESULT)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(it):
+            runs, answers = Runs(row, depth, 64 - width), _by_level(row)
+            c = runs.counted(answers)
+            base = (c[0] + 1) / (tokens + kinds + 1)
+            p = base.copy()
+            for k, n in enumerate(runs.states(c), 1):
+                rest = runs.answered(CONTEXT + k, n > 0, answers[CONTEXT + k])
+                at = np.flatnonzero(rest)
+                p[at] = (np.maximum(c[k][at] - 1, 0) + rest[at] * p[at]) / n[at]
+            sums = [np.add.reduceat(x, runs.starts) for x in ((c[0] > 0).astype(np.int64), np.log10(base), np.log10(p))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(unpacked(row["docs"], "<i8"), mask=unpacked(row["missing"], "u1") == 1),
+                    pa.array(runs.held == 1),
+                    pa.array(runs.lengths),
+                    pa.array(sums[0]),
+                    pa.array(np.full(len(runs.lengths), tokens, np.int64)),
+                    pa.array(sums[1]),
+                    pa.array(sums[2]),
+                ],
+                schema=schema,
+            )
+
+    return batches.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def score(docs: DataFrame, *, id: str = "doc_id", text: str = "text", held: Column | None = None, depth: int = DEPTH, gain: float = GAIN) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for
     each row of docs; learned from the rows that are not held out."""
-    spark = docs.sparkSession
+    if depth < 1:
+        raise ValueError("depth must be 1 or more")
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), (held if held is not None else held_out(F.col(id))).alias("held"))
     batches = stored(batches_of(rows))
-    size, tokens = batches.agg(F.sum(F.length("hashes")), F.sum("n_trained")).first()
+    size, tokens = batches.agg(F.sum("n_tokens"), F.sum("n_trained")).first()
     size, tokens = size or 0, tokens or 0
-    bits = max(4, math.ceil(math.log2(max(1, size * 1.5 / SHARD_BYTES))))
-    least = frequent * tokens
-    counted = stored(_slices(batches, bits).groupBy("shard").applyInPandas(lambda pdf: _count_shard(pdf, least), _COUNTED))
-    kinds = counted.agg(F.sum("kinds")).first()[0] or 0
-    heavy = counted.where(F.length("heavy") > 0).select("heavy", "heavy_n").collect()  # at most 1 / frequent words
-    alphabet = Alphabet(np.frombuffer(b"".join(bytes(r["heavy"]) for r in heavy), "<u8"), np.frombuffer(b"".join(bytes(r["heavy_n"]) for r in heavy), "<i8"), tokens, kinds)
-    tree = spark.sparkContext.broadcast(learn(batches, alphabet, tokens, candidate, gain))
-    together = counted.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("shard", "width", "counts"))).alias("counts"))
-    joined = batches.drop("trained", "n_trained").join(together, "batch")
-    schema = pa.schema(_RESULT)
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, letters = tree.value, tree.value.alphabet
-        for batch in it:
-            for i in range(batch.num_rows):
-                r = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                s, one, two, lengths = _sequence(r, letters)
-                words = np.frombuffer(r["words"], "<u4")
-                c = np.concatenate([np.frombuffer(x["counts"], f"<u{x['width']}").astype(np.int64) for x in r["counts"]])
-                starts = np.cumsum(lengths) - lengths
-                base = np.log10((c + 1) / (tokens + kinds + 1))
-                inside = np.zeros(len(c))  # a word's share of the common symbol
-                rare = np.flatnonzero(letters.of(np.frombuffer(r["hashes"], "<u8")) == letters.other)
-                if tokens and letters.kinds_other:
-                    mass = np.where(c[rare] > 0, c[rare], letters.kinds_other)
-                    inside[rare] = np.log10(mass / (letters.n_other + letters.kinds_other))
-                own = model.log10(s, one, two) + inside[words] if tokens else np.zeros(len(words))
-                missing = np.frombuffer(r["missing"], np.uint8)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.frombuffer(r["docs"], "<i8"), mask=missing == 1),
-                        pa.array(np.frombuffer(r["held"], np.uint8) == 1),
-                        pa.array(lengths),
-                        pa.array(np.add.reduceat((c[words] > 0).astype(np.int64), starts)),
-                        pa.array(np.full(len(lengths), tokens, np.int64)),
-                        pa.array(np.add.reduceat(base[words], starts)),
-                        pa.array(np.add.reduceat(own, starts)),
-                    ],
-                    schema=schema,
-                )
-
-    return joined.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    bits = max(3, math.ceil(math.log2(max(1, size / SHARD_KEYS))))
+    width = min(64, max(1, size).bit_length() + SPARE_BITS)
+    first = summed(requests(batches, _ask_first, depth, bits, width), gain)
+    kinds = first.where("level = 0").agg(F.sum("kinds")).first()[0] or 0
+    longer = summed(requests(with_answers(batches, first.where("level = 1")), _ask_longer, depth, bits, width), gain)
+    contexts = summed(requests(with_answers(batches, first, longer), _ask_contexts(tokens, kinds), depth, bits, width), gain)
+    return _scored(with_answers(batches, first, longer, contexts), depth, width, tokens, kinds)

@@ -14,50 +14,43 @@ from .test_neardup import similar_classes
 from .test_tokens import PIECES
 
 
-def naive_scores(rows):
+def naive_scores(rows, depth=M.DEPTH, gain=M.GAIN):
     """By dictionaries: (held_out, tokens, known, N, base, score) of each row."""
-    docs = [(i, (t or "").encode().lower().split()) for i, t in rows]
+    docs = [(i, [*(t or "").encode().lower().split(), "end"]) for i, t in rows]
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    c = Counter()
+    c, after = Counter(), defaultdict(Counter)
     for i, w in docs:
         if not out(i):
-            c.update([*w, "end"])
+            c.update(w)
+            for k in range(1, depth + 1):
+                for j in range(k, len(w)):
+                    after[tuple(w[j - k : j])][w[j]] += 1
     n, v = sum(c.values()), len(c)
-    often = {w for w, k in c.items() if k >= M.FREQUENT * n}
-    sym = lambda w: w if w in often else "other"
-    one, two = defaultdict(Counter), defaultdict(Counter)
-    for i, w in docs:
-        if not out(i):
-            q = ["start", "start", *map(sym, [*w, "end"])]
-            for a, b, x in zip(q, q[1:], q[2:]):
-                one[b][x] += 1
-                two[a, b][x] += 1
-    n_other, v_other, size = n - sum(c[w] for w in often), v - len(often), len(often) + 1
-    root = {w: (c[w] + 1) / (n + size) for w in often} | {"other": (n_other + 1) / (n + size)}
-
-    def gain(d, q):
-        t = sum(d.values())
-        return sum(k * math.log(k / t / q(x)) for x, k in d.items()) - len(d)
-
-    ones = {a for a, d in one.items() if gain(d, root.get) >= M.GAIN * n}
-    twos = {ab for ab, d in two.items() if one[ab[0]][ab[1]] >= M.CANDIDATE * n and gain(d, lambda x: one[ab[1]][x] / sum(one[ab[1]].values())) >= M.GAIN * n}
-    ones |= {b for _, b in twos}
-
-    def p(x, a, b):
-        q = root[x]
-        for state, kept, d in ((b, ones, one), ((a, b), twos, two)):
-            if state in kept:
-                q = (d[state][x] + len(d[state]) * q) / (sum(d[state].values()) + len(d[state]))
+    base = lambda x: (c[x] + 1) / (n + v + 1)
+
+    def close(s, x):
+        """The suffix's distribution as the test takes it: all contexts seen twice."""
+        if not s:
+            return base(x)
+        size, q = sum(after[s].values()), close(s[1:], x)
+        return (max(after[s][x] - 1, 0) + q) / size if size >= 2 else q
+
+    def diverges(s):
+        size, again = sum(after[s].values()), [(x, k) for x, k in after[s].items() if k >= 2]
+        total = sum(k * round(math.log((k - 1 + close(s[1:], x)) / close(s[1:], x)) * M.NATS) for x, k in again)
+        return bool(again) and total / M.NATS - size * math.log(size) >= gain
+
+    kept = {s for s in list(after) if diverges(s)}
+
+    def p(w, j):
+        q = base(w[j])
+        for k in range(1, min(depth, j) + 1):
+            s = tuple(w[j - k : j])
+            if s in kept:
+                q = (max(after[s][w[j]] - 1, 0) + len(after[s]) * q) / sum(after[s].values())
         return q
 
-    result = []
-    for i, w in docs:
-        tokens = [*w, "end"]
-        base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in tokens)
-        q = ["start", "start", *map(sym, tokens)]
-        own = sum(math.log10(p(x, a, b)) for a, b, x in zip(q, q[1:], q[2:])) + sum(math.log10((c[x] or v_other) / (n_other + v_other)) for x in tokens if x not in often)
-        result.append((i, out(i), len(tokens), sum(c[x] > 0 for x in tokens), n, base, own))
-    return result
+    return [(i, out(i), len(w), sum(c[x] > 0 for x in w), n, sum(math.log10(base(x)) for x in w), sum(math.log10(p(w, j)) for j in range(len(w)))) for i, w in docs]
 
 
 @pytest.mark.parametrize("batch", (1 << 14, 12 << 20))
@@ -73,6 +66,35 @@ def test_scores(make, sample, monkeypatch, batch):
     assert sum(r[6] for r in held) > sum(r[5] for r in held)
 
 
+def test_contexts_of_repeated_texts(make):
+    text = [f"w{i % 40} x{i % 40} y{i % 40} z{i % 40}" for i in range(160)]
+    more = [f"{t} v{i % 77}" for i, t in enumerate(text)]
+    for rows in (list(enumerate(text)), list(enumerate(text + more))):
+        for got, want in zip(sorted(M.score(make(rows)).collect()), naive_scores(rows)):
+            assert got["score"] == pytest.approx(want[-1], rel=1e-9)
+    # every word of the corpus, and one never seen, behind the same two
+    words = sorted({w for t in text for w in t.split()}) + ["unseen"]
+    held = [i for i in range(10_000, 30_000) if zlib.crc32(str(i).encode()) % 7 == 2][: len(words) + 1]
+    rows = [*enumerate(text), *((i, f"w3 x3 {w}") for i, w in zip(held, words)), (held[-1], "w3 x3")]
+    scores = {r["doc_id"]: r["score"] for r in M.score(make(rows)).collect()}
+    naive = {w[0]: w[-1] for w in naive_scores(rows)}
+    assert all(scores[i] == pytest.approx(naive[i], rel=1e-9) for i in held)
+
+
+@pytest.mark.parametrize("depth", (1, 2, 5))
+def test_depths(make, sample, depth):
+    got = {r["doc_id"]: r["score"] for r in M.score(make(sample[:60]), depth=depth).collect()}
+    for w in naive_scores(sample[:60], depth):
+        assert got[w[0]] == pytest.approx(w[-1], rel=1e-9)
+
+
+def test_packing():
+    for x in ([], [5], [0, 0, 1], [1 << 40, 3]):
+        assert M.unpacked(M.packed(np.array(x, "<i8")), "<i8").tolist() == x
+    keys = np.array([3, 1 << 50, (1 << 64) - 1], np.uint64)
+    assert M.unpacked_keys(M.packed_keys(keys)).tolist() == keys.tolist()
+
+
 def test_scores_of_odd_rows(make, odd):
     rows = M.score(odd).collect()
     assert len(rows) == len(ODD) and all(r["score"] <= 0 for r in rows)
