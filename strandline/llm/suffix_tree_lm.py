@@ -1,9 +1,9 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
 A text is the sequence of its lower-cased words and an end. Every word of the training
-texts is a symbol; words never seen share one event, as in the add-one unigram base, which
-is the tree's root, so both scores compare. A context is one to ``DEPTH`` words before a
-token, inside its text.
+texts is a symbol; words never seen share one event, as in the add-one unigram base, so
+both scores compare. The tree's root gives that event Witten-Bell mass. A context is one to
+``DEPTH`` words before a token, inside its text.
 
 1. Documents are packed in batches: distinct 64-bit word hashes in ascending order, and
    the texts as numbers into them. Everything after this reads the batches, not texts.
@@ -34,8 +34,8 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.text import as_bytes, ascii_words, stored
+from strandline.llm.text import as_bytes, ascii_words, shared_dir, stored
 
 DEPTH, GAIN = 3, 3.0
 BATCH_BYTES, SHARD_KEYS = 16 << 20, 2_000_000
@@ -54,6 +54,7 @@ END_WORD = b"\n"  # no word
 NATS, SHARE = 1 << 10, 1 << 16
 #: Level numbers of context sums, beside 0 for words and k for runs behind k words.
 CONTEXT = 100
+NOTHING = np.zeros(0, np.int64)
 
 
 def held_out(id: Column, parts: int = 7, left: int = 2) -> Column:
@@ -132,65 +133,68 @@ def batches_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, _BATCH_DDL)
 
 
-class Runs:
-    """A batch's tokens, and the runs of words that end in each of them.
+@dataclass
+class Level:
+    """A batch's tokens behind k words: the runs' hashes, those of their contexts (the runs
+    less the last word), and training counts of both. Counts are 0 for contexts seen under
+    twice and, behind a word or more, for runs seen under twice."""
 
-    ``runs[k]`` hashes a token with the k words before it."""
+    k: int
+    run: np.ndarray
+    context: np.ndarray
+    counts: np.ndarray | None
+    states: np.ndarray | None
 
-    def __init__(self, row: dict, depth: int, shift: int):
+
+class Tokens:
+    """The tokens of a batch."""
+
+    def __init__(self, row: dict, shift: int):
         self.hashes = unpacked_keys(row["hashes"])
-        self.words = unpacked(row["words"], "<u4").astype(np.intp)
+        self.words = unpacked(row["words"], "<u4")
         self.lengths = unpacked(row["lengths"], "<u4").astype(np.int64)
         self.held = unpacked(row["held"], "u1")
         self.trains = np.repeat(self.held == 0, self.lengths)
-        starts = np.cumsum(self.lengths) - self.lengths
-        self.starts, self.shift, self.depth = starts, np.uint64(shift), depth
-        self.place = np.arange(len(self.words)) - np.repeat(starts, self.lengths)
-        self.runs = [self.hashes[self.words]]
-        for _ in range(depth):
-            x = _moved(self.runs[-1]) * np.uint64(0x9E3779B97F4A7C15) ^ self.runs[0]
-            x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-            self.runs.append(x ^ x >> np.uint64(29))
-
-    def asked(self, level: int, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ascending distinct keys, tokens, the key of each of them) of a level's request."""
+        self.starts, self.shift = np.cumsum(self.lengths) - self.lengths, np.uint64(shift)
+
+    def asked(self, hashes: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ascending distinct keys, tokens, the key of each of them)."""
         at = np.flatnonzero(where)
-        x = self.runs[level][at] if level < CONTEXT else self.runs[level - CONTEXT - 1][at - 1]
-        keys, inverse = np.unique(x >> self.shift, return_inverse=True)
+        keys, inverse = np.unique(hashes[at] >> self.shift, return_inverse=True)
         return keys, at, inverse
 
-    def answered(self, level: int, where: np.ndarray, answer: np.ndarray) -> np.ndarray:
+    def answered(self, hashes: np.ndarray, where: np.ndarray, answer: np.ndarray) -> np.ndarray:
         """The answer for each token, 0 where nothing was asked."""
         out = np.zeros(len(self.words), np.int64)
-        _, at, inverse = self.asked(level, where)
-        out[at] = answer[inverse]
+        if len(answer):
+            _, at, inverse = self.asked(hashes, where)
+            out[at] = answer[inverse]
         return out
 
-    def candidates(self, pairs: np.ndarray) -> list[np.ndarray]:
-        """Tokens whose runs behind 0, 1, 2, ... words are sent; pairs: counts behind one word,
-        0 if under two."""
-        out = [np.ones(len(self.words), bool), self.place >= 1]
-        often = pairs >= 2
-        for k in range(2, self.depth + 1):
-            often = often & _moved(often)
-            out.append(often & (self.place >= k))
-        return out
-
-    def counted(self, answers: defaultdict[int, np.ndarray]) -> list[np.ndarray]:
-        """Training counts of each token's runs; behind a word or more, 0 if under two."""
-        c = [answers[0][self.words], self.answered(1, self.place >= 1, answers[1])]
-        sent = self.candidates(c[1])
-        for k in range(2, self.depth + 1):
-            c.append(self.answered(k, sent[k], answers[k]))
-        return c
-
-    def states(self, c: list[np.ndarray]) -> list[np.ndarray]:
-        """Training counts of the contexts before each token, 0 if under two."""
-        out = []
-        for k in range(1, self.depth + 1):
-            n = _moved(c[k - 1])
-            out.append(np.where((self.place >= k) & (n >= 2), n, 0))
-        return out
+    def levels(self, depth: int, answers: dict[int, np.ndarray]) -> Iterator[tuple[Level, np.ndarray]]:
+        """Levels 0 to depth, each with the tokens whose runs are sent. Counts that no answer
+        gave yet are 0."""
+        words = run = self.hashes[self.words]
+        sent = inside = np.ones(len(run), bool)
+        counts = answers[0][self.words] if 0 in answers else None
+        yield Level(0, run, run, counts, None), sent
+        for k in range(1, depth + 1):
+            context = _moved(run)
+            run = context * np.uint64(0x9E3779B97F4A7C15) ^ words
+            run ^= run >> np.uint64(32)
+            run *= np.uint64(0xD6E8FEB86659FD93)
+            run ^= run >> np.uint64(29)
+            inside = _moved(inside)
+            inside[self.starts] = False
+            if k == 2:
+                sent = counts >= 2
+            sent = (_moved(sent) & sent if k > 1 else sent) & inside
+            states = None
+            if counts is not None:
+                states = _moved(counts)
+                states[~inside | (states < 2)] = 0
+            counts = self.answered(run, sent, answers.get(k, NOTHING))
+            yield Level(k, run, context, counts, states), sent
 
 
 def _moved(x: np.ndarray) -> np.ndarray:
@@ -247,21 +251,28 @@ def summed(requests: DataFrame, gain: float) -> DataFrame:
     return stored(requests.groupBy("level", "shard").applyInPandas(lambda pdf: _answers(pdf, gain), _ANSWER_DDL))
 
 
+def _in_buckets(batches: DataFrame, buckets: int) -> DataFrame:
+    """The batches as a table in the shared folder, bucketed by name: answers travel to
+    them, they don't travel."""
+    spark, name = batches.sparkSession, f"suffix_tree_batches_{uuid.uuid4().hex}"
+    batches.write.format("parquet").option("compression", "zstd").option("path", shared_dir(spark)).bucketBy(max(1, buckets), "batch").saveAsTable(name)
+    return spark.table(name)
+
+
 def with_answers(batches: DataFrame, *answers: DataFrame) -> DataFrame:
     """Each batch with all answers to it."""
     every = answers[0]
     for more in answers[1:]:
         every = every.unionByName(more)
     lists = every.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("level", "shard", "answer"))).alias("answers"))
-    return batches.join(lists, "batch")
+    return batches.join(lists.hint("merge"), "batch")
 
 
-def _by_level(row: dict) -> defaultdict[int, np.ndarray]:
-    """Each level's answer; an empty one where nothing was asked."""
+def _by_level(row: dict) -> dict[int, np.ndarray]:
     parts: dict[int, list[np.ndarray]] = {}
-    for x in row["answers"]:
+    for x in row.get("answers", ()):
         parts.setdefault(x["level"], []).append(unpacked(x["answer"], "<i8"))
-    return defaultdict(lambda: np.zeros(0, np.int64), {k: np.concatenate(v) for k, v in parts.items()})
+    return {k: np.concatenate(v) for k, v in parts.items()}
 
 
 def _rows(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -271,53 +282,66 @@ def _rows(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: batch.column(n)[i].as_py() for n in batch.schema.names}
 
 
-def requests(batches: DataFrame, of: Callable[[Runs, dict], Iterator[tuple[int, np.ndarray, list[np.ndarray]]]], depth: int, bits: int, width: int) -> DataFrame:
+def requests(batches: DataFrame, of: Callable[[Tokens, dict], Iterator[tuple[int, np.ndarray, list[np.ndarray]]]], bits: int, width: int) -> DataFrame:
     """Slices of what ``of`` asks for each batch: (level, keys, values)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(it):
-            runs = Runs(row, depth, 64 - width)
-            for level, keys, values in of(runs, row):
+            for level, keys, values in of(Tokens(row, 64 - width), _by_level(row)):
                 if len(keys):
                     yield _cut(level, row["batch"], keys, [v.astype("<i8") for v in values], bits, width if level else 64)
 
     return batches.mapInArrow(run, _SLICE_DDL)
 
 
-def _ask_first(runs: Runs, row: dict) -> Iterator[tuple]:
+def _ask_first(tokens: Tokens, answers: dict) -> Iterator[tuple]:
     """Words, and words behind one."""
-    yield 0, runs.hashes, [np.bincount(runs.words, weights=runs.trains, minlength=len(runs.hashes))]
-    keys, at, inverse = runs.asked(1, runs.place >= 1)
-    yield 1, keys, [np.bincount(inverse, weights=runs.trains[at], minlength=len(keys))]
-
-
-def _ask_longer(runs: Runs, row: dict) -> Iterator[tuple]:
-    pairs = runs.answered(1, runs.place >= 1, _by_level(row)[1])
-    for k, where in enumerate(runs.candidates(pairs)):
-        if k >= 2:
-            keys, at, inverse = runs.asked(k, where)
-            yield k, keys, [np.bincount(inverse, weights=runs.trains[at], minlength=len(keys))]
-
-
-def _ask_contexts(tokens: int, kinds: int) -> Callable[[Runs, dict], Iterator[tuple]]:
-    def of(runs: Runs, row: dict) -> Iterator[tuple]:
-        c = runs.counted(_by_level(row))
-        suffix = (c[0] + 1) / (tokens + kinds + 1)
-        for k, n in enumerate(runs.states(c), 1):
-            keys, at, inverse = runs.asked(CONTEXT + k, n > 0)
-            more, q = np.maximum(c[k][at] - 1, 0), suffix[at]
-            twice = (more > 0) & runs.trains[at]
-            gains = np.where(twice, np.rint(np.log((more + q) / q) * NATS), 0)
-            shares = np.where(twice, np.rint(more / (more + 1) * SHARE), 0)
-            sums = [np.bincount(inverse, weights=x, minlength=len(keys)) for x in (gains, shares)]
+    yield 0, tokens.hashes, [np.bincount(tokens.words, weights=tokens.trains, minlength=len(tokens.hashes))]
+    for level, sent in tokens.levels(1, answers):
+        if level.k:
+            keys, at, inverse = tokens.asked(level.run, sent)
+            yield level.k, keys, [np.bincount(inverse, weights=tokens.trains[at], minlength=len(keys))]
+
+
+def _ask_longer(depth: int) -> Callable[[Tokens, dict], Iterator[tuple]]:
+    """Words behind two or more, where the answers to pairs let them occur twice."""
+
+    def of(tokens: Tokens, answers: dict) -> Iterator[tuple]:
+        for level, sent in tokens.levels(depth, answers):
+            if level.k >= 2:
+                keys, at, inverse = tokens.asked(level.run, sent)
+                yield level.k, keys, [np.bincount(inverse, weights=tokens.trains[at], minlength=len(keys))]
+
+    return of
+
+
+def _ask_contexts(depth: int, n: int, kinds: int) -> Callable[[Tokens, dict], Iterator[tuple]]:
+    """Each context's summed log ratios, counts less one, and size."""
+
+    def of(tokens: Tokens, answers: dict) -> Iterator[tuple]:
+        suffix = np.zeros(0)
+        for level, _ in tokens.levels(depth, answers):
+            if not level.k:
+                suffix = _root(level.counts, n, kinds)
+                continue
+            keys, at, inverse = tokens.asked(level.context, level.states > 0)
+            size, more, q = level.states[at], np.maximum(level.counts[at] - 1, 0), suffix[at]
+            suffix[at] = (more + q) / size
+            twice = np.flatnonzero((more > 0) & tokens.trains[at])
+            q, more, of_key = q[twice], more[twice], inverse[twice]
+            sums = [np.bincount(of_key, weights=np.rint(x), minlength=len(keys)) for x in (np.log((more + q) / q) * NATS, more / (more + 1) * SHARE)]
             sizes = np.zeros(len(keys), np.int64)
-            sizes[inverse[twice]] = n[at][twice]
-            yield CONTEXT + k, keys, [*sums, sizes]
-            suffix[at] = (more + q) / n[at]
+            sizes[of_key] = size[twice]
+            yield CONTEXT + level.k, keys, [*sums, sizes]
 
     return of
 
 
+def _root(counts: np.ndarray, tokens: int, kinds: int) -> np.ndarray:
+    """Probabilities without a context: Witten-Bell mass for a word never seen."""
+    return np.where(counts > 0, counts, kinds) / (tokens + kinds) if tokens else np.ones(len(counts))
+
+
 # -- scoring --------------------------------------------------------------------------
 
 _RESULT = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
@@ -328,22 +352,24 @@ def _scored(batches: DataFrame, depth: int, width: int, tokens: int, kinds: int)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(it):
-            runs, answers = Runs(row, depth, 64 - width), _by_level(row)
-            c = runs.counted(answers)
-            base = (c[0] + 1) / (tokens + kinds + 1)
-            p = base.copy()
-            for k, n in enumerate(runs.states(c), 1):
-                rest = runs.answered(CONTEXT + k, n > 0, answers[CONTEXT + k])
+            texts, answers = Tokens(row, 64 - width), _by_level(row)
+            base = p = known = np.zeros(0)
+            for level, _ in texts.levels(depth, answers):
+                if not level.k:
+                    base = (level.counts + 1) / (tokens + kinds + 1)
+                    p, known = _root(level.counts, tokens, kinds), (level.counts > 0).astype(np.int64)
+                    continue
+                rest = texts.answered(level.context, level.states > 0, answers.get(CONTEXT + level.k, NOTHING))
                 at = np.flatnonzero(rest)
-                p[at] = (np.maximum(c[k][at] - 1, 0) + rest[at] * p[at]) / n[at]
-            sums = [np.add.reduceat(x, runs.starts) for x in ((c[0] > 0).astype(np.int64), np.log10(base), np.log10(p))]
+                p[at] = (np.maximum(level.counts[at] - 1, 0) + rest[at] * p[at]) / level.states[at]
+            sums = [np.add.reduceat(x, texts.starts) for x in (known, np.log10(base), np.log10(p))]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(unpacked(row["docs"], "<i8"), mask=unpacked(row["missing"], "u1") == 1),
-                    pa.array(runs.held == 1),
-                    pa.array(runs.lengths),
+                    pa.array(texts.held == 1),
+                    pa.array(texts.lengths),
                     pa.array(sums[0]),
-                    pa.array(np.full(len(runs.lengths), tokens, np.int64)),
+                    pa.array(np.full(len(texts.lengths), tokens, np.int64)),
                     pa.array(sums[1]),
                     pa.array(sums[2]),
                 ],
@@ -359,13 +385,13 @@ def score(docs: DataFrame, *, id: str = "doc_id", text: str = "text", held: Colu
     if depth < 1:
         raise ValueError("depth must be 1 or more")
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), (held if held is not None else held_out(F.col(id))).alias("held"))
-    batches = stored(batches_of(rows))
-    size, tokens = batches.agg(F.sum("n_tokens"), F.sum("n_trained")).first()
-    size, tokens = size or 0, tokens or 0
+    batches = _in_buckets(batches_of(rows), 2 * rows.rdd.getNumPartitions())
+    size, n = batches.agg(F.sum("n_tokens"), F.sum("n_trained")).first()
+    size, n = size or 0, n or 0
     bits = max(3, math.ceil(math.log2(max(1, size / SHARD_KEYS))))
     width = min(64, max(1, size).bit_length() + SPARE_BITS)
-    first = summed(requests(batches, _ask_first, depth, bits, width), gain)
+    first = summed(requests(batches, _ask_first, bits, width), gain)
     kinds = first.where("level = 0").agg(F.sum("kinds")).first()[0] or 0
-    longer = summed(requests(with_answers(batches, first.where("level = 1")), _ask_longer, depth, bits, width), gain)
-    contexts = summed(requests(with_answers(batches, first, longer), _ask_contexts(tokens, kinds), depth, bits, width), gain)
-    return _scored(with_answers(batches, first, longer, contexts), depth, width, tokens, kinds)
+    longer = summed(requests(with_answers(batches, first.where("level = 1")), _ask_longer(depth), bits, width), gain)
+    contexts = summed(requests(with_answers(batches, first, longer), _ask_contexts(depth, n, kinds), bits, width), gain)
+    return _scored(with_answers(batches, first, longer, contexts), depth, width, n, kinds)

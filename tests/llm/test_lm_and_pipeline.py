@@ -27,11 +27,12 @@ def naive_scores(rows, depth=M.DEPTH, gain=M.GAIN):
                     after[tuple(w[j - k : j])][w[j]] += 1
     n, v = sum(c.values()), len(c)
     base = lambda x: (c[x] + 1) / (n + v + 1)
+    root = lambda x: (c[x] or v) / (n + v)
 
     def close(s, x):
         """The suffix's distribution as the test takes it: all contexts seen twice."""
         if not s:
-            return base(x)
+            return root(x)
         size, q = sum(after[s].values()), close(s[1:], x)
         return (max(after[s][x] - 1, 0) + q) / size if size >= 2 else q
 
@@ -43,7 +44,7 @@ def naive_scores(rows, depth=M.DEPTH, gain=M.GAIN):
     kept = {s for s in list(after) if diverges(s)}
 
     def p(w, j):
-        q = base(w[j])
+        q = root(w[j])
         for k in range(1, min(depth, j) + 1):
             s = tuple(w[j - k : j])
             if s in kept:
