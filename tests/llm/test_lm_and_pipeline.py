@@ -54,7 +54,7 @@ def naive_scores(rows, depth=M.DEPTH, gain=M.GAIN):
     return [(i, out(i), len(w), sum(c[x] > 0 for x in w), n, sum(math.log10(base(x)) for x in w), sum(math.log10(p(w, j)) for j in range(len(w)))) for i, w in docs]
 
 
-@pytest.mark.parametrize("batch", (1 << 14, 12 << 20))
+@pytest.mark.parametrize("batch", (1 << 14, 8 << 20))
 def test_scores(make, sample, monkeypatch, batch):
     monkeypatch.setattr(M, "BATCH_BYTES", batch)
     rows = [*sample, *((60_000 + k, t) for k, (_, t) in enumerate(ODD))]
