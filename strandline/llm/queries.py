@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, html_text, importance, langid, line_dedup, quality, sentencepiece_scan, simhash, suffix_tree_lm, token_files, wordpiece_counts
+from strandline.llm import decontaminate, html_text, importance, langid, line_dedup, minmax, quality, sentencepiece_scan, simhash, suffix_tree_lm, token_files, wordpiece_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -157,6 +157,10 @@ FROM bits
 """
 
 
+def op11_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -209,6 +213,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
+    "op11_minmax_neardup": op11_minmax_neardup,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
