@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, html_text, importance, langid, line_dedup, minmax, quality, sentencepiece_scan, simhash, suffix_tree_lm, token_files, wordpiece_counts
+from strandline.llm import collocations, decontaminate, html_text, importance, langid, line_dedup, minmax, quality, sentencepiece_scan, simhash, suffix_tree_lm, token_files, wordpiece_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,6 +161,44 @@ def op11_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS rid,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+lists AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase
+  FROM lists, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k),
+f AS MATERIALIZED (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, CAST(count(*) AS HUGEINT) AS f
+  FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+cut AS (
+  SELECT c.lang, c.ws, c.phrase, c.f AS a, j.j, l.f AS l, r.f AS r, 2000000 * c.f // (l.f + r.f) AS score
+  FROM f c JOIN (SELECT unnest([1, 2, 3]) AS j) j ON j.j < c.k
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1 : j.j], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[j.j + 1 :], ' ')
+  WHERE c.k > 1),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS nth FROM cut),
+inner_ AS (
+  SELECT lang, array_to_string(p.ws[s.s : s.s + m.m - 1], ' ') AS phrase, max(p.f) AS longer
+  FROM f p, (SELECT unnest([2, 3]) AS m) m, (SELECT unnest([1, 2, 3]) AS s) s
+  WHERE m.m < p.k AND s.s + m.m - 1 <= p.k GROUP BY ALL),
+left_ AS (
+  SELECT o.lang, o.phrase, o.a, o.l, o.r, o.score FROM lowest o LEFT JOIN inner_ i ON i.lang = o.lang AND i.phrase = o.phrase
+  WHERE o.nth = 1 AND (i.longer IS NULL OR 100 * i.longer < 80 * o.a)),
+total AS (SELECT lang, sum(len(ws)) AS n FROM lists GROUP BY lang),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_)
+SELECT p.lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM placed p JOIN total t ON t.lang = p.lang WHERE rank <= 2000
+"""
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -214,11 +252,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": op9_html_text,
     "op10_quality_rules": op10_quality_rules,
     "op11_minmax_neardup": op11_minmax_neardup,
+    "op12_collocations": op12_collocations,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": OP6_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op12_collocations": OP12_SQL,
     "op13_importance_resampling": OP13_SQL,
 }
