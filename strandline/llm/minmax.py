@@ -13,7 +13,9 @@
 4. Where leaves of different components still share a bucket, those outside its largest
    component meet the others in tiles. A tile compares signatures: pairs of one component,
    pairs that an earlier band brings together, and pairs under ``least`` equal values (five
-   deviations below the mean of 0.8) go. All others are checked on their full sets.
+   deviations below the mean of 0.8) go. All others are checked on their full sets: pair by
+   pair where they are few, and where most pairs of a square of leaves are left, all of the
+   square at once, of which a spanning forest of links is kept.
    Buckets above ``most`` leaves are first taken apart by a second band.
 5. Checked links make the components; the least doc_id names each.
 
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.components import components
 from strandline.llm.similar import set_number, shingle_set
-from strandline.llm.simhash import whole_tasks
+from strandline.llm.simhash import forest, whole_tasks
 from strandline.llm.text import as_bytes, discard, stored
 
 WIDTH, PERCENT = 4, 80
@@ -46,7 +48,7 @@ VALUES = 2 * PERMUTATIONS
 BANDS = VALUES // ROWS
 LEAST = 33
 CHUNK, MOST = 2048, 20_000
-BLOCK_ROWS, CELLS = 20_000, 1 << 18
+BLOCK_ROWS, SQUARE, COLUMNS = 20_000, 256, 8192
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 #: A permutation of 64-bit hashes: multiply by an odd number, fold, multiply again.
 _FIRST, _SECOND = (_RANDOM.integers(0, 1 << 64, (PERMUTATIONS, 1), np.uint64) | np.uint64(1) for _ in range(2))
@@ -150,21 +152,69 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 _TILE = ["key", "a", "b"]
 
 
-def _pairs_of_tile(pdf: pd.DataFrame, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes (side 0, side 1) of a tile that the full sets must decide."""
-    side = pdf["side"].to_numpy()
-    one, two = pdf[side == 0], pdf[side == 1]
-    signs = [np.frombuffer(b"".join(x["signs"]), "<u4").reshape(-1, VALUES) for x in (one, two)]
-    band, nodes, labels = int(pdf["band"].iloc[0]), [x["node"].to_numpy() for x in (one, two)], [x["label"].to_numpy() for x in (one, two)]
-    step = max(1, CELLS // max(1, len(two)))
-    for at in range(0, len(one), step):
-        same = signs[0][at : at + step, None, :] == signs[1][None, :, :]
-        own = same.sum(axis=2, dtype=np.int16) >= least
-        own &= labels[0][at : at + step, None] != labels[1][None, :]
-        if band:
-            own &= ~same[:, :, : ROWS * band].reshape(*own.shape, band, ROWS).all(axis=3).any(axis=2)
-        i, j = np.nonzero(own)
-        yield nodes[0][at + i], nodes[1][j]
+_FOUND_DDL = "tile long, side int, u long, v long"
+
+
+def _square(signs: list[np.ndarray], labels: list[np.ndarray], band: int, least: int) -> np.ndarray:
+    """Which leaves of two lists the full sets must decide about."""
+    same = signs[0][:, None, :] == signs[1][None, :, :]
+    own = (same.sum(axis=2, dtype=np.int16) >= least) & (labels[0][:, None] != labels[1][None, :])
+    if band:
+        own &= ~same[:, :, : ROWS * band].reshape(*own.shape, band, ROWS).all(axis=3).any(axis=2)
+    return own
+
+
+def _decisions(rows: pd.DataFrame, least: int, square: int) -> Iterator[pd.DataFrame]:
+    """Of whole tiles: pairs (u, v) to check; where a square of leaves has more pairs than
+    twice its leaves, its leaves instead, to be checked together."""
+    none = pd.array([], "Int64")
+    signs = np.frombuffer(b"".join(rows["signs"]), "<u4").reshape(-1, VALUES)
+    side, node, label, band = (rows[c].to_numpy() for c in ("side", "node", "label", "band"))
+    key = [rows[c].to_numpy() for c in _TILE]
+    cuts = np.flatnonzero(np.any([np.diff(x) != 0 for x in key], axis=0)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(rows)]):
+        one, two = (lo + np.flatnonzero(side[lo:hi] == x) for x in (0, 1))
+        for a in range(0, len(one), square):
+            for b in range(0, len(two), square):
+                at, to = one[a : a + square], two[b : b + square]
+                own = _square([signs[at], signs[to]], [label[at], label[to]], int(band[lo]), least)
+                i, j = np.nonzero(own)
+                if not len(i):
+                    continue
+                first, second = at[np.unique(i)], to[np.unique(j)]
+                if len(i) <= 2 * (len(first) + len(second)):
+                    u, v = node[at[i]], node[to[j]]
+                    yield pd.DataFrame({"tile": pd.array([None] * len(u), "Int64"), "side": 0, "u": np.minimum(u, v), "v": np.maximum(u, v)})
+                else:
+                    tile = int(np.int64(hash((int(key[0][lo]), int(key[1][lo]), int(key[2][lo]), a, b))))
+                    both = np.concatenate([first, second])
+                    yield pd.DataFrame({"tile": pd.array([tile] * len(both), "Int64"), "side": np.repeat([0, 1], [len(first), len(second)]), "u": node[both], "v": pd.array([None] * len(both), "Int64")})
+    yield pd.DataFrame({"tile": none, "side": np.zeros(0, np.int32), "u": none, "v": none})
+
+
+def _links_of_square(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """A spanning forest of the links between both sides: shared shingles of all pairs come
+    from products of incidence matrices over the shingles that two leaves have."""
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+    side, sizes = pdf["side"].to_numpy(), np.array([len(x) for x in sets])
+    known, node = np.unique(pdf["u"].to_numpy(), return_inverse=True)
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, often = np.repeat(np.arange(len(sets)), sizes), n[column] > 1
+    column = (np.cumsum(n > 1) - 1)[column[often]]
+    owner = owner[often]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    shared = np.zeros((len(one), len(two)), np.int64)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [first, first + COLUMNS])
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[owner[lo:hi], column[lo:hi] - first] = 1
+        shared += (held[one] @ held[two].T).astype(np.int64)
+    i, j = np.nonzero(100 * shared >= percent * (sizes[one][:, None] + sizes[two][None, :] - shared))
+    label = forest(len(known), iter([(node[one[i]], node[two[j]])]))
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return pd.DataFrame({"u": known[label[moved]], "v": known[moved]})
 
 
 def tiled(marked: DataFrame, leaves: DataFrame, chunk: int) -> DataFrame:
@@ -182,30 +232,35 @@ def tiled(marked: DataFrame, leaves: DataFrame, chunk: int) -> DataFrame:
     return first.unionByName(second)
 
 
-def undecided(members: DataFrame, labels: DataFrame, leaves: DataFrame, *, chunk: int = CHUNK, most: int = MOST, least: int = LEAST) -> DataFrame:
-    """(u, v): pairs of leaves of different components that share a bucket and may be
-    similar. members: (key, band, node, n); labels: (node, label)."""
+def undecided(members: DataFrame, labels: DataFrame, leaves: DataFrame, *, chunk: int = CHUNK, most: int = MOST, least: int = LEAST, square: int = SQUARE) -> DataFrame:
+    """(tile, side, u, v): pairs of leaves of different components that share a bucket and may
+    be similar (tile null), or the leaves of squares full of such pairs (u). members: (key,
+    band, node, n); labels: (node, label)."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in whole_tasks(it, _TILE, BLOCK_ROWS):
-            cuts = np.flatnonzero(np.any([np.diff(rows[c].to_numpy()) != 0 for c in _TILE], axis=0)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(rows)]):
-                for u, v in _pairs_of_tile(rows.iloc[a:b], least):
-                    if len(u):
-                        yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+            yield from _decisions(rows, least, square)
 
     marked = stored(members.join(labels.hint("merge"), "node").select("key", "band", "node", "n", "label"))
-    cold = tiled(marked.where(F.col("n") <= most).drop("n"), leaves, chunk)
+    dealt = tiled(marked.where(F.col("n") <= most).drop("n"), leaves, chunk)
     large = marked.where(F.col("n") > most)
     if not large.isEmpty():
         # two similar leaves that share this band share another: key by both
         other = bucketed(leaves.join(large.select("node").distinct().hint("merge"), "node", "left_semi")).select("node", F.col("key").alias("key2"), F.col("band").alias("band2"))
         twice = large.join(other.hint("merge"), "node").where("band2 <> band").select(F.xxhash64("key", "key2").alias("key"), F.lit(0).alias("band"), "node", "label")
-        cold = cold.unionByName(tiled(twice, leaves, chunk))
-    return cold.repartition(*_TILE).sortWithinPartitions(*_TILE).mapInPandas(run, "u long, v long").distinct()
+        dealt = dealt.unionByName(tiled(twice, leaves, chunk))
+    return dealt.repartition(*_TILE).sortWithinPartitions(*_TILE).mapInPandas(run, _FOUND_DDL)
 
 
-def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, chunk: int = CHUNK, most: int = MOST, least: int = LEAST) -> DataFrame:
+def second_links(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links among what undecided() found; of a square a spanning forest of them."""
+    found = stored(found)
+    one_by_one = checked(found.where("tile IS NULL").select("u", "v").distinct(), sets, percent)
+    squares = found.where("tile IS NOT NULL").select("tile", "side", "u").join(sets.withColumnRenamed("node", "u").hint("merge"), "u")
+    return one_by_one.unionByName(squares.groupBy("tile").applyInPandas(lambda pdf: _links_of_square(pdf, percent), "u long, v long"))
+
+
+def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, chunk: int = CHUNK, most: int = MOST, least: int = LEAST, square: int = SQUARE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs."""
     signed = stored(signatures(docs, id, text, width))
     leaves = stored(signed.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("signs").alias("signs")))
@@ -217,7 +272,7 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     sets = stored(full_sets(docs, owners, id, text, width))
     near = stored(checked(members.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), sets, percent))
     found = leaves.select("node").join(components(near), "node", "left").select("node", F.coalesce("component", "node").alias("label"))
-    more = stored(checked(undecided(members, found, leaves, chunk=chunk, most=most, least=least), sets, percent))
+    more = stored(second_links(undecided(members, found, leaves, chunk=chunk, most=most, least=least, square=square), sets, percent))
     named = leaves.select("node", "doc_id").join(components(near.unionByName(more)), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     of = stored(named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("node", "component_id"))
     for part in (members, sets, near, more, leaves):

@@ -148,7 +148,7 @@ def trie_links(fps: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray,
             bit -= 1
 
 
-def _forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The least index that each of n nodes reaches."""
     label = np.arange(n)
     for i, j in links:
@@ -189,7 +189,7 @@ def _join_block(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     crossing = key[2][lo] != key[3][lo]
     mid = hi - np.add.reduceat(side, lo)
     pairs = lo, np.where(crossing, mid, hi), np.where(crossing, mid, lo), hi
-    label = _forest(len(fps), trie_links(fps, pairs, k))
+    label = forest(len(fps), trie_links(fps, pairs, k))
     moved = np.flatnonzero(label != np.arange(len(label)))
     return pd.DataFrame({"u": rep[moved], "v": rep[label[moved]]})
 

@@ -32,7 +32,7 @@ def test_against_all_pairs(make, sample):
         words = len(t.split())
         rows += [(10_000 + 100 * n + c, edited(t, max(1, words * (1 + 2 * c) // 100), 7 * n + c)) for c in range(4)]
     want = naive(rows)
-    for options in ({}, {"chunk": 3}, {"most": 2, "chunk": 2}):
+    for options in ({}, {"chunk": 3}, {"most": 2, "chunk": 2}, {"square": 2}):
         assert got(M.near_duplicates(make(rows), **options)) == want, options
 
 
@@ -44,7 +44,7 @@ def test_a_family_around_the_threshold(make, sample):
     words = len(text.split())
     rows = [(i, edited(text, max(1, words * (i % 7) // 100), i)) for i in range(120)] + [(1000 + i, f"{passage} " + " ".join(f"own{i}w{k}" for k in range(60))) for i in range(60)]
     want = naive(rows)
-    for options in ({}, {"chunk": 10}):
+    for options in ({}, {"chunk": 10}, {"chunk": 64, "square": 8}):
         assert got(M.near_duplicates(make(rows), **options)) == want, options
 
 
