@@ -155,37 +155,6 @@ def grouped_vectors(df: DataFrame, group: str, key: str, v: str, fn, ddl: str) -
     return df.select(group, key, v).groupBy(group).applyInPandas(run, f"{group} {kind}, {ddl}")
 
 
-def mismatch_null(h: np.ndarray, p: np.ndarray, rng: np.random.Generator, draws: int = 2000, families: np.ndarray | None = None) -> tuple[float, float, float, float]:
-    """(mean leave-one-out cosine, its p, coherence, its p) of p - h against partners dealt
-    anew, inside families where given. The sum of all deltas does not depend on who is whose
-    partner, so a draw needs inner products of rows with it and the partners' own only."""
-    n, total = len(h), (p - h).sum(axis=0)
-    ss, ps, hs = total @ total, p @ total, h @ total
-    pp, hh = (p * p).sum(axis=1), (h * h).sum(axis=1)
-
-    def facts(order: np.ndarray) -> tuple[float, float]:
-        d = p[order] - h
-        own = pp[order] - 2 * (p[order] * h).sum(axis=1) + hh
-        g = ps[order] - hs
-        rest = np.sqrt(np.maximum(own, 0) * np.maximum(ss - 2 * g + own, 0))
-        fine = rest > 0
-        u = d[own > 0] / np.sqrt(own[own > 0])[:, None]
-        return float(((g - own)[fine] / rest[fine]).mean()) if fine.any() else float("nan"), float(np.linalg.norm(u.sum(axis=0)) / n)
-
-    def dealt() -> np.ndarray:
-        if families is None:
-            return rng.permutation(n)
-        out = np.arange(n)
-        for f in np.unique(families):
-            own = np.flatnonzero(families == f)
-            out[own] = rng.permutation(own)
-        return out
-
-    loo, coherent = facts(np.arange(n))
-    null = np.array([facts(dealt()) for _ in range(draws)])
-    return loo, float(((null[:, 0] >= loo).sum() + 1) / (draws + 1)), coherent, float(((null[:, 1] >= coherent).sum() + 1) / (draws + 1))
-
-
 def family_uncertainty(v: np.ndarray, rng: np.random.Generator, draws: int = 10_000) -> tuple[int, float, float, float, float, float, bool]:
     """(n, mean, sd, low, high, p, whether the interval leaves out zero)."""
     v = v[np.isfinite(v)]

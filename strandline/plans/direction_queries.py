@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from strandline.operators import kmers, ranks as R, resample, transport, vectors as V
+from strandline.operators import kmers, layer_nulls as L, ranks as R, resample, transport, vectors as V
 from strandline.plans import derived as D
 from strandline.plans.numeric_queries import _members
 from strandline.plans.sequence_queries import _KMERS
@@ -51,6 +51,42 @@ def direction_facts(spark, sf_dir):
     return x.select("layer", "n", *[F.round(c, 6).alias(c) for c in names])
 
 
+def _dealt_sql(name: str, kind: str, group: str) -> str:
+    """CTEs of partners dealt anew: (layer, draw, loo, coherence) as ``name``."""
+    own = group.replace("layer", "y.layer = o.layer").replace(", family", " AND y.family = o.family")
+    return f""", {name}_o AS (SELECT layer, family, draw, gene, row_number() OVER (PARTITION BY {group}, draw ORDER BY {L.hashed_sql(f"draw + {L.KINDS[kind]}", "number")}, number) AS place FROM n, draws),
+ {name}_b AS (SELECT layer, family, gene, row_number() OVER (PARTITION BY {group} ORDER BY number) AS place FROM n),
+ {name}_d AS MATERIALIZED (SELECT o.layer, o.draw, list_transform(list_zip(a.h, b.p), lambda z: z[2] - z[1]) AS d, list_dot_product(b.p, s.s) - list_dot_product(a.h, s.s) AS g, list_dot_product(s.s, s.s) AS ss FROM {name}_o o JOIN {name}_b y ON y.place = o.place AND {own} JOIN n a ON a.gene = y.gene JOIN n b ON b.gene = o.gene JOIN s ON s.layer = o.layer),
+ {name}_u AS (SELECT layer, draw, unnest(list_transform(d, lambda z: z / sqrt(list_dot_product(d, d)))) AS u, unnest(range(len(d))) AS i FROM {name}_d),
+ {name}_c AS (SELECT layer, draw, sqrt(sum(u * u)) AS c FROM (SELECT layer, draw, i, sum(u) AS u FROM {name}_u GROUP BY ALL) GROUP BY ALL),
+ {name} AS (SELECT layer, draw, avg((g - list_dot_product(d, d)) / sqrt(list_dot_product(d, d) * (ss - 2 * g + list_dot_product(d, d)))) AS loo, any_value(c) / count(*) AS coherence FROM {name}_d JOIN {name}_c USING (layer, draw) GROUP BY ALL)"""
+
+
+_LAYERS_SQL = _S + f""", n AS MATERIALIZED (SELECT layer, gene, family, gene % {L.PRIME} AS number, h, p, d, list_dot_product(d, d) AS dd FROM d), draws AS (SELECT unnest(range({L.DRAWS})) AS draw), splits AS (SELECT unnest(range({L.SPLITS})) AS draw),
+ xu AS MATERIALIZED (SELECT layer, gene, unnest(d) AS x, unnest(list_transform(d, lambda z: z / sqrt(dd))) AS u, unnest(range(len(d))) AS i FROM n),
+ real_c AS (SELECT layer, sqrt(sum(m * m)) AS coherence FROM (SELECT layer, i, avg(u) AS m FROM xu GROUP BY ALL) GROUP BY ALL),
+ lo AS (SELECT layer, sqrt(dd) AS dn, (list_dot_product(d, s) - dd) / sqrt(dd * (list_dot_product(s, s) - 2 * list_dot_product(d, s) + dd)) AS loo, s FROM n JOIN s USING (layer)),
+ facts AS (SELECT layer, count(*) AS n, sqrt(list_dot_product(any_value(s), any_value(s))) / count(*) AS v_norm, sqrt(list_dot_product(any_value(s), any_value(s))) / count(*) / avg(dn) AS v_over_mean, median(dn) AS dnorm_median, stddev_pop(dn) / avg(dn) AS dnorm_cv, avg(loo) AS loo_mean, median(loo) AS loo_median, stddev_pop(loo) AS loo_sd, min(loo) AS loo_min, max(loo) AS loo_max, avg((loo > 0)::INT) AS loo_pos, avg((loo > 0.25)::INT) AS loo_over_quarter, any_value(coherence) AS coherence, 1 / sqrt(count(*)) AS floor FROM lo JOIN real_c USING (layer) GROUP BY layer),
+ flip AS MATERIALIZED (SELECT layer, gene, draw, CASE WHEN ({L.hashed_sql("draw", "number")} >> 16) & 1 = 1 THEN 1.0 ELSE -1.0 END AS e FROM n, draws),
+ flipped AS (SELECT layer, draw, list(s ORDER BY i) AS s, sum(s * s) AS ss, sqrt(sum(c * c)) AS c FROM (SELECT layer, draw, i, sum(CAST(e AS DOUBLE) * x) AS s, sum(CAST(e AS DOUBLE) * u) AS c FROM flip JOIN xu USING (layer, gene) GROUP BY ALL) GROUP BY ALL),
+ signs AS (SELECT layer, draw, avg((g - dd) / sqrt(dd * (ss - 2 * g + dd))) AS loo, any_value(c) / count(*) AS coherence FROM (SELECT layer, draw, dd, ss, c, CAST(e AS DOUBLE) * list_dot_product(d, s) AS g FROM flip JOIN n USING (layer, gene) JOIN flipped USING (layer, draw)) GROUP BY ALL)
+ {_dealt_sql("pooled", "pooled", "layer")}{_dealt_sql("family_", "family", "layer, family")},
+ halves AS (SELECT layer, gene, draw, row_number() OVER (PARTITION BY layer, draw ORDER BY {L.hashed_sql(f"draw + {L.KINDS['split']}", "number")}, number) AS place, count(*) OVER (PARTITION BY layer, draw) // 2 AS half FROM n, splits),
+ split AS (SELECT layer, draw, sum(a * b) / sqrt(sum(a * a) * sum(b * b)) AS cosine FROM (SELECT layer, draw, i, sum(x) FILTER (place <= half) AS a, sum(x) FILTER (place > half AND place <= 2 * half) AS b FROM halves JOIN xu USING (layer, gene) GROUP BY ALL) GROUP BY ALL)
+ SELECT f.layer, f.n, {", ".join(f"round(f.{c}, 6) AS {c}" for c in ("v_norm", "v_over_mean", "dnorm_median", "dnorm_cv", "loo_mean", "loo_median", "loo_sd", "loo_min", "loo_max", "loo_pos", "loo_over_quarter", "coherence", "floor"))},
+ {", ".join(f"(SELECT round(quantile_cont(cosine, {q}), 6) FROM split x WHERE x.layer = f.layer) AS split_{name}" for name, q in (("median", 0.5), ("low", 0.025), ("high", 0.975)))},
+ {", ".join(f"(SELECT round(median({c}), 6) FROM {t} x WHERE x.layer = f.layer) AS null_{name}_{c}, (SELECT round((count(*) FILTER (x.{c} >= f.{real}) + 1) / CAST(count(*) + 1 AS DOUBLE), 6) FROM {t} x WHERE x.layer = f.layer) AS p_{name}_{c}" for t, name in (("signs", "signflip"), ("family_", "mismatch"), ("pooled", "mismatchpool")) for c, real in (("loo", "loo_mean"), ("coherence", "coherence")))}
+ FROM facts f"""
+
+
+@query(_LAYERS_SQL)
+def layer_statistics(spark, sf_dir):
+    """All 28 statistics of each layer's deltas, 2,000 draws of each null and
+    1,000 split halves."""
+    x = L.layer_statistics(_paired(spark, sf_dir), "gene", "layer", "family", "h", "p")
+    return x.select("layer", "n", *[F.round(c, 6).alias(c) for c in x.columns if c not in ("layer", "n")])
+
+
 @query(_S + """, m AS (SELECT layer, list(x ORDER BY i) AS mu FROM (SELECT layer, i, avg(x) AS x FROM (SELECT layer, unnest(list_transform(list_zip(h, p), lambda z: (z[1] + z[2]) / 2)) AS x, unnest(range(len(h))) AS i FROM d) GROUP BY 1, 2) GROUP BY 1),
  g AS (SELECT layer, avg(gene % 11) AS gm, count(*) AS n FROM d GROUP BY 1), b AS (SELECT layer, list(x ORDER BY i) AS beta FROM (SELECT layer, i, sum(x) AS x FROM (SELECT layer, unnest(list_transform(d, lambda z: z * (gene % 11 - gm))) AS x, unnest(range(len(d))) AS i FROM d JOIN g USING (layer)) GROUP BY 1, 2) GROUP BY 1),
  v AS (SELECT layer, gene, d, mu, beta, list_transform(list_zip(s, d), lambda z: (z[1] - z[2]) / (n - 1)) AS v FROM d JOIN s USING (layer) JOIN m USING (layer) JOIN g USING (layer) JOIN b USING (layer)), w AS (SELECT *, sqrt(list_dot_product(v, v)) AS vn, sqrt(list_dot_product(d, d)) AS dn FROM v)
@@ -141,17 +177,10 @@ def profile_divergence(spark, sf_dir):
 
 @query()
 def mismatch_null(spark, sf_dir):
-    """Partners dealt anew, pooled and inside families."""
-    p = _paired(spark, sf_dir)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("gene")
-        h, q = np.stack(pdf["h"]), np.stack(pdf["p"])
-        layer = int(pdf["layer"].iloc[0])
-        rows = [(layer, kind, *resample.mismatch_null(h, q, resample.rng_for("mismatch", kind, layer), 500, fam)) for kind, fam in (("pooled", None), ("family", pdf["family"].to_numpy()))]
-        return pd.DataFrame(rows, columns=["layer", "kind", "loo", "p_loo", "coherence", "p_coherence"])
-
-    return p.groupBy("layer").applyInPandas(run, "layer long, kind string, loo double, p_loo double, coherence double, p_coherence double")
+    """Partners dealt anew, pooled and inside families, 2,000 draws."""
+    x = L.layer_statistics(_paired(spark, sf_dir), "gene", "layer", "family", "h", "p", splits=1)
+    rows = [F.struct(F.lit(kind).alias("kind"), F.col("loo_mean").alias("loo"), F.col(f"p_{name}_loo").alias("p_loo"), "coherence", F.col(f"p_{name}_coherence").alias("p_coherence")) for kind, name in (("pooled", "mismatchpool"), ("family", "mismatch"))]
+    return x.select("layer", F.explode(F.array(*rows)).alias("r")).select("layer", "r.*")
 
 
 @query()

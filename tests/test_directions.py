@@ -15,22 +15,6 @@ def cosine(a, b):
     return a @ b / np.linalg.norm(a) / np.linalg.norm(b)
 
 
-def test_mismatch_null_by_loops():
-    h, p = RNG.normal(size=(9, 5)), RNG.normal(size=(9, 5)) + 0.5
-    loo, p_loo, coh, p_coh = resample.mismatch_null(h, p, np.random.default_rng(3), 200)
-    d = p - h
-    own = np.mean([cosine(d[i], d.sum(0) - d[i]) for i in range(9)])
-    assert loo == pytest.approx(own) and coh == pytest.approx(np.linalg.norm(np.mean(d / np.linalg.norm(d, axis=1, keepdims=True), axis=0)))
-    rng, hits = np.random.default_rng(3), [0, 0]
-    for _ in range(200):
-        e = p[rng.permutation(9)] - h
-        hits[0] += np.mean([cosine(e[i], e.sum(0) - e[i]) for i in range(9)]) >= loo
-        hits[1] += np.linalg.norm(np.mean(e / np.linalg.norm(e, axis=1, keepdims=True), axis=0)) >= coh
-    assert (p_loo, p_coh) == pytest.approx(((hits[0] + 1) / 201, (hits[1] + 1) / 201))
-    fam = np.array([0, 0, 0, 1, 1, 1, 2, 2, 2])
-    assert resample.mismatch_null(h, p, np.random.default_rng(3), 50, fam)[0] == pytest.approx(loo)
-
-
 def naive_silhouette(x, label):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     d = 1 - u @ u.T

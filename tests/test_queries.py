@@ -20,7 +20,7 @@ def duck():
 def plain(x):
     if x is None or x != x:
         return None
-    return float(f"{x:.5g}") if isinstance(x, float) else x
+    return float(f"{x:.5g}") + 0.0 if isinstance(x, float) else x
 
 
 def rows_of(columns, rows):
