@@ -22,7 +22,7 @@ Nothing grows with the corpus on the driver or in a broadcast. A key's rows are
 for each batch. Slices are at most batches times shards and at most one for each key sent:
 from a few hundred GB of text on they hold a key or two each.
 
-Making the frame runs jobs; the batches stand as a bucketed table until they end. Defined
+Making the frame runs jobs; batches and answers stand as bucketed tables until they end. Defined
 cases: a null or empty text has no words; a null language is ``und``; very long texts go
 whole into one batch; ties of cuts go to the shorter first part, ties of ranks to the lesser
 phrase in byte order; repeated rows count each; an empty table gives an empty one; extra
@@ -37,12 +37,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.line_dedup import PerfectHash
 from strandline.llm.suffix_tree_lm import packed, unpacked
-from strandline.llm.text import as_bytes, discard, shared_dir, stored
+from strandline.llm.text import as_bytes, discard, remove, shared_dir, stored
 
 MOST_WORDS, LEAST, COVER, TOP = 4, 30, 80, 2000
 SCALE = 2_000_000
@@ -97,14 +97,26 @@ def batches_of(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text")).mapInArrow(run, _BATCH_DDL)
 
 
-def _in_buckets(batches: DataFrame, buckets: int) -> tuple[DataFrame, str]:
-    """The batches as a table in the shared folder, bucketed by number: answers travel to
-    them, they don't travel. And the table's name."""
-    spark, name, path = batches.sparkSession, f"phrase_batches_{uuid.uuid4().hex}", shared_dir(batches.sparkSession)
-    batches.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(max(1, buckets), "batch").saveAsTable(name)
-    out = spark.table(name)
-    out._strandline_path = path
-    return out, name
+class Tables:
+    """Tables in the shared folder, bucketed by batch: batches and the answers to them meet
+    without another shuffle, however often they are read."""
+
+    def __init__(self, spark: SparkSession, buckets: int):
+        self.spark, self.buckets, self.made = spark, max(1, buckets), {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        name = f"phrases_{uuid.uuid4().hex}"
+        self.made[name] = shared_dir(self.spark)
+        df.write.format("parquet").option("compression", "zstd").option("path", self.made[name]).bucketBy(self.buckets, "batch").saveAsTable(name)
+        return self.spark.table(name)
+
+    def put_answers(self, df: DataFrame) -> DataFrame:
+        return self.put(df.repartition(self.buckets, "batch"))
+
+    def drop(self) -> None:
+        for name, path in self.made.items():
+            self.spark.sql(f"DROP TABLE {name}")
+            remove(self.spark, path)
 
 
 @dataclass
@@ -300,11 +312,13 @@ def _counted(table: pa.Table, words: int, least: int) -> pa.Table:
 
 
 def with_answers(batches: DataFrame, answers: list[DataFrame]) -> DataFrame:
-    every = answers[0]
-    for more in answers[1:]:
-        every = every.unionByName(more)
-    lists = every.groupBy("batch").agg(F.collect_list(F.struct("level", "places", "ids", "counts", "mine")).alias("answers"))
-    return batches.join(lists.hint("merge"), "batch")
+    """Batches with all answers so far; levels above the first may have none for a batch."""
+    held = []
+    for i, level in enumerate(answers):
+        lists = level.groupBy("batch").agg(F.collect_list(F.struct("level", "places", "ids", "counts", "mine")).alias(f"answers{i}"))
+        batches = batches.join(lists.hint("merge"), "batch", "left" if i else "inner")
+        held.append(F.coalesce(f"answers{i}", F.array().cast(lists.schema[f"answers{i}"].dataType)))
+    return batches.withColumn("answers", F.concat(*held)).drop(*[f"answers{i}" for i in range(len(answers))])
 
 
 def reported(batches: DataFrame, most_words: int) -> DataFrame:
@@ -346,21 +360,20 @@ def ranked(phrases: DataFrame, totals: DataFrame, cover: int, top: int) -> DataF
 
 def collocations(docs: DataFrame, *, lang: str = "lang", text: str = "text", most_words: int = MOST_WORDS, least: int = LEAST, cover: int = COVER, top: int = TOP, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of each language."""
-    spark = docs.sparkSession
-    batches, name = _in_buckets(batches_of(docs, lang, text), 2 * docs.rdd.getNumPartitions())
+    tables = Tables(docs.sparkSession, 2 * docs.rdd.getNumPartitions())
+    batches = tables.put(batches_of(docs, lang, text))
     size = batches.agg(F.sum("n_tokens")).first()[0] or 0
     bits = max(0, -(-size // shard_keys) - 1).bit_length()
     words = stored(word_counts(batches))
     totals = stored(words.groupBy("lang").agg(F.sum("n").alias("n")))
     sums = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     frequent = stored(sums.withColumn("id", F.monotonically_increasing_id()))
-    answers = [stored(word_answers(words, frequent))]
+    answers = [tables.put_answers(word_answers(words, frequent))]
     discard(words)
+    discard(frequent)
     for k in range(2, most_words + 1):
         asked = requests(with_answers(batches, answers), k, bits)
-        answers.append(stored(asked.groupBy("shard").applyInArrow(counting(k, least), _ANSWER_DDL)))
+        answers.append(tables.put_answers(asked.groupBy("shard").applyInArrow(counting(k, least), _ANSWER_DDL)))
     phrases = stored(reported(with_answers(batches, answers), most_words))
-    spark.sql(f"DROP TABLE {name}")
-    for part in (batches, frequent, *answers):
-        discard(part)
+    tables.drop()
     return ranked(phrases, totals, cover, top)

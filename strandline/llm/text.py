@@ -69,13 +69,17 @@ def stored(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a stored() frame that nothing will read again."""
     path = getattr(df, "_strandline_path", None)
     if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        remove(df.sparkSession, path)
 
 
 def scalar_struct(fn: Callable[[list[bytes | None]], list[list]], ddl: str) -> Callable[..., Column]:
