@@ -7,12 +7,16 @@ keeps a byte that says where its three states came from. Of equal alignments the
 prefers a substitution, then a gap in b, from the end is taken; other tools may choose
 another of the same score.
 
+Long pairs go through align_long.py, a few rows at a time, with the same choice.
+
 Defined cases: a pair with a null has a null result; an empty sequence aligns to gaps.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of stacked tables worked on together, a byte each.
-CELLS = 1 << 24
+from strandline.operators import align_long
+
+#: Cells of stacked tables worked on together, a byte each; pairs with more cells than LONG
+#: go alone, in linear memory.
+CELLS, LONG = 1 << 24, 1 << 21
 _LOW = -1e18
 _LETTERS = 128
 
@@ -103,7 +110,12 @@ def align_many(pairs: list[tuple[str, str]], score: np.ndarray, opening: float,
     """(a with gaps, b with gaps, score) of each pair. A gap of n costs
     opening + (n - 1) extending."""
     out: list[tuple[str, str, float] | None] = [None] * len(pairs)
-    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
+    long = {i for i, (x, y) in enumerate(pairs) if x and y and (len(x) + 1) * (len(y) + 1) > LONG}
+    for i in long:
+        x, y = pairs[i]
+        moves, total = align_long.align(_stack([x], len(x), 0)[0], _stack([y], len(y), 0)[0], score, opening, extending)
+        out[i] = (*_gapped(x, y, moves), total)
+    order = sorted(set(range(len(pairs))) - long, key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
     at = 0
     while at < len(order):
         end, n, m = at, 0, 0
@@ -141,9 +153,12 @@ def _trace(a: str, b: str, came: np.ndarray, last: np.ndarray) -> tuple[str, str
             state = 2
         elif i and not j:
             state = 1
+    return *_gapped(a, b, moves[::-1]), total
+
+
+def _gapped(a: str, b: str, moves: list[int]) -> tuple[str, str]:
     x, y = iter(a), iter(b)
-    moves.reverse()
-    return "".join("-" if s == 2 else next(x) for s in moves), "".join("-" if s == 1 else next(y) for s in moves), total
+    return "".join("-" if s == 2 else next(x) for s in moves), "".join("-" if s == 1 else next(y) for s in moves)
 
 
 def nucleotide(a: str, b: str) -> tuple[str, str, float]:
@@ -173,7 +188,10 @@ def identity(x: str, y: str) -> tuple[float, int, int]:
 
 def coding_places(span: str, cds: str, seed: int = 31) -> list[int] | None:
     """Places of a spliced CDS in its span: exons in order, each found by its next ``seed``
-    bases behind the one before and taken as far as both agree; None where one is missing."""
+    bases behind the one before and taken as far as both agree; None where one is missing or
+    there is nothing to place."""
+    if not cds:
+        return None
     exons: list[range] = []
     rest, free = cds, 0
     while rest:
@@ -247,7 +265,8 @@ def generation_scores(df: DataFrame, key: str, made: str, target: str) -> DataFr
     from strandline.operators.rewrites import GENETIC
 
     score = nucleotide_scores()
-    protein_of = lambda s: "".join(GENETIC.get(s[i : i + 3], "X") for i in range(0, len(s) - 2, 3))
+    amino = resolved(GENETIC)
+    protein_of = lambda s: "".join(amino.get(s[i : i + 3]) or amino.get(re.sub("[^ACGT]", "N", s[i : i + 3])) for i in range(0, len(s) - 2, 3))
     percent = lambda p, q: 100 * sum(x == y != "-" for x, y in zip(p, q)) / max(1, len(p))
 
     def run(rows):
@@ -271,6 +290,15 @@ def generation_scores(df: DataFrame, key: str, made: str, target: str) -> DataFr
     return _in_batches(df, [key], [made, target], run, "columns int, matches int, indel_bp int, indel_events int, nt_identity double, aa_identity double, n_stops int, premature_stop boolean, calls array<int>")
 
 
+def resolved(code: dict[str, str]) -> dict[str, str]:
+    """The code with codons that hold N: the amino acid if all bases there give one, else X."""
+    out = {}
+    for codon in map("".join, itertools.product("ACGTN", repeat=3)):
+        kinds = {code[x] for x in map("".join, itertools.product(*("ACGT" if c == "N" else c for c in codon)))}
+        out[codon] = kinds.pop() if len(kinds) == 1 else "X"
+    return out
+
+
 def site_hits(calls: DataFrame, wanted: DataFrame, key: str, into: str) -> DataFrame:
     """(key, n_<into>, pct_<into>): of the wanted sites (key, i, base) inside the target how
     many the calls hit; the share is null without any."""

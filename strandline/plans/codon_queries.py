@@ -135,10 +135,10 @@ def two_site_sets(spark, sf_dir):
     return out.select("key", "n_diagnostic", F.round("pct_diagnostic", 6).alias("pct_diagnostic"), "n_private", F.round("pct_private", 6).alias("pct_private"))
 
 
-@query(f"WITH l AS (SELECT key, cds FROM ({D.LOCI_SQL}) WHERE key % 7 <> 0 AND key % 11 <> 0) SELECT key, CAST(3 AS INT) AS first, CAST(3 + length(cds) + 20 - 1 AS INT) AS last, CAST(length(cds) AS INT) AS n, CASE WHEN key % 13 = 0 THEN 'MISMATCH' ELSE 'ok' END AS status FROM l")
+@query(f"WITH l AS (SELECT key, cds FROM ({D.LOCI_SQL})) SELECT key, CAST(3 AS INT) AS first, CAST(3 + length(cds) + 20 - 1 AS INT) AS last, CAST(length(cds) AS INT) AS n, CASE WHEN key % 13 = 0 THEN 'MISMATCH' ELSE 'ok' END AS status FROM l")
 def coding_masks(spark, sf_dir):
     """Places of a spliced sequence in its span, with their status."""
-    x = D.loci(spark, sf_dir).where("key % 7 <> 0 AND key % 11 <> 0")
+    x = D.loci(spark, sf_dir)
     span = F.expr("concat('NNN', substr(cds, 1, 48), repeat('N', 20), substr(cds, 49), 'NN')")
     x = x.select("key", "cds", span.alias("span"), F.when(F.col("key") % 13 == 0, 1).otherwise(F.length("cds")).alias("expected"), F.length(span).alias("span_length"))
     found = A.masks(x, "key", "span", "cds").join(x.select("key", "expected", "span_length"), "key")
