@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from strandline.operators import kmers, layer_nulls as L, ranks as R, resample, transport, vectors as V
+from strandline.operators import clusters as C, kmers, layer_nulls as L, ranks as R, resample, transport, vectors as V
 from strandline.plans import derived as D
 from strandline.plans.numeric_queries import _members
 from strandline.plans.sequence_queries import _KMERS
@@ -183,23 +183,27 @@ def mismatch_null(spark, sf_dir):
     return x.select("layer", F.explode(F.array(*rows)).alias("r")).select("layer", "r.*")
 
 
+def _residuals(spark, sf_dir):
+    return C.residuals(_members(spark, sf_dir), "family", "key", "v")
+
+
 @query()
 def cluster_evidence(spark, sf_dir):
-    """Silhouette excess and gap over spectrum-matched nulls, k from 2 to 8."""
-    names = ["k", "silhouette", "null_mean", "null_sd", "excess", "p_at_k", "gap", "gap_se", "p", "best"]
-    fn = lambda x, keys, rng: pd.DataFrame(transport.cluster_evidence(x, rng, nulls=20), columns=names)
-    return resample.grouped_vectors(_members(spark, sf_dir), "family", "key", "v", fn, "k long, silhouette double, null_mean double, null_sd double, excess double, p_at_k double, gap double, gap_se double, p double, best boolean")
+    """Silhouette excess and gap over 500 spectrum-matched nulls, k from 2 to 8."""
+    return C.existence(_residuals(spark, sf_dir), "family", "key", "v")
 
 
 @query()
-def panel_contrast(spark, sf_dir):
-    """J38."""
+def cluster_stability(spark, sf_dir):
+    """Agreement of the cut into three with 500 bootstraps and halves."""
+    x = _residuals(spark, sf_dir)
+    return C.stability(x, x.groupBy("family").agg(F.lit(3).alias("best_k")), "family", "key", "v")
 
-    def fn(x, keys, rng):
-        cluster = transport.average_linkage(x, min(3, len(x)))
-        return pd.DataFrame([(k, *transport.panel_contrast(x, cluster, rng, k, 500)) for k in (1, 2, 4)], columns=["k", "draws", "same", "random", "contrast"])
 
-    return resample.grouped_vectors(_members(spark, sf_dir), "family", "key", "v", fn, "k long, draws long, same double, random double, contrast double")
+@query()
+def panel_contrast(spark, sf_dir):
+    """2,000 draws of panels of seven sizes."""
+    return C.panel_contrast(_members(spark, sf_dir), "family", "key", "v")
 
 
 @query()

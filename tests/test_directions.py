@@ -49,24 +49,6 @@ def test_clusters_by_loops():
         assert T.log_dispersion(x, label) == pytest.approx(np.log(w))
 
 
-def test_cluster_evidence_sees_clusters():
-    x = np.vstack([RNG.normal(size=(12, 8)) * 0.1 + 3 * np.eye(8)[k] for k in (0, 1, 2)])
-    found = T.cluster_evidence(x, np.random.default_rng(1), range(2, 6), 39)
-    best = next(r for r in found if r[-1])
-    assert best[0] == 3 and best[8] == pytest.approx(1 / 40)
-    null = T.spectrum_null(x, np.random.default_rng(2))
-    # columns keep the singular values as their lengths
-    assert np.linalg.norm(null, axis=0) == pytest.approx(np.linalg.svd(x, compute_uv=False))
-    assert np.linalg.norm(T.isotropic_null(x, np.random.default_rng(2)), axis=1) == pytest.approx(np.linalg.norm(x, axis=1))
-
-
-def test_panel_contrast():
-    x = np.vstack([RNG.normal(size=(20, 6)) * 0.3 + np.eye(6)[k] for k in (0, 1)])
-    n, same, free, contrast = T.panel_contrast(x, np.repeat([0, 1], 20), np.random.default_rng(1), 4, 400)
-    assert n == 400 and contrast == pytest.approx(free - same) and contrast > 0.2
-    assert np.isnan(T.panel_contrast(x, np.repeat([0, 1], 20), np.random.default_rng(1), 25, 100)[1])
-
-
 def test_subsamples_and_couplings():
     x, y = RNG.normal(size=(30, 6)), RNG.normal(size=(18, 6)) + 1
     mean, sd = T.subsample_spread(x, y, 10, 8, np.random.default_rng(4))
@@ -84,7 +66,7 @@ def test_subsamples_and_couplings():
     m, c1, c2 = T.angular(x, y) ** 2, T.angular(x, x), T.angular(y, y)
     ind = sum((0.5 * m[i, k] + 0.5 * (c1[i, j] - c2[k, n]) ** 2) for i in range(30) for j in range(30) for k in range(18) for n in range(18)) / (30 * 18) ** 2
     own = T.fused_gromov(x, y, 0.5)
-    assert 0 <= own <= ind - 0.5 * 0 + 1e-9
+    assert 0 <= own <= ind + 1e-9
 
 
 def test_geodesics_by_dijkstra():

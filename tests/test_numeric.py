@@ -22,6 +22,38 @@ def test_exact_plan_is_optimal():
         assert np.allclose(t.sum(0), p) and np.allclose(t.sum(1), p)
 
 
+def test_plan_with_ties_and_parts():
+    """Integer costs tie; masses in sixths make the best plan one of permutations."""
+    for _ in range(60):
+        n, m = RNG.integers(1, 7, 2)
+        cost = RNG.integers(0, 4, (n, m)).astype(float)
+        rows, columns = (np.sort(np.concatenate([np.arange(k), RNG.integers(0, k, 6 - k)])) for k in (n, m))
+        p, q = np.bincount(rows, minlength=n) / 6, np.bincount(columns, minlength=m) / 6
+        best = min(sum(cost[rows[i], columns[s[i]]] for i in range(6)) / 6 for s in itertools.permutations(range(6)))
+        t = T.plan(cost, p, q)
+        assert (t * cost).sum() == pytest.approx(best, abs=1e-12) and np.allclose(t.sum(1), p) and np.allclose(t.sum(0), q) and t.min() >= 0
+
+
+def test_plan_of_larger_groups():
+    """No cycle of two or three used cells can be improved, and potentials exist."""
+    x, y = RNG.normal(size=(90, 6)), RNG.normal(size=(70, 6))
+    c = T.angular(x, y) ** 2
+    t = T.plan(c, np.full(90, 1 / 90), np.full(70, 1 / 70))
+    assert np.allclose(t.sum(1), 1 / 90) and np.allclose(t.sum(0), 1 / 70)
+    i, j = np.nonzero(t > 1e-12)
+    # Bellman-Ford over the residual graph: without a negative cycle distances settle
+    d = np.zeros(70)
+    for _ in range(170):
+        u = np.full(90, np.inf)
+        np.minimum.at(u, i, d[j] - c[i, j])
+        new = np.minimum(d, (u[:, None] + c).min(axis=0))
+        if np.allclose(new, d, atol=1e-12):
+            break
+        d = new
+    else:
+        raise AssertionError("a cycle of the plan can be improved")
+
+
 def test_plan_with_other_marginals():
     c, p, q = RNG.random((3, 5)), np.array([0.2, 0.5, 0.3]), np.array([0.1, 0.3, 0.2, 0.25, 0.15])
     t = T.plan(c, p, q)
