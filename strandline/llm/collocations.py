@@ -31,18 +31,18 @@ columns, whatever their names, are not read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.llm.batch_tables import Tables, with_answers
 from strandline.llm.line_dedup import PerfectHash
 from strandline.llm.suffix_tree_lm import packed, unpacked
-from strandline.llm.text import as_bytes, discard, remove, shared_dir, stored
+from strandline.llm.text import as_bytes, discard, stored
 
 MOST_WORDS, LEAST, COVER, TOP = 4, 30, 80, 2000
 SCALE = 2_000_000
@@ -97,28 +97,6 @@ def batches_of(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text")).mapInArrow(run, _BATCH_DDL)
 
 
-class Tables:
-    """Tables in the shared folder, bucketed by batch: batches and the answers to them meet
-    without another shuffle, however often they are read."""
-
-    def __init__(self, spark: SparkSession, buckets: int):
-        self.spark, self.buckets, self.made = spark, max(1, buckets), {}
-
-    def put(self, df: DataFrame) -> DataFrame:
-        name = f"phrases_{uuid.uuid4().hex}"
-        self.made[name] = shared_dir(self.spark)
-        df.write.format("parquet").option("compression", "zstd").option("path", self.made[name]).bucketBy(self.buckets, "batch").saveAsTable(name)
-        return self.spark.table(name)
-
-    def put_answers(self, df: DataFrame) -> DataFrame:
-        return self.put(df.repartition(self.buckets, "batch"))
-
-    def drop(self) -> None:
-        for name, path in self.made.items():
-            self.spark.sql(f"DROP TABLE {name}")
-            remove(self.spark, path)
-
-
 @dataclass
 class Level:
     """Phrases of ``words`` words in a batch. ``at``: for each token the place of the phrase
@@ -204,6 +182,7 @@ def _vocabulary(row: dict) -> list[bytes]:
 
 _ANSWER = pa.schema([("batch", pa.int64()), ("level", pa.int32()), ("places", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("mine", pa.binary())])
 _ANSWER_DDL = "batch long, level int, places binary, ids binary, counts binary, mine binary"
+_ANSWERED = ["level", "places", "ids", "counts", "mine"]
 
 
 def word_counts(batches: DataFrame) -> DataFrame:
@@ -311,16 +290,6 @@ def _counted(table: pa.Table, words: int, least: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(_ANSWER), _ANSWER)], schema=_ANSWER)
 
 
-def with_answers(batches: DataFrame, answers: list[DataFrame]) -> DataFrame:
-    """Batches with all answers so far; levels above the first may have none for a batch."""
-    held = []
-    for i, level in enumerate(answers):
-        lists = level.groupBy("batch").agg(F.collect_list(F.struct("level", "places", "ids", "counts", "mine")).alias(f"answers{i}"))
-        batches = batches.join(lists.hint("merge"), "batch", "left" if i else "inner")
-        held.append(F.coalesce(f"answers{i}", F.array().cast(lists.schema[f"answers{i}"].dataType)))
-    return batches.withColumn("answers", F.concat(*held)).drop(*[f"answers{i}" for i in range(len(answers))])
-
-
 def reported(batches: DataFrame, most_words: int) -> DataFrame:
     """(lang, phrase, words, id, left, right, a, firsts, rests): every frequent phrase once,
     with the counts of both parts of each cut."""
@@ -372,8 +341,8 @@ def collocations(docs: DataFrame, *, lang: str = "lang", text: str = "text", mos
     discard(words)
     discard(frequent)
     for k in range(2, most_words + 1):
-        asked = requests(with_answers(batches, answers), k, bits)
+        asked = requests(with_answers(batches, answers, _ANSWERED), k, bits)
         answers.append(tables.put_answers(asked.groupBy("shard").applyInArrow(counting(k, least), _ANSWER_DDL)))
-    phrases = stored(reported(with_answers(batches, answers), most_words))
+    phrases = stored(reported(with_answers(batches, answers, _ANSWERED), most_words))
     tables.drop()
     return ranked(phrases, totals, cover, top)

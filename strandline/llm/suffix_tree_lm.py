@@ -19,6 +19,8 @@ both scores compare. The tree's root gives that event Witten-Bell mass. A contex
    goes to its suffix's distribution.
 5. Each token is scored in its longest suffix state.
 
+Making the frame runs jobs; batches and answers stand as bucketed tables until they end, so
+that an answer is shuffled once, however many steps read it.
 Nothing of the model is held by the driver or broadcast, and no key gathers more than one
 row a batch and shard, however frequent. Thresholds are absolute, so contexts grow with the
 corpus. Hashes of runs have ``SPARE_BITS`` bits more than the number of training tokens
@@ -44,7 +46,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.text import as_bytes, ascii_words, shared_dir, stored
+from strandline.llm.batch_tables import Tables, with_answers
+from strandline.llm.text import as_bytes, ascii_words, stored
 
 DEPTH, GAIN = 3, 3.0
 BATCH_BYTES, SHARD_KEYS = 8 << 20, 2_000_000
@@ -248,24 +251,10 @@ def _answers(pdf: pd.DataFrame, gain: float) -> pd.DataFrame:
 
 def summed(requests: DataFrame, gain: float) -> DataFrame:
     """(level, shard, batch, kinds, answer) of the requests that batches cut into slices."""
-    return stored(requests.groupBy("level", "shard").applyInPandas(lambda pdf: _answers(pdf, gain), _ANSWER_DDL))
+    return requests.groupBy("level", "shard").applyInPandas(lambda pdf: _answers(pdf, gain), _ANSWER_DDL)
 
 
-def _in_buckets(batches: DataFrame, buckets: int) -> DataFrame:
-    """The batches as a table in the shared folder, bucketed by name: answers travel to
-    them, they don't travel."""
-    spark, name = batches.sparkSession, f"suffix_tree_batches_{uuid.uuid4().hex}"
-    batches.write.format("parquet").option("compression", "zstd").option("path", shared_dir(spark)).bucketBy(max(1, buckets), "batch").saveAsTable(name)
-    return spark.table(name)
-
-
-def with_answers(batches: DataFrame, *answers: DataFrame) -> DataFrame:
-    """Each batch with all answers to it."""
-    every = answers[0]
-    for more in answers[1:]:
-        every = every.unionByName(more)
-    lists = every.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("level", "shard", "answer"))).alias("answers"))
-    return batches.join(lists.hint("merge"), "batch")
+_ANSWERED = ["level", "shard", "answer"]
 
 
 def _by_level(row: dict) -> dict[int, np.ndarray]:
@@ -385,13 +374,18 @@ def score(docs: DataFrame, *, id: str = "doc_id", text: str = "text", held: Colu
     if depth < 1:
         raise ValueError("depth must be 1 or more")
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), (held if held is not None else held_out(F.col(id))).alias("held"))
-    batches = _in_buckets(batches_of(rows), 2 * rows.rdd.getNumPartitions())
+    tables = Tables(docs.sparkSession, 2 * rows.rdd.getNumPartitions())
+    batches = tables.put(batches_of(rows))
     size, n = batches.agg(F.sum("n_tokens"), F.sum("n_trained")).first()
     size, n = size or 0, n or 0
     bits = max(3, math.ceil(math.log2(max(1, size / SHARD_KEYS))))
     width = min(64, max(1, size).bit_length() + SPARE_BITS)
-    first = summed(requests(batches, _ask_first, bits, width), gain)
+    asked = lambda of, *answers: tables.put_answers(summed(requests(with_answers(batches, list(answers), _ANSWERED) if answers else batches, of, bits, width), gain))
+    first = asked(_ask_first)
     kinds = first.where("level = 0").agg(F.sum("kinds")).first()[0] or 0
-    longer = summed(requests(with_answers(batches, first.where("level = 1")), _ask_longer(depth), bits, width), gain)
-    contexts = summed(requests(with_answers(batches, first, longer), _ask_contexts(depth, n, kinds), bits, width), gain)
-    return _scored(with_answers(batches, first, longer, contexts), depth, width, n, kinds)
+    # only the words behind one say which longer runs to ask about
+    longer = asked(_ask_longer(depth), first.where("level = 1"))
+    contexts = asked(_ask_contexts(depth, n, kinds), first, longer)
+    out = stored(_scored(with_answers(batches, [first, longer, contexts], _ANSWERED), depth, width, n, kinds))
+    tables.drop()
+    return out
