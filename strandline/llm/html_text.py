@@ -11,14 +11,18 @@ and footers too.
 Defined cases: null markup gives null; empty markup gives an empty text; broken markup
 never raises (unknown end tags are passed over, open elements end with their parent);
 very long pages are rendered whole; elements nested beyond 512 become siblings, and lists
-and quotations nested beyond 24 are indented no further; repeated rows are rendered alike;
+and quotations nested beyond 24 are indented no further; lines beyond 80 letters widen no
+column, and a table with more than four times its text in padding is not aligned, so that
+the text is at most a small multiple of the page; repeated rows are rendered alike;
 an empty table gives an empty one; a column named like ``into`` (case aside) is replaced,
 other columns come along untouched.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
+import itertools
 import re
 
 from pyspark.sql import DataFrame
@@ -311,46 +315,68 @@ def _rows(table: Node) -> tuple[list[Node], list[list[Node]]]:
     return captions, [[c for c in r.kids if not isinstance(c, str) and c.name in CELLS and not c.hidden] for r in head + rows + foot]
 
 
-def _grid(cells: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Rows of (lines, columns, rows taken) as aligned text, two spaces between columns."""
-    taken: dict[tuple[int, int], bool] = {}
-    placed, width = [], {}
+def _placed(cells: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Each row's cells as (first column, column behind the last, lines), beside the cells of
+    earlier rows that reach down into it."""
+    out, above = [], []  # above: (row behind the last, from, to)
     for y, row in enumerate(cells):
-        x, line = 0, []
+        above = [a for a in above if a[0] > y]
+        held, x, line = sorted((a, b) for _, a, b in above), 0, []
         for lines, wide, high in row:
-            while (y, x) in taken:
-                x += 1
-            for dy in range(1, high):
-                for dx in range(wide):
-                    taken[y + dy, x + dx] = True
-            line.append((x, wide, lines))
-            if wide == 1:
-                width[x] = max([width.get(x, 0), *map(len, lines)])
+            while held and held[0][0] <= x:
+                x = max(x, held.pop(0)[1])
+            line.append((x, x + wide, lines))
+            if high > 1:
+                above.append((y + high, x, x + wide))
             x += wide
-        placed.append(line)
+        out.append(line)
+    return out
+
+
+def _grid(cells: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of (lines, columns, rows taken) as aligned text, two spaces between columns.
+
+    A column is as wide as its lines of up to MOST_WIDTH letters; what is longer runs on and
+    pushes the rest of its own row. A table whose padding would come to more than four times
+    its text is not aligned: its cells stand two spaces apart."""
+    placed = _placed(cells)
+    edges = sorted({x for line in placed for x, _, _ in line})
+    number, width = {x: i for i, x in enumerate(edges)}, [0] * len(edges)
+    fitting = lambda lines: max([0, *(len(x) for x in lines if len(x) <= MOST_WIDTH)])
+    spans = []
     for line in placed:
-        for x, wide, lines in line:
-            for dx in range(wide):
-                width.setdefault(x + dx, 0)
-            if wide > 1:
-                short = max([0, *map(len, lines)]) - sum(width[x + dx] for dx in range(wide)) - 2 * (wide - 1)
-                if short > 0:
-                    width[x + wide - 1] += short
-    starts, at = {}, 0
-    for x in sorted(width):
-        starts[x] = at
-        at += width[x] + 2
+        for x, to, lines in line:
+            first, last = number[x], bisect.bisect_left(edges, to)
+            if last == first + 1:
+                width[first] = max(width[first], fitting(lines))
+            else:
+                spans.append((first, last, fitting(lines)))
+    before, grown = [0, *itertools.accumulate(width)], [0] * len(edges)
+    for first, last, size in spans:
+        short = size - (before[last] - before[first]) - 2 * (last - first - 1)
+        if short > 0:
+            grown[last - 1] = max(grown[last - 1], short)
+    width = [w + g for w, g in zip(width, grown)]
+    starts = [0, *itertools.accumulate(w + 2 for w in width)]
+    text = sum(len(x) for line in placed for _, _, lines in line for x in lines)
+    padded = sum(starts[number[line[-1][0]]] * max(len(lines) for _, _, lines in line) for line in placed if line)
+    if padded > 4 * text + MOST_PADDING:
+        starts = [0] * len(starts)
     out = []
     for line in placed:
         for k in range(max([1, *(len(lines) for _, _, lines in line)]) if line else 0):
-            text = ""
+            parts, at = [], 0
             for x, _, lines in line:
                 if k < len(lines):
-                    text = text.ljust(starts[x]) + lines[k]
-            out.append(text.rstrip())
+                    pad = max(starts[number[x]] - at, 2 if at else 0)
+                    parts += [" " * pad, lines[k]]
+                    at += pad + len(lines[k])
+            out.append("".join(parts).rstrip())
     return out
 
 
+#: Letters up to which a line widens its column, and letters of padding that any table may have.
+MOST_WIDTH, MOST_PADDING = 80, 4000
 #: Columns and rows that one cell may take, as browsers bound them.
 MOST_SPAN = 1000
 #: Lists and quotations further in are indented no further, or lines would grow with depth.
@@ -429,14 +455,15 @@ def render(root: Node) -> list[str]:
         elif name in ("ul", "ol", "menu", "dir"):
             canvas.block(True)
             steps.append(("call", lambda c=canvas: c.block(True), None, None))
-            at = _number(node.attrs.get("start"), 1)
+            down = "reversed" in node.attrs
+            at = _number(node.attrs.get("start"), sum(not isinstance(k, str) and k.name == "li" and not k.hidden for k in node.kids) if down else 1)
             items = []
             for kid in node.kids:
                 if not isinstance(kid, str) and kid.name == "li" and not kid.hidden:
                     if name == "ol":
                         at = _number(kid.attrs.get("value"), at)
                         items.append((kid, f"{at}. "))
-                        at += 1
+                        at += -1 if down else 1
                     else:
                         items.append((kid, "- "))
                 else:

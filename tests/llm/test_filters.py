@@ -397,6 +397,20 @@ def test_html_shows_what_random_pages_show():
         assert [w for w in H.to_text(page).split() if w != "-"] == words, page
 
 
+def test_html_tables_stay_small():
+    """Wide cells, sparse rows and huge spans give text of the page's order."""
+    wide = lambda n: f"<table><tr><td>{'w' * n}<td>e" + "<tr><td>a<td>b" * n
+    pages = [wide(1000), wide(20_000), "<table><tr>" + "<td>" + "<td>".join(["x" * 79] * 300) + "<tr><td colspan=299>y<td>z" * 3000, "<table>" + "<tr><td rowspan=1000 colspan=1000>q<td>r" * 2000, "<table><tr>" + "<td colspan=1000>s" * 20_000 + "<tr><td>t<td>u" * 10, "<table><tr><td rowspan=900>a<td>b" + "<tr><td>c" * 3000]
+    for page in pages:
+        text = H.to_text(page)
+        assert len(text) < 4 * len(page) + 10_000, page[:60]
+        assert len(text.split()) == len(H.to_text(page.replace("<td", "<p").replace("<tr", "<p")).split())
+    assert H.to_text(f"<table><tr><td>{'w' * 90}<td>e<tr><td>ab<td>c</table>") == f"{'w' * 90}  e\nab  c"
+    assert H.to_text("<table><tr><td>name<td>n<tr><td>a<td>1<tr><td colspan=2>a longer line<td>z</table>") == "name  n\na     1\na longer line  z"
+    assert H.to_text("<ol reversed><li>a<li>b<li>c</ol>") == "3. a\n2. b\n1. c" and H.to_text("<ol reversed start=9><li>a<li value=4>b<li>c</ol>") == "9. a\n4. b\n3. c"
+    assert H.to_text("<input type=submit value=Go>") == "Go"
+
+
 def test_html_table_of_pages(spark):
     long = spark.createDataFrame([(1, "<p>word " * 60_000, 5)], "page_id long, html string, Rendered int")
     got = H.extract(long)
