@@ -39,6 +39,53 @@ def value_counts(df: DataFrame, x: str) -> DataFrame:
     return y.withColumn("own_", own).join(before, "part_").select(x, "n", (F.col("own_") + F.col("before_")).cast("long").alias("before"))
 
 
+def grouped_value_counts(df: DataFrame, by: list[str], x: str) -> DataFrame:
+    """(by, x, n, before): how often each value occurs in its group and how many rows of the
+    group have lesser ones. Ranges are over (group, value): a group of the whole table lies in
+    all of them, and what it has in the ranges before is one row for each range and group."""
+    v = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    y = cut(v.repartitionByRange(parts, *by, x).withColumn("part_", F.spark_partition_id()))
+    total = y.groupBy("part_", *by).agg(F.sum("n").alias("s_"))
+    earlier = F.coalesce(F.sum("s_").over(Window.partitionBy(*by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lifted = total.select(F.col("part_").alias("at_"), *[F.col(c).alias(f"{c}_of_") for c in by], earlier.alias("before_"))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("part_", *by).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = F.col("part_") == F.col("at_")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of_"))
+    return y.withColumn("own_", own).join(lifted, same).select(*by, x, "n", (F.col("own_") + F.col("before_")).cast("long").alias("before"))
+
+
+def grouped_mid_rank(df: DataFrame, by: list[str], x: str, into: str) -> DataFrame:
+    """df with average ranks inside groups, whatever their size; null values have none."""
+    v = grouped_value_counts(df, by, x).select(*[F.col(c).alias(f"{c}_of_") for c in by], F.col(x).alias("x_of_"), (F.col("before") + (F.col("n") + 1) / 2.0).alias(into))
+    same = F.col(x) == F.col("x_of_")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of_"))
+    return df.join(v, same, "left").drop(*[f"{c}_of_" for c in by], "x_of_")
+
+
+def grouped_quantiles(df: DataFrame, by: list[str], x: str, shares: list[float]) -> DataFrame:
+    """(by, share, value): linear quantiles of each group, from counted values; no task holds
+    a group."""
+    v = grouped_value_counts(df, by, x)
+    n = v.groupBy(*by).agg(F.sum("n").alias("total_"))
+    want = n.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares]))).withColumn("place_", F.col("share") * (F.col("total_") - 1))
+    named = want.select(*[F.col(c).alias(f"{c}_of_") for c in by], "share", "place_")
+    low, high = F.floor("place_"), F.ceil("place_")
+    same = (F.col("before") <= high) & (F.col("before") + F.col("n") > low)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of_"))
+    covers = lambda p: (F.col("before") <= p) & (F.col("before") + F.col("n") > p)
+    g = v.join(named, same).groupBy(*by, "share").agg(F.max(F.when(covers(low), F.col(x))).alias("a_"), F.max(F.when(covers(high), F.col(x))).alias("b_"), F.first("place_").alias("p_"))
+    return g.select(*by, "share", (F.col("a_") + (F.col("b_") - F.col("a_")) * (F.col("p_") - F.floor("p_"))).alias("value"))
+
+
+def grouped_median(df: DataFrame, by: list[str], x: str, into: str) -> DataFrame:
+    """(by, into)."""
+    return grouped_quantiles(df, by, x, [0.5]).select(*by, F.col("value").alias(into))
+
+
 def global_mid_rank(df: DataFrame, x: str, into: str) -> DataFrame:
     """df with average ranks over the whole table; null values have none."""
     v = value_counts(df, x).select(x, (F.col("before") + (F.col("n") + 1) / 2.0).alias(into))

@@ -9,27 +9,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.ordering import value_counts
+from strandline.operators.lineage import cut
+from strandline.operators.ordering import grouped_mid_rank, value_counts
 
 
 def mid_rank(df: DataFrame, by: list[str], x: str, into: str) -> DataFrame:
-    """Average ranks within groups: ties share the mean of their places."""
-    w = Window.partitionBy(*by)
-    first = F.rank().over(w.orderBy(x))
-    ties = F.count("*").over(Window.partitionBy(*by, x))
-    return df.withColumn(into, first + (ties - 1) / 2.0)
+    """Average ranks within groups: ties share the mean of their places. A group of any size
+    spreads over range partitions."""
+    return grouped_mid_rank(df, by, x, into)
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str, least: int = 6) -> DataFrame:
     """(by, n, rho): rank correlation where at least ``least`` finite pairs exist and
     neither side is constant; null otherwise."""
     whole = df.select(*by, F.nanvl(F.col(x).cast("double"), F.lit(None)).alias("x"), F.nanvl(F.col(y).cast("double"), F.lit(None)).alias("y"))
+    whole = cut(whole)  # read four times
     fine = whole.where("x IS NOT NULL AND y IS NOT NULL")
     sizes = whole.groupBy(*by).agg(F.sum(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1).otherwise(0)).alias("n"))
-    w = Window.partitionBy(*by)
-    ranked = mid_rank(mid_rank(fine, by, "x", "rx"), by, "y", "ry")
-    live = ranked.withColumn("n_", F.count("*").over(w)).withColumn("vx", F.max("x").over(w) > F.min("x").over(w)).withColumn("vy", F.max("y").over(w) > F.min("y").over(w))
-    rho = live.where((F.col("n_") >= least) & F.col("vx") & F.col("vy")).groupBy(*by).agg((F.corr("rx", "ry") + F.lit(0.0)).alias("rho"))  # no negative zero
+    spread = fine.groupBy(*by).agg(F.count("*").alias("n_"), (F.max("x") > F.min("x")).alias("vx"), (F.max("y") > F.min("y")).alias("vy"))
+    live = fine.join(spread.where((F.col("n_") >= least) & F.col("vx") & F.col("vy")).select(*by), by, "left_semi")
+    ranked = mid_rank(mid_rank(live, by, "x", "rx"), by, "y", "ry")
+    rho = ranked.groupBy(*by).agg((F.corr("rx", "ry") + F.lit(0.0)).alias("rho"))  # no negative zero
     return sizes.join(rho, by, "left")
 
 

@@ -1,14 +1,16 @@
 """Geometry of embeddings: arrays of doubles, pairs only inside groups.
 
-Dot products stay in the JVM (higher-order functions). Pair joins always carry the group
-as an equality key; ``i < j`` is the residual condition.
+Dot products of rows stay in the JVM (higher-order functions); pairs inside a group are
+products of blocks (tiles.py).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators import tiles
+
 
 def dot(a: str | Column, b: str | Column) -> Column:
     """Inner product of two arrays."""
@@ -35,14 +37,10 @@ def clipped(c: Column) -> Column:
 
 
 def pair_distances(df: DataFrame, key: str, group: str, v: str) -> DataFrame:
-    """(group, a, b, cosine, angular): pairs a < b of each group; angular is the angle over
-    pi. Vectors are normalised once, before the join."""
-    u = df.select(group, key, unit(v).alias("u"))
-    x, y = u.alias("x"), u.alias("y")
-    pairs = x.join(y, (F.col(f"x.{group}") == F.col(f"y.{group}")) & (F.col(f"x.{key}") < F.col(f"y.{key}")))
-    cosine = clipped(dot(F.col("x.u"), F.col("y.u")))
-    out = pairs.select(F.col(f"x.{group}").alias(group), F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b"), cosine.alias("c"))
-    return out.select(group, "a", "b", (1 - F.col("c")).alias("cosine"), (F.acos("c") / F.pi()).alias("angular"))
+    """(group, a, b, cosine, angular): pairs a < b of each group, by tiles; angular is the
+    angle over pi."""
+    c = tiles.pair_cosines(df.select(group, key, unit(v).alias("u")), group, key, "u")
+    return c.select(group, "a", "b", (1 - F.col("c")).alias("cosine"), (F.acos("c") / F.pi()).alias("angular"))
 
 
 def exploded(df: DataFrame, v: str, *keep: str) -> DataFrame:
@@ -73,11 +71,11 @@ def standardised(df: DataFrame, key: str, v: str) -> DataFrame:
     return z.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", ((F.col("x") - F.col("m")) / F.col("sd")).alias("z")))), lambda e: e["z"]).alias(v))
 
 
-def knn_edges(pairs: DataFrame, group: str, k: int) -> DataFrame:
+def knn_edges(df: DataFrame, key: str, group: str, v: str, k: int) -> DataFrame:
     """(group, a, b, w): symmetric nearest-neighbour edges by cosine distance, ties by key;
-    an edge found from both ends keeps the larger weight."""
-    both = pairs.select(group, "a", "b", "cosine").unionByName(pairs.select(group, F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-    near = both.withColumn("r", F.row_number().over(Window.partitionBy(group, "a").orderBy(F.round("cosine", 9), "b"))).where(F.col("r") <= k)
+    an edge found from both ends keeps the larger weight. By tiles: no row is made of a pair
+    that is not near."""
+    near = tiles.nearest(df.select(group, key, unit(v).alias("u")), group, key, "u", k)
     return near.groupBy(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cosine").alias("w"))
 
 
