@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.ordering import grouped_quantiles
+
 
 def gene_means(records: DataFrame, *by: str, value: str = "value") -> DataFrame:
     """(by, mean, n): means over samples."""
@@ -20,10 +22,11 @@ def deltas(means: DataFrame, gene: str, condition: str, baseline: str, value: st
 
 
 def describe(df: DataFrame, by: list[str], x: str) -> DataFrame:
-    """n, mean, median, sd, quartiles (linear) and the share above zero."""
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    d = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), q.alias("q"), F.avg((F.col(x) > 0).cast("double")).alias("frac_improved"))
-    return d.select(*by, "n", "mean", "sd", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "frac_improved")
+    """n, mean, median, sd, quartiles (linear) and the share above zero. Quartiles come from
+    counted values by ranges, so that no task holds a group."""
+    d = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.avg((F.col(x) > 0).cast("double")).alias("frac_improved"))
+    q = grouped_quantiles(df, by, x, [0.25, 0.5, 0.75]).groupBy(*by).pivot("share", [0.25, 0.5, 0.75]).agg(F.first("value"))
+    return d.join(q, by, "left").select(*by, "n", "mean", "sd", F.col("`0.25`").alias("q25"), F.col("`0.5`").alias("median"), F.col("`0.75`").alias("q75"), "frac_improved")
 
 
 def adaptive_collapse(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

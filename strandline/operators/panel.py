@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import sequences as S
-from strandline.operators.ordering import numbered, quantiles
+from strandline.operators.ordering import grouped_median, numbered, quantiles
 
 
 def qc_flags(df: DataFrame, seq: str, short: int = 100, n_share: float = 0.05, n_run: int = 5) -> DataFrame:
@@ -38,7 +38,7 @@ def first_reason(flags: str) -> Column:
 def length_outliers(df: DataFrame, by: str, x: Column, low: float = 0.2, high: float = 5.0) -> DataFrame:
     """df with length_outlier: outside low to high times the group's median."""
     y = df.withColumn("x_", x)
-    m = y.groupBy(by).agg(F.median("x_").alias("m_"))
+    m = grouped_median(y, [by], "x_", "m_")
     return y.join(m, by).withColumn("length_outlier", (F.col("x_") < low * F.col("m_")) | (F.col("x_") > high * F.col("m_"))).drop("x_", "m_")
 
 
@@ -80,7 +80,7 @@ def quantile_strata(df: DataFrame, x: str, n: int, into: str = "stratum") -> Dat
 
 def nearest_to_median(df: DataFrame, by: str, x: str, key: str) -> DataFrame:
     """Of each group the row nearest its median, ties by key."""
-    m = df.groupBy(by).agg(F.median(x).alias("m_"))
+    m = grouped_median(df, [by], x, "m_")
     return pick(df.join(m, by).withColumn("d_", F.abs(F.col(x) - F.col("m_"))), [by], F.col("d_"), F.col(key)).drop("m_", "d_")
 
 
@@ -167,8 +167,8 @@ def adaptive_count(n: str, target: int = 400, low: int = 5, high: int = 16) -> C
 def extended_window(sites: DataFrame, key: str, place: str, start: int, step: int, least: int, most: int) -> DataFrame:
     """(key, window, n): the smallest of start, start + step, ... up to most that holds
     ``least`` sites, or most. The window follows from the place of the least-th site."""
-    nth = F.element_at(F.array_sort(F.collect_list(place)), least)
-    g = sites.groupBy(key).agg(F.count("*").alias("all_"), F.when(F.count("*") >= least, nth).alias("at_"))
+    nth = sites.withColumn("r_", F.row_number().over(Window.partitionBy(key).orderBy(place)))
+    g = nth.groupBy(key).agg(F.max(F.when(F.col("r_") == least, F.col(place))).alias("at_"))
     need = F.greatest(F.lit(start), F.lit(start) + F.ceil((F.col("at_") + 1 - start) / step) * step)
     w = g.withColumn("window", F.least(F.lit(most), F.coalesce(need, F.lit(most))).cast("int"))
     inside = sites.join(w.select(key, "window"), key).where(F.col(place) < F.col("window")).groupBy(key).agg(F.count("*").alias("n"))

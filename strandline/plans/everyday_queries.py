@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.operators import paired as P, panel, ranks as R, tables as T
+from strandline.operators.ordering import grouped_quantiles
 from strandline.plans import derived as D
 from strandline.plans.paired_queries import _M, _RANKED, BASE, _deltas
 
@@ -256,7 +257,11 @@ def readout_by_gene(spark, sf_dir):
 def baseline_levels(spark, sf_dir):
     """Baseline levels by stratum and what conditions add."""
     x = _deltas(spark, sf_dir).withColumn("stratum", F.col("gene") % 4)
-    return x.groupBy("stratum", "condition").agg(F.round(F.median("base"), 6).alias("median"), F.round(F.avg("base"), 6).alias("mean"), F.round(F.percentile("base", F.lit(0.9)), 6).alias("p90"), F.round(F.max("base"), 6).alias("most"), F.round(F.avg("delta"), 6).alias("mean_delta"), F.round(F.median("delta"), 6).alias("median_delta"))
+    by = ["stratum", "condition"]
+    means = x.groupBy(*by).agg(F.round(F.avg("base"), 6).alias("mean"), F.round(F.max("base"), 6).alias("most"), F.round(F.avg("delta"), 6).alias("mean_delta"))
+    base = grouped_quantiles(x, by, "base", [0.5, 0.9]).groupBy(*by).pivot("share", [0.5, 0.9]).agg(F.round(F.first("value"), 6)).withColumnsRenamed({"0.5": "median", "0.9": "p90"})
+    delta = grouped_quantiles(x, by, "delta", [0.5]).select(*by, F.round("value", 6).alias("median_delta"))
+    return means.join(base, by).join(delta, by).select(*by, "median", "mean", "p90", "most", "mean_delta", "median_delta")
 
 
 @query(_M + " SELECT condition, round(avg(level), 6) AS mean, round(quantile_cont(level, 0.25), 6) AS q25, round(quantile_cont(level, 0.5), 6) AS median, round(quantile_cont(level, 0.75), 6) AS q75, round(stddev_samp(level), 6) AS sd, round(avg(delta), 6) AS delta, round(100 * avg(CASE WHEN delta > 0 THEN 1.0 ELSE 0.0 END), 6) AS pct_above FROM d GROUP BY 1")

@@ -254,20 +254,31 @@ def cell_cache(spark, sf_dir):
     work = lambda c: e.join(c, ["gene", "condition"], "left_semi").groupBy("gene", "condition").agg(F.count("*").alias("n"))
     for part in (cells.where("gene % 2 = 0"), cells, cells):
         publish.append_cells(part, folder, ["gene", "condition"], work)
-    return spark.read.parquet(folder)
+    return publish.committed_cells(spark, folder)
 
 
-@query("SELECT 'same contract' AS cache, true AS reused, '' AS why UNION ALL SELECT 'older contract', true, '' UNION ALL SELECT 'other panel', false, 'panel: [''a''] is not b'")
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT count(*) AS cells, sum(n) AS total FROM c)
+ SELECT name AS cache, reused, upgrades, why, CASE WHEN reused THEN cells END AS cells, CASE WHEN reused THEN CAST(total AS BIGINT) END AS total FROM t, (VALUES ('same contract', true, '', ''), ('older contract', true, 'panel named, counts as longs', ''), ('other panel', false, 'panel named', 'panel: [''a''] is not b')) v(name, reused, upgrades, why)""")
 def cache_contract(spark, sf_dir):
-    """A cache is taken only if its contract fits; an older one is brought up first."""
-    new = D.table(spark, sf_dir, "region").select("r_regionkey", F.lit("a").alias("panel"), F.lit(2).alias("version"))
-    old = publish.upgraded(new.drop("version"), {"version": 2})
-    rows = [("same contract", new, {"panel": "a", "version": 2}), ("older contract", old, {"panel": "a", "version": 2}), ("other panel", new, {"panel": "b", "version": 2})]
-    found = [(name, *publish.reusable(cache, contract)) for name, cache, contract in rows]
-    return spark.createDataFrame([(name, got is not None, "; ".join(why)) for name, got, why in found], "cache string, reused boolean, why string")
+    """A cache of cells is taken only if its contract fits; an older one is brought up
+    first, by named steps, and keeps its cells."""
+    c = D.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    new = c.withColumns({"panel": F.lit("a"), "version": F.lit(2)})
+    old = c.select("user_id", "event_type", F.col("n").cast("string").alias("count"), F.lit(1).alias("version"))
+    ways = [
+        publish.Upgrade("panel named", lambda x: "panel" not in x.columns, lambda x: publish.upgraded(x, {"panel": "a"})),
+        publish.Upgrade("counts as longs", lambda x: "count" in x.columns, lambda x: x.withColumn("n", F.col("count").cast("long")).withColumn("version", F.lit(2)).drop("count")),
+    ]
+    out = None
+    for name, cache, panel, some in (("same contract", new, "a", ways), ("older contract", old, "a", ways), ("other panel", new.drop("panel"), "b", ways[:1])):
+        got, taken, why = publish.brought_up(cache, {"panel": panel, "version": 2}, some)
+        facts = c.limit(1).select(F.lit(None).cast("long").alias("cells"), F.lit(None).cast("long").alias("total")) if got is None else got.agg(F.count("*").alias("cells"), F.sum("n").alias("total"))
+        row = facts.select(F.lit(name).alias("cache"), F.lit(got is not None).alias("reused"), F.lit(", ".join(taken)).alias("upgrades"), F.lit("; ".join(why)).alias("why"), "cells", "total")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
-@query("WITH b AS (SELECT event_type AS name, layer, user_id, CASE WHEN event_type = 'click' THEN avg(value) + layer ELSE avg(value) END AS x FROM events, (SELECT unnest([0, 1, 2]) AS layer) GROUP BY 1, 2, 3), m AS (SELECT name, layer, md5(string_agg(user_id || '|' || printf('%.6f', x), chr(10) ORDER BY user_id || '|' || printf('%.6f', x))) AS md5 FROM b GROUP BY 1, 2) SELECT name, min(md5) AS md5, count(*) AS n_layers, count(DISTINCT md5) = 1 AS invariant FROM m GROUP BY 1")
+@query("WITH b AS (SELECT event_type AS name, layer, user_id, CASE WHEN event_type = 'click' THEN avg(value) + layer ELSE avg(value) END AS x FROM events, (SELECT unnest([0, 1, 2]) AS layer) GROUP BY 1, 2, 3), m AS (SELECT name, layer, count(*) || ':' || CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(h, 13, 12) AS BIGINT)) AS VARCHAR) AS checksum FROM (SELECT *, md5(user_id || '|' || printf('%.6f', x)) AS h FROM b) GROUP BY 1, 2) SELECT name, min(checksum) AS checksum, count(*) AS n_layers, count(DISTINCT checksum) = 1 AS invariant FROM m GROUP BY 1")
 def invariant_baselines(spark, sf_dir):
     """Checksums of baselines, alike in every layer or not."""
     e = D.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name"), "user_id").agg(F.avg("value").alias("m"))

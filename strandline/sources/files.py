@@ -6,10 +6,16 @@ functions. Absent values (NaN, empty) become null here.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bases of a piece of a chromosome.
+TILE = 1 << 20
+
 
 def fasta(spark: SparkSession, path: str, *, field: int | None = 0, upper: bool = False, separator: str = "|") -> DataFrame:
     """(key, header, seq): key is a field of the header (field 0 where it is short; the
@@ -140,16 +146,40 @@ def canonical_transcripts(annotation: DataFrame) -> DataFrame:
     return annotation.where((F.col("feature") == "transcript") & F.col("canonical")).select("gene_id", "transcript_id").distinct()
 
 
-def genome_slices(loci: DataFrame, genome: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", strand: str = "strand") -> DataFrame:
+def genome_tiles(genome: DataFrame, chrom: str = "chrom", seq: str = "seq", size: int = TILE) -> DataFrame:
+    """(chrom, tile, bases): chromosomes cut in pieces of equal length, numbered from 0."""
+    kind = dict(genome.dtypes)[chrom]
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for name, bases in zip(pdf[chrom], pdf[seq]):
+                starts = range(0, len(bases or ""), size)
+                for first in range(0, len(starts), 16):
+                    some = starts[first : first + 16]
+                    yield pd.DataFrame({chrom: [name] * len(some), "tile": [s // size for s in some], "bases": [bases[s : s + size] for s in some]})
+
+    return genome.select(chrom, seq).mapInPandas(run, f"{chrom} {kind}, tile long, bases string")
+
+
+def genome_slices(loci: DataFrame, genome: DataFrame, key: str = "key", chrom: str = "chrom", start: str = "start", end: str = "end", strand: str = "strand", size: int = TILE) -> DataFrame:
     """loci with ``span``: their chromosome's bases from start to end (from 1, both
-    included), the reverse complement on the minus strand; null without such a chromosome.
+    included, what lies beyond it left out), the reverse complement on the minus strand; null
+    without such a chromosome. key: what tells loci apart.
 
-    A chromosome is one row; it goes to its loci by a join, so it is read once a task."""
+    Loci meet the tiles that they touch, and the pieces are put together: no locus carries a
+    chromosome."""
     from strandline.functions.sequences import reverse_complement
 
-    j = loci.join(genome.select(chrom, F.col("seq").alias("g_")), chrom, "left")
-    cut = F.substring(F.col("g_"), F.col(start), F.col(end) - F.col(start) + 1)
-    return j.withColumn("s_", cut).withColumn("span", F.when(F.col(strand) == "-", F.expr(reverse_complement("s_"))).otherwise(F.col("s_"))).drop("g_", "s_")
+    tiles = genome_tiles(genome, chrom, size=size)
+    at = lambda c: F.floor((F.greatest(F.col(c), F.lit(1)) - 1) / size).cast("long")
+    touched = loci.where(F.col(end) >= F.greatest(F.col(start), F.lit(1))).select(key, chrom, start, end, F.explode(F.sequence(at(start), at(end))).alias("tile"))
+    own = touched.join(tiles, [chrom, "tile"])
+    first = F.greatest(F.greatest(F.col(start), F.lit(1)) - 1 - F.col("tile") * size, F.lit(0))
+    piece = F.substring("bases", first + 1, F.col(end) - F.col("tile") * size - first)
+    parts = own.select(key, F.struct("tile", piece.alias("piece")).alias("p")).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["piece"]), "").alias("s_"))
+    known = genome.select(chrom).distinct().withColumn("known_", F.lit(True))
+    j = loci.join(parts, key, "left").join(known, chrom, "left").withColumn("s_", F.when(F.col("known_"), F.coalesce("s_", F.lit(""))))
+    return j.withColumn("span", F.when(F.col(strand) == "-", F.expr(reverse_complement("s_"))).otherwise(F.col("s_"))).drop("s_", "known_")
 
 
 def by_layer_folder(spark: SparkSession, path: str, pattern: str = r"/layer_?(\d+)/") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +22,40 @@ class PublishError(Exception):
     """Names every table that failed and why; nothing was published."""
 
 
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with a text; False if it is there already. Of several writers one wins,
+    where the file system creates files atomically."""
+    fs, target = _fs(spark, path)
+    try:
+        out = fs.create(target, False)
+    except Exception as e:
+        if "AlreadyExists" in str(e):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def _texts(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Names and texts of the small files in a folder; what was never finished is empty."""
+    fs, target = _fs(spark, folder)
+    if not fs.exists(target):
+        return {}
+    out = {}
+    for status in fs.listStatus(target):
+        if status.isFile():
+            stream = fs.open(status.getPath())
+            out[status.getPath().getName()] = bytes(stream.readAllBytes()).decode()
+            stream.close()
+    return out
+
+
 def publish(spark: SparkSession, builders: dict[str, tuple[Spec, Callable[[], DataFrame]]], folder: str) -> dict[str, str]:
     """Builds, stores and validates every table in a staging folder; only if all are right
-    are they named in ``published``, by a row that readers look for: the one of the greatest
-    number. A failure at any point leaves what was published before."""
+    does a file under the next free number in ``published`` name them. Two publishers can't
+    take one number: the later one takes the next. A failure at any point, between writing
+    and naming too, leaves what was published before."""
     run = uuid.uuid4().hex
     problems, paths = [], {}
     for name, (spec, build) in builders.items():
@@ -38,25 +70,23 @@ def publish(spark: SparkSession, builders: dict[str, tuple[Spec, Callable[[], Da
     if problems:
         fs.delete(staged, True)
         raise PublishError("; ".join(problems))
-    pointer = spark.createDataFrame([(n, p) for n, p in paths.items()], "name string, path string").coalesce(1)
-    pointer.write.mode("overwrite").json(f"{folder}/runs/{run}/manifest")
-    spark.createDataFrame([(run, _last(spark, folder)[0] + 1)], "run string, number long").coalesce(1).write.mode("append").json(f"{folder}/published")
+    number = _last(spark, folder)[0] + 1
+    while not put_if_absent(spark, f"{folder}/published/{number:012d}", json.dumps(paths)):
+        number += 1
     return paths
 
 
-def _last(spark: SparkSession, folder: str) -> tuple[int, str | None]:
-    """(number, run) of the last publication; (0, None) before the first."""
-    fs, target = _fs(spark, f"{folder}/published")
-    if not fs.exists(target):
-        return 0, None
-    row = spark.read.schema("run string, number long").json(f"{folder}/published").agg(F.max(F.struct("number", "run")).alias("r")).first()["r"]
-    return row["number"], row["run"]
+def _last(spark: SparkSession, folder: str) -> tuple[int, dict[str, str]]:
+    """(number, tables) of the last publication; (0, {}) before the first. A number whose
+    taker died before it wrote has no tables and counts as taken only."""
+    found = _texts(spark, f"{folder}/published")
+    whole = {name: json.loads(text) for name, text in found.items() if text.endswith("}")}
+    return max(map(int, found), default=0), whole[max(whole)] if whole else {}
 
 
 def published(spark: SparkSession, folder: str) -> dict[str, str]:
     """Tables of the last publication and their paths."""
-    run = _last(spark, folder)[1]
-    return {r["name"]: r["path"] for r in spark.read.json(f"{folder}/runs/{run}/manifest").collect()}
+    return _last(spark, folder)[1]
 
 
 def write_fasta(df: DataFrame, folder: str, header: str, seq: str, by: str | None = None) -> None:
@@ -69,16 +99,25 @@ def write_fasta(df: DataFrame, folder: str, header: str, seq: str, by: str | Non
 
 
 def append_cells(cells: DataFrame, folder: str, keys: list[str], compute: Callable[[DataFrame], DataFrame]) -> int:
-    """Computes and appends only the cells that the folder lacks; how many there were."""
+    """Computes and stores only the cells that the folder lacks; how many there were. A batch
+    counts once its mark is there: what a killed run wrote is computed again."""
     spark = cells.sparkSession
-    fs, target = _fs(spark, folder)
-    todo = remaining(cells, spark.read.parquet(folder), keys) if fs.exists(target) else cells
+    held = committed_cells(spark, folder)
+    todo = cells if held is None else remaining(cells, held, keys)
     n = todo.count()
     if n:
-        compute(todo).write.mode("append").parquet(folder)
+        batch = uuid.uuid4().hex
+        compute(todo).write.parquet(f"{folder}/batches/{batch}")
+        put_if_absent(spark, f"{folder}/marks/{batch}", "done")
     return n
 
 
+def committed_cells(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The cells of all marked batches; None before the first."""
+    batches = sorted(name for name, text in _texts(spark, f"{folder}/marks").items() if text == "done")
+    return spark.read.parquet(*[f"{folder}/batches/{b}" for b in batches]) if batches else None
+
+
 def reusable(cache: DataFrame, contract: dict[str, object]) -> tuple[DataFrame | None, list[str]]:
     """(cache, []) if every contract column has its one value, else (None, what differs)."""
     if missing := [c for c in contract if c not in cache.columns]:
@@ -93,6 +132,28 @@ def upgraded(cache: DataFrame, defaults: dict[str, object]) -> DataFrame:
     return cache.withColumns({c: F.lit(v) for c, v in defaults.items() if c not in cache.columns})
 
 
+@dataclass
+class Upgrade:
+    """A named way from an older cache to the next: what it is for, and what it does."""
+
+    name: str
+    applies: Callable[[DataFrame], bool]
+    apply: Callable[[DataFrame], DataFrame]
+
+
+def brought_up(cache: DataFrame, contract: dict[str, object], upgrades: list[Upgrade]) -> tuple[DataFrame | None, list[str], list[str]]:
+    """(cache, names of the upgrades it took, []) if it meets the contract, upgraded in order
+    where it must be; else (None, names, what still differs)."""
+    taken: list[str] = []
+    for way in upgrades:
+        if reusable(cache, contract)[0] is not None:
+            break
+        if way.applies(cache):
+            cache, taken = way.apply(cache), [*taken, way.name]
+    found, wrong = reusable(cache, contract)
+    return found, taken, wrong
+
+
 def write_matrix(distances: DataFrame, folder: str, facts: dict[str, object]) -> None:
     """A labelled square matrix as CSV (zero diagonal, both triangles of pairs a < b) and
     its facts as JSON beside it. Labels are few: each is a column."""
@@ -121,8 +182,10 @@ def between_markers(text: str, begin: str, end: str, new: str) -> str:
 
 
 def invariant_copies(df: DataFrame, name: str, layer: str, keys: list[str], value: str) -> DataFrame:
-    """(name, md5, n_layers, invariant): a checksum of each baseline's rows, the same in
-    every layer if it may be copied over."""
-    row = F.concat_ws("|", *keys, F.format_string("%.6f", F.col(value)))
-    each = df.groupBy(name, layer).agg(F.md5(F.array_join(F.array_sort(F.collect_list(row)), "\n")).alias("md5"))
-    return each.groupBy(name).agg(F.min("md5").alias("md5"), F.count("*").alias("n_layers"), (F.count_distinct("md5") == 1).alias("invariant"))
+    """(name, checksum, n_layers, invariant): a checksum of each baseline's rows, the same in
+    every layer if it may be copied over: number of rows and two sums over the halves of their
+    md5, which the order of rows cannot change and no task has to gather."""
+    md5 = F.md5(F.concat_ws("|", *keys, F.format_string("%.6f", F.col(value))))
+    part = lambda at: F.sum(F.conv(F.substring(md5, at, 12), 16, 10).cast("long")).cast("string")
+    each = df.groupBy(name, layer).agg(F.concat_ws(":", F.count("*").cast("string"), part(1), part(13)).alias("checksum"))
+    return each.groupBy(name).agg(F.min("checksum").alias("checksum"), F.count("*").alias("n_layers"), (F.count_distinct("checksum") == 1).alias("invariant"))
