@@ -9,8 +9,8 @@ both scores compare. The tree's root gives that event Witten-Bell mass. A contex
    the texts as numbers into them. Everything after this reads the batches, not texts.
 2. Batches send their distinct words and runs of words, as sorted hashes with training
    counts, to shards by leading bits; a shard adds up and answers each batch in its order.
-   A run is sent if its words less the first, and less the last, may have been seen twice:
-   what occurs once neither is a state nor moves one.
+   Runs grow by a word a step; one is sent if its words less the first, and less the last,
+   were both seen twice: what occurs once neither is a state nor moves one.
 3. A context stays in the tree if its next-word distribution diverges from its suffix's:
    the summed log ratio of both over its occurrences (count x divergence, each occurrence
    left out of its own estimate, so that chance gains nothing) reaches ``GAIN`` nats. The
@@ -189,9 +189,10 @@ class Tokens:
             run ^= run >> np.uint64(29)
             inside = _moved(inside)
             inside[self.starts] = False
-            if k == 2:
+            if k > 1:
                 sent = counts >= 2
-            sent = (_moved(sent) & sent if k > 1 else sent) & inside
+                sent &= _moved(sent)
+            sent = sent & inside
             states = None
             if counts is not None:
                 states = _moved(counts)
@@ -292,14 +293,14 @@ def _ask_first(tokens: Tokens, answers: dict) -> Iterator[tuple]:
             yield level.k, keys, [np.bincount(inverse, weights=tokens.trains[at], minlength=len(keys))]
 
 
-def _ask_longer(depth: int) -> Callable[[Tokens, dict], Iterator[tuple]]:
-    """Words behind two or more, where the answers to pairs let them occur twice."""
+def _ask_longer(k: int) -> Callable[[Tokens, dict], Iterator[tuple]]:
+    """Words behind k, where the answers to one word less let them occur twice."""
 
     def of(tokens: Tokens, answers: dict) -> Iterator[tuple]:
-        for level, sent in tokens.levels(depth, answers):
-            if level.k >= 2:
+        for level, sent in tokens.levels(k, answers):
+            if level.k == k:
                 keys, at, inverse = tokens.asked(level.run, sent)
-                yield level.k, keys, [np.bincount(inverse, weights=tokens.trains[at], minlength=len(keys))]
+                yield k, keys, [np.bincount(inverse, weights=tokens.trains[at], minlength=len(keys))]
 
     return of
 
@@ -383,9 +384,10 @@ def score(docs: DataFrame, *, id: str = "doc_id", text: str = "text", held: Colu
     asked = lambda of, *answers: tables.put_answers(summed(requests(with_answers(batches, list(answers), _ANSWERED) if answers else batches, of, bits, width), gain))
     first = asked(_ask_first)
     kinds = first.where("level = 0").agg(F.sum("kinds")).first()[0] or 0
-    # only the words behind one say which longer runs to ask about
-    longer = asked(_ask_longer(depth), first.where("level = 1"))
-    contexts = asked(_ask_contexts(depth, n, kinds), first, longer)
-    out = stored(_scored(with_answers(batches, [first, longer, contexts], _ANSWERED), depth, width, n, kinds))
+    longer: list[DataFrame] = []
+    for k in range(2, depth + 1):
+        longer.append(asked(_ask_longer(k), first.where("level = 1"), *longer))
+    contexts = asked(_ask_contexts(depth, n, kinds), first, *longer)
+    out = stored(_scored(with_answers(batches, [first, *longer, contexts], _ANSWERED), depth, width, n, kinds))
     tables.drop()
     return out
