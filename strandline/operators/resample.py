@@ -74,10 +74,11 @@ def mantel(a: np.ndarray, b: np.ndarray, rng: np.random.Generator, draws: int =
     rb += rb.T
     ra = ra - ra.mean()
 
+    rb -= rb[i, j].mean()  # permuting rows and columns moves places, not values
+    scale = np.sqrt((ra**2).sum() * (rb[i, j] ** 2).sum())
+
     def rho(order: np.ndarray) -> float:
-        y = rb[np.ix_(order, order)][i, j]
-        y = y - y.mean()
-        return float((ra * y).sum() / np.sqrt((ra**2).sum() * (y**2).sum()))
+        return float(ra @ rb[order[i], order[j]] / scale)
 
     own = rho(np.arange(len(a)))
     hits = sum(rho(rng.permutation(len(a))) >= own - 1e-12 for _ in range(draws))
@@ -163,19 +164,30 @@ def family_uncertainty(v: np.ndarray, rng: np.random.Generator, draws: int = 10_
     return len(v), float(v.mean()) if len(v) else float("nan"), sd, low, high, tails.signed_rank_two_sided(v), bool(low > 0 or high < 0)
 
 
-def shuffled_agreement(hit: np.ndarray, wanted: np.ndarray, stratum: np.ndarray, rng: np.random.Generator, draws: int = 1000) -> tuple[float, float, float, float]:
+def shuffled_agreement(hit: np.ndarray, wanted: np.ndarray, stratum: np.ndarray, rng: np.random.Generator, draws: int = 1000, n: np.ndarray | None = None) -> tuple[float, float, float, float]:
     """(closed-form expectation, mean and sd of shuffles within strata, z between them). An
-    error where they differ by more than eight standard errors."""
-    expected, order = 0.0, np.argsort(stratum, kind="stable")
-    hit, wanted, stratum = hit[order], wanted[order], stratum[order]
-    bound = np.flatnonzero(np.concatenate([[True], stratum[1:] != stratum[:-1], [True]]))
-    for a, b in zip(bound, bound[1:]):
-        values, counts = np.unique(hit[a:b], return_counts=True)
-        expected += sum(c * (wanted[a:b] == v).sum() for v, c in zip(values, counts)) / (b - a)
-    found = np.empty(draws)
-    for k in range(draws):
-        mixed = np.lexsort((rng.random(len(hit)), stratum))
-        found[k] = (hit[mixed] == wanted).sum()
+    error where they differ by more than eight standard errors.
+
+    Rows are cells of n sites (one without n). A shuffle of a stratum deals its hits to its
+    wanted values, so a draw is a table with fixed margins: its cells are hypergeometric one
+    after the other, and no site has to be moved."""
+    n = np.ones(len(hit), np.int64) if n is None else n.astype(np.int64)
+    values, place = np.unique(np.concatenate([hit, wanted]), return_inverse=True)
+    hit, wanted = place[: len(hit)], place[len(hit) :]
+    expected, found = 0.0, np.zeros(draws)
+    for s in np.unique(stratum):
+        own = stratum == s
+        held, asked = (np.bincount(x[own], weights=n[own], minlength=len(values)).astype(np.int64) for x in (hit, wanted))
+        expected += float(held @ asked) / held.sum()
+        left = np.repeat(held[None, :], draws, axis=0)
+        for v, size in enumerate(asked):
+            rest, take = left.sum(axis=1), np.full(draws, size)
+            for c in range(len(values)):
+                got = rng.hypergeometric(left[:, c], rest - left[:, c], take)
+                rest, take = rest - left[:, c], take - got
+                left[:, c] -= got
+                if c == v:
+                    found += got
     error = found.std(ddof=1) / np.sqrt(draws)
     z = (found.mean() - expected) / error if error > 0 else 0.0
     if abs(z) > 8:

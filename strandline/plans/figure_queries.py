@@ -11,7 +11,7 @@ from strandline.plans import derived as D
 from strandline.plans.everyday_queries import _events, _r
 from strandline.plans.paired_queries import _LEVELS, _M, _RANKED, BASE, _deltas
 from strandline.plans.panel_queries import _FLAGS
-from strandline.plans.sequence_queries import _amino
+from strandline.plans.sequence_queries import _amino, _codons
 
 Q, SQL = {}, {}
 
@@ -213,10 +213,12 @@ def replaced_places(spark, sf_dir):
 _ALT = "substr(codon, 1, 2) || b"
 
 
-@query(f"WITH c AS (SELECT a || b || c AS codon FROM (SELECT unnest(['A','C','G','T']) AS a), (SELECT unnest(['A','C','G','T']) AS b), (SELECT unnest(['A','C','G','T']) AS c)), x AS (SELECT codon, {_amino('codon')} AS aa FROM c), o AS (SELECT codon, aa, {_ALT} AS other, {_amino('(' + _ALT + ')')} AS ab FROM x, (SELECT unnest(['A','C','G','T']) AS b) WHERE b <> substr(codon, 3, 1)) SELECT codon, aa, coalesce(string_agg(other, ',' ORDER BY other) FILTER (ab = aa AND ab <> '*'), '') AS synonymous, coalesce(string_agg(other, ',' ORDER BY other) FILTER (ab <> aa AND ab <> '*'), '') AS missense FROM o WHERE aa <> '*' GROUP BY 1, 2")
+@query(f"WITH c AS (SELECT DISTINCT codon FROM (SELECT unnest({_codons('cds')}) AS codon FROM ({D.LOCI_SQL})) WHERE length(codon) = 3 AND translate(codon, 'ACGT', '') = ''), x AS (SELECT codon, {_amino('codon')} AS aa FROM c), o AS (SELECT codon, aa, {_ALT} AS other, {_amino('(' + _ALT + ')')} AS ab FROM x, (SELECT unnest(['A','C','G','T']) AS b) WHERE b <> substr(codon, 3, 1)) SELECT codon, aa, coalesce(string_agg(other, ',' ORDER BY other) FILTER (ab = aa AND ab <> '*'), '') AS synonymous, coalesce(string_agg(other, ',' ORDER BY other) FILTER (ab <> aa AND ab <> '*'), '') AS missense FROM o WHERE aa <> '*' GROUP BY 1, 2")
 def third_base_options(spark, sf_dir):
-    """For each sense codon the third-base changes that keep or change the amino acid."""
-    codons = spark.createDataFrame([(c,) for c in S.SENSE], "codon string")
+    """For each sense codon in use the third-base changes that keep or change the amino
+    acid."""
+    used = D.loci(spark, sf_dir).select(F.explode(F.expr("transform(sequence(1, length(cds) - 2, 3), i -> substr(cds, i, 3))")).alias("codon")).distinct()
+    codons = used.where(F.col("codon").isin(*S.SENSE))
     o = codons.select("codon", F.expr(S.amino("codon")).alias("aa"), F.explode(F.expr("transform(filter(array('A','C','G','T'), b -> b <> substr(codon, 3, 1)), b -> substr(codon, 1, 2) || b)")).alias("other")).withColumn("ab", F.expr(S.amino("other")))
     kept = lambda same: F.array_join(F.array_sort(F.collect_list(F.when((F.col("ab") == F.col("aa")) == F.lit(same), F.when(F.col("ab") != "*", F.col("other"))))), ",")
     return o.groupBy("codon", "aa").agg(kept(True).alias("synonymous"), kept(False).alias("missense"))

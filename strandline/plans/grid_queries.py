@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from strandline.functions import tails
-from strandline.operators import paired as P, ranks as R, resample
+from strandline.operators import paired as P, preservation, ranks as R, resample, trees, vectors as V
+from strandline.operators.lineage import cut
 from strandline.plans import derived as D
 from strandline.plans.everyday_queries import _events, _r
 from strandline.plans.paired_queries import _GAIN, _M, _RANKED, _deltas, _hits
@@ -192,6 +193,61 @@ def control_preservation(spark, sf_dir):
     return f.withColumn("mean_rho", F.round(F.avg("rho").over(Window.partitionBy("condition")), 6)).withColumn("rho", F.round("rho", 6))
 
 
+#: Embeddings of three conditions: as they are, and with a random direction of the vector's
+#: norm added a little and much. Species are nations; their tree has regions as inner nodes.
+_CONDITIONS = {"natural": 0.0, "light": 0.4, "heavy": 1.5}
+_KEPT = f"""WITH e AS ({D.EMBEDDED_SQL}), z AS (SELECT key, family, v, list_transform(range(0, len(v)), lambda i: list_sum(list_transform(range(0, 4), lambda k: CAST('0x' || substr(md5('1:' || CAST(key AS VARCHAR) || ':' || CAST(i AS VARCHAR)), CAST(1 + 8 * k AS BIGINT), 8) AS BIGINT) / 4294967296.0 - 0.5))) AS z FROM e),
+ r AS (SELECT key, family, v, list_transform(z, lambda x: CAST(x AS DOUBLE) * sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(z, z))) AS r FROM z),
+ c AS (SELECT key, family, key % 2 AS grp, CAST(key % 25 AS INT) AS species, condition, list_transform(list_zip(v, r), lambda x: x[1] + w * x[2]) AS v FROM r, (VALUES {", ".join(f"('{n}', CAST({w} AS DOUBLE))" for n, w in _CONDITIONS.items())}) t(condition, w)),
+ u AS (SELECT key, family, grp, species, condition, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM c),
+ p AS (SELECT x.condition, x.family, x.grp, x.key AS a, y.key AS b, round(acos(least(1, greatest(-1, list_dot_product(x.u, y.u)))) / pi(), 9) AS d, least(x.species, y.species) AS lo, greatest(x.species, y.species) AS hi FROM u x JOIN u y ON x.condition = y.condition AND x.family = y.family AND x.grp = y.grp AND x.key < y.key),
+ t AS (SELECT x.n_nationkey AS lo, y.n_nationkey AS hi, CASE WHEN x.n_regionkey = y.n_regionkey THEN 2.0 + (x.n_nationkey + y.n_nationkey) / 10.0 ELSE 8.0 + (x.n_nationkey + y.n_nationkey) / 10.0 END AS t FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey),
+ j AS (SELECT p.condition, p.family, p.grp, p.d, n.d AS nat, round(coalesce(t.t, 0), 6) AS tree FROM p JOIN p n ON n.condition = 'natural' AND n.a = p.a AND n.b = p.b LEFT JOIN t ON t.lo = p.lo AND t.hi = p.hi),
+ k AS (SELECT *, {_RANKED('d', 'condition, family, grp')} AS rd, {_RANKED('nat', 'condition, family, grp')} AS rn, {_RANKED('tree', 'condition, family, grp')} AS rt FROM j),
+ g AS (SELECT condition, family, grp, CASE WHEN count(*) >= 6 THEN corr(rd, rn) END AS kept, CASE WHEN count(*) >= 6 THEN corr(rd, rt) END AS found FROM k GROUP BY 1, 2, 3),
+ w AS (SELECT condition, family, count(kept) AS n_groups, round(avg(kept), 6) AS rho_natural, round(avg(found), 6) AS rho_tree FROM g GROUP BY 1, 2),
+ x AS (SELECT condition, family, unnest(u) AS x, unnest(range(len(u))) AS i FROM u), m AS (SELECT condition, family, list(x ORDER BY i) AS m FROM (SELECT condition, family, i, avg(x) AS x FROM x GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ b AS (SELECT x.condition, x.family AS a, y.family AS b, round(acos(list_dot_product(x.m, y.m) / sqrt(list_dot_product(x.m, x.m)) / sqrt(list_dot_product(y.m, y.m))) / pi(), 9) AS d FROM m x JOIN m y ON x.condition = y.condition AND x.family < y.family),
+ bn AS (SELECT b.condition, b.d, n.d AS nat FROM b JOIN b n ON n.condition = 'natural' AND n.a = b.a AND n.b = b.b), br AS (SELECT condition, {_RANKED('d', 'condition')} AS rd, {_RANKED('nat', 'condition')} AS rn FROM bn), bt AS (SELECT condition, round(corr(rd, rn), 6) AS rho_between FROM br GROUP BY 1)
+ SELECT w.*, rho_between FROM w JOIN bt USING (condition)"""
+
+
+def _conditions(spark, sf_dir):
+    e = D.embedded(spark, sf_dir).withColumn("r", V.matched_random("v", "key"))
+    names = F.explode(F.array(*[F.struct(F.lit(n).alias("condition"), F.lit(w).alias("w")) for n, w in _CONDITIONS.items()])).alias("c")
+    x = e.select("key", "family", "v", "r", names).select("key", "family", "c.condition", F.zip_with("v", F.zip_with("r", F.array_repeat("c.w", F.size("r")), lambda r, w: r * w), lambda v, r: v + r).alias("v"))
+    return cut(x.withColumn("grp", F.col("key") % 2))
+
+
+def _species_tree(spark, sf_dir):
+    """(a, b, d): path lengths between nations, by their regions and one root."""
+    n = D.table(spark, sf_dir, "nation")
+    leaves = n.select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("r"), "n_regionkey").alias("up"), (1 + F.col("n_nationkey") / 10.0).alias("len"))
+    inner = n.select(F.concat(F.lit("r"), "n_regionkey").alias("node"), F.lit("root").alias("up"), F.lit(3.0).alias("len")).distinct()
+    root = inner.limit(1).select(F.lit("root").alias("node"), F.lit(None).cast("string").alias("up"), F.lit(0.0).alias("len"))
+    paths = trees.ancestors(leaves.unionByName(inner).unionByName(root), "node", "up", "len")
+    d = trees.patristic(paths, leaves.select("node"), "node")
+    number = lambda c: F.substring(c, 2, 9).cast("int")
+    return d.select(F.least(number("a"), number("b")).alias("a"), F.greatest(number("a"), number("b")).alias("b"), F.round("d", 6).alias("d"))
+
+
+@query(_KEPT)
+def controls_against_tree(spark, sf_dir):
+    """Controls against natural distances and the species tree by family, and between
+    families by their centroids."""
+    x = _conditions(spark, sf_dir)
+    cell = F.concat_ws("|", "condition", "family", "grp")
+    pairs = V.pair_distances(x.withColumn("cell", cell), "key", "cell", "v")
+    parts = F.split("cell", "[|]")
+    d = pairs.select(parts[0].alias("condition"), parts[1].cast("int").alias("family"), parts[2].cast("long").alias("grp"), "a", "b", (F.col("a") % 25).cast("int").alias("species_a"), (F.col("b") % 25).cast("int").alias("species_b"), F.round("angular", 9).alias("d"))
+    w = preservation.within(d, "natural", _species_tree(spark, sf_dir))
+    c = V.centroids(x.withColumn("cell", F.concat_ws("|", "condition", "family")), "cell", "v")
+    c = c.select(F.split("cell", "[|]")[0].alias("condition"), F.split("cell", "[|]")[1].cast("int").alias("family"), "centroid")
+    between = V.pair_distances(c, "family", "condition", "centroid").select("condition", "a", "b", F.round("angular", 9).alias("d"))
+    b = preservation.between(between, "natural").select("condition", F.round("rho_between", 6).alias("rho_between"))
+    return w.join(b, "condition").select("condition", "family", "n_groups", *_r("rho_natural", "rho_tree"), "rho_between")
+
+
 @query(f"WITH s AS (SELECT median(value) AS m, quantile_cont(value, 0.9) - quantile_cont(value, 0.1) AS w FROM events WHERE event_type = 'click'), g AS (SELECT CAST(unnest(range(0, 21)) * 5.0 AS DOUBLE) AS x), e AS (SELECT event_id % 100 AS x, value AS y FROM events WHERE event_type = 'click') SELECT g.x, round(sum(y * exp(-0.5 * pow((e.x - g.x) / 8.0, 2))) / sum(exp(-0.5 * pow((e.x - g.x) / 8.0, 2))), 6) AS mean FROM g, e GROUP BY 1")
 def local_mean(spark, sf_dir):
     """A Gaussian-weighted local mean on a grid of 21 points."""
@@ -206,14 +262,20 @@ def local_mean(spark, sf_dir):
 
 @query()
 def family_uncertainty(spark, sf_dir):
-    """K6: mean, deviation, interval and signed-rank p by family."""
+    """K6: mean, deviation, interval of 10,000 draws and signed-rank p by family, with whether
+    a second run from the rows gives the same figures exactly."""
     d = _deltas(spark, sf_dir).withColumn("family", F.col("gene") % 12)
-    return resample.by_group(d, ["family"], "delta", lambda v, r: resample.family_uncertainty(v, r, 2000), "n long, mean double, sd double, low double, high double, p double, apart boolean")
+    run = lambda: resample.by_group(d, ["family"], "delta", lambda v, r: resample.family_uncertainty(v, r), "n long, mean double, sd double, low double, high double, p double, apart boolean")
+    # the whole of it once more from the rows: every figure must come out to the last bit
+    again = run().select("family", F.struct("n", "mean", "sd", "low", "high", "p", "apart").alias("again"))
+    one = run()
+    same = F.struct("n", "mean", "sd", "low", "high", "p", "apart").eqNullSafe(F.col("again"))
+    return one.join(again, "family").withColumn("reproduced", same).drop("again")
 
 
 @query()
 def shuffled_agreement(spark, sf_dir):
-    """Shuffles within strata against their closed form, an error where they disagree."""
+    """1,000 shuffles within strata against their closed form, an error where they disagree."""
     from strandline.plans.paired_queries import _sites
 
     s = _sites(spark, sf_dir).withColumn("stratum", F.ascii("h") * 3 + F.col("phase")).withColumn("grp", F.col("key") % 6)
@@ -221,10 +283,11 @@ def shuffled_agreement(spark, sf_dir):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         grp = int(pdf["grp"].iloc[0])
         pdf = pdf.sort_values(list(pdf.columns))
-        found = resample.shuffled_agreement(*(pdf[c].to_numpy() for c in ("p", "y", "stratum")), resample.rng_for("shuffle", grp), 200)
+        found = resample.shuffled_agreement(*(pdf[c].to_numpy() for c in ("p", "y", "stratum")), resample.rng_for("shuffle", grp), n=pdf["n"].to_numpy())
         return pd.DataFrame([(grp, *found)], columns=["grp", "expected", "mean", "sd", "z"])
 
-    return s.select("grp", "p", "y", "stratum").groupBy("grp").applyInPandas(run, "grp long, expected double, mean double, sd double, z double")
+    cells = s.groupBy("grp", "p", "y", "stratum").agg(F.count("*").alias("n"))  # a few rows a group
+    return cells.groupBy("grp").applyInPandas(run, "grp long, expected double, mean double, sd double, z double")
 
 
 @query()

@@ -66,10 +66,10 @@ def geodesic(spark, sf_dir):
 
 @query
 def mantel(spark, sf_dir):
-    """K7: angular distance against distance of first coordinates."""
+    """K7: angular distance against distance of first coordinates, 9,999 permutations."""
 
     def fn(x, keys, rng):
-        rho, p = resample.mantel(transport.angular(x, x), np.abs(x[:, :1] - x[:, :1].T), rng, 199)
+        rho, p = resample.mantel(transport.angular(x, x), np.abs(x[:, :1] - x[:, :1].T), rng, 9999)
         return pd.DataFrame({"rho": [rho], "p": [p]})
 
     return resample.grouped_vectors(_members(spark, sf_dir), "family", "key", "v", fn, "rho double, p double")
