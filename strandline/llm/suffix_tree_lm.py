@@ -50,7 +50,7 @@ from strandline.llm.batch_tables import Tables, with_answers
 from strandline.llm.text import as_bytes, ascii_words, stored
 
 DEPTH, GAIN = 3, 3.0
-BATCH_BYTES, SHARD_KEYS = 8 << 20, 2_000_000
+BATCH_BYTES, SHARD_KEYS = 6 << 20, 2_000_000
 SPARE_BITS = 20
 END_WORD = b"\n"  # no word
 #: Fixed point of sums that travel: order of addition cannot change them.
