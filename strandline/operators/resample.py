@@ -10,7 +10,8 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from strandline.functions import tails
 
@@ -19,6 +20,11 @@ def rng_for(*key) -> np.random.Generator:
     return np.random.default_rng(zlib.crc32("|".join(map(str, key)).encode()))
 
 
+def seed_of(keys: list, separator: str, plus: int = 0) -> Column:
+    """A seed from keys: the crc32 of their joined text, and a constant."""
+    return F.crc32(F.concat_ws(separator, *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]).cast("binary")) + F.lit(plus)
+
+
 def bootstrap(x: np.ndarray, rng: np.random.Generator, draws: int = 2000, stat=np.mean, least: int = 3) -> tuple[float, float]:
     """The 2.5 and 97.5 percentiles of a statistic; NaN below ``least`` values."""
     x = x[np.isfinite(x)]
@@ -85,36 +91,6 @@ def mantel(a: np.ndarray, b: np.ndarray, rng: np.random.Generator, draws: int =
     return own, (hits + 1) / (draws + 1)
 
 
-def partial_spearman(x: np.ndarray, y: np.ndarray, covariates: np.ndarray, least: int = 10) -> tuple[float, float]:
-    """(rho, p): ranks with the ranked covariates regressed out."""
-    if len(x) < least:
-        return float("nan"), float("nan")
-    c = np.column_stack([np.ones(len(x)), *(mid_ranks(z) for z in covariates.T)])
-    rest = lambda r: r - c @ np.linalg.lstsq(c, r, rcond=None)[0]
-    rx, ry = rest(mid_ranks(x)), rest(mid_ranks(y))
-    rho = float((rx * ry).sum() / np.sqrt((rx**2).sum() * (ry**2).sum()))
-    df = len(x) - 2 - covariates.shape[1]
-    return rho, tails.t_two_sided(rho * np.sqrt(df / max(1e-300, 1 - rho * rho)), df)
-
-
-def quadratic_fit(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, float, float, float]:
-    """(linear, its p, quadratic, its p) of y on z and z squared, z standardised. Weighted
-    fits scale errors by max(chi2 / dof, 1) and take normal tails, others t."""
-    sd = x.std()
-    if len(x) < 4 or sd == 0:
-        return (float("nan"),) * 4
-    z = (x - x.mean()) / sd
-    a = np.column_stack([np.ones_like(z), z, z * z])
-    w = np.ones_like(z) if weights is None else weights
-    inverse = np.linalg.inv(a.T @ (a * w[:, None]))
-    beta = inverse @ (a.T @ (w * y))
-    dof = len(x) - 3
-    chi = float((w * (y - a @ beta) ** 2).sum() / dof)
-    se = np.sqrt(np.diag(inverse) * (chi if weights is None else max(chi, 1.0)))
-    tail = (lambda t: tails.t_two_sided(t, dof)) if weights is None else tails.normal_two_sided
-    return float(beta[1]), tail(float(beta[1] / se[1])), float(beta[2]), tail(float(beta[2] / se[2]))
-
-
 def one_component_removed(x: np.ndarray) -> np.ndarray:
     """Leave-one-out cosine with the others' sum after their first component is taken out."""
     out = np.empty(len(x))

@@ -139,6 +139,12 @@ def must_agree(a: DataFrame, b: DataFrame, keys: list[str], what: str) -> None:
         raise ValueError(f"{what}: derivations differ at {[tuple(r) for r in rows]}")
 
 
+def repeated(registry: DataFrame, name: str, accession: str) -> DataFrame:
+    """(name, problem): names that share an accession."""
+    twice = registry.groupBy(accession).agg(F.count("*").alias("n_")).where("n_ > 1").select(accession)
+    return registry.join(twice, accession, "left_semi").select(F.col(name).alias("name"), F.lit(f"{accession} repeated").alias("problem"))
+
+
 def broken_references(members: DataFrame, key: str, registry: DataFrame, name: str) -> DataFrame:
     """(name, problem): members of no registered name, and registered names without any."""
     m, r = members.select(F.col(key).alias("name")).distinct(), registry.select(F.col(name).alias("name")).distinct()

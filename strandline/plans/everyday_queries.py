@@ -375,13 +375,16 @@ def disjoint_partition(spark, sf_dir):
     return j.agg(F.count("*").alias("n_all"), F.count("p").alias("n_private"), F.count("s").alias("n_shared"), F.count_if(F.col("p").isNotNull() & F.col("s").isNotNull()).alias("n_both"), F.count_if(F.col("p").isNull() & F.col("s").isNull()).alias("n_neither"))
 
 
-@query("SELECT n_name AS name, 'empty' AS problem FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 90 = 7) UNION ALL SELECT 'n99', 'unregistered'")
+@query("""WITH a AS (SELECT n_name, 'A' || CAST(n_nationkey % 23 AS VARCHAR) AS accession, n_nationkey FROM nation)
+ SELECT n_name AS name, 'empty' AS problem FROM a WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT 'n99', 'unregistered'
+ UNION ALL SELECT n_name, 'accession repeated' FROM a WHERE accession IN (SELECT accession FROM a GROUP BY 1 HAVING count(*) > 1)""")
 def registry_integrity(spark, sf_dir):
-    """Members of no registered name and names without members."""
-    n = D.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    c = D.table(spark, sf_dir, "customer").where("c_custkey % 90 = 7").select("c_nationkey")
-    members = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("n_name").alias("m")).unionByName(spark.createDataFrame([("n99",)], "m string"))
-    return T.broken_references(members, "m", n, "n_name")
+    """Members of no registered name, names without members, accessions of several
+    names."""
+    n = D.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.concat(F.lit("A"), (F.col("n_nationkey") % 23).cast("string")).alias("accession"))
+    c = D.table(spark, sf_dir, "supplier").select("s_nationkey")
+    members = c.join(n, c["s_nationkey"] == n["n_nationkey"]).select(F.col("n_name").alias("m")).unionByName(spark.createDataFrame([("n99",)], "m string"))
+    return T.broken_references(members, "m", n, "n_name").unionByName(T.repeated(n, "n_name", "accession"))
 
 
 @query(f"WITH p AS (SELECT key, unnest(range(1, length(a) + 1)) AS i, a, b FROM ({D.PAIRS_SQL})), s AS (SELECT key, substr(a, i, 1) AS h, substr(b, i, 1) AS t FROM p WHERE substr(a, i, 1) <> substr(b, i, 1)) SELECT 'source' AS window, 0.0::DOUBLE AS score, count(*) AS n FROM s UNION ALL SELECT 'target', 100.0::DOUBLE, count(*) FROM s")

@@ -251,12 +251,12 @@ def relabelled_tips(spark, sf_dir):
     return trees.relabelled(s.select("node", "parent"), "node", s.where("s_suppkey % 3 = 0"), "node", "s_name").select("node", "parent", "label")
 
 
-_TREE = "WITH n AS (SELECT 'root' AS node, CAST(NULL AS VARCHAR) AS parent UNION ALL SELECT 'r' || r_regionkey, 'root' FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer), k AS (SELECT 'c' || c_custkey AS tip, 'n' || c_nationkey AS n, 'r' || n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 16 = 3), cn AS (SELECT n, r, count(*) AS c FROM k GROUP BY 1, 2), cr AS (SELECT r, count(*) AS c FROM cn GROUP BY 1)"
+_TREE = "WITH n AS (SELECT 'root' AS node, CAST(NULL AS VARCHAR) AS parent UNION ALL SELECT 'r' || r_regionkey, 'root' FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer), k AS (SELECT 'c' || c_custkey AS tip, 'n' || c_nationkey AS n, 'r' || n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')), cn AS (SELECT n, r, count(*) AS c FROM k GROUP BY 1, 2), cr AS (SELECT r, count(*) AS c FROM cn GROUP BY 1)"
 
 
 @query(_TREE + ", kn AS (SELECT n, r FROM cn WHERE c > 1), kr AS (SELECT r FROM cr WHERE c > 1), root AS (SELECT count(*) > 1 AS ok FROM cr) SELECT tip AS node, CASE WHEN n IN (SELECT n FROM kn) THEN n WHEN r IN (SELECT r FROM kr) THEN r WHEN (SELECT ok FROM root) THEN 'root' END AS parent FROM k UNION ALL SELECT n, CASE WHEN r IN (SELECT r FROM kr) THEN r WHEN (SELECT ok FROM root) THEN 'root' END FROM kn UNION ALL SELECT r, CASE WHEN (SELECT ok FROM root) THEN 'root' END FROM kr UNION ALL SELECT 'root', NULL FROM root WHERE ok")
 def pruned_tree(spark, sf_dir):
-    """L4: the topology of some tips, single-child nodes taken out."""
+    """L4: the topology of the customers with an open order, single-child nodes taken out."""
     text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     c = D.table(spark, sf_dir, "customer")
     none = spark.createDataFrame([("root", None)], "node string, parent string")
@@ -264,7 +264,8 @@ def pruned_tree(spark, sf_dir):
     n = D.table(spark, sf_dir, "nation").select(text("n", "n_nationkey").alias("node"), text("r", "n_regionkey").alias("parent"))
     tips = c.select(text("c", "c_custkey").alias("node"), text("n", "c_nationkey").alias("parent"), "c_custkey")
     nodes = none.unionByName(r).unionByName(n).unionByName(tips.drop("c_custkey"))
-    return trees.pruned(nodes, "node", "parent", tips.where("c_custkey % 16 = 3").select("node")).select("node", "parent")
+    wanted = D.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(text("c", "o_custkey").alias("node")).distinct()
+    return trees.pruned(nodes, "node", "parent", tips.select("node").join(wanted, "node", "left_semi")).select("node", "parent")
 
 
 @query("SELECT n_regionkey AS tree, n_name AS name FROM nation")

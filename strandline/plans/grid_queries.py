@@ -96,14 +96,14 @@ def weighted_shape_fit(spark, sf_dir):
     return R.weighted_shape_fit(g, ["condition"], "x", "gain", "var").select("condition", "n", *_r("b1", "p1", "b2", "p2", digits=5))
 
 
-@query(_GAIN + f""", sx AS (SELECT condition, gene % 5 IN (2, 3) AS mid, round(gain, 9) AS gain, var FROM g WHERE gene % 5 <> 1), r AS (SELECT condition, mid, gain, var, {_RANKED('gain', 'condition')} AS r FROM sx),
+@query(_GAIN + f""", sx AS (SELECT condition, gene % 5 IN (2, 3) AS mid, round(gain, 9) AS gain, var FROM g), r AS (SELECT condition, mid, gain, var, {_RANKED('gain', 'condition')} AS r FROM sx),
  u AS (SELECT condition, count(*) FILTER (mid) AS n1, count(*) FILTER (NOT mid) AS n2, sum(r) FILTER (mid) - count(*) FILTER (mid) * (count(*) FILTER (mid) + 1) / 2.0 AS u, sum(gain / var) FILTER (mid) / sum(1 / var) FILTER (mid) AS wm, sum(gain / var) FILTER (NOT mid) / sum(1 / var) FILTER (NOT mid) AS we FROM r GROUP BY 1),
  t AS (SELECT condition, sum(c * c * c - c) AS ties FROM (SELECT condition, gain, CAST(count(*) AS DOUBLE) AS c FROM sx GROUP BY 1, 2) GROUP BY 1),
  z AS (SELECT *, greatest(0, abs(u - n1 * n2 / 2.0) - 0.5) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z FROM u JOIN t USING (condition))
  SELECT condition, n1, n2, CAST(u AS DOUBLE) AS u, round(least(1, {normal_p('z')}), 6) AS p, round(wm - we, 6) AS difference FROM z""")
 def mid_against_extreme_ranks(spark, sf_dir):
     """Middle against outer strata by rank sums, and their weighted means."""
-    g = P.logit_gain(_hits(spark, sf_dir), "gene", "condition", "view", "k", "t").where("gene % 5 <> 1").withColumn("gain", F.round("gain", 9)).withColumn("mid", (F.col("gene") % 5).isin(2, 3))
+    g = P.logit_gain(_hits(spark, sf_dir), "gene", "condition", "view", "k", "t").withColumn("gain", F.round("gain", 9)).withColumn("mid", (F.col("gene") % 5).isin(2, 3))
     w = P.weighted_mean(g, ["condition", "mid"], "gain", "var").groupBy("condition").agg((F.max(F.when(F.col("mid"), F.col("mean"))) - F.max(F.when(~F.col("mid"), F.col("mean")))).alias("difference"))
     return R.mann_whitney_p(g, ["condition"], "mid", True, "gain").join(w, "condition").select("condition", "n1", "n2", "u", *_r("p", "difference"))
 

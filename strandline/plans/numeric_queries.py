@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from strandline.functions import tails
-from strandline.operators import align, paired, panel, resample, rewrites, transport
+from strandline.operators import align, paired, panel, ranks, resample, rewrites, transport
 from strandline.plans import derived as D
 
 Q, SQL = {}, {}
@@ -122,26 +122,34 @@ def sign_flip_p(spark, sf_dir):
     return resample.sign_flip_test(_deltas(spark, sf_dir), ["condition"], "delta")
 
 
-def _shape(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("gene")
-    x, y, z = (pdf[c].to_numpy(float) for c in ("base", "delta", "level"))
-    rho, p = resample.partial_spearman(x, y, z[:, None])
-    plain, weighted = resample.quadratic_fit(x, y), resample.quadratic_fit(x, y, 1 / (1 + np.abs(z)))
-    return pd.DataFrame([[pdf["condition"].iloc[0], rho, p, *plain, *weighted]], columns=["condition", "rho", "p", "b1", "p1", "b2", "p2", "w1", "pw1", "w2", "pw2"])
+@query
+def regressions(spark, sf_dir):
+    """K2, K3, K11, K12 from moments: partial rank correlations and both quadratic fits."""
+    d = _deltas(spark, sf_dir).select("condition", "gene", "base", "delta", "level").withColumn("var", 1 + F.abs("level"))
+    by = ["condition"]
+    plain = ranks.shape_fit(d, by, "base", "delta").select("condition", "b1", "p1", "b2", "p2")
+    weighted = ranks.weighted_shape_fit(d, by, "base", "delta", "var").select("condition", F.col("b1").alias("w1"), F.col("p1").alias("pw1"), F.col("b2").alias("w2"), F.col("p2").alias("pw2"))
+    return ranks.partial_spearman(d, by, "base", "delta", "level").select("condition", "rho", "p").join(plain, by, "left").join(weighted, by, "left")
 
 
 @query
-def regressions(spark, sf_dir):
-    """K2, K3, K11, K12."""
-    d = _deltas(spark, sf_dir).select("condition", "gene", "base", "delta", "level")
-    return d.groupBy("condition").applyInPandas(_shape, "condition string, rho double, p double, b1 double, p1 double, b2 double, p2 double, w1 double, pw1 double, w2 double, pw2 double")
+def draw_seeds(spark, sf_dir):
+    """a seed for each cell and one for each record, from their keys alone, so that
+    neither resuming nor the number of workers changes a draw."""
+    r = D.records(spark, sf_dir).select("gene", "condition", "sample")
+    return r.select("gene", "condition", "sample", resample.seed_of(["gene", "condition"], ":", 42).alias("cell_seed"), resample.seed_of([F.lit(42), "gene", "condition", "sample"], "|").alias("record_seed"))
+
+
+@query
+def transport_invariants(spark, sf_dir):
+    """Of each pair of families how far the distance is from being symmetric, from 0 to
+    itself, from the same for rows in another order, and FGW at 0 from its square."""
+    return transport.group_pairs(_members(spark, sf_dir), "family", "v", "invariants")
 
 
 @query
 def kruskal_p(spark, sf_dir):
     """K19 with its tail."""
-    from strandline.operators import ranks
-
     def tail(k, h):
         return pd.Series([tails.chi2_upper(x, n - 1) for n, x in zip(k, h)])
 

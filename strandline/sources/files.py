@@ -56,11 +56,13 @@ def transcript_sequences(records: DataFrame, wanted: DataFrame, transcript: str
 
 
 def longest_per_gene(records: DataFrame, pattern: str = r"gene:([^\s.]+)", stop: bool = False) -> DataFrame:
-    """(gene, seq): the longest sequence of each gene named in the headers; the first in
-    key order of equals. stop: strip asterisks (peptides)."""
+    """(gene, seq): the longest sequence of each gene named in the headers; of equals the
+    first seen where records tell their place (at, from fasta_records), else the first in key
+    order. stop: strip asterisks (peptides)."""
     seq = F.regexp_replace("seq", r"\*", "") if stop else F.col("seq")
-    x = records.select(F.regexp_extract("header", pattern, 1).alias("gene"), seq.alias("seq"), "key").where("gene <> ''")
-    w = Window.partitionBy("gene").orderBy(F.desc(F.length("seq")), "key")
+    first = "at" if "at" in records.columns else "key"
+    x = records.select(F.regexp_extract("header", pattern, 1).alias("gene"), seq.alias("seq"), first).where("gene <> ''")
+    w = Window.partitionBy("gene").orderBy(F.desc(F.length("seq")), first)
     return x.withColumn("r", F.row_number().over(w)).where("r = 1").select("gene", "seq")
 
 

@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.functions import tails
 from strandline.operators import align, resample, transport as T
@@ -143,10 +144,64 @@ def test_resampling():
     m = np.abs(x[:20, None] - x[None, :20])
     rho, p = resample.mantel(m, m, np.random.default_rng(1), 99)
     assert rho == pytest.approx(1) and p == pytest.approx(0.01)
-    assert resample.partial_spearman(x, 2 * x, RNG.normal(size=(200, 1)))[0] == pytest.approx(1)
-    z = np.linspace(-1, 1, 50)
-    b1, p1, b2, p2 = resample.quadratic_fit(z, 3 * z + RNG.normal(0, 0.1, 50))
-    assert p1 < 1e-6 < p2
+
+
+def test_fits_by_least_squares(spark):
+    """Partial rank correlations and quadratic fits from moments against dense algebra."""
+    from strandline.operators import ranks
+
+    n = 60
+    x, z = RNG.normal(size=n), RNG.normal(size=n)
+    y, var = 3 * x + 0.5 * x * x + 0.4 * z + RNG.normal(0, 0.3, n), RNG.uniform(0.5, 2, n)
+    df = spark.createDataFrame([("c", *map(float, r)) for r in zip(x, y, z, var)] + [("few", 1.0, 2.0, 3.0, 1.0)], "g string, x double, y double, z double, var double")
+    s = (x - x.mean()) / x.std()
+    a = np.column_stack([np.ones(n), s, s * s])
+    got = {r["g"]: r for r in ranks.shape_fit(df, ["g"], "x", "y").collect()}
+    beta = np.linalg.lstsq(a, y, rcond=None)[0]
+    assert set(got) == {"c"} and (got["c"]["b1"], got["c"]["b2"]) == pytest.approx((beta[1], beta[2]))
+    se = np.sqrt(np.diag(np.linalg.inv(a.T @ a)) * ((y - a @ beta) ** 2).sum() / (n - 3))
+    assert got["c"]["p2"] == pytest.approx(tails.t_two_sided(beta[2] / se[2], n - 3), rel=1e-6)
+    w = np.sqrt(1 / var)
+    beta = np.linalg.lstsq(a * w[:, None], y * w, rcond=None)[0]
+    r = ranks.weighted_shape_fit(df, ["g"], "x", "y", "var").first()
+    assert (r["b1"], r["b2"]) == pytest.approx((beta[1], beta[2]))
+    rank = lambda v: np.argsort(np.argsort(v)).astype(float)
+    c = np.column_stack([np.ones(n), rank(z)])
+    rest = lambda v: rank(v) - c @ np.linalg.lstsq(c, rank(v), rcond=None)[0]
+    r = ranks.partial_spearman(df, ["g"], "x", "y", "z").first()
+    assert r["rho"] == pytest.approx(np.corrcoef(rest(x), rest(y))[0, 1])
+
+
+def test_seeds_of_keys(spark):
+    import zlib
+
+    row = spark.createDataFrame([("g", "c", 3)], "gene string, condition string, sample int").select(resample.seed_of(["gene", "condition"], ":", 42).alias("a"), resample.seed_of([F.lit(42), "gene", "condition", "sample"], "|").alias("b")).first()
+    assert (row["a"], row["b"]) == (42 + zlib.crc32(b"g:c"), zlib.crc32(b"42|g|c|3"))
+
+
+def test_transport_invariants(spark):
+    rows = [(g, [float(v) for v in RNG.normal(size=5) + g]) for g in (1, 2, 3) for _ in range(6 + g)]
+    got = T.group_pairs(spark.createDataFrame(rows, "family int, v array<double>"), "family", "v", "invariants").collect()
+    assert len(got) == 3 and all(r["value"] < 1e-6 for r in got)
+
+
+def test_rewrites_count_letters_as_capitals(spark):
+    from strandline.operators import rewrites
+
+    seq = "ATG" + "GCTGAAAAACGT" * 6 + "TAA"
+    one, two = (rewrites.rewrites(spark.createDataFrame([("k", "f", s)], "key string, family string, seq string"), "key", "family", "seq").orderBy("tag").collect() for s in (seq, seq.lower()))
+    assert one == two and len(one) == 2
+
+
+def test_paths_and_tools(spark, tmp_path):
+    from strandline.sources import files
+
+    assert files.required(spark, f"file://{tmp_path}", "make it") == f"file://{tmp_path}"
+    with pytest.raises(FileNotFoundError, match="run the embedding step"):
+        files.required(spark, f"file://{tmp_path}/none", "run the embedding step")
+    assert files.missing_tools({"python3": "everything", "no-such-program": "alignment"}) == {"no-such-program": "alignment"}
+    records = spark.createDataFrame([("z", "z gene:E1.1", "AAA", 5), ("a", "a gene:E1.1", "CCC", 9)], "key string, header string, seq string, at long")
+    assert files.longest_per_gene(records).first()["seq"] == "AAA" and files.longest_per_gene(records.drop("at")).first()["seq"] == "CCC"
 
 
 def test_queries_take_whole_families(spark, monkeypatch):
