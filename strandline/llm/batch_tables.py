@@ -33,10 +33,13 @@ class Tables:
 
 
 def with_answers(batches: DataFrame, answers: list[DataFrame], fields: list[str]) -> DataFrame:
-    """Batches with the fields of all answers so far; only the first frame has some for each."""
+    """Batches with the fields of all answers so far; only the first frame has some for each.
+
+    The joins hash the answers of a bucket, which are those of a few batches, so that nothing
+    is sorted: a sort holds pages for each frame, however little is in it."""
     held = []
     for i, part in enumerate(answers):
         lists = part.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(f"answers{i}"))
-        batches = batches.join(lists.hint("merge"), "batch", "left" if i else "inner")
+        batches = batches.join(lists.hint("shuffle_hash"), "batch", "left" if i else "inner")
         held.append(F.coalesce(f"answers{i}", F.array().cast(lists.schema[f"answers{i}"].dataType)))
     return batches.withColumn("answers", F.concat(*held)).drop(*[f"answers{i}" for i in range(len(answers))])
