@@ -178,12 +178,12 @@ grams AS (
 f AS MATERIALIZED (
   SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, CAST(count(*) AS HUGEINT) AS f
   FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+parts AS MATERIALIZED (
+  SELECT lang, phrase, ws, f AS a, j, array_to_string(ws[1 : j], ' ') AS p, array_to_string(ws[j + 1 :], ' ') AS q
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM f)),
 cut AS (
-  SELECT c.lang, c.ws, c.phrase, c.f AS a, j.j, l.f AS l, r.f AS r, 2000000 * c.f // (l.f + r.f) AS score
-  FROM f c JOIN (SELECT unnest([1, 2, 3]) AS j) j ON j.j < c.k
-  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1 : j.j], ' ')
-  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[j.j + 1 :], ' ')
-  WHERE c.k > 1),
+  SELECT c.lang, c.ws, c.phrase, c.a, c.j, l.f AS l, r.f AS r, 2000000 * c.a // (l.f + r.f) AS score
+  FROM parts c JOIN f l ON l.lang = c.lang AND l.phrase = c.p JOIN f r ON r.lang = c.lang AND r.phrase = c.q),
 lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS nth FROM cut),
 inner_ AS (
   SELECT lang, array_to_string(p.ws[s.s : s.s + m.m - 1], ' ') AS phrase, max(p.f) AS longer
