@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from strandline.functions import tails
 
 
+#: Signs drawn together, 8 bytes each.
+FLIPS = 1 << 21
+
+
 def rng_for(*key) -> np.random.Generator:
     return np.random.default_rng(zlib.crc32("|".join(map(str, key)).encode()))
 
@@ -57,9 +61,10 @@ def signed_rank_test(df: DataFrame, by: list[str], x: str) -> DataFrame:
 
 
 def sign_flip(v: np.ndarray, rng: np.random.Generator, draws: int = 2000) -> tuple[float, float]:
-    """(mean, p): two-sided, (c + 1) / (n + 1)."""
-    flips = rng.integers(0, 2, (draws, len(v))) * 2 - 1
-    null = np.abs((flips * v).mean(axis=1))
+    """(mean, p): two-sided, (c + 1) / (n + 1). Some draws at a time, the same ones as all at
+    once: memory follows the values, not values times draws."""
+    some = max(1, FLIPS // max(1, len(v)))
+    null = np.concatenate([np.abs(((rng.integers(0, 2, (min(some, draws - at), len(v))) * 2 - 1) * v).mean(axis=1)) for at in range(0, draws, some)])
     return float(v.mean()), float(((null >= abs(v.mean()) - 1e-15).sum() + 1) / (draws + 1))
 
 

@@ -24,3 +24,14 @@ def test_checksums_of_many_rows(spark):
     df = spark.range(140_000).select(F.lit("x").alias("name"), F.lit(0).alias("layer"), "id", F.lit(1.0).alias("v"))
     n, first, second = publish.invariant_copies(df, "name", "layer", ["id"], "v").first()["checksum"].split(":")
     assert int(n) == 140_000 and int(first) > 2**63 and int(second) > 2**63
+
+
+def test_sign_flips_in_bounded_memory(monkeypatch):
+    v = np.random.default_rng(1).normal(0.1, 1, 40_001)
+    tracemalloc.start()
+    some = resample.sign_flip(v, np.random.default_rng(2), 300)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    flips = np.random.default_rng(2).integers(0, 2, (300, len(v))) * 2 - 1
+    null = np.abs((flips * v).mean(axis=1))
+    assert peak < 80e6 and some == (float(v.mean()), float(((null >= abs(v.mean()) - 1e-15).sum() + 1) / 301))
