@@ -26,6 +26,31 @@ def test_checksums_of_many_rows(spark):
     assert int(n) == 140_000 and int(first) > 2**63 and int(second) > 2**63
 
 
+@pytest.mark.parametrize("lengths", [(0.5, 3.0), (-2.0, 1.0)])
+def test_tip_distances_by_blocks(spark, lengths):
+    rng = np.random.default_rng(7)
+    up = {0: None} | {n: int(rng.integers(0, n)) for n in range(1, 30)}
+    length = {n: float(rng.uniform(*lengths)) for n in up}
+    nodes = spark.createDataFrame([(f"n{n:02d}", None if p is None else f"n{p:02d}", length[n]) for n, p in up.items()], "node string, up string, len double")
+    tips = [n for n in range(10, 30)]
+
+    def above(n):
+        out, d = {}, 0.0
+        while n is not None:
+            out[n] = d
+            d, n = d + length[n], up[n]
+        return out
+
+    want = {}
+    for a, b in itertools.combinations(tips, 2):
+        x, y = above(a), above(b)
+        want[f"n{a:02d}", f"n{b:02d}"] = min(x[c] + y[c] for c in x.keys() & y.keys())
+    got = trees.patristic(trees.ancestors(nodes, "node", "up", "len"), spark.createDataFrame([(f"n{t:02d}",) for t in tips], "node string"), "node", block=3)
+    assert "Aggregate" not in plan_of(got).split("Join")[0]
+    found = [(r["a"], r["b"], r["d"]) for r in got.collect()]
+    assert len(found) == len(want) and {(a, b): pytest.approx(d) for a, b, d in found} == want
+
+
 def test_sign_flips_in_bounded_memory(monkeypatch):
     v = np.random.default_rng(1).normal(0.1, 1, 40_001)
     tracemalloc.start()
