@@ -51,6 +51,11 @@ def test_tip_distances_by_blocks(spark, lengths):
     assert len(found) == len(want) and {(a, b): pytest.approx(d) for a, b, d in found} == want
 
 
+def test_tree_statistics_need_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(trees, "patristic", None)
+    assert registry.QUERIES["tree_stats"](spark, DIR).first()["diameter"] > 0
+
+
 def test_sign_flips_in_bounded_memory(monkeypatch):
     v = np.random.default_rng(1).normal(0.1, 1, 40_001)
     tracemalloc.start()
