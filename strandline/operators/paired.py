@@ -78,9 +78,11 @@ def presence_matrix(df: DataFrame, gene: str, condition: str, levels: list[str])
 
 def shuffle_null(sites: DataFrame, by: list[str], stratum: list[str], hit: str, wanted: str) -> DataFrame:
     """(by, expected): expected agreements if ``hit`` were shuffled within strata:
-    sum over values of n(hit = v) n(wanted = v) / n."""
+    sum over values of n(hit = v) n(wanted = v) / n. Both counts of a value come from one
+    aggregate, so nothing is joined."""
     keys = [*by, *stratum]
-    n = sites.groupBy(*keys).agg(F.count("*").alias("n"))
-    h = sites.groupBy(*keys, F.col(hit).alias("v")).agg(F.count("*").alias("nh"))
-    w = sites.groupBy(*keys, F.col(wanted).alias("v")).agg(F.count("*").alias("nw"))
-    return h.join(w, [*keys, "v"]).join(n, keys).groupBy(*by).agg(F.sum(F.col("nh") * F.col("nw") / F.col("n")).alias("expected"))
+    sides = F.explode(F.array(F.struct(F.col(hit).alias("v_"), F.lit(1).alias("h_"), F.lit(0).alias("w_")), F.struct(F.col(wanted).alias("v_"), F.lit(0).alias("h_"), F.lit(1).alias("w_")))).alias("s_")
+    each = sites.na.drop(subset=keys).select(*keys, sides).select(*keys, "s_.*").groupBy(*keys, "v_").agg(F.sum("h_").alias("nh"), F.sum("w_").alias("nw"))
+    both = F.when((F.col("nh") > 0) & (F.col("nw") > 0) & F.col("v_").isNotNull(), F.col("nh") * F.col("nw"))
+    strata = each.groupBy(*keys).agg(F.sum("nh").alias("n"), F.sum(both).alias("met")).where("met IS NOT NULL")
+    return strata.groupBy(*by).agg(F.sum(F.col("met") / F.col("n")).alias("expected"))

@@ -20,6 +20,13 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_shuffle_null_joins_nothing(spark):
+    rows = [(1, "A", "C", "C"), (1, "A", "G", "C"), (1, "A", "C", "T"), (1, "T", "A", "A"), (2, "A", "C", "G")]
+    got = paired.shuffle_null(spark.createDataFrame(rows, "key int, h string, p string, y string"), ["key"], ["h"], "p", "y")
+    assert sorted(map(tuple, got.collect())) == [(1, pytest.approx(2 * 2 / 3 + 1))]
+    assert "Join" not in plan_of(got)
+
+
 def test_checksums_of_many_rows(spark):
     df = spark.range(140_000).select(F.lit("x").alias("name"), F.lit(0).alias("layer"), "id", F.lit(1.0).alias("v"))
     n, first, second = publish.invariant_copies(df, "name", "layer", ["id"], "v").first()["checksum"].split(":")
