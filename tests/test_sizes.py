@@ -20,6 +20,22 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_consensus_is_one_aggregate_of_the_votes(spark):
+    v = spark.createDataFrame([(1, 0, "A", 2), (1, 0, "C", 2), (1, 1, "G", 3), (1, 1, "T", 1), (2, 0, "T", 1)], "k int, i int, base string, n long")
+    got = sites.consensus(v, "k")
+    assert sorted(map(tuple, got.collect())) == [(1, 0, "-"), (1, 1, "G"), (2, 0, "T")]
+    assert "Join" not in plan_of(got)
+
+
+def test_shared_bases_without_pairs_of_members(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, k // 4, "".join(rng.choice(list("ACGTN"), 6)), "".join(rng.choice(list("ACGT"), 6))) for k in range(17)]
+    df = spark.createDataFrame(rows, "key long, grp long, a string, b string")
+    got = sites.with_others(sites.differing(df, "key", "a", "b", "grp"), sites.shown(df, "b", "key", "grp"), "key", "grp")
+    want = sorted((k, i, b[i], any(g == h and k != l and i < len(c) and c[i] == b[i] for l, h, _, c in rows)) for k, g, a, b in rows for i in range(6) if a[i] != b[i])
+    assert sorted((r["key"], r["i"], r["p"], r["shared"]) for r in got.collect()) == want
+
+
 def test_shuffle_null_joins_nothing(spark):
     rows = [(1, "A", "C", "C"), (1, "A", "G", "C"), (1, "A", "C", "T"), (1, "T", "A", "A"), (2, "A", "C", "G")]
     got = paired.shuffle_null(spark.createDataFrame(rows, "key int, h string, p string, y string"), ["key"], ["h"], "p", "y")
