@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.operators import sites as S
+from strandline.operators.lineage import dealt
 from strandline.plans import derived as D
 from strandline.plans.paired_queries import _M, _deltas
 
@@ -35,16 +36,16 @@ def _grouped(spark, sf_dir):
 @query(_V + " SELECT grp, i, CASE WHEN count(*) = 1 THEN min(base) ELSE '-' END AS base FROM v JOIN (SELECT grp, i, max(n) AS n FROM v GROUP BY 1, 2) USING (grp, i, n) GROUP BY 1, 2")
 def consensus(spark, sf_dir):
     """The unique mode of a group's votes, '-' on ties."""
-    return S.consensus(S.votes(_grouped(spark, sf_dir), "grp", "b"), "grp")
+    return S.consensus(S.votes(dealt(_grouped(spark, sf_dir).select("grp", "b"), "grp"), "grp", "b"), "grp")
 
 
 @query(_V + ", o AS (SELECT DISTINCT x.key, y.key AS voter, y.b FROM g x JOIN g y ON x.grp = y.grp AND x.key <> y.key) SELECT key, i, h, p FROM s WHERE key IN (SELECT key FROM o) AND NOT EXISTS (SELECT 1 FROM o WHERE o.key = s.key AND substr(o.b, s.i + 1, 1) = s.p)")
 def private_sites(spark, sf_dir):
     """Sites whose base no other key of the group shows."""
-    g = _grouped(spark, sf_dir)
-    x, y = g.select("key", "grp").alias("x"), g.select("key", "grp", "b").alias("y")
-    voters = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.key") != F.col("y.key"))).select(F.col("x.key").alias("key"), F.col("y.b").alias("b"))
-    return S.private(S.differing(g, "key", "a", "b"), S.votes(voters, "key", "b"), "key").select("key", "i", "h", "p")
+    g = dealt(_grouped(spark, sf_dir).select("key", "grp", "a", "b"), "grp")
+    voted = g.groupBy("grp").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("grp")
+    sites = S.differing(g.join(voted.hint("merge"), "grp", "left_semi"), "key", "a", "b", "grp")
+    return S.with_others(sites, S.shown(g, "b", "key", "grp"), "key", "grp").where("NOT shared").select("key", "i", "h", "p")
 
 
 @query(_V + " SELECT key, i, h, p FROM s")

@@ -36,6 +36,10 @@ def test_shared_bases_without_pairs_of_members(spark):
     assert sorted((r["key"], r["i"], r["p"], r["shared"]) for r in got.collect()) == want
 
 
+def test_private_sites_pair_no_members(spark):
+    assert "(key#" not in "".join(x for x in plan_of(registry.QUERIES["private_sites"](spark, DIR)).splitlines() if "Join Inner" in x)
+
+
 def test_shuffle_null_joins_nothing(spark):
     rows = [(1, "A", "C", "C"), (1, "A", "G", "C"), (1, "A", "C", "T"), (1, "T", "A", "A"), (2, "A", "C", "G")]
     got = paired.shuffle_null(spark.createDataFrame(rows, "key int, h string, p string, y string"), ["key"], ["h"], "p", "y")
