@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators import align_long
@@ -302,10 +302,22 @@ def resolved(code: dict[str, str]) -> dict[str, str]:
 def site_hits(calls: DataFrame, wanted: DataFrame, key: str, into: str) -> DataFrame:
     """(key, n_<into>, pct_<into>): of the wanted sites (key, i, base) inside the target how
     many the calls hit; the share is null without any."""
-    each = calls.select(key, F.posexplode("calls").alias("i", "call"))
-    hit = F.col("call") == F.expr("instr('ACGT', base) - 1")
-    n = each.join(wanted.select(key, "i", "base"), [key, "i"]).groupBy(key).agg(F.count("*").alias(f"n_{into}"), (100 * F.avg(hit.cast("double"))).alias(f"pct_{into}"))
-    return calls.select(key).join(n, key, "left").select(key, F.coalesce(f"n_{into}", F.lit(0)).alias(f"n_{into}"), f"pct_{into}")
+    return site_set_hits(calls, wanted, key, {into: F.lit(True)})
+
+
+def site_set_hits(calls: DataFrame, wanted: DataFrame, key: str, sets: dict[str, Column]) -> DataFrame:
+    """(key, n_<set>, pct_<set>, ...): site_hits of several sets, each a condition on a
+    wanted site's columns. Calls are looked up by place and read once, so alignments are not
+    made again for each set; both sides are sorted, since rows that come out of arrays or
+    Python are many more than their plan's estimate, which would have them broadcast."""
+    x = calls.select(key, "calls").join(wanted.hint("merge"), key, "left")
+    inside = F.coalesce((F.col("i") >= 0) & (F.col("i") < F.size("calls")), F.lit(False))
+    hit = F.expr("get(calls, i) = instr('ACGT', base) - 1").cast("double")
+    numbers = []
+    for name, where in sets.items():
+        of = inside & where
+        numbers += [F.count_if(of).alias(f"n_{name}"), (100 * F.avg(F.when(of, hit))).alias(f"pct_{name}")]
+    return x.groupBy(key).agg(*numbers)
 
 
 # -- codon-aware alignment ----------------------------------------------------------------

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.operators import align as A, sites as S
+from strandline.operators.lineage import dealt
 from strandline.plans import derived as D
 from strandline.plans.sequence_queries import _amino, _protein
 
@@ -122,16 +123,12 @@ _VOTE = ", g AS (SELECT key, key // 10 AS grp FROM c), o AS (SELECT DISTINCT x.k
 def two_site_sets(spark, sf_dir):
     """Recovery of two sets of sites from one alignment: all differing places, and those
     whose target base no other key of the group shows."""
-    p = D.close_pairs(spark, sf_dir)
-    made = p.withColumn("m", F.expr("array_join(transform(sequence(0, length(a) - 1), i -> substr(CASE WHEN i % 2 = 0 THEN a ELSE b END, i + 1, 1)), '')"))
-    diagnostic = S.differing(p, "key", "b", "a").where("p IN ('A', 'C', 'G', 'T')")  # the target's base is p
-    g = p.withColumn("grp", F.expr("key DIV 10"))
-    x, y = g.select("key", "grp").alias("x"), g.select("key", "grp", "b").alias("y")
-    votes = S.votes(x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.key") != F.col("y.key"))).select(F.col("x.key").alias("key"), F.col("y.b").alias("b")), "key", "b")
-    private = diagnostic.join(votes.select("key", "i", F.col("base").alias("p")), ["key", "i", "p"], "left_anti")
+    p = dealt(D.close_pairs(spark, sf_dir).select("key", "a", "b", F.expr("key DIV 10").alias("grp")), "grp")
+    made = p.withColumn("m", F.expr("array_join(transform(zip_with(split(a, ''), split(b, ''), (x, y) -> struct(x, y)), (s, i) -> CASE WHEN i % 2 = 0 THEN s.x ELSE s.y END), '')"))
+    diagnostic = S.differing(p, "key", "b", "a", "grp").where("p IN ('A', 'C', 'G', 'T')")  # the target's base is p
+    alone = S.with_others(diagnostic, S.shown(p, "b", "key", "grp"), "key", "grp")
     calls = A.called_bases(made, "key", "a", "m")
-    named = lambda d: d.select("key", "i", F.col("p").alias("base"))
-    out = A.site_hits(calls, named(diagnostic), "key", "diagnostic").join(A.site_hits(calls, named(private), "key", "private"), "key")
+    out = A.site_set_hits(calls, alone.withColumnRenamed("p", "base"), "key", {"diagnostic": F.lit(True), "private": ~F.col("shared")})
     return out.select("key", "n_diagnostic", F.round("pct_diagnostic", 6).alias("pct_diagnostic"), "n_private", F.round("pct_private", 6).alias("pct_private"))
 
 

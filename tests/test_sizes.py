@@ -40,6 +40,17 @@ def test_private_sites_pair_no_members(spark):
     assert "(key#" not in "".join(x for x in plan_of(registry.QUERIES["private_sites"](spark, DIR)).splitlines() if "Join Inner" in x)
 
 
+def test_two_site_sets_make_one_alignment(spark):
+    assert plan_of(registry.QUERIES["two_site_sets"](spark, DIR)).count("MapInPandas") == 1
+
+
+def test_hits_of_several_sets(spark):
+    calls = spark.createDataFrame([(1, [0, 1, -1]), (2, [3]), (3, None)], "key int, calls array<int>")
+    wanted = spark.createDataFrame([(1, 0, "A", True), (1, 1, "G", False), (1, 2, "T", True), (1, 9, "A", True), (3, 0, "A", True)], "key int, i int, base string, f boolean")
+    got = align.site_set_hits(calls, wanted, "key", {"all": F.lit(True), "f": F.col("f")})
+    assert sorted(map(tuple, got.collect())) == [(1, 3, pytest.approx(100 / 3), 2, 50.0), (2, 0, None, 0, None), (3, 0, None, 0, None)]
+
+
 def test_shuffle_null_joins_nothing(spark):
     rows = [(1, "A", "C", "C"), (1, "A", "G", "C"), (1, "A", "C", "T"), (1, "T", "A", "A"), (2, "A", "C", "G")]
     got = paired.shuffle_null(spark.createDataFrame(rows, "key int, h string, p string, y string"), ["key"], ["h"], "p", "y")
