@@ -123,9 +123,9 @@ def gapped_site_sets(spark, sf_dir):
     """Recovery of two sets of sites read off one alignment with gaps; sites that the
     made sequence lacks are missed, not left out."""
     p = D.gapped_pairs(spark, sf_dir)
-    differing = A.sites(p, "key", "a", "b").select("key", F.explode("sites").alias("i")).join(p.select("key", "a"), "key").select("key", "i", F.expr("substr(a, i + 1, 1)").alias("base")).where("base IN ('A', 'C', 'G', 'T')")
+    differing = A.sites(p, "key", "a", "b").select("key", F.explode("sites").alias("i")).join(p.select("key", "a").hint("merge"), "key").select("key", "i", F.expr("substr(a, i + 1, 1)").alias("base")).where("base IN ('A', 'C', 'G', 'T')")
     lacking = p.where("c <> 7").select("key", F.explode(F.expr("transform(sequence(0, 3 * l1 - 1), j -> struct(3 * (lead + n1 + 2) + j AS i, substr('TGG', CAST(j % 3 + 1 AS INT), 1) AS base))")).alias("s")).select("key", F.col("s.i").cast("int").alias("i"), "s.base")
     calls = A.called_bases(p, "key", "a", "b")
     wanted = differing.withColumn("first", F.col("i") % 2 == 0).unionByName(lacking.withColumn("first", F.lit(True)))
-    out = A.site_hits(calls, wanted, "key", "all").join(A.site_hits(calls, wanted.where("first"), "key", "first"), "key")
+    out = A.site_set_hits(calls, wanted, "key", {"all": F.lit(True), "first": F.col("first")})
     return out.select("key", "n_all", F.round("pct_all", 6).alias("pct_all"), "n_first", F.round("pct_first", 6).alias("pct_first"))

@@ -44,6 +44,11 @@ def test_two_site_sets_make_one_alignment(spark):
     assert plan_of(registry.QUERIES["two_site_sets"](spark, DIR)).count("MapInPandas") == 1
 
 
+def test_gapped_site_sets_make_each_alignment_once(spark):
+    plan = plan_of(registry.QUERIES["gapped_site_sets"](spark, DIR))
+    assert plan.count("MapInPandas") == 2 and plan.count("strategy=merge") == 2
+
+
 def test_hits_of_several_sets(spark):
     calls = spark.createDataFrame([(1, [0, 1, -1]), (2, [3]), (3, None)], "key int, calls array<int>")
     wanted = spark.createDataFrame([(1, 0, "A", True), (1, 1, "G", False), (1, 2, "T", True), (1, 9, "A", True), (3, 0, "A", True)], "key int, i int, base string, f boolean")
