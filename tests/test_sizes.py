@@ -106,6 +106,30 @@ def test_tree_statistics_need_no_pairs(spark, monkeypatch):
     assert registry.QUERIES["tree_stats"](spark, DIR).first()["diameter"] > 0
 
 
+def test_kmer_distances_by_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(k, "fg"[k % 2], "".join(rng.choice(list("ACGT"), 12 + k))) for k in range(9)]
+    freq = kmers.frequencies(spark.createDataFrame(rows, "key int, family string, s string"), "key", "s", 3, group="family")
+    got = {(r["a"], r["b"]): r["distance"] for r in kmers.distances(freq, "key", "family").collect()}
+    count = lambda s: pd.Series([s[i : i + 3] for i in range(len(s) - 2)]).value_counts(normalize=True)
+    for (a, f, s), (b, g, t) in itertools.combinations(rows, 2):
+        x, y = count(s).align(count(t), fill_value=0.0)
+        assert (f == g) == ((a, b) in got)
+        if f == g:
+            assert got[a, b] == pytest.approx(1 - x @ y / np.sqrt((x @ x) * (y @ y)), abs=1e-12)
+    assert "Join Inner, (((" not in plan_of(kmers.distances(freq, "key", "family")) and "FlatMapGroupsInPandas" in plan_of(kmers.distances(freq, "key", "family"))
+
+
+def test_sparse_tiles_in_slabs(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "SLAB", 2)
+    x = np.array([[1.0, 0, 2, 0, 3], [0, 4, 0, 0, 1], [2, 2, 2, 2, 2]])
+    df = spark.createDataFrame([(k, 0, [*map(float, np.flatnonzero(v)), *v[v > 0].tolist()]) for k, v in enumerate(x)], "k int, g int, u array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    for block in (1, 512):
+        got = tiles.sparse_pair_cosines(df, "g", "k", "u", block).collect()
+        assert {(r["a"], r["b"]): pytest.approx(r["c"]) for r in got} == {(a, b): float(u[a] @ u[b]) for a, b in itertools.combinations(range(3), 2)}
+
+
 def test_sign_flips_in_bounded_memory(monkeypatch):
     v = np.random.default_rng(1).normal(0.1, 1, 40_001)
     tracemalloc.start()
