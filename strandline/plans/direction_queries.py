@@ -153,7 +153,8 @@ def matrix_gather(spark, sf_dir):
     k = D.embedded(spark, sf_dir).select("key", "family", (F.col("key") % 25).cast("int").alias("species"))
     x, y = k.alias("x"), k.alias("y")
     pairs = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.key") < F.col("y.key"))).select(F.col("x.family").alias("family"), F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.least("x.species", "y.species").alias("ma"), F.greatest("x.species", "y.species").alias("mb"))
-    return pairs.join(m, ["ma", "mb"], "left").select("family", "a", "b", F.round(F.coalesce("d", F.lit(0.0)), 6).alias("d"))
+    # the matrix is a row for each pair of labels; the pairs are the data and are not moved
+    return pairs.join(F.broadcast(m), ["ma", "mb"], "left").select("family", "a", "b", F.round(F.coalesce("d", F.lit(0.0)), 6).alias("d"))
 
 
 _K2 = f"""WITH c AS (SELECT p_brand AS family, p_size AS k, count(*) AS n FROM part GROUP BY 1, 2), t AS (SELECT family, sum(n) AS t FROM c GROUP BY 1), f AS (SELECT family, k, n / CAST(t AS DOUBLE) AS f FROM c JOIN t USING (family)),

@@ -139,3 +139,7 @@ def test_sign_flips_in_bounded_memory(monkeypatch):
     flips = np.random.default_rng(2).integers(0, 2, (300, len(v))) * 2 - 1
     null = np.abs((flips * v).mean(axis=1))
     assert peak < 80e6 and some == (float(v.mean()), float(((null >= abs(v.mean()) - 1e-15).sum() + 1) / 301))
+
+
+def test_matrix_gather_moves_no_pairs(spark):
+    assert "strategy=broadcast" in plan_of(registry.QUERIES["matrix_gather"](spark, DIR))
