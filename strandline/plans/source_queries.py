@@ -278,7 +278,7 @@ def cache_contract(spark, sf_dir):
     return out
 
 
-@query("WITH b AS (SELECT event_type AS name, layer, user_id, CASE WHEN event_type = 'click' THEN avg(value) + layer ELSE avg(value) END AS x FROM events, (SELECT unnest([0, 1, 2]) AS layer) GROUP BY 1, 2, 3), m AS (SELECT name, layer, count(*) || ':' || CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(h, 13, 12) AS BIGINT)) AS VARCHAR) AS checksum FROM (SELECT *, md5(user_id || '|' || printf('%.6f', x)) AS h FROM b) GROUP BY 1, 2) SELECT name, min(checksum) AS checksum, count(*) AS n_layers, count(DISTINCT checksum) = 1 AS invariant FROM m GROUP BY 1")
+@query("WITH b AS (SELECT event_type AS name, layer, user_id, CASE WHEN event_type = 'click' THEN avg(value) + layer ELSE avg(value) END AS x FROM events, (SELECT unnest([0, 1, 2]) AS layer) GROUP BY 1, 2, 3), m AS (SELECT name, layer, count(*) || ':' || CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(h, 13, 12) AS BIGINT)) AS VARCHAR) || ':' || CAST(sum(CAST('0x' || substr(h, 25, 8) AS BIGINT)) AS VARCHAR) AS checksum FROM (SELECT *, md5(user_id || '|' || printf('%.6f', x)) AS h FROM b) GROUP BY 1, 2) SELECT name, min(checksum) AS checksum, count(*) AS n_layers, count(DISTINCT checksum) = 1 AS invariant FROM m GROUP BY 1")
 def invariant_baselines(spark, sf_dir):
     """Checksums of baselines, alike in every layer or not."""
     e = D.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name"), "user_id").agg(F.avg("value").alias("m"))

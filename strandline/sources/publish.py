@@ -183,10 +183,10 @@ def between_markers(text: str, begin: str, end: str, new: str) -> str:
 
 def invariant_copies(df: DataFrame, name: str, layer: str, keys: list[str], value: str) -> DataFrame:
     """(name, checksum, n_layers, invariant): a checksum of each baseline's rows, the same in
-    every layer if it may be copied over: number of rows and two sums over the halves of their
+    every layer if it may be copied over: number of rows and sums over the parts of their whole
     md5, which the order of rows cannot change and no task has to gather."""
     md5 = F.md5(F.concat_ws("|", *keys, F.format_string("%.6f", F.col(value))))
     # 48 bits a row: a long would overflow from some 65,000 rows on
     part = lambda at: F.sum(F.conv(F.substring(md5, at, 12), 16, 10).cast("decimal(20,0)")).cast("string")
-    each = df.groupBy(name, layer).agg(F.concat_ws(":", F.count("*").cast("string"), part(1), part(13)).alias("checksum"))
+    each = df.groupBy(name, layer).agg(F.concat_ws(":", F.count("*").cast("string"), part(1), part(13), part(25)).alias("checksum"))
     return each.groupBy(name).agg(F.min("checksum").alias("checksum"), F.count("*").alias("n_layers"), (F.count_distinct("checksum") == 1).alias("invariant"))

@@ -1,6 +1,7 @@
 """Results and plans that hold at any size: nothing grown out of arrays is broadcast, no group's
 members are paired, sums don't overflow, memory doesn't follow the number of draws."""
 
+import hashlib
 import itertools
 import tracemalloc
 
@@ -65,8 +66,9 @@ def test_shuffle_null_joins_nothing(spark):
 
 def test_checksums_of_many_rows(spark):
     df = spark.range(140_000).select(F.lit("x").alias("name"), F.lit(0).alias("layer"), "id", F.lit(1.0).alias("v"))
-    n, first, second = publish.invariant_copies(df, "name", "layer", ["id"], "v").first()["checksum"].split(":")
+    n, first, second, third = publish.invariant_copies(df, "name", "layer", ["id"], "v").first()["checksum"].split(":")
     assert int(n) == 140_000 and int(first) > 2**63 and int(second) > 2**63
+    assert int(third) == sum(int(hashlib.md5(f"{i}|1.000000".encode()).hexdigest()[24:], 16) for i in range(140_000))
 
 
 def test_participation_ratio_with_a_part_without_rows(spark):
