@@ -7,6 +7,8 @@ keeps a byte that says where its three states came from. Of equal alignments the
 prefers a substitution, then a gap in b, from the end is taken; other tools may choose
 another of the same score.
 
+Codons choose by their bases first (codon_alignments).
+
 Long pairs go through align_long.py, a few rows at a time, with the same choice.
 
 Defined cases: a pair with a null has a null result; an empty sequence aligns to gaps.
@@ -55,10 +57,14 @@ def read_matrix(path: str) -> dict[tuple[str, str], float]:
     return {(r[0], c): float(v) for r in rows[1:] for c, v in zip(rows[0], r[1:])}
 
 
-def _stack(seqs: list[str], width: int, pad: int) -> np.ndarray:
+def _numbers(seq: str) -> np.ndarray:
+    return np.frombuffer(seq.encode("ascii", "replace"), np.uint8) % _LETTERS
+
+
+def _stack(seqs: list, width: int, pad: int) -> np.ndarray:
     out = np.full((len(seqs), width), pad, np.intp)
     for i, s in enumerate(seqs):
-        out[i, : len(s)] = np.frombuffer(s.encode("ascii", "replace"), np.uint8) % _LETTERS
+        out[i, : len(s)] = _numbers(s) if isinstance(s, str) else s
     return out
 
 
@@ -106,14 +112,16 @@ def _tables(a: np.ndarray, b: np.ndarray, ends: np.ndarray, score: np.ndarray, o
     return came, last
 
 
-def align_many(pairs: list[tuple[str, str]], score: np.ndarray, opening: float, extending: float) -> list[tuple[str, str, float]]:
+def align_many(pairs: list[tuple[str, str]], score: np.ndarray, opening: float, extending: float, numbers: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[tuple[str, str, float]]:
     """(a with gaps, b with gaps, score) of each pair. A gap of n costs
-    opening + (n - 1) extending."""
+    opening + (n - 1) extending. numbers: rows of score for each pair's letters, where those
+    are not the letters' own."""
     out: list[tuple[str, str, float] | None] = [None] * len(pairs)
+    numbers = numbers or [(_numbers(x), _numbers(y)) for x, y in pairs]
     long = {i for i, (x, y) in enumerate(pairs) if x and y and (len(x) + 1) * (len(y) + 1) > LONG}
     for i in long:
         x, y = pairs[i]
-        moves, total = align_long.align(_stack([x], len(x), 0)[0], _stack([y], len(y), 0)[0], score, opening, extending)
+        moves, total = align_long.align(*(z.astype(np.intp) for z in numbers[i]), score, opening, extending)
         out[i] = (*_gapped(x, y, moves), total)
     order = sorted(set(range(len(pairs))) - long, key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
     at = 0
@@ -128,7 +136,7 @@ def align_many(pairs: list[tuple[str, str]], score: np.ndarray, opening: float,
         some = order[at:end]
         padded = np.pad(score, ((0, 2), (0, 2)), constant_values=-1e6)
         ends = np.array([[len(x) for x in pairs[i]] for i in some])
-        came, last = _tables(_stack([pairs[i][0] for i in some], n, _LETTERS), _stack([pairs[i][1] for i in some], m, _LETTERS + 1), ends, padded, opening, extending)
+        came, last = _tables(_stack([numbers[i][0] for i in some], n, len(score)), _stack([numbers[i][1] for i in some], m, len(score) + 1), ends, padded, opening, extending)
         for k, i in enumerate(some):
             out[i] = _trace(*pairs[i], came[:, k], last[k])
         at = end
@@ -332,6 +340,30 @@ def blocks_of(x: str, y: str) -> list[tuple[int, int, int, int]]:
     return [(int(in_x[s]), int(in_x[e]), int(in_y[s]), int(in_y[e])) for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
 
 
+#: What an equal base adds to the score of two codons: all of a pair's together stay below
+#: half a point up to 170,000 codons, so only alignments of equal score are told apart by it.
+EQUAL_BASE = 2.0**-20
+
+
+def codon_alignments(rows: list[tuple[str, str, str, str]], score: np.ndarray) -> list[tuple[str, str, float]]:
+    """align_many of the proteins (pa, pb) of coding sequences (a, b), rows being (a, b, pa,
+    pb); of alignments with equal scores the one whose codons share most bases."""
+    letter = np.zeros(128, np.int64)  # bases as 1 to 4
+    letter[[ord(x) for x in "ACGT"]] = range(1, 5)
+    found = []
+    for a, b, pa, pb in rows:
+        for s, p in ((a, pa), (b, pb)):
+            bases = letter[_numbers(s[: 3 * len(p)])]
+            codons = np.pad(bases, (0, 3 * len(p) - len(bases))).reshape(-1, 3) @ [25, 5, 1]
+            found.append(125 * _numbers(p).astype(np.int64) + codons)
+    kinds, number = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_inverse=True)
+    bases = np.stack([kinds // 25 % 5, kinds // 5 % 5, kinds % 5], axis=1)
+    equal = ((bases[:, None] == bases[None]) & (bases[:, None] > 0)).sum(axis=2)
+    fine = score[np.ix_(kinds // 125, kinds // 125)] + EQUAL_BASE * equal
+    sides = np.split(number, np.cumsum([len(x) for x in found])[:-1]) if found else []
+    return align_many([(p, q) for *_, p, q in rows], fine, 10.0, 0.5, list(zip(sides[::2], sides[1::2])))
+
+
 def codon_blocks(df: DataFrame, key: str, a: str, b: str, matrix: dict[tuple[str, str], float] | None = None) -> DataFrame:
     """(key, a, b, pa, pb, blocks): the two coding sequences, their proteins (one stop at
     the end left out) and the aligned codon blocks (hs, he, ts, te)."""
@@ -341,9 +373,9 @@ def codon_blocks(df: DataFrame, key: str, a: str, b: str, matrix: dict[tuple[str
     proteins = df.select(key, F.col(a).alias("a"), F.col(b).alias("b"), F.expr(S.translate_trimmed(a)).alias("pa"), F.expr(S.translate_trimmed(b)).alias("pb"))
 
     def many(rows):
-        return [([dict(zip(("hs", "he", "ts", "te"), x)) for x in blocks_of(p, q)],) for p, q, _ in align_many(rows, score, 10.0, 0.5)]
+        return [([dict(zip(("hs", "he", "ts", "te"), x)) for x in blocks_of(p, q)],) for p, q, _ in codon_alignments(rows, score)]
 
-    found = _in_batches(proteins, [key, "a", "b", "pa", "pb"], ["pa", "pb"], many, "blocks array<struct<hs:int,he:int,ts:int,te:int>>")
+    found = _in_batches(proteins, [key, "a", "b", "pa", "pb"], ["a", "b", "pa", "pb"], many, "blocks array<struct<hs:int,he:int,ts:int,te:int>>")
     return found.select(key, "a", "b", "pa", "pb", "blocks")
 
 
