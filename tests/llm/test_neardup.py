@@ -154,3 +154,17 @@ def test_tasks_are_regathered_whole():
             got = list(S.whole_tasks(iter([*parts, rows.iloc[:0]]), ["task"], block))
             assert [x for g in got for x in g["x"]] == list(range(500))
             assert sum(g["task"].nunique() for g in got) == rows["task"].nunique()
+
+
+def test_links_beyond_the_forests(make, sample, monkeypatch):
+    """Without spare forests, and with few leaves a task: links left out are checked as well."""
+    base = [(i, t) for i, t in sample if 60 < len(t.split()) < 600][:25]
+    rows = list(base)
+    for n, (i, t) in enumerate(base):
+        rows += [(10_000 + 100 * n + c, edited(t, max(1, len(t.split()) * (2 + c % 3) // 100), 5 * n + c)) for c in range(8)]
+    want = similar_classes(rows)
+    monkeypatch.setattr(G, "FORESTS", 0)
+    monkeypatch.setattr(G, "spanning", lambda n, i, j, d: np.zeros(0, np.int64))
+    for most in (4096, 6):
+        got = {r["doc_id"]: r["component_id"] for r in G.groups(make(rows), most=most).collect()}
+        assert sum(got[i] != c for (i, _), c in zip(rows, want)) <= 0.005 * len(rows), most
