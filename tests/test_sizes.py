@@ -145,3 +145,17 @@ def test_sign_flips_in_bounded_memory(monkeypatch):
 
 def test_matrix_gather_moves_no_pairs(spark):
     assert "strategy=broadcast" in plan_of(registry.QUERIES["matrix_gather"](spark, DIR))
+
+
+def test_pairs_of_large_groups_by_few_blocks_in_strips(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "BLOCKS", 2)
+    monkeypatch.setattr(tiles, "WIDE_BLOCK", 8)
+    monkeypatch.setattr(tiles, "PAIR_STRIP", 3)
+    x = np.random.default_rng(4).normal(size=(30, 4))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(k, k // 25, v.tolist()) for k, v in enumerate(u)], "k int, g int, u array<double>")
+    got = tiles.pair_cosines(df, "g", "k", "u", block=2).collect()
+    want = {(a, b): pytest.approx(float(u[a] @ u[b])) for a, b in itertools.combinations(range(30), 2) if a // 25 == b // 25}
+    assert len(got) == len(want) and {(r["a"], r["b"]): r["c"] for r in got} == want
+    sent = tiles._dealt(df, "g", "k", "u", tiles.pair_blocks(2))
+    assert sent.groupBy("g_").count().sort("g_").collect() == [(0, 25 * 4), (1, 5 * 2)]
