@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import align, kmers, paired, resample, sites, tiles, trees, vectors
+from strandline.operators import align, kmers, pair_ranks, paired, ranks, resample, sites, tiles, trees, vectors
 from strandline.plans import registry
 from strandline.sources import publish
 
@@ -159,3 +159,22 @@ def test_pairs_of_large_groups_by_few_blocks_in_strips(spark, monkeypatch):
     assert len(got) == len(want) and {(r["a"], r["b"]): r["c"] for r in got} == want
     sent = tiles._dealt(df, "g", "k", "u", tiles.pair_blocks(2))
     assert sent.groupBy("g_").count().sort("g_").collect() == [(0, 25 * 4), (1, 5 * 2)]
+
+
+@pytest.mark.parametrize("strip", [7, 10**6])
+def test_pair_ranks_need_no_rows_of_pairs(spark, strip):
+    rng = np.random.default_rng(11)
+    rows = [(g, k, float(rng.integers(0, 5)), float(rng.normal()) if k % 6 else float("nan")) for g, n in enumerate((1, 3, 14, 15)) for k in range(n)]
+    rows += [(4, k, 1.0, float(k)) for k in range(9)]  # one side constant
+    df = spark.createDataFrame(rows, "g int, k int, x double, y double")
+    fn = lambda a, b: tuple(np.abs(a[c][:, None] - b[c]) for c in "xy")
+    got = {r["g"]: (r["n"], r["rho"]) for r in pair_ranks.spearman(df, ["g"], "k", ["x", "y"], fn, strip=strip).collect()}
+    pairs = [(g, abs(x - z), abs(y - w)) for (g, k, x, y), (h, j, z, w) in itertools.combinations(rows, 2) if g == h]
+    want = {r["g"]: (r["n"], r["rho"]) for r in ranks.spearman(spark.createDataFrame(pairs, "g int, x double, y double"), ["g"], "x", "y").collect()}
+    assert set(got) == set(want) == {1, 2, 3, 4} and want[2][1] is not None and want[4][1] is None
+    assert all(got[g][0] == n and (got[g][1] is None) == (rho is None) and (rho is None or got[g][1] == pytest.approx(rho, abs=1e-12)) for g, (n, rho) in want.items())
+
+
+def test_spearman_of_families_puts_out_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "pair_distances", None)
+    assert registry.QUERIES["within_family_spearman"](spark, DIR).count() == 10
