@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import align, kmers, pair_ranks, paired, ranks, resample, sites, tiles, trees, vectors
+from strandline.operators import align, kmers, pair_ranks, paired, ranks, resample, sites, tiles, transport, trees, vectors
 from strandline.plans import registry
 from strandline.sources import publish
 
@@ -178,3 +178,24 @@ def test_pair_ranks_need_no_rows_of_pairs(spark, strip):
 def test_spearman_of_families_puts_out_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(vectors, "pair_distances", None)
     assert registry.QUERIES["within_family_spearman"](spark, DIR).count() == 10
+
+
+def test_average_linkage_without_a_matrix():
+    rng = np.random.default_rng(17)
+    for m in (1, 2, 30):
+        x = rng.normal(size=(m, 4))
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        groups = [[i] for i in range(m)]
+        while len(groups) > min(3, m):
+            a, b = min(itertools.combinations(range(len(groups)), 2), key=lambda p: 1 - (u[groups[p[0]]] @ u[groups[p[1]]].T).mean())
+            groups[a] += groups.pop(b)
+        label = transport.average_linkage(x, min(3, m))
+        assert sorted(sorted(np.flatnonzero(label == c).tolist()) for c in set(label)) == sorted(map(sorted, groups))
+        copies = transport.average_linkage(np.tile(x, (5, 1)), min(3, m))
+        assert (copies.reshape(5, m) == label).all()
+    x = rng.normal(size=(2000, 8))
+    tracemalloc.start()
+    transport.average_linkage(x, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6  # a matrix of the distances has 32 MB
