@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import align, kmers, pair_ranks, paired, ranks, resample, sites, tiles, transport, trees, vectors
+from strandline.operators import align, kmers, pair_ranks, paired, preservation, ranks, resample, sites, tiles, transport, trees, vectors
 from strandline.plans import registry
 from strandline.sources import publish
 
@@ -199,3 +199,18 @@ def test_average_linkage_without_a_matrix():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4e6  # a matrix of the distances has 32 MB
+
+
+def test_controls_put_out_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    names = ("natural", "light")
+    rows = [(c, f, p, k, int(k % 4), rng.normal(size=5).tolist()) for c in names for f in (0, 1) for p in (0, 1) for k in range(9) if (c, k) != ("natural", 8)]
+    tree = {(0, 1): 1.0, (0, 2): 2.5, (1, 2): 2.0}  # species 3 has no place in it
+    got = preservation.within_vectors(spark.createDataFrame(rows, "condition string, family int, grp int, key int, species int, v array<double>"), "natural", tree)
+    angle = lambda x, y: round(float(np.arccos(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)) / np.pi), 9)
+    pairs = [(x[0], x[1], x[2], x[3], y[3], x[4], y[4], angle(x[5], y[5])) for x, y in itertools.combinations(rows, 2) if x[:3] == y[:3]]
+    want = preservation.within(spark.createDataFrame(pairs, "condition string, family int, grp int, a int, b int, species_a int, species_b int, d double"), "natural", spark.createDataFrame([(a, b, d) for (a, b), d in tree.items()], "a int, b int, d double"))
+    both = [sorted(map(tuple, x.collect())) for x in (got, want)]
+    assert len(both[0]) == len(both[1]) == 4 and all(a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], abs=1e-9) for a, b in zip(*both))
+    monkeypatch.setattr(preservation, "within", None)
+    assert registry.QUERIES["controls_against_tree"](spark, DIR).count() == 30
