@@ -23,7 +23,6 @@ an empty table writes a rank table only.
 
 from __future__ import annotations
 
-import re
 import struct
 import sys
 import types
@@ -33,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +41,7 @@ from strandline.llm.wordpiece_counts import _byte_of_symbol
 
 END_ID = 2
 TOKENS_A_FILE = 4 << 20
-CACHED_WORDS = 250_000
+CACHED_WORDS = 500_000
 _HEAD = "<4sIQQQ"
 _MISSING = np.iinfo(np.int64).min
 
@@ -60,8 +60,9 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     codes[: len(size)] = size - 1
     quads = codes.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    used = np.arange(4, dtype=np.uint8) < size[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    widest = int(size.max(initial=1))
+    used = np.arange(widest, dtype=np.uint8) < size[:, None]
+    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[:, :widest][used].tobytes()
 
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
@@ -109,31 +110,61 @@ def read_rank_file(content: bytes) -> np.ndarray:
 # -- tokenizing -----------------------------------------------------------------------
 
 
-#: What the fast way takes: ASCII white space and printable characters up to U+024F, for
-#: which composing changes nothing and lower-casing goes by single characters.
-PLAIN = r"[\t-\r -~\xa1-\xac\xae-\u012f\u0131-\u024f]*+"
+def _plain() -> str:
+    """The pattern of texts that the fast way takes: ASCII white space and printable
+    characters up to U+024F, for which composing changes nothing and lower-casing goes by
+    single characters of the same range (some letters from U+0181 on leave it)."""
+    taken = [c for c in [*range(0x20, 0x7F), *range(0xA1, 0x250)] if c != 0xAD and len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 0x250]
+    ends = [c for c, d in zip(taken, [*taken[1:], 0]) if d != c + 1]
+    begins = [d for c, d in zip([0, *taken], taken) if d != c + 1]
+    return r"[\t-\r" + "".join(rf"\u{x:04x}-\u{y:04x}" for x, y in zip(begins, ends)) + "]*+"
 
 
+PLAIN = _plain()
+
 #: The pattern of pre-tokens that the tokenizer file has (a fixed value). Without an
 #: apostrophe in the text its first alternatives never match.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def _plain_pattern() -> str:
-    """PATTERN without contractions, for characters that PLAIN admits."""
-    of = lambda kind: "".join(chr(c) for c in range(0x21, 0x250) if unicodedata.category(chr(c))[0] == kind)
-    letters, numbers = re.escape(of("L")), re.escape(of("N"))
-    return rf"[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+"
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+
+
+def _kinds() -> np.ndarray:
+    """What PATTERN tells apart, of each character that PLAIN admits."""
+    of = {"L": _LETTER, "N": _NUMBER}
+    return np.array([_SPACE if c <= 0x20 else of.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x250)], np.uint8)
+
+
+def cut_plain(texts: list[bytes], kinds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(pre-tokens of the texts in order, how many each has), as PATTERN cuts texts of
+    characters that PLAIN admits, without an apostrophe."""
+    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    kind = kinds[raw]
+    first = np.flatnonzero(raw >= 0xC0)  # of two bytes
+    kind[first] = kind[first + 1] = kinds[(raw[first] & 31).astype(np.uint16) << 6 | raw[first + 1] & 63]
+    begins = np.empty(len(raw), bool)
+    begins[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    begins |= (kind == _NUMBER) & (raw & 0xC0 != 0x80)
+    begins &= kind != _SPACE
+    ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
+    starts = np.flatnonzero(begins)
+    used = kind != _SPACE
+    at = np.append(np.flatnonzero(begins[used]), np.count_nonzero(used))
+    cut = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(raw[used])])
+    return cut, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
 class WordCache:
     """Ids of texts by way of their pre-tokens, each encoded once.
 
-    A plain text is lower-cased and cut by the file's own pattern here, and new pre-tokens
-    go to the file's BPE model many at a time, as words of one line: the model ends each
-    with a piece that carries the word-end mark, where the line of ids is cut again. Of a
-    text with anything unusual each whitespace-separated word goes through the whole
-    tokenizer (pre-tokens never span ASCII white space, which the tokenizer drops)."""
+    Plain texts are lower-cased and cut as the file's own pattern does, many at a time;
+    Arrow finds the distinct pre-tokens and those known already. New ones go to the file's
+    BPE model many at a time, as words of one line: the model ends each with a piece that
+    carries the word-end mark, where the ids are cut again. Of a text with anything unusual
+    each whitespace-separated word goes through the whole tokenizer (pre-tokens never span
+    ASCII white space, which the tokenizer drops)."""
 
     def __init__(self, tokenizer_file: str, kind: str = "<u4", limit: int = CACHED_WORDS):
         import json
@@ -142,7 +173,8 @@ class WordCache:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.limit, self.ids, self.parts = limit, {}, {}
+        self.limit, self.odd = limit, {}
+        self.parts, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         self.kind, self.size = kind, np.dtype(kind).itemsize
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
@@ -157,55 +189,84 @@ class WordCache:
             self.last[[i for w, i in spec["model"]["vocab"].items() if w.endswith(mark)]] = True
             pattern = steps[0]["pattern"]["Regex"]
             self.find = regex.compile(pattern).findall
-            self.quick = re.compile(_plain_pattern()).findall if pattern == PATTERN else None
+            self.kinds = _kinds() if pattern == PATTERN else None
             self.plain = regex.compile(PLAIN).fullmatch
-            self.shown = str.maketrans({chr(b): c for c, b in _byte_of_symbol().items()})
+            self.shown = str.maketrans({chr(b): c for c, b in _byte_of_symbol().items() if b != 0x20})
 
-    def _learn_parts(self, parts: list[str]) -> None:
+    def _learn(self, parts: list[str]) -> pa.Array:
+        """The ids of new pre-tokens."""
+        found, cuts = [], [np.zeros(1, np.int64)]
+        n = 0
         for at in range(0, len(parts), 200):
             some = parts[at : at + 200]
-            line = " ".join([p if p.isascii() else p.encode().decode("latin-1").translate(self.shown) for p in some])
+            line = " ".join(some)
+            if not line.isascii():
+                line = line.encode().decode("latin-1").translate(self.shown)
             ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
-            cuts = [0, *(np.flatnonzero(self.last[ids]) + 1).tolist()]
-            if len(cuts) != len(some) + 1:
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
                 raise ValueError("the model did not end each word with its mark")
-            raw = ids.astype(self.kind).tobytes()
-            cuts = [self.size * c for c in cuts]
-            for p, a, b in zip(some, cuts, cuts[1:]):
-                self.parts[p] = raw[a:b]
-
-    def _learn(self, words: set[bytes]) -> None:
-        some = list(words)
-        for at in range(0, len(some), 10_000):
-            part = some[at : at + 10_000]
+            found.append(ids.astype(self.kind))
+            cuts.append(n + ends)
+            n += len(ids)
+        raw = np.concatenate([np.zeros(0, self.kind), *found])
+        return pa.Array.from_buffers(pa.large_binary(), len(parts), [None, pa.py_buffer(self.size * np.concatenate(cuts)), pa.py_buffer(raw)])
+
+    def _parts(self, parts: pa.Array) -> pa.Array:
+        """The ids of distinct pre-tokens."""
+        place = pc.index_in(parts, self.parts)
+        unknown = place.is_null()
+        new = parts.filter(unknown)
+        ids = pa.concat_arrays([self.ids, self._learn(new.to_pylist())])
+        place = np.array(place.fill_null(0), np.int64)
+        place[np.asarray(unknown)] = len(self.parts) + np.arange(len(new))
+        out = ids.take(pa.array(place))
+        if len(ids) > self.limit:
+            self.parts, self.ids = parts, out  # those of the texts at hand stay
+        else:
+            self.parts, self.ids = pa.concat_arrays([self.parts, new]), ids
+        return out
+
+    def _odd_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words by the whole tokenizer."""
+        if len(self.odd) > self.limit:
+            self.odd = {}
+        new = list(set(words).difference(self.odd))
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.ids[w] = np.array(e.ids, self.kind).tobytes()
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of each text as bytes of the kind."""
-        if len(self.ids) > self.limit:
-            self.ids = {}
-        if len(self.parts) > self.limit:
-            self.parts = {}
-        cut: list[list] = []
-        plain: list[bool] = []
-        new_parts: set[str] = set()
-        new_words: set[bytes] = set()
-        for t in texts:
+                self.odd[w] = np.array(e.ids, self.kind).tobytes()
+        return list(map(self.odd.__getitem__, words))
+
+    def encode(self, texts: list[bytes | None], end: bytes = b"") -> pa.Array:
+        """The ids of each text, and end, as bytes of the kind."""
+        plain, quoted, odd = {}, {}, {}
+        for k, t in enumerate(texts):
             s = (t or b"").decode("utf-8", "replace")
-            plain.append(self.fast and "<|" not in s and self.plain(s) is not None)
-            if plain[-1]:
-                quick = self.quick and "'" not in s
-                cut.append((self.quick if quick else self.find)(s.lower()))
-                new_parts.update(cut[-1])
+            if not self.fast or "<|" in s or self.plain(s) is None:
+                odd[k] = ascii_words(t or b"")
+            elif self.kinds is None or "'" in s:
+                quoted[k] = self.find(s.lower())
             else:
-                cut.append(ascii_words(t or b""))
-                new_words.update(cut[-1])
-        new_parts.difference_update(self.parts)
-        new_words.difference_update(self.ids)
-        self._learn_parts(list(new_parts))
-        self._learn(new_words)
-        return [b"".join(map((self.parts if p else self.ids).__getitem__, ws)) for p, ws in zip(plain, cut)]
+                plain[k] = s.lower().encode()
+        cut, counts = cut_plain(list(plain.values()), self.kinds) if plain else (self.parts[:0], np.zeros(0, np.int64))
+        if quoted:
+            cut = pa.concat_arrays([cut, pa.array([p for ps in quoted.values() for p in ps], pa.large_string())])
+        distinct = cut.dictionary_encode()
+        ids = self._parts(distinct.dictionary)
+        found, last = self._odd_words([w for ws in odd.values() for w in ws]), 0
+        whole = []
+        for ws in odd.values():
+            whole.append(b"".join(found[last : last + len(ws)]))
+            last += len(ws)
+        # the texts kind by kind: each one's pre-tokens, or the whole text, and the end
+        counts = np.concatenate([counts, [len(ps) for ps in quoted.values()], [1] * len(odd)]).astype(np.int64)
+        place = np.concatenate([np.asarray(distinct.indices, np.int64), len(ids) + np.arange(len(odd))])
+        place = np.insert(place, np.cumsum(counts), len(ids) + len(odd))
+        _, at, data = pa.concat_arrays([ids, pa.array([*whole, end], pa.large_binary())]).take(pa.array(place)).buffers()
+        at = np.frombuffer(at, np.int64)[np.append(0, np.cumsum(counts + 1))]
+        out = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(at), data]).cast(pa.binary())
+        return out if len(plain) == len(texts) else out.take(pa.array(np.argsort([*plain, *quoted, *odd])))
 
 
 def _process_cache(tokenizer_file: str, kind: str) -> WordCache:
@@ -217,7 +278,7 @@ def _process_cache(tokenizer_file: str, kind: str) -> WordCache:
     return held[tokenizer_file, kind]
 
 
-def _chunks(texts: list[bytes | None], size: int = 4 << 20) -> Iterator[list[bytes | None]]:
+def _chunks(texts: list[bytes | None], size: int = 8 << 20) -> Iterator[list[bytes | None]]:
     held, n = [], 0
     for t in texts:
         held.append(t)
@@ -230,12 +291,13 @@ def _chunks(texts: list[bytes | None], size: int = 4 << 20) -> Iterator[list[byt
 
 
 def token_rows(docs: DataFrame, tokenizer_file: str, *, id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids): ids as bytes, u16 where the vocabulary allows, with the end id."""
+    """(doc_id, ids, counts): ids as bytes, u16 where the vocabulary allows, with the end
+    id. A task adds a row with counts alone, how often it gave each id, as i64 bytes."""
     from tokenizers import Tokenizer
 
     size = Tokenizer.from_file(tokenizer_file).get_vocab_size(with_added_tokens=True)
     kind = "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -243,35 +305,43 @@ def token_rows(docs: DataFrame, tokenizer_file: str, *, id: str = "doc_id", text
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         cache = _process_cache(tokenizer_file, kind)
         end = np.array([end_id], kind).tobytes()
+        total = np.zeros(max(size, end_id + 1), "<i8")
         for batch in it:
-            ids, at = batch.column(0), 0
+            docs_, at = batch.column(0), 0
             for texts in _chunks(as_bytes(batch.column(1))):
-                out = [x + end for x in cache.encode(texts)]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.array(out, pa.binary())], schema=schema)
+                ids = cache.encode(texts, end)
+                total += np.bincount(_joined(ids, kind), minlength=len(total))
+                yield pa.RecordBatch.from_arrays([docs_.slice(at, len(texts)), ids, pa.nulls(len(texts), pa.binary())], schema=schema)
                 at += len(texts)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([total.tobytes()], pa.binary())], schema=schema)
 
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary, counts binary")
     rows._strandline_kind = kind
     return rows
 
 
-def counts_by_id(rows: DataFrame, kind: str) -> DataFrame:
+def _joined(ids: pa.Array, kind: str) -> np.ndarray:
+    """The ids of all rows, one after another."""
+    _, at, data = ids.buffers()
+    at = np.frombuffer(at, np.int32)[ids.offset :]
+    return np.frombuffer(data, np.uint8)[at[0] : at[len(ids)]].view(kind)
+
+
+def counts_by_id(rows: DataFrame) -> DataFrame:
     """(id, n): how often each id occurs; a row for each id and task is shuffled."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total = 0
         for batch in it:
-            if not batch.num_rows:
-                continue
-            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
-            if len(n) > len(total):
-                n, total = total, n.astype(np.int64)
-            total[: len(n)] += n
+            for raw in batch.column(0).to_pylist():
+                total = total + np.frombuffer(raw, "<i8")
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(total[seen])], schema=schema)
+        if len(seen):
+            yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(total[seen])], schema=schema)
 
-    return rows.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return rows.where("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # -- writing and reading --------------------------------------------------------------
@@ -283,7 +353,7 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, *, id: str = "doc_i
     fresh_rows = token_rows(docs, tokenizer_file, id=id, text=text, end_id=end_id)
     kind = fresh_rows._strandline_kind
     rows = stored(fresh_rows)
-    counts = counts_by_id(rows, kind).orderBy(F.desc("n"), "id").collect()  # a row for each id of the vocabulary at most
+    counts = counts_by_id(rows).orderBy(F.desc("n"), "id").collect()  # a row for each id of the vocabulary at most
     id_of_rank = np.array([r["id"] for r in counts], np.uint32)
     rank_of_id = np.zeros(int(id_of_rank.max()) + 1 if len(id_of_rank) else 1, np.uint32)
     rank_of_id[id_of_rank] = np.arange(len(id_of_rank), dtype=np.uint32)
@@ -316,7 +386,7 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, *, id: str = "doc_i
             yield flush()
 
     n_parts = max(1, -(-total // tokens_a_file))
-    dealt = rows.withColumn("tie", F.xxhash64("ids")).repartitionByRange(n_parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    dealt = rows.where("counts IS NULL").select("doc_id", "ids").withColumn("tie", F.xxhash64("ids")).repartitionByRange(n_parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     files = dealt.select("doc_id", "ids").mapInArrow(run, "file binary")
     files.select(F.col("file").cast("string")).write.option("maxRecordsPerFile", 1).text(f"{folder}/tokens")
 

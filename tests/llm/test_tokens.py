@@ -46,6 +46,28 @@ def test_odd_files(make, odd):
     assert T.round_trip(make([]), WORDS).collect() == []
 
 
+def test_plain_texts_are_cut_by_the_pattern():
+    import regex
+
+    find, rng = regex.compile(T.PATTERN).findall, random.Random(6)
+    some = " \t\n\v\r" * 3 + "aZ09.,-_«²½ªµ×÷éÿßſŁĳșƒ"
+    texts = ["".join(rng.choices(some, k=rng.randint(0, 60))).lower() for _ in range(300)]
+    cut, counts = T.cut_plain([t.encode() for t in texts], T._kinds())
+    assert [find(t) for t in texts] == [cut.slice(e - n, n).to_pylist() for e, n in zip(np.cumsum(counts), counts)]
+    assert T.cut_plain([], T._kinds())[0].to_pylist() == []
+
+
+def test_cached_ids_are_the_library_s():
+    """Capitals whose small letters lie far away were cut as if they were signs."""
+    tk, rng, cache = Tokenizer.from_file(WORDS), random.Random(7), T.WordCache(WORDS, "<u2", limit=40)
+    some = ["aȺb", "xƁy", "Ⱦ", "don't", "'S", "naïve", "x²y", "ab,cd", "...", "<|", "日本", "İ", "ﬁ", "Zoë", "12", "\n", "\u00a0", "", "word"]
+    texts = [" ".join(rng.choices(some, k=rng.randint(0, 8))) for _ in range(200)] + some
+    for at in range(0, len(texts), 50):
+        part = texts[at : at + 50]
+        got = cache.encode([t.encode() for t in part], b"\x02\x00").to_pylist()
+        assert got == [np.array([*tk.encode(t, add_special_tokens=False).ids, 2], "<u2").tobytes() for t in part]
+
+
 def greedy(word, first, rest):
     n = at = 0
     while at < len(word):
