@@ -41,8 +41,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ids_digest(kind: str):
     def run(ids: pa.Array) -> pa.Array:
-        held = [np.frombuffer(x, kind).astype("<u4").tobytes() for x in ids.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([len(x) // 4 for x in held], pa.int64()), pa.array([zlib.crc32(x) for x in held], pa.int64())], ["n_ids", "ids_crc32"])
+        found = [(len(held), zlib.crc32(held.astype("<u4"))) for held in (np.frombuffer(x.as_py(), kind) for x in ids)]
+        return pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], ["n_ids", "ids_crc32"])
 
     run.__annotations__ = {"ids": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "struct<n_ids:bigint,ids_crc32:bigint>")

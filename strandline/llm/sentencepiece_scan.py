@@ -19,7 +19,10 @@ chunks, which Spark deals out:
    came from; following those from the last chunk picks one trace a chunk.
 
 Inside a chunk no piece spans certain places (before a space mark, around a line feed),
-so segments between them are decoded alone, and each distinct segment once.
+so segments between them are decoded alone, and each distinct segment of a megabyte
+once; what earlier texts had is kept, within a bound. The recurrence runs over many
+segments at a time in NumPy, a place of each in a step; only runs of over LOCKSTEP
+characters without a place that no piece spans go one by one.
 
 Defined cases: null and empty texts have no ids; an empty table gives an empty one; extra
 columns are not read; a text with the space mark U+2581 itself
@@ -32,6 +35,7 @@ from __future__ import annotations
 import math
 import re
 import sys
+import types
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -39,6 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +51,10 @@ from strandline.llm.text import stored
 
 SPACE = "▁"
 CHUNK = 32_768
-CACHED_SEGMENTS = 120_000
+CACHED_SEGMENTS = 200_000
+LOCKSTEP = 64
+#: Stands between texts; no character.
+NONE = 0x110000
 LOW = -(1 << 61)
 ONE = 1 << 20
 
@@ -56,6 +64,40 @@ def kind_of(n: int) -> str:
     return "<u2" if n <= 1 << 16 else "<u4"
 
 
+class Table:
+    """A hash table of NumPy arrays: whole numbers from 0 on, each with its place in keys."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = (4 * len(keys) + 4).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = np.flatnonzero(self.keys[at] < 0)
+            won = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[won]], self.values[at[won]] = keys[left[won]], left[won]
+            stay = np.ones(len(left), bool)
+            stay[won] = False
+            left, at = left[stay], (at[stay] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        at = self._slot(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], -1)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            held = self.keys[at[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (held >= 0)]
+        return out
+
+
 class Model:
     """Pieces with integer scores, taken from a SentencePiece file."""
 
@@ -89,8 +131,14 @@ class Model:
         self.split = re.compile(part).findall if self.cuts_at_space else (lambda s: [s] if s else [])
         #: characters that stand side by side in some piece; between others a way may be cut
         self.joined = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.pairs = Table(np.array([ord(p[0]) << 21 | ord(p[1]) for p in self.joined], np.int64))
+        #: the starts as a trie; a node is the place of its edge, plus 1
+        order = sorted(self.starts, key=len)
+        node = {"": 0} | {p: k + 1 for k, p in enumerate(order)}
+        self.edges = Table(np.array([node[p[:-1]] << 21 | ord(p[-1]) for p in order], np.int64))
+        self.node_id = np.array([-1, *(self.id.get(p, -1) for p in order)], np.int64)
+        self.node_score = np.array([LOW, *(self.score.get(p, LOW) for p in order)], np.int64)
+        self.known, self.known_ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         plain = [SPACE if i in self.controls else names[i] for i in range(n)]
         for b, i in self.bytes.items():
             plain[i] = chr(b)
@@ -163,18 +211,9 @@ class Model:
 
     def segment(self, s: str) -> bytes:
         """The ids, as bytes, of a segment that ways enter and leave at its ends."""
-        got = self.cache.get(s)
-        if got is None:
-            got = self.older.pop(s, None)
-            if got is None:
-                joined = self.joined
-                cuts = [k for k in range(1, len(s)) if s[k - 1 : k + 1] not in joined]
-                got = b"".join([self.segment(s[a:b]) for a, b in zip([0, *cuts], [*cuts, len(s)])]) if cuts else self._segment(s)
-            if len(self.cache) >= CACHED_SEGMENTS:
-                # what comes up again moves on from the older generation
-                self.cache, self.older = {}, self.cache
-            self.cache[s] = got
-        return got
+        joined = self.joined
+        cuts = [k for k in range(1, len(s)) if s[k - 1 : k + 1] not in joined]
+        return b"".join([self._segment(s[a:b]) for a, b in zip([0, *cuts], [*cuts, len(s)])]) if s else b""
 
     def _segment(self, s: str) -> bytes:
         """As forward() and back(), in one pass that notes where each best piece starts."""
@@ -205,14 +244,124 @@ class Model:
     def normal(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
+    def _lockstep(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts, how many each has), by the recurrence of _segment() for many
+        runs at a time; a run goes to the next place that no piece spans."""
+        lens = np.array([len(p) for p in parts], np.int64)
+        ends = np.cumsum(lens + 1) - 1
+        codes = np.frombuffer("\n".join([*parts, ""]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        codes[ends] = NONE
+        places = np.arange(len(codes))
+        inside = codes != NONE
+        first = np.ones(len(codes), bool)
+        first[1:] = (self.pairs.find(codes[:-1] << 21 | codes[1:]) < 0) & inside[1:]
+        first[ends[:-1] + 1] = True
+        first[ends[lens == 0]] = True
+        offset = places - np.maximum.accumulate(np.where(first, places, 0))
+        long = np.maximum.reduceat(offset, ends - lens) > LOCKSTEP
+        if long.any():
+            raw = [self.segment(p) if x else None for p, x in zip(parts, long)]
+            some, counts = self._lockstep([p for p, x in zip(parts, long) if not x]) if not long.all() else (np.zeros(0, self.kind), np.zeros(0, np.int64))
+            rest = iter(np.split(some, np.cumsum(counts)[:-1]))
+            found = [np.frombuffer(r, self.kind) if x else next(rest) for r, x in zip(raw, long)]
+            return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+
+        at = np.flatnonzero(inside)
+        node, steps = np.zeros(len(at), np.int64), []
+        for size in range(1, self.longest + 1):
+            node = self.edges.find(node << 21 | codes[at + size - 1]) + 1
+            if size == 1:
+                lone = at[self.node_id[node] < 0]
+                steps.append((lone, lone + 1, np.full(len(lone), self.unknown_score), np.full(len(lone), -1)))
+            at, node = at[node > 0], node[node > 0]
+            if not len(at):
+                break
+            whole = self.node_id[node] >= 0
+            steps.append((at[whole], at[whole] + size, self.node_score[node[whole]], self.node_id[node[whole]]))
+        begin, end, score, piece = (np.concatenate(x) for x in zip(*steps))
+        order = np.argsort(offset[begin].astype(np.uint8), kind="stable")
+        begin, end, score, piece = begin[order], end[order], score[order], piece[order]
+        best, came, by = np.full(len(codes), LOW), np.zeros(len(codes), np.int64), np.full(len(codes), -1)
+        last = 0
+        for k, n in enumerate(np.bincount(offset[begin])):
+            some = slice(last, last + n)
+            last += n
+            x = score[some] + best[begin[some]] if k else score[some]  # a run starts with nothing
+            better = x > best[end[some]]
+            to = end[some][better]
+            best[to], came[to], by[to] = x[better], begin[some][better], piece[some][better]
+        used = np.zeros(len(codes), bool)
+        now = np.append(places[first & inside & (places > 0)], ends)
+        now = now[best[now] > LOW]
+        while len(now):
+            used[now] = True
+            now = came[now]
+            now = now[offset[now] > 0]
+        where = np.flatnonzero(used)
+        ids, counts = by[where], np.diff(np.searchsorted(where, ends, side="right"), prepend=0)
+        lone = np.flatnonzero(ids < 0)
+        if len(lone):
+            chars = codes[came[where[lone]]].tolist()
+            of = {c: self.ids_of([chr(c)]) for c in set(chars)}
+            many = np.ones(len(ids), np.int64)
+            many[lone] = [len(of[c]) for c in chars]
+            starts = np.append(0, np.cumsum(many))
+            ids = np.repeat(ids, many)
+            for k, c in zip(starts[lone].tolist(), chars):
+                ids[k : k + len(of[c])] = of[c]
+            bounds = starts[np.append(0, np.cumsum(counts))]
+            counts = np.diff(bounds)
+        return ids.astype(self.kind), counts
+
+    def _learn(self, parts: list[str]) -> pa.Array:
+        """The ids of new segments, some ten thousand characters at a time."""
+        found, counts, held, n = [np.zeros(0, self.kind)], [np.zeros(1, np.int64)], [], 0
+        for k, p in enumerate(parts):
+            held.append(p)
+            n += len(p)
+            if n > 50_000 or k == len(parts) - 1:
+                ids, many = self._lockstep(held)
+                found.append(ids)
+                counts.append(many)
+                held, n = [], 0
+        ends = np.cumsum(np.concatenate(counts)) * np.dtype(self.kind).itemsize
+        return pa.Array.from_buffers(pa.large_binary(), len(parts), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(found))])
+
+    def _known(self, parts: pa.Array) -> pa.Array:
+        """The ids of distinct segments."""
+        place = pc.index_in(parts, self.known)
+        unknown = place.is_null()
+        new = parts.filter(unknown)
+        ids = pa.concat_arrays([self.known_ids, self._learn(new.to_pylist())])
+        place = np.array(place.fill_null(0), np.int64)
+        place[np.asarray(unknown)] = len(self.known) + np.arange(len(new))
+        out = ids.take(pa.array(place))
+        if len(ids) > CACHED_SEGMENTS:
+            self.known, self.known_ids = parts, out  # those of the texts at hand stay
+        else:
+            self.known, self.known_ids = pa.concat_arrays([self.known, new]), ids
+        return out
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as bytes of the kind."""
-        segment, out = self.segment, []
-        parts = self.split(self.normal(text))
-        for at in range(0, len(parts), 1000):
-            get = self.cache.get
-            out += [get(p) or segment(p) for p in parts[at : at + 1000]]
-        return b"".join(out)
+        return self.encode_many([text])[0].as_py()
+
+    def encode_many(self, texts: list[str]) -> pa.Array:
+        """The ids of each text as bytes of the kind."""
+        return self.segments([self.normal(t) for t in texts])
+
+    def segments(self, texts: list[str]) -> pa.Array:
+        """The ids of each text, given as normal() gives it, as bytes of the kind."""
+        if self.cuts_at_space and self.cuts_at_line:
+            parts, counts = cut_segments(texts)
+        else:
+            cut = [self.split(t) for t in texts]
+            parts, counts = pa.array([p for ps in cut for p in ps], pa.large_string()), np.array([len(ps) for ps in cut], np.int64)
+        distinct = parts.dictionary_encode()
+        flat = self._known(distinct.dictionary).take(distinct.indices)
+        _, at, data = flat.buffers()
+        at = np.frombuffer(at, np.int64)[np.append(0, np.cumsum(counts))]
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(at), data]).cast(pa.binary())
 
     def decode(self, ids: np.ndarray) -> str:
         if self.alone[ids].all():
@@ -234,9 +383,9 @@ class Model:
 
     # -- chunks -----------------------------------------------------------------------
 
-    def parts(self, s: str, size: int) -> tuple[str, list[str], str, int]:
-        """A chunk (size characters of s, which shows some more) as head, segments, tail:
-        ways pass from head to segments to tail at places that no piece spans; and where
+    def parts(self, s: str, size: int) -> tuple[str, str, str, int]:
+        """A chunk (size characters of s, which shows some more) as head, middle, tail:
+        ways pass from head to middle to tail at places that no piece spans; and where
         the tail starts. Without such a place all of it is head, and the tail starts at -1."""
         found = self.split(s)
         cuts, at = [], 0
@@ -246,9 +395,8 @@ class Model:
         cuts = [c for c in cuts if 0 < c < size]
         # a run that the chunk's start cuts short may be no whole segment: the head
         if not cuts:
-            return s, [], "", -1
-        inner = s[cuts[0] : cuts[-1]]
-        return s[: cuts[0]], self.split(inner), s[cuts[-1] :], cuts[-1]
+            return s, "", "", -1
+        return s[: cuts[0]], s[cuts[0] : cuts[-1]], s[cuts[-1] :], cuts[-1]
 
     def transfer(self, s: str, size: int) -> np.ndarray:
         """The scores from entry e (characters taken by the chunk before) to exit x
@@ -274,10 +422,16 @@ class Model:
                         out[e, x] = first + ends[size - cut + x]
         return out
 
-    def traces(self, s: str, size: int, entry: np.ndarray) -> list[tuple[int, int, bytes]]:
-        """(exit, entry, ids) for each exit, given the score of each entry state."""
+    def traces(self, chunks: list[tuple[str, int, np.ndarray]]) -> Iterator[list[tuple[int, int, bytes]]]:
+        """(exit, entry, ids) for each exit of each chunk (as for transfer()), given the
+        score of each entry state."""
+        cut = [self.parts(s, size) for s, size, _ in chunks]
+        middles = self.segments([middle for _, middle, _, _ in cut])
+        for chunk, (head, _, tail, at), ids in zip(chunks, cut, middles):
+            yield self._traces(*chunk, head, ids.as_py(), tail, at)
+
+    def _traces(self, s: str, size: int, entry: np.ndarray, head: str, middle: bytes, tail: str, cut: int) -> list[tuple[int, int, bytes]]:
         states = {e: int(v) for e, v in enumerate(entry) if v > LOW // 2}
-        head, inner, tail, cut = self.parts(s, size)
         exits = range(min(self.longest, len(s) - size + 1))
         if cut < 0:
             best = self.forward(s, states, size)
@@ -291,7 +445,7 @@ class Model:
         if best[-1] <= LOW:
             return []
         e, pieces = self.back(head, best, len(head), states, len(head))
-        start = self.pack(self.ids_of(pieces)) + b"".join([self.segment(p) for p in inner])
+        start = self.pack(self.ids_of(pieces)) + middle
         ends = self.forward(tail, {0: 0}, size - cut)
         done = []
         for x in exits:
@@ -300,6 +454,24 @@ class Model:
         return done
 
 
+def cut_segments(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """(segments of the texts in order, how many each has): cut before runs of space marks
+    and around line feeds."""
+    blobs = [t.encode() for t in texts]
+    raw = np.frombuffer(b"".join(blobs), np.uint8)
+    ends = np.cumsum([len(b) for b in blobs]).astype(np.int64)
+    marks = np.zeros(len(raw) + 3, bool)  # the mark's bytes are E2 96 81
+    marks[3:-2] = (raw[:-2] == 0xE2) & (raw[1:-1] == 0x96) & (raw[2:] == 0x81) if len(raw) > 2 else False
+    mark, after = marks[3:], marks[:-3]
+    line = raw == 0x0A
+    begins = mark & ~after | line
+    begins[1:] |= line[:-1]
+    begins[np.unique(np.append(0, ends))[:-1]] = True
+    starts = np.flatnonzero(begins)
+    cut = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(raw)])
+    return cut, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
 # -- the scan -------------------------------------------------------------------------
 
 
@@ -341,6 +513,14 @@ def _choose_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": [pdf["key"].iloc[0]], "doc_id": pd.array([pdf["doc_id"].iloc[0]], "Int64"), "ids": [b"".join(reversed(picked))]})
 
 
+def _process_model(model_file: str) -> Model:
+    """The model of this worker process, kept for its later tasks (as in token_files)."""
+    held = sys.modules.setdefault("strandline_worker_state", types.ModuleType("strandline_worker_state")).__dict__.setdefault("models", {})
+    if model_file not in held:
+        held[model_file] = Model(model_file)
+    return held[model_file]
+
+
 # -- Spark ----------------------------------------------------------------------------
 
 
@@ -349,14 +529,22 @@ def encode(docs: DataFrame, model_file: str, *, id: str = "doc_id", text: str =
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("key", pa.string()), ("chunk", pa.int32()), ("size", pa.int32()), ("part", pa.string())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(model_file)
+        model = _process_model(model_file)
         more = model.longest - 1
+
+        def flush(docs: list, texts: list, rows: list) -> Iterator[pa.RecordBatch]:
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), model.encode_many(texts), *(pa.nulls(len(docs), f.type) for f in list(schema)[2:])], schema=schema)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
         for batch in it:
-            rows, n = [], 0
-            for i in range(batch.num_rows):
-                doc, t = batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or ""
+            docs_, texts, rows, n = [], [], [], 0
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                t = t.as_py() or ""
                 if len(t) < chunk:
-                    rows.append((doc, model.encode(t), None, None, None, None))
+                    docs_.append(doc)
+                    texts.append(t)
                 else:
                     s, key = model.normal(t), uuid.uuid4().hex
                     # no chunk is shorter than a piece may reach
@@ -366,23 +554,19 @@ def encode(docs: DataFrame, model_file: str, *, id: str = "doc_id", text: str =
                     for k, (a, b) in enumerate(zip(places, [*places[1:], len(s)])):
                         rows.append((doc, None, key, k, b - a, s[a : b + more]))
                 n += len(t)
-                if n > 2 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                    rows, n = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                if n > 1 << 20:
+                    yield from flush(docs_, texts, rows)
+                    docs_, texts, rows, n = [], [], [], 0
+            yield from flush(docs_, texts, rows)
 
     first = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary, key string, chunk int, size int, part string")
     # keys are drawn once: what follows reads them from the shared folder
     first = stored(first)
     long = first.where("key IS NOT NULL")
     n = Model(model_file).longest
-    state: list[Model] = []
 
     def model() -> Model:
-        if not state:
-            state.append(Model(model_file))
-        return state[0]
+        return _process_model(model_file)
 
     def matrices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -393,11 +577,12 @@ def encode(docs: DataFrame, model_file: str, *, id: str = "doc_id", text: str =
         names = ["key", "doc_id", "chunk", "exit", "entered", "ids"]
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for batch in it:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                found = model().traces(r["part"], r["size"], np.frombuffer(r["entry"], np.int64))
-                rows = [(r["key"], r["doc_id"], r["chunk"], *x) for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            for at in range(0, batch.num_rows, 32):
+                rows = batch.slice(at, 32).to_pylist()
+                found = model().traces([(r["part"], r["size"], np.frombuffer(r["entry"], np.int64)) for r in rows])
+                for r, some in zip(rows, found):
+                    out = [(r["key"], r["doc_id"], r["chunk"], *x) for x in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     dealt = long.select("key", "doc_id", "chunk", "size", "part").repartition("key", "chunk")
     scanned = dealt.mapInArrow(matrices, "key string, chunk int, matrix binary").groupBy("key").applyInPandas(lambda pdf: _scan_group(pdf, n), "key string, chunk int, entry binary")
@@ -411,7 +596,7 @@ def decode(encoded: DataFrame, model_file: str, *, id: str = "doc_id", ids: str
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(model_file)
+        model = _process_model(model_file)
         for batch in it:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)

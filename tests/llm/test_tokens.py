@@ -125,6 +125,32 @@ def test_chunks_and_plain_recurrence_agree(make, sample):
         assert got == {i: viterbi(m, m.normal(t)) for i, t in rows}
 
 
+def test_ordinary_segments_go_in_lockstep(sample):
+    """One pass of the recurrence for each distinct segment took most of the time."""
+    m = P.Model(PIECES)
+
+    def alone(s):
+        raise AssertionError(f"decoded by itself: {s!r}")
+
+    m._segment = alone
+    for _, t in sample[:20]:
+        assert np.frombuffer(m.encode(t[:300]), "<u2").tolist() == viterbi(m, m.normal(t[:300]))
+
+
+def test_lockstep_is_the_plain_recurrence(monkeypatch):
+    m, rng = P.Model(PIECES), random.Random(8)
+    some = ["", " ", "\n", "\n\n a", "▁", "x" * 700, "日本語のテキスト、" * 20, "\U0001f600 ab \U0001f600", "a\u0300b", "\x00 \x01", "ab" * 40 + " c"]
+    some += ["".join(rng.choices("ab \n▁日\U0001f600é.,xth", k=rng.randint(0, 150))) for _ in range(100)]
+    want = [viterbi(m, m.normal(t)) for t in some]
+    for kept in (P.CACHED_SEGMENTS, 5):
+        monkeypatch.setattr(P, "CACHED_SEGMENTS", kept)
+        for at in (0, 40, 80, 0):
+            assert [np.frombuffer(x, "<u2").tolist() for x in m.encode_many(some[at : at + 60]).to_pylist()] == want[at : at + 60]
+    m.cuts_at_space = False
+    m.split = lambda s: [s] if s else []
+    assert [np.frombuffer(x, "<u2").tolist() for x in m.encode_many(some).to_pylist()] == want
+
+
 def test_pieces_decode_to_the_text(make, odd):
     for chunk in (1000, P.CHUNK):
         back = P.decode(P.encode(odd, PIECES, chunk=chunk), PIECES).select("doc_id", "text").collect()
