@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import align, kmers, pair_ranks, paired, preservation, ranks, resample, sites, tiles, transport, trees, vectors
-from strandline.plans import registry
+from strandline.plans import paired_queries, registry
 from strandline.sources import publish
 
 DIR = "/root/testdata/sf0.001"
@@ -222,3 +222,17 @@ def test_sweeps_shuffle_nothing_by_ancestor(spark):
     got = trees.diameter(trees.ancestors(nodes, "node", "up", "len"), tips, "node")
     assert {got.first()["a"], got.first()["b"]} == {"a", "b"} and got.first()["d"] == 7.0
     assert plan_of(got).count("strategy=broadcast") == 2
+
+
+def test_means_hang_on_no_partial_sums(spark, tmp_path):
+    e = pd.read_parquet(f"{DIR}/events.parquet")
+    genes, rows = int(e["user_id"].max()) + 1, int(e["event_id"].max()) + 1
+    copies = pd.concat([e.assign(user_id=e["user_id"] + i * genes, event_id=e["event_id"] + i * rows) for i in range(8)])
+    spark.createDataFrame(copies[["event_id", "user_id", "event_type", "value"]]).repartition(6).write.parquet(f"{tmp_path}/events.parquet")
+    total = {}
+    for r in e.sort_values("event_id").itertuples():
+        s, n = total.get((r.user_id, r.event_type), (0.0, 0))
+        total[r.user_id, r.event_type] = (s + r.value, n + 1)
+    mean = {k: s / n for k, (s, n) in total.items()}
+    want = {(g + i * genes, c): m - mean[g, "view"] for (g, c), m in mean.items() for i in range(8) if c != "view" and (g, "view") in mean}
+    assert {(r["gene"], r["condition"]): r["delta"] for r in paired_queries._deltas(spark, str(tmp_path)).collect()} == want
