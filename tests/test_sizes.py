@@ -254,3 +254,27 @@ def test_ranks_of_copies_tie(spark, tmp_path, name):
     want = con.sql(registry.ORACLE_SQL[name])
     got = registry.QUERIES[name](spark, str(tmp_path)).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_kmer_distances_of_sequences(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    rows = [(k, "fg"[k % 2], "".join(rng.choice(list("ACGTNa"), 30, p=[0.23, 0.23, 0.23, 0.23, 0.04, 0.04]))) for k in range(23)]
+    rows += [(4, "f", "ACGTACGT"), (50, "f", None), (51, "g", ""), (52, "g", "AC"), (53, "f", "ACNGTé"), (54, "f", "éACGéT")]
+    df = spark.createDataFrame(rows, "key int, family string, s string")
+    want = {(r["a"], r["b"]): pytest.approx(r["distance"], abs=1e-12) for r in kmers.distances(kmers.frequencies(df, "key", "s", 3, group="family"), "key", "family").collect()}
+    for strip, slab, numbers in ((3, 2, 100), (32, 4096, 1 << 20)):
+        monkeypatch.setattr(tiles, "PAIR_STRIP", strip)
+        monkeypatch.setattr(tiles, "SLAB", slab)
+        monkeypatch.setattr(tiles, "STRIP", 2 * strip)
+        texts = kmers.sequence_distances(df, "key", "family", "s", 3)
+        got = texts.collect()
+        assert len(got) == len(want) and {(r["a"], r["b"]): r["distance"] for r in got} == want
+        small = tiles.sparse_pair_cosines(df.where("length(s) > 20"), "family", "key", "s", 4, kmers.counted(3), F.length, numbers).collect()
+        assert all(1 - r["c"] == want[r["a"], r["b"]] for r in small if 4 not in (r["a"], r["b"])) and len(small) == 66 + 55
+    assert "kmer" not in plan_of(registry.QUERIES["kmer_distance"](spark, DIR))
+
+
+def test_sparse_rows_go_to_few_blocks(spark):
+    df = spark.range(4000).selectExpr("id AS k", "id DIV 3900 AS g", "'ACGT' AS u")
+    count = lambda most: {r["g_"]: r["count"] for r in tiles._dealt(df, "g", "k", "u", tiles.pair_blocks(100, F.length("u_"), most)).groupBy("g_").count().collect()}
+    assert count(1 << 20) == {0: 3900 * 8, 1: 100} and count(1000) == {0: 3900 * 16, 1: 100}
