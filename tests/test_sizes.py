@@ -278,3 +278,27 @@ def test_sparse_rows_go_to_few_blocks(spark):
     df = spark.range(4000).selectExpr("id AS k", "id DIV 3900 AS g", "'ACGT' AS u")
     count = lambda most: {r["g_"]: r["count"] for r in tiles._dealt(df, "g", "k", "u", tiles.pair_blocks(100, F.length("u_"), most)).groupBy("g_").count().collect()}
     assert count(1 << 20) == {0: 3900 * 8, 1: 100} and count(1000) == {0: 3900 * 16, 1: 100}
+
+
+def test_vectors_move_as_floats(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(40, 5)).astype(np.float32)
+    x[7] = 0
+    df = spark.createDataFrame([(k, k // 30, v.tolist()) for k, v in enumerate(x)], "key int, family int, v array<float>")
+    moved, real = [], tiles._dealt
+    monkeypatch.setattr(tiles, "_dealt", lambda *a: moved.append(real(*a)) or moved[-1])
+    monkeypatch.setattr(tiles, "PAIR_BLOCK", 8)
+    got = {(r["a"], r["b"]): r["cosine"] for r in vectors.pair_distances(df, "key", "family", "v").collect()}
+    u = x.astype(float) / np.maximum(np.linalg.norm(x.astype(float), axis=1), 1e-12)[:, None]
+    assert got == {(a, b): pytest.approx(1 - float(u[a] @ u[b]), abs=1e-12) for a, b in itertools.combinations(range(40), 2) if a // 30 == b // 30}
+    registry.QUERIES["angular_pairs"](spark, DIR)
+    registry.QUERIES["cosine_pairs"](spark, DIR)
+    assert [dict(m.dtypes)["u_"] for m in moved] == ["array<float>"] * 3
+
+
+def test_blocks_by_numbers(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "WIDE_NUMBERS", 100)
+    df = spark.range(60).selectExpr("id AS k", "0 AS g", "array_repeat(1D, 10) AS u")
+    moved, real = [], tiles._dealt
+    monkeypatch.setattr(tiles, "_dealt", lambda *a: moved.append(real(*a)) or moved[-1])
+    assert tiles.pair_cosines(df, "g", "k", "u", 30).count() == 60 * 59 // 2
+    assert moved[0].count() == 60 * 6
