@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from strandline.operators import clusters as C, kmers, layer_nulls as L, ranks as R, resample, transport, vectors as V
+from strandline.operators import clusters as C, kmers, layer_nulls as L, ranks as R, resample, tiles, transport, vectors as V
 from strandline.plans import derived as D
 from strandline.plans.numeric_queries import _members
 from strandline.plans.sequence_queries import _KMERS
@@ -151,8 +151,7 @@ def matrix_gather(spark, sf_dir):
     n = D.table(spark, sf_dir, "nation").select("n_nationkey")
     m = n.toDF("ma").join(n.toDF("mb"), F.col("ma") < F.col("mb")).withColumn("d", F.abs(F.col("ma") - F.col("mb")) / 7.0)
     k = D.embedded(spark, sf_dir).select("key", "family", (F.col("key") % 25).cast("int").alias("species"))
-    x, y = k.alias("x"), k.alias("y")
-    pairs = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.key") < F.col("y.key"))).select(F.col("x.family").alias("family"), F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.least("x.species", "y.species").alias("ma"), F.greatest("x.species", "y.species").alias("mb"))
+    pairs = tiles.member_pairs(k, "family", "key", "species").select("family", "a", "b", F.least("species_a", "species_b").alias("ma"), F.greatest("species_a", "species_b").alias("mb"))
     # the matrix is a row for each pair of labels; the pairs are the data and are not moved
     return pairs.join(F.broadcast(m), ["ma", "mb"], "left").select("family", "a", "b", F.round(F.coalesce("d", F.lit(0.0)), 6).alias("d"))
 

@@ -302,3 +302,13 @@ def test_blocks_by_numbers(spark, monkeypatch):
     monkeypatch.setattr(tiles, "_dealt", lambda *a: moved.append(real(*a)) or moved[-1])
     assert tiles.pair_cosines(df, "g", "k", "u", 30).count() == 60 * 59 // 2
     assert moved[0].count() == 60 * 6
+
+
+def test_member_pairs_by_tiles(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "BLOCKS", 3)
+    rows = [(k, k // 25, k % 4) for k in range(45)]
+    df = spark.createDataFrame([*rows, (99, None, 1)], "key int, family int, species int")
+    got = tiles.member_pairs(df, "family", "key", "species", block=4)
+    want = sorted((f, a, b, s, t) for (a, f, s), (b, g, t) in itertools.combinations(rows, 2) if f == g)
+    assert sorted(map(tuple, got.collect())) == want
+    assert "i_#" in "".join(x for x in plan_of(registry.QUERIES["matrix_gather"](spark, DIR)).splitlines() if "Join Inner" in x)
